@@ -1,11 +1,662 @@
-"""Registered queries and their SQL twins."""
+"""Registered queries and their SQL twins: every operator bound to a table of the same shape.
+
+Recordings are the event series of users (channel and cohort by number), embeddings are the vectors with cohort
+`vec_id % 3` and disease `label >= 5`, scores are documents' lengths with their labels.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import kernels as K
+from .operators import select as P
+from .operators import signal as S
+from .operators import stats as T
+from .plans import experiments as X
+from .sources import tables as IO
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+USER_SCALES = [4, 6, 8, 12, 16]
+TYPE_SCALES = [16, 32, 64, 128, 256]
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+# --- bindings -----------------------------------------------------------------------------------------------------------
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def series(spark: SparkSession, d: str, key: str = "user_id") -> DataFrame:
+    w = Window.partitionBy(key).orderBy("ts", "event_id")
+    return read(spark, d, "events").select(key, "event_id", (F.row_number().over(w) - 1).alias("t"), F.col("value").alias("x"))
+
+
+def arrays(spark: SparkSession, d: str) -> DataFrame:
+    """recording_id (user), samples in time order."""
+    g = read(spark, d, "events").groupBy(F.col("user_id").alias("recording_id"))
+    return g.agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda s: s.value).alias("samples"))
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "embeddings")
+    return e.select(F.col("vec_id").alias("subject_id"), F.concat(F.lit("c"), (F.col("vec_id") % 3).cast("string")).alias("cohort"), (F.col("label") >= 5).cast("int").alias("y"), F.col("embedding").cast("array<double>").alias("vec"))
+
+
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", "lang", "source", "n_chars").join(read(spark, d, "labels"), "doc_id")
+
+
+def targets(spark: SparkSession, d: str) -> DataFrame:
+    """user_id, alpha, r2, m (mean), sd."""
+    s = series(spark, d)
+    return S.dfa_sql(s, "user_id", USER_SCALES).join(s.groupBy("user_id").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("sd")), "user_id")
+
+
+def rounded(df: DataFrame, *cols: str, n: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c), n) + F.lit(0.0) for c in cols})
+
+
+SIG = "select user_id, event_type, event_id, value as x, row_number() over (partition by user_id order by ts, event_id) - 1 as t from events"
+VEC = "select vec_id as subject_id, 'c' || (vec_id % 3) as cohort, case when label >= 5 then 1 else 0 end as y, embedding::double[] as vec from embeddings"
+LONGV = f"select subject_id, cohort, y, unnest(vec) as v, generate_subscripts(vec, 1) - 1 as feature from ({VEC})"
+
+
+def _dfa_cte(source: str, key: str, scales: list[int]) -> str:
+    """CTEs that end in dfa(key, alpha, r2) for a query with columns key, t, x."""
+    return f"""src as ({source}), prof as (
+  select {key}, t, n, sum(x0) over (partition by {key} order by t rows unbounded preceding) as p
+  from (select {key}, t, x - avg(x) over (partition by {key}) as x0, count(*) over (partition by {key}) as n from src)
+), cut as (
+  select {key}, s, t // s as seg, (t % s)::double as pos, p from prof, (select unnest({scales}) as s) where n // s >= 2 and t // s < n // s
+), mse as (
+  select {key}, s, seg, (regr_syy(p, pos) - regr_sxy(p, pos) * regr_sxy(p, pos) / regr_sxx(p, pos)) / s as mse from cut group by {key}, s, seg
+), fl as (
+  select {key}, ln(s) as u, ln(sqrt(avg(greatest(mse, 0)))) as v from mse group by {key}, s having avg(greatest(mse, 0)) > 0
+), dfa as (
+  select {key}, regr_slope(v, u) as alpha, 1 - (regr_syy(v, u) - regr_sxy(v, u) * regr_sxy(v, u) / regr_sxx(v, u)) / (regr_syy(v, u) + 1e-12) as r2 from fl group by {key} having count(*) >= 3
+)"""
+
+
+DFA_USER = _dfa_cte(SIG, "user_id", USER_SCALES)
+TARGETS = f"{DFA_USER}, targets as (select d.user_id, alpha, r2, m, sd from dfa d join (select user_id, avg(x) as m, stddev_pop(x) as sd from src group by user_id) using (user_id))"
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return l7_dfa_qc(spark, d)
+
+
+# --- sources, selection, joins ------------------------------------------------------------------------------------------
+
+
+@query("select page_id, g as grp, 'NA' as site, regexp_replace(string_split(url, '/')[-1], '\\.[^.]*$', '') as subject_id, case when g = 'en' then 1 else 0 end as label from (select page_id, url, list_filter(string_split(url, '/'), lambda x: x in ('en', 'fr', 'de'))[1] as g from pages) where g is not null")
+def s3_labels_from_path(spark, d):
+    return IO.labels_from_path(read(spark, d, "pages"), "url", ["en"], ["fr", "de"], ["AR", "CL"]).select("page_id", "grp", "site", "subject_id", "label")
+
+
+@query(f"select vec_id as subject_id, round(list_sum(embedding::double[]), 6) as total, len(embedding) as width from embeddings")
+def s4_unify_embeddings(spark, d):
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("subject_id"), F.when(F.col("vec_id") % 2 == 0, F.col("embedding")).alias("reve_embedding"), F.when(F.col("vec_id") % 2 == 1, F.col("embedding")).alias("mean_embed"))
+    u = IO.unify_embeddings(e)
+    return rounded(u.select("subject_id", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x).alias("total"), F.size("embedding").cast("long").alias("width")), "total")
+
+
+@query(f"with {DFA_USER} select user_id, round(alpha, 6) as alpha from dfa")
+def s7_incremental_targets(spark, d):
+    s = series(spark, d)
+    cached = S.dfa_sql(s.where("user_id % 2 = 0"), "user_id", USER_SCALES).select("user_id", "alpha")
+    return rounded(IO.incremental_targets(s, cached, lambda x: S.dfa_sql(x, "user_id", USER_SCALES).select("user_id", "alpha"), "user_id"), "alpha")
+
+
+@query("select grp, site, ext, case when grouping(ext) = 0 then count(*) else count(*) filter (where ext2 = 'toxic') end as n from (select lang as grp, source as site, case when toxic = 1 then 'toxic' else 'clean' end as ext, case when toxic = 1 then 'toxic' else 'clean' end as ext2 from documents join labels using (doc_id)) group by grouping sets ((grp), (site), (ext))")
+def s8_cohort_inventory(spark, d):
+    return IO.cohort_inventory(scored(spark, d).withColumn("ext", F.when(F.col("toxic") == 1, "toxic").otherwise("clean")), "lang", "source", "ext", "toxic")
+
+
+@query("select distinct upper(event_type) as name, count(*) as n from events group by 1")
+def p1_normalise_channel(spark, d):
+    return read(spark, d, "events").withColumn("raw", F.concat(F.lit("EEG "), F.col("event_type"), F.lit("-REF"))).groupBy(P.normalise_channel(F.col("raw")).alias("name")).agg(F.count("*").alias("n"))
+
+
+@query("with e as (select user_id % 20 as recording_id, upper(event_type) as channel, event_id, value, (select list(distinct upper(event_type) order by upper(event_type)) from events) as m from events), l as (select recording_id, channel, arg_max(value, event_id) as value, max(event_id) as event_id, any_value(m) as m from e group by 1, 2) select recording_id, channel, list_position(m, channel) - 1 as ch_idx, event_id, round(value, 6) as value from l where recording_id in (select recording_id from l group by 1 having count(*) = max(len(m)))")
+def p2_select_montage(spark, d):
+    e = read(spark, d, "events").select((F.col("user_id") % 20).alias("recording_id"), F.col("event_type").alias("channel"), "event_id", "value")
+    names = sorted(r[0].upper() for r in e.select("channel").distinct().collect())
+    return rounded(P.select_montage(e, names, order="event_id"), "value")
+
+
+@query("select event_type, 'P7' as a, 'T7' as b, event_type as c, count(*) as n from events group by event_type")
+def p3_resolve_alias(spark, d):
+    known = ["T7", "P7", "CZ"]
+    e = read(spark, d, "events").withColumn("u", F.concat(F.lit("XX-"), F.lit("T3-"), F.col("event_type")))
+    return e.groupBy("event_type").agg(F.min(P.resolve_alias(F.lit("t5"), known)).alias("a"), F.min(P.resolve_alias(F.col("u"), known)).alias("b"), F.min(P.resolve_alias(F.col("event_type"), known)).alias("c"), F.count("*").alias("n"))
+
+
+@query("with e as (select vec_id, label, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z from embeddings), cap as (select * from e where vec_id < 128), q as (select * from e where vec_id >= 128) select q.vec_id as name, arg_min(cap.vec_id, sqrt((q.x-cap.x)*(q.x-cap.x)+(q.y-cap.y)*(q.y-cap.y)+(q.z-cap.z)*(q.z-cap.z))) as nearest, round(min(sqrt((q.x-cap.x)*(q.x-cap.x)+(q.y-cap.y)*(q.y-cap.y)+(q.z-cap.z)*(q.z-cap.z))), 6) as dist from q, cap group by q.vec_id")
+def p4_nearest_electrode(spark, d):
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("name"), *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyz")), F.col("vec_id").alias("ord"))
+    # the cap is a fixed list of 128 electrodes, whatever the number of positions to place
+    return rounded(P.nearest_electrode(e.where("name >= 128"), e.where("name < 128")), "dist")
+
+
+@query(f"select user_id as recording_id, count(*) as n, round(sum(x), 6) as total from ({SIG}) where t < 64 group by user_id having count(*) = 64")
+def p5_duration_gate(spark, d):
+    g = P.duration_gate(arrays(spark, d), 64)
+    return rounded(g.select("recording_id", F.size("samples").cast("long").alias("n"), F.aggregate("samples", F.lit(0.0), lambda a, x: a + x).alias("total")), "total")
+
+
+@query("select doc_id, lang, case when lang = 'en' then 1 else 0 end as y from documents where lang in ('en', 'fr', 'de')")
+def p6_binary_task(spark, d):
+    return P.binary_task(read(spark, d, "documents").select("doc_id", "lang"), "lang", ["en"], ["fr", "de"])
+
+
+@query("select doc_id, quality, rank_in_class from (select doc_id, quality, row_number() over (partition by quality order by doc_id) as rank_in_class from labels) where rank_in_class <= 20")
+def p7_head_per_class(spark, d):
+    return P.head_per_class(read(spark, d, "labels").select("doc_id", "quality"), 20, "quality", "doc_id")
+
+
+@query("select doc_id, n_chars from documents where doc_id in (select doc_id from labels) order by doc_id limit 50")
+def p8_head_n(spark, d):
+    return P.head_n(read(spark, d, "documents").select("doc_id", "n_chars").join(read(spark, d, "labels"), "doc_id", "left_semi"), 50, "doc_id")
+
+
+@query()
+def p9_cap_sample(spark, d):
+    return P.cap_sample(read(spark, d, "documents").select("doc_id", "lang"), 300, 7, "doc_id")
+
+
+@query(f"with v as ({VEC}), r as (select subject_id, cohort, row_number() over (partition by cohort order by subject_id) as r from v) select subject_id, cohort from r where r <= (select min(c) from (select count(*) as c from v group by cohort))")
+def p10_balance_cohorts(spark, d):
+    return P.balance_cohorts(vectors(spark, d).select("subject_id", "cohort"), "cohort", "subject_id")
+
+
+@query(f"with {TARGETS} select count(*) as n from targets where sd is not null and alpha is not null and m > 0")
+def p11_finite_only(spark, d):
+    t = targets(spark, d).withColumn("q", F.when(F.col("m") > 0, F.col("alpha")).otherwise(F.lit(float("nan"))))
+    return P.finite_only(t, "q", "sd").agg(F.count("*").alias("n"))
+
+
+@query("select d.doc_id, d.lang, l.quality, e.label from documents d join labels l using (doc_id) join embeddings e on e.vec_id = d.doc_id")
+def j1_assemble_cohort(spark, d):
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("subject_id"), "lang")
+    return P.assemble_cohort(docs, read(spark, d, "labels").select(F.col("doc_id").alias("subject_id"), "quality"), read(spark, d, "embeddings").select(F.col("vec_id").alias("subject_id"), "label")).withColumnRenamed("subject_id", "doc_id")
+
+
+@query("select user_id from events where event_type in ('click', 'view', 'purchase') group by user_id having count(distinct event_type) = 3 and user_id in (select c_custkey from customer)")
+def j2_common_subjects(spark, d):
+    e = read(spark, d, "events").select("user_id", F.col("event_type").alias("encoder"))
+    return P.common_subjects(e, ["click", "view", "purchase"], "user_id", read(spark, d, "customer").select(F.col("c_custkey").alias("user_id")))
+
+
+@query("select vec_id as subject_id, label, quality, toxic from embeddings join labels on doc_id = vec_id")
+def j3_labelled_embeddings(spark, d):
+    return P.labelled_embeddings(read(spark, d, "embeddings").select(F.col("vec_id").alias("subject_id"), "label"), read(spark, d, "labels").withColumnRenamed("doc_id", "subject_id"))
+
+
+@query(f"select subject_id, cohort, y from ({VEC}) where cohort != 'c2'")
+def j4_stack_cohorts(spark, d):
+    v = vectors(spark, d).select("subject_id", "y", F.col("cohort").alias("c"))
+    return P.stack_cohorts("c2", **{n: v.where(F.col("c") == n).drop("c") for n in ("c0", "c1", "c2")}).select("subject_id", "cohort", "y")
+
+
+@query(f"with s as ({SIG}), n as (select user_id, count(*) as n from s group by user_id) select stage, n from (select 'read' as stage, count(*) as n from n union all select 'long enough', count(*) from n where n >= 64)")
+def attrition_report(spark, d):
+    a = arrays(spark, d)
+    return P.attrition({"read": a, "long enough": P.duration_gate(a, 64)})
+
+
+# --- signals ------------------------------------------------------------------------------------------------------------
+
+
+@query()
+def h1_resample_fft(spark, d):
+    r = S.resample(arrays(spark, d), 2.0, 1.0)
+    return rounded(r.select("recording_id", F.size("samples").alias("n"), F.element_at("samples", 1).alias("head")), "head")
+
+
+@query()
+def h2_resample_linear(spark, d):
+    r = S.resample(arrays(spark, d), 2.0, 3.0, "linear")
+    return rounded(r.select("recording_id", F.size("samples").alias("n"), F.element_at("samples", -1).alias("tail")), "tail")
+
+
+@query(f"with s as (select user_id % 10 as recording_id, user_id as channel, t, x from ({SIG})), c as (select recording_id, x - avg(x) over (partition by recording_id, t) as x from s) select recording_id, count(*) as n, round(sum(x * x), 4) as ss from c group by recording_id")
+def h3_common_average_reference(spark, d):
+    s = series(spark, d).withColumnsRenamed({"user_id": "channel"}).withColumn("recording_id", F.col("channel") % 10)
+    c = S.common_average_reference(s).groupBy("recording_id").agg(F.count("*").alias("n"), F.sum(F.col("x") * F.col("x")).alias("ss"))
+    return rounded(c, "ss", n=4)
+
+
+@query()
+def h4_bandpass(spark, d):
+    b = S.bandpass(arrays(spark, d), 200.0, 8.0, 45.0)
+    return rounded(b.select("recording_id", F.size("samples").alias("n"), F.array_max("samples").alias("top")), "top")
+
+
+@query()
+def h5_recipe_notch_wide(spark, d):
+    a = P.duration_gate(arrays(spark, d), 48).select((F.col("recording_id") % 5).alias("recording_id"), F.col("recording_id").cast("int").alias("ch_idx"), "samples")
+    r = S.recipe_notch_wide(a)
+    return rounded(r.select("recording_id", "ch_idx", F.size("samples").alias("n"), F.array_max("samples").alias("top")), "top")
+
+
+@query()
+def h6_envelope(spark, d):
+    e = S.envelope(arrays(spark, d), 200.0)
+    return rounded(e.select("recording_id", F.array_min("samples").alias("low"), F.array_max("samples").alias("top")), "low", "top")
+
+
+@query()
+def h7_harmonise(spark, d):
+    e = read(spark, d, "events").withColumn("recording_id", F.col("user_id") % 20)
+    w = e.groupBy("recording_id", F.col("event_type").alias("channel")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda s: s.value).alias("samples"), F.max("event_id").alias("pos"))
+    names = sorted(r[0].upper() for r in e.select("event_type").distinct().collect())
+    h = S.harmonise(w, 400.0, names, 200.0, 0.1, (1.0, 45.0))
+    return rounded(h.select("recording_id", "channel", "ch_idx", F.size("samples").alias("n"), F.array_max("samples").alias("top")), "top")
+
+
+@query(f"with s as (select user_id, t // 16 as epoch_idx, x from ({SIG})) select user_id as recording_id, epoch_idx, round(avg(x), 6) as m from s group by 1, 2 having count(*) = 16")
+def h8_epoch(spark, d):
+    e = S.epoch(arrays(spark, d), 16)
+    return rounded(e.select("recording_id", F.col("epoch_idx").cast("long").alias("epoch_idx"), (F.aggregate("samples", F.lit(0.0), lambda a, x: a + x) / 16).alias("m")), "m")
+
+
+REJECT = f"with s as (select user_id % 50 as recording_id, user_id, t // 8 as epoch_idx, x from ({SIG})), c as (select recording_id, user_id, epoch_idx, max(x) - min(x) as ptp from s group by 1, 2, 3 having count(*) = 8), g as (select recording_id, epoch_idx, bool_and(ptp < 60) as ok, count(*) as ch from c group by 1, 2), k as (select *, count(*) over (partition by recording_id) as b, count(*) filter (where ok) over (partition by recording_id) as a from g) select recording_id, count(*) as epochs, sum(ch)::bigint as rows from k where ok and b >= 5 and a >= 1 group by 1"
+
+
+@query(REJECT)
+def h9_reject_artifacts(spark, d):
+    e = S.epoch(arrays(spark, d), 8).withColumn("recording_id", F.col("recording_id") % 50)
+    k = S.reject_artifacts(e, 60.0, 5, 1)
+    return k.groupBy("recording_id").agg(F.countDistinct("epoch_idx").alias("epochs"), F.count("*").alias("rows"))
+
+
+@query(f"select user_id as recording_id, round(max(x) * 1e3, 6) as top from ({SIG}) group by 1")
+def h10_scale_units(spark, d):
+    return rounded(S.scale_units(arrays(spark, d), 1e3).select("recording_id", F.array_max("samples").alias("top")), "top")
+
+
+@query()
+def f1_welch_psd(spark, d):
+    w = S.welch_psd(arrays(spark, d), 200.0, 32)
+    return rounded(w.select("recording_id", F.size("psd").alias("bins"), F.aggregate("psd", F.lit(0.0), lambda a, x: a + x).alias("total")), "total")
+
+
+@query()
+def f2_f4_spectral(spark, d):
+    c = S.channel_spectral(arrays(spark, d), 200.0, 64)
+    return rounded(c.select("recording_id", *(F.col("spectral")[i].alias(n) for i, n in enumerate(("delta", "theta", "alpha", "beta", "gamma", "entropy")))), "delta", "theta", "alpha", "beta", "gamma", "entropy")
+
+
+HJORTH = f"with d1 as (select user_id, t, x, x - lag(x) over (partition by user_id order by t) as d1 from ({SIG})), d2 as (select *, d1 - lag(d1) over (partition by user_id order by t) as d2 from d1), v as (select user_id, var_pop(x) as a, var_pop(d1) as v1, var_pop(d2) as v2 from d2 group by 1) select user_id, round(a, 6) as activity, round(sqrt(v1 / a), 6) as mobility, round(sqrt(v2 / v1) / sqrt(v1 / a), 6) as complexity from v"
+
+
+@query(HJORTH)
+def f3_hjorth(spark, d):
+    return rounded(S.hjorth_sql(series(spark, d), "user_id"), "activity", "mobility", "complexity")
+
+
+@query(HJORTH)
+def f3_hjorth_kernel(spark, d):
+    c = S.channel_spectral(arrays(spark, d), 200.0, 64)
+    return rounded(c.select(F.col("recording_id").alias("user_id"), *(F.col("spectral")[6 + i].alias(n) for i, n in enumerate(("activity", "mobility", "complexity")))), "activity", "mobility", "complexity")
+
+
+@query()
+def f7_classical_features(spark, d):
+    e = S.epoch(arrays(spark, d), 32).select((F.col("recording_id") % 10).alias("recording_id"), F.col("epoch_idx").cast("int").alias("epoch_idx"), F.col("recording_id").cast("int").alias("ch_idx"), "samples")
+    c = S.classical_features(e, 200.0)
+    return rounded(c.select("recording_id", "epoch_idx", F.size("vec").alias("width"), F.element_at("vec", -2).alias("asymmetry"), F.element_at("vec", -1).alias("frontal_theta")), "asymmetry", "frontal_theta")
+
+
+@query(f"select cohort, feature, round(avg(v), 6) as v, count(*) as n from ({LONGV}) group by 1, 2")
+def f8_subject_mean(spark, d):
+    m = S.subject_mean(vectors(spark, d), "cohort", "vec")
+    return rounded(m.select("cohort", F.posexplode("vec").alias("f", "v"), F.col("n_epochs").alias("n")).select("cohort", F.col("f").cast("long").alias("feature"), "v", "n"), "v")
+
+
+# --- scale-free ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"with {DFA_USER} select user_id, round(alpha, 6) as alpha, round(r2, 6) as r2 from dfa")
+def l1_dfa_kernel(spark, d):
+    return rounded(S.dfa(arrays(spark, d), USER_SCALES).where("not isnan(alpha)").select(F.col("recording_id").alias("user_id"), "alpha", "r2"), "alpha", "r2")
+
+
+@query(f"with {DFA_USER} select user_id, round(alpha, 6) as alpha, round(r2, 6) as r2 from dfa")
+def l2_dfa_sql(spark, d):
+    return rounded(S.dfa_sql(series(spark, d), "user_id", USER_SCALES), "alpha", "r2")
+
+
+@query("with " + _dfa_cte("select event_type, value as x, row_number() over (partition by event_type order by ts, event_id) - 1 as t from events", "event_type", TYPE_SCALES) + " select event_type, round(alpha, 6) as alpha, round(r2, 6) as r2 from dfa")
+def l2_dfa_event_types(spark, d):
+    return rounded(S.dfa_sql(series(spark, d, "event_type"), "event_type", TYPE_SCALES), "alpha", "r2")
+
+
+@query()
+def l3_aperiodic_fit(spark, d):
+    a = S.aperiodic_fit(arrays(spark, d), 100.0, 32)
+    return rounded(a.select("recording_id", "offset", "exponent"), "offset", "exponent")
+
+
+@query()
+def l4_criticality_features(spark, d):
+    a = arrays(spark, d).select((F.col("recording_id") % 30).alias("recording_id"), F.col("recording_id").cast("string").alias("channel"), F.floor(F.col("recording_id") / 30).cast("int").alias("ch_idx"), "samples")
+    return rounded(S.criticality_features(a, 200.0, USER_SCALES), "exponent", "offset", "dfa", "dfa_r2")
+
+
+@query(f"with {TARGETS} select user_id % 3 as cohort, round(avg(alpha), 6) as alpha, round(avg(r2), 6) as r2 from targets group by 1")
+def l5_subject_targets(spark, d):
+    return rounded(S.subject_targets(targets(spark, d).withColumn("cohort", F.col("user_id") % 3), "cohort", ["alpha", "r2"]), "alpha", "r2")
+
+
+@query(f"select cohort, round(sum(v), 6) as total, count(v) as n from (select cohort, coalesce(w, avg(w) over (partition by cohort, feature)) as v from (select *, case when subject_id % 7 = 0 then null else v end as w from ({LONGV}))) group by 1")
+def l6_impute_mean(spark, d):
+    long = T.long_vectors(vectors(spark, d), ["subject_id", "cohort"], "vec").withColumn("v", F.when(F.col("subject_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("v")))
+    return rounded(S.impute_mean(long, ["cohort", "feature"], "v").groupBy("cohort").agg(F.sum("v").alias("total"), F.count("v").alias("n")), "total")
+
+
+@query(f"with {TARGETS} select user_id % 3 as cohort, round(avg(alpha), 6) as mean_alpha, round(avg(case when alpha between 0.5 and 1 then 1.0 else 0 end), 6) as share_in_range, round(avg(r2), 6) as mean_r2 from targets group by 1")
+def l7_dfa_qc(spark, d):
+    return rounded(S.dfa_qc(targets(spark, d).withColumn("cohort", F.col("user_id") % 3), "cohort"), "mean_alpha", "share_in_range", "mean_r2")
+
+
+_HALF = f"select user_id * 2 + (case when t >= n // 2 then 1 else 0 end) as k, case when t >= n // 2 then t - n // 2 else t end as t, x from (select *, count(*) over (partition by user_id) as n from ({SIG})) where t < 2 * (n // 2)"
+
+
+@query("with " + _dfa_cte(_HALF, "k", [4, 6, 8, 12]) + " select count(*) as n, round(corr(a.alpha, b.alpha), 6) as r, round(avg(a.alpha), 6) as mean_1, round(avg(b.alpha), 6) as mean_2 from dfa a join dfa b on b.k = a.k + 1 and a.k % 2 = 0")
+def l8_split_half(spark, d):
+    r = S.reliability(S.split_halves(arrays(spark, d), [4, 6, 8, 12]))
+    return rounded(r.select("n", "r", "mean_1", "mean_2"), "r", "mean_1", "mean_2")
+
+
+@query()
+def l9_surrogate_controls(spark, d):
+    return rounded(S.surrogate_controls(arrays(spark, d), 200.0, USER_SCALES, 3), "mean_alpha", "sd_alpha", "mean_r2")
+
+
+@query(f"with {TARGETS} select user_id, round(alpha - (select regr_intercept(alpha, m) from targets) - (select regr_slope(alpha, m) from targets) * m, 6) as resid from targets")
+def l10_residualise(spark, d):
+    return rounded(S.residualise(targets(spark, d), "alpha", "m").select("user_id", "resid"), "resid")
+
+
+@query()
+def l11_calibration_report(spark, d):
+    a = S.dfa(arrays(spark, d), USER_SCALES).where("not isnan(alpha)").select(F.col("alpha").alias("h"), "samples")
+    return rounded(S.calibration_report(a, USER_SCALES), "r", "bias", "slope", "resid_sd")
+
+
+# --- encoder side -------------------------------------------------------------------------------------------------------
+
+
+@query("select vec_id as subject_id, 18 as cut, 80 as padded, round(list_sum(embedding[1:18]::double[]), 6) as head from embeddings")
+def n1_fit_channels(spark, d):
+    v = vectors(spark, d)
+    c = S.fit_channels(v, "vec", 18).select("subject_id", F.size("vec").alias("cut"), F.aggregate("vec", F.lit(0.0), lambda a, x: a + x).alias("head"))
+    return rounded(c.join(S.fit_channels(v, "vec", 80).select("subject_id", F.size("vec").alias("padded")), "subject_id"), "head")
+
+
+@query("select vec_id as subject_id, 3 as patches, round(embedding[41]::double, 6) as third from embeddings")
+def n2_patchify(spark, d):
+    p = S.patchify(vectors(spark, d), "vec", 20)
+    return rounded(p.select("subject_id", F.size("patches").alias("patches"), F.col("patches")[2][0].alias("third")), "third")
+
+
+@query(f"with s as (select user_id, t // 16 as e, x from ({SIG})), m as (select user_id, e, avg(x) as m from s group by 1, 2 having count(*) = 16) select user_id as recording_id, round(avg(m), 9) as mean, count(*) as n_epochs from m group by 1")
+def n3_embed_epochs(spark, d):
+    e = S.epoch(arrays(spark, d), 16).select("recording_id", "epoch_idx", F.array("samples").alias("x"))
+    g = S.embed_epochs(e, lambda b: b.mean(axis=2), 8)
+    return rounded(g.select("recording_id", F.col("embedding")[0].alias("mean"), "n_epochs"), "mean", n=9)
+
+
+@query(f"select cohort, y, feature, round(avg(v), 6) as v from ({LONGV}) group by 1, 2, 3")
+def n4_pool_tokens(spark, d):
+    p = S.pool_tokens(vectors(spark, d), ["cohort", "y"])
+    return rounded(p.select("cohort", "y", F.posexplode("vec").alias("f", "v")).select("cohort", "y", F.col("f").cast("long").alias("feature"), "v"), "v")
+
+
+@query(f"select cohort as encoder, round(stddev_pop(v), 6) as sd, count(*) as n from ({LONGV}) group by 1")
+def n6_embedding_std(spark, d):
+    return rounded(S.embedding_std(vectors(spark, d).withColumnsRenamed({"cohort": "encoder", "vec": "embedding"})), "sd")
+
+
+@query(f"with s as (select user_id, t // 20 as e, x from ({SIG})) select user_id as recording_id, e as epoch_idx, round(sum(x), 6) as total from s where e < 2 group by 1, 2 having count(*) = 20")
+def n7_sequence_windows(spark, d):
+    e = S.epoch(arrays(spark, d), 20, most=2)
+    return rounded(e.select("recording_id", F.col("epoch_idx").cast("long").alias("epoch_idx"), F.aggregate("samples", F.lit(0.0), lambda a, x: a + x).alias("total")), "total")
+
+
+def _tokens(spark, d):
+    return vectors(spark, d).select(F.col("cohort").alias("subject_id"), F.floor(F.col("subject_id") / 24).cast("int").alias("window"), (F.floor(F.col("subject_id") / 3) % 8).cast("int").alias("patch"), F.lit(0).alias("ch_idx"), "vec")
+
+
+@query()
+def n8_token_trajectories(spark, d):
+    t = S.token_trajectories(_tokens(spark, d))
+    return rounded(t.select("subject_id", F.size("pc1").alias("n"), F.array_max("norm_of_mean").alias("top"), F.array_min("mean_of_norm").alias("low")), "top", "low")
+
+
+@query()
+def n9_order_control(spark, d):
+    return rounded(S.order_control(S.token_trajectories(_tokens(spark, d)), "norm_of_mean", [7, 9, 12, 14, 18]), "ordered", "shuffled")
+
+
+@query(f"with w as (select cohort, y, feature, avg(v) as v from ({LONGV}) group by 1, 2, 3) select cohort as subject_id, feature, round(avg(v), 6) as v from w group by 1, 2")
+def n10_pooled_from_tokens(spark, d):
+    p = S.pooled_from_tokens(vectors(spark, d).select(F.col("cohort").alias("subject_id"), F.col("y").alias("window"), "vec"))
+    return rounded(p.select("subject_id", F.posexplode("vec").alias("f", "v")).select("subject_id", F.col("f").cast("long").alias("feature"), "v"), "v")
+
+
+# --- cohorts, folds, metrics, estimators --------------------------------------------------------------------------------
+
+
+@query(f"select subject_id, feature, round((v - avg(v) over w) / (stddev_pop(v) over w + 1e-8), 6) + 0.0 as v from ({LONGV}) window w as (partition by cohort, feature)")
+def a1_persite_z(spark, d):
+    z = T.persite_z(T.long_vectors(vectors(spark, d), ["subject_id", "cohort"], "vec"), "cohort")
+    return rounded(z.select("subject_id", F.col("feature").cast("long").alias("feature"), "v"), "v")
+
+
+@query(f"with l as ({LONGV}), f as (select feature, avg(v) as m, stddev_pop(v) as s from l where cohort = 'c0' group by 1) select subject_id, feature, round((v - m) / s, 6) + 0.0 as v from l join f using (feature) where cohort = 'c1'")
+def a2_train_scaler(spark, d):
+    long = T.long_vectors(vectors(spark, d), ["subject_id", "cohort"], "vec")
+    z = T.apply_scaler(long.where("cohort = 'c1'"), T.fit_scaler(long.where("cohort = 'c0'")))
+    return rounded(z.select("subject_id", F.col("feature").cast("long").alias("feature"), "v"), "v")
+
+
+@query()
+def a3_combat(spark, d):
+    z = T.combat(T.long_vectors(vectors(spark, d), ["subject_id", "cohort"], "vec"), "cohort")
+    return rounded(z.groupBy("cohort", "feature").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd")), "mean", "sd")
+
+
+@query()
+def a4_pooled_pca(spark, d):
+    p = T.pooled_pca(vectors(spark, d), 10)
+    return p.select("subject_id", F.size("pcs").alias("k"), F.round(F.abs(F.col("pcs")[0]), 4).alias("first"))
+
+
+@query(f"with f as (select subject_id, (row_number() over (partition by y order by subject_id) - 1) % 5 as fold, y from ({VEC})) select fold, y, count(*) as n, min(subject_id) as first from f group by 1, 2")
+def r1_assign_folds(spark, d):
+    f = T.assign_folds(vectors(spark, d).drop("vec"), 5, "subject_id", stratify="y")
+    return f.groupBy(F.col("fold").cast("long").alias("fold"), "y").agg(F.count("*").alias("n"), F.min("subject_id").alias("first"))
+
+
+@query()
+def r2_bootstrap_auroc(spark, d):
+    s = scored(spark, d).select(F.col("n_chars").cast("double").alias("score"), F.col("quality").alias("y"))
+    return rounded(T.percentile_ci(T.bootstrap_table(s, 200, 1), "value"), "lo", "median", "hi")
+
+
+@query("with o as (select event_type, avg(value) as obs from events group by 1) select event_type, round((1 + count(*) filter (where value >= obs)) / (count(*) + 1), 6) as p_above, round((1 + count(*) filter (where value <= obs)) / (count(*) + 1), 6) as p_below from events join o using (event_type) group by 1")
+def r4_permutation_p(spark, d):
+    e = read(spark, d, "events")
+    o = e.groupBy("event_type").agg(F.avg("value").alias("obs"))
+    return rounded(T.permutation_p(e.join(o, "event_type"), ["event_type"], "value", "obs"), "p_above", "p_below")
+
+
+@query("select lang, quantile_cont(n_chars, 0.025) as lo, quantile_cont(n_chars, 0.5) as median, quantile_cont(n_chars, 0.975) as hi from documents group by 1")
+def r5_percentile_ci(spark, d):
+    return T.percentile_ci(read(spark, d, "documents"), "n_chars", "lang")
+
+
+@query("with p as (select source, ((sum(n_chars) % 997) + 1) / 20000.0 as p from documents group by 1), r as (select source, p, least(1, max((m - i + 1) * p) over (order by p, source rows unbounded preceding)) as h from (select *, count(*) over () as m, row_number() over (order by p, source) as i from p)) select source, round(p, 6) as p, round(h, 6) as p_holm, h < 0.05 as reject from r")
+def r7_holm(spark, d):
+    p = read(spark, d, "documents").groupBy("source").agg(((F.sum("n_chars") % 997 + 1) / 20000.0).alias("p"))
+    return rounded(T.holm(p, "p", None, "source"), "p", "p_holm")
+
+
+@query()
+def r6_gaussian_null(spark, d):
+    y = [r["y"] for r in vectors(spark, d).orderBy("subject_id").select("y").collect()]
+    return rounded(T.gaussian_null(spark, y, 16, 20, lambda x, t: K.auroc(K.svc_scores(x[::2], t[::2], x[1::2]), t[1::2])), "value")
+
+
+@query("with r as (select lang, quality as y, rank() over (partition by lang order by n_chars) + (count(*) over (partition by lang, n_chars) - 1) / 2.0 as r from documents join labels using (doc_id)), g as (select lang, sum(r) filter (where y = 1) as s, count(*) filter (where y = 1) as p, count(*) filter (where y = 0) as n from r group by 1) select lang, case when p > 0 and n > 0 then round((s - p * (p + 1) / 2.0) / (p * n), 6) end as auroc from g")
+def e1_auroc(spark, d):
+    return rounded(T.auroc(scored(spark, d), "n_chars", "quality", "lang"), "auroc")
+
+
+@query("with r as (select doc_id % 5 as fold, quality, avg(case when (case when n_chars > 1500 then 1 else 0 end) = quality then 1.0 else 0 end) as r from documents join labels using (doc_id) group by 1, 2), b as (select fold, avg(r) as b from r group by 1) select round(avg(b), 6) as mean, round(stddev_pop(b), 6) as sd from b")
+def e2_balanced_accuracy(spark, d):
+    s = scored(spark, d).withColumn("pred", (F.col("n_chars") > 1500).cast("int")).withColumn("fold", F.col("doc_id") % 5)
+    return rounded(T.balanced_accuracy(s, "pred", "quality", "fold"), "mean", "sd")
+
+
+@query("with m as (select *, avg(value) over (partition by user_id) as pred from events) select event_type, round(1 - sum((value - pred) * (value - pred)) / (var_pop(value) * count(*)), 6) as r2 from m group by 1")
+def e3_r2(spark, d):
+    e = read(spark, d, "events").withColumn("pred", F.avg("value").over(Window.partitionBy("user_id")))
+    return rounded(T.r2(e, "value", "pred", "event_type"), "r2")
+
+
+_FOLDS = "f as (select l_orderkey % 5 as fold, l_quantity::double as x, l_extendedprice::double as y from lineitem), s as (select k.fold, regr_slope(f.y, f.x) as b, regr_intercept(f.y, f.x) as a from f join (select unnest(range(5)) as fold) k on k.fold != f.fold group by k.fold)"
+
+
+@query(f"with {_FOLDS} select fold, count(*) as n, round(1 - sum((y - a - b * x) * (y - a - b * x)) / (var_pop(y) * count(*)), 6) as r2 from f join s using (fold) group by 1")
+def e4_ols_cv(spark, d):
+    li = read(spark, d, "lineitem").select((F.col("l_orderkey") % 5).alias("fold"), F.col("l_quantity").cast("double").alias("x"), F.col("l_extendedprice").cast("double").alias("y"))
+    p = T.ols_cv(li, "x", "y")
+    return rounded(T.r2(p, "y", "pred", "fold").join(p.groupBy("fold").agg(F.count("*").alias("n")), "fold"), "r2")
+
+
+@query("select l_returnflag, count(*) as n, round(corr(l_quantity::double, l_extendedprice::double), 6) as r from lineitem group by 1")
+def e5_pearson(spark, d):
+    li = read(spark, d, "lineitem").select("l_returnflag", F.col("l_quantity").cast("double").alias("x"), F.col("l_extendedprice").cast("double").alias("y"))
+    return rounded(T.pearson(li, "x", "y", "l_returnflag").drop("p"), "r")
+
+
+def _folded(spark, d):
+    return T.assign_folds(vectors(spark, d), 5, "subject_id", stratify="y")
+
+
+@query()
+def e6_ridge_cv(spark, d):
+    return rounded(T.r2(T.ridge_cv(_folded(spark, d)), "y", "pred"), "r2", n=4)
+
+
+@query()
+def e7_kernel_ridge_cv(spark, d):
+    return rounded(T.r2(T.kernel_ridge_cv(_folded(spark, d)), "y", "pred"), "r2", n=4)
+
+
+@query()
+def e8_forest_probe(spark, d):
+    return rounded(T.r2(T.tree_cv(_folded(spark, d), "forest", trees=20), "y", "pred"), "r2", n=4)
+
+
+@query()
+def e8_gbt_probe(spark, d):
+    return rounded(T.r2(T.tree_cv(_folded(spark, d), "gbt", trees=5), "y", "pred"), "r2", n=4)
+
+
+@query()
+def e9_site_classifier(spark, d):
+    f = T.assign_folds(vectors(spark, d).withColumn("y", F.substring("cohort", 2, 1).cast("int")), 5, "subject_id", stratify="y")
+    return rounded(T.balanced_accuracy(T.site_classifier(f), "pred", "y", "fold"), "mean", "sd", n=4)
+
+
+@query()
+def e10_svc_rbf(spark, d):
+    return rounded(T.auroc(T.svc_cv(_folded(spark, d)).withColumn("y", F.col("y").cast("int")), "pred", "y"), "auroc", n=4)
+
+
+# --- experiments --------------------------------------------------------------------------------------------------------
+
+FAMILIES = {"first": (0, 32), "both": (0, 64)}
+
+
+@query()
+def x1_within_cohort(spark, d):
+    return rounded(X.within_cohort(vectors(spark, d), seeds=(0,)), "auroc", n=4)
+
+
+@query()
+def x2_transfer_statistics(spark, d):
+    return rounded(X.transfer_statistics(vectors(spark, d).where("cohort != 'c2'"), FAMILIES, primary=("both",), n_boot=20, n_perm=40), "point", "median", "lo", "hi", n=4)
+
+
+@query()
+def x3_multi_cohort_transfer(spark, d):
+    return rounded(X.multi_cohort_transfer(vectors(spark, d), {"both": (0, 64)}, n_boot=10, n_perm=20), "point", "median", "lo", "hi", n=4)
+
+
+@query()
+def x4_site_probe(spark, d):
+    return rounded(X.site_probe(vectors(spark, d), "cohort", pcs=10), "mean", "sd", n=4)
+
+
+@query()
+def x5_rescue(spark, d):
+    return rounded(X.rescue(vectors(spark, d).where("cohort != 'c2'"), {"both": (0, 64)}, n_boot=20), "point", "median", "lo", "hi", n=4)
+
+
+def _encoders(spark, d):
+    v = vectors(spark, d)
+    t = v.select("subject_id", F.col("vec")[63].alias("full"), F.col("vec")[62].alias("short"))
+    return {"a": v.select("subject_id", F.slice("vec", 1, 30).alias("vec")), "b": v.select("subject_id", F.slice("vec", 31, 30).alias("vec"))}, t
+
+
+@query()
+def x6_encoding_probe(spark, d):
+    enc, t = _encoders(spark, d)
+    return rounded(X.best_probe(X.encoding_probe(enc, t, ["full", "short"], probes=("ridge", "ridge_pcs"))), "r2", n=4)
+
+
+@query()
+def x7_residual_probe(spark, d):
+    enc, t = _encoders(spark, d)
+    return rounded(X.residual_probe(enc, t, "full", "short", probes=("ridge",)), "r2", n=4)
+
+
+@query()
+def x8_predicted_vs_true(spark, d):
+    enc, t = _encoders(spark, d)
+    return rounded(X.predicted_vs_true(enc, t, "full"), "y", "pred", n=4)
 
 
-def oracle_sql() -> dict:
-    return {}
+@query()
+def x9_sequence_recovery(spark, d):
+    c = S.dfa(arrays(spark, d), USER_SCALES).where("not isnan(alpha)").select(F.col("recording_id").alias("subject_id"), F.col("samples").alias("pc1"))
+    control = S.order_control(c, "pc1", USER_SCALES)
+    t = targets(spark, d).select(F.col("user_id").alias("subject_id"), "alpha")
+    return rounded(X.sequence_recovery(control, t, "alpha"), "r", "p", n=4)
