@@ -241,11 +241,11 @@ def h2_resample_linear(spark, d):
     return rounded(r.select("recording_id", F.size("samples").alias("n"), F.element_at("samples", -1).alias("tail")), "tail")
 
 
-@query(f"with s as (select user_id % 10 as recording_id, user_id as channel, t, x from ({SIG})), c as (select recording_id, x - avg(x) over (partition by recording_id, t) as x from s) select recording_id, count(*) as n, round(sum(x * x), 4) as ss from c group by recording_id")
+@query(f"with s as (select user_id % 10 as recording_id, user_id as channel, t, x from ({SIG})), c as (select recording_id, x - avg(x) over (partition by recording_id, t) as x from s) select recording_id, count(*) as n, round(sum(x * x), 2) as ss from c group by recording_id")
 def h3_common_average_reference(spark, d):
     s = series(spark, d).withColumnsRenamed({"user_id": "channel"}).withColumn("recording_id", F.col("channel") % 10)
     c = S.common_average_reference(s).groupBy("recording_id").agg(F.count("*").alias("n"), F.sum(F.col("x") * F.col("x")).alias("ss"))
-    return rounded(c, "ss", n=4)
+    return rounded(c, "ss", n=2)
 
 
 @query()

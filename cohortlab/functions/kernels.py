@@ -36,8 +36,10 @@ def resample_linear(x: np.ndarray, n_out: int) -> np.ndarray:
     return x[..., lo] * (1 - w) + x[..., np.minimum(lo + 1, n - 1)] * w
 
 
-def butter_band(order: int, lo: float, hi: float, sf: float) -> tuple[np.ndarray, np.ndarray]:
-    """(b, a) of a digital Butterworth band-pass by the bilinear transform."""
+def butter_band(order: int, lo: float, hi: float, sf: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Second-order sections (b, a) of a digital Butterworth band-pass by the bilinear transform; the first has the gain.
+
+    Their product is the one (b, a) pair of the filter; a narrow band in that form would lose digits."""
     k = np.arange(order)
     proto = np.exp(1j * np.pi * (2 * k + order + 1) / (2 * order))
     w = 2 * sf * np.tan(np.pi * np.array([lo, hi]) / sf)
@@ -45,11 +47,14 @@ def butter_band(order: int, lo: float, hi: float, sf: float) -> tuple[np.ndarray
     half = proto * bw / 2
     root = np.sqrt(half**2 - w0**2)
     poles = np.concatenate([half + root, half - root])
-    zd = np.concatenate([np.ones(order), -np.ones(order)])
-    pd_ = (2 * sf + poles) / (2 * sf - poles)
-    b, a = np.real(np.poly(zd)), np.real(np.poly(pd_))
+    poles = (2 * sf + poles) / (2 * sf - poles)
+    upper = poles[poles.imag > 1e-12]
+    real = np.sort(poles[np.abs(poles.imag) <= 1e-12].real)
+    dens = [np.array([1, -2 * p.real, abs(p) ** 2]) for p in upper] + [np.poly(real[i : i + 2]) for i in range(0, len(real), 2)]
+    num = np.array([1.0, 0.0, -1.0])
     centre = np.exp(2j * np.arctan(w0 / (2 * sf)))
-    return b * np.abs(np.polyval(a, centre) / np.polyval(b, centre)), a
+    gain = np.abs(np.prod([np.polyval(num, centre) / np.polyval(d, centre) for d in dens]))
+    return [(num / gain if i == 0 else num, d) for i, d in enumerate(dens)]
 
 
 def _lfilter(b: np.ndarray, a: np.ndarray, x: np.ndarray, zi: np.ndarray, block: int = 64) -> np.ndarray:
@@ -83,25 +88,28 @@ def _lfilter(b: np.ndarray, a: np.ndarray, x: np.ndarray, zi: np.ndarray, block:
     return out[:, :n]
 
 
-def filtfilt(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Zero phase: forward and backward, odd extension by three filter lengths, steady initial state."""
+def filtfilt(sections: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray) -> np.ndarray:
+    """Zero phase: forward and backward, odd extension by three lengths of the whole filter, steady initial state."""
     x = np.atleast_2d(np.asarray(x, float))
-    pad = min(3 * max(len(a), len(b)), x.shape[1] - 1)
+    pad = min(3 * (2 * len(sections) + 1), x.shape[1] - 1)
     if pad < 1:
         return x.copy()
-    m = len(a) - 1
-    shift = np.zeros((m, m))
-    shift[:, 0] = -a[1:]
-    shift[: m - 1, 1:] += np.eye(m - 1)
-    steady = np.linalg.solve(np.eye(m) - shift, b[1:] - a[1:] * b[0])
+
+    def once(y: np.ndarray) -> np.ndarray:
+        level = y[:, :1]
+        for b, a in sections:
+            # the state after a constant input at this level, and the level that leaves the section
+            gain = b.sum() / a.sum()
+            zi = np.hstack([level * (gain - b[0]), level * (b[2] - a[2] * gain)])
+            y, level = _lfilter(b, a, y, zi), level * gain
+        return y
+
     ext = np.concatenate([2 * x[:, :1] - x[:, pad:0:-1], x, 2 * x[:, -1:] - x[:, -2 : -pad - 2 : -1]], axis=1)
-    y = _lfilter(b, a, ext, ext[:, :1] * steady)
-    y = _lfilter(b, a, y[:, ::-1], y[:, -1:] * steady)[:, ::-1]
-    return y[:, pad:-pad]
+    return once(once(ext)[:, ::-1])[:, ::-1][:, pad:-pad]
 
 
 def bandpass(x: np.ndarray, sf: float, lo: float, hi: float, order: int = 4) -> np.ndarray:
-    return filtfilt(*butter_band(order, lo, hi, sf), x)
+    return filtfilt(butter_band(order, lo, hi, sf), x)
 
 
 def notch_fft(x: np.ndarray, sf: float, f0: float, width: float = 2.0) -> np.ndarray:
