@@ -118,22 +118,24 @@ class Layout:
     def __init__(self):
         self.lines: list[str] = []
         self.now: list[str] = []
-        self.gap = False
+        self.gap = self.raw = False
 
     def text(self, value: str, pre: bool) -> None:
         if pre:
+            self.raw = True
             head, *rest = value.split("\n")
             self.now.append(head)
             for x in rest:
                 self.end(keep=True)
+                self.raw = True
                 self.now.append(x)
         else:
             self.now.append(_SPACE.sub(" ", value))
 
     def end(self, keep: bool = False) -> None:
         joined = "".join(self.now)
-        line = joined.rstrip() if keep else re.sub(" {2,}", " ", joined).strip()
-        self.now = []
+        line = joined.rstrip() if keep or self.raw else re.sub(" {2,}", " ", joined).strip()
+        self.now, self.raw = [], False
         if line or keep:
             if self.gap and self.lines:
                 self.lines.append("")
