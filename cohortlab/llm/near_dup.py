@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 from .common import ids_text, materialise, mix64, seeds64, shingle_hashes, word_hashes
 from .components import connected_components
 
-SLOTS = 128
-BAND_ROWS = 4
+SLOTS, BANDS, BAND_ROWS = 512, 32, 4
 #: rows of a residual bucket that meet in one comparison task
 BLOCK = 256
 
@@ -59,13 +58,13 @@ def sketch_rows(sets: np.ndarray, off: np.ndarray, slots: int = SLOTS) -> np.nda
     return out
 
 
-def band_keys(sketch: np.ndarray, rows: int = BAND_ROWS) -> np.ndarray:
-    n, slots = sketch.shape
-    bands = slots // rows
+def band_keys(sketch: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> np.ndarray:
+    """[rows, bands] int64: hashes of groups of `rows` coordinates, from the first on."""
+    n = len(sketch)
     mult = seeds64(rows, 57) | np.uint64(1)
     with np.errstate(over="ignore"):
-        mixed = (sketch.reshape(n, bands, rows) * mult).sum(axis=2, dtype=np.uint64) + seeds64(bands, 58)
-        return mix64(mixed)
+        mixed = (sketch[:, : bands * rows].reshape(n, bands, rows) * mult).sum(axis=2, dtype=np.uint64) + seeds64(bands, 58)
+        return mix64(mixed).view(np.int64)
 
 
 def set_ids(sets: np.ndarray, off: np.ndarray) -> list[bytes | None]:
@@ -94,21 +93,21 @@ def _slices(batch: pa.RecordBatch, limit: int = 8 << 20):
         at = to
 
 
-def signatures(docs: DataFrame, k: int, slots: int = SLOTS, band_rows: int = BAND_ROWS) -> DataFrame:
-    """doc_id, n_shingles, node (128-bit name of the set, null when empty), bands, sketch (16 bits of each coordinate)."""
+def signatures(docs: DataFrame, k: int, slots: int = SLOTS) -> DataFrame:
+    """doc_id, n_shingles, node (128-bit name of the set, null when empty), bands, sketch (8 bits of each coordinate)."""
 
     def run(batches):
         for whole in batches:
             for b in _slices(whole):
                 sets, off = _sets_of(b.column("text"), k)
                 sk = sketch_rows(sets, off, slots)
-                bands = band_keys(sk, band_rows).view(np.int64)
-                low = (sk & np.uint64(0xFFFF)).astype("<u2").tobytes()
+                bands = band_keys(sk)
+                low = (sk & np.uint64(0xFF)).astype(np.uint8).tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("doc_id"), pa.array(np.diff(off)), pa.array(set_ids(sets, off), pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(off), dtype=np.int32) * bands.shape[1]), pa.array(bands.reshape(-1))),
-                        pa.array([low[2 * slots * i : 2 * slots * (i + 1)] for i in range(len(off) - 1)], pa.binary()),
+                        pa.array([low[slots * i : slots * (i + 1)] for i in range(len(off) - 1)], pa.binary()),
                     ],
                     ["doc_id", "n_shingles", "node", "bands", "sketch"],
                 )
@@ -170,18 +169,19 @@ def _outlier_pairs(rows: DataFrame, sketches: DataFrame, percent: int, slack: fl
         p, q = pdf[pdf.side == 0], pdf[pdf.side == 1]
         found = []
         if len(p) and len(q):
-            qs = np.frombuffer(b"".join(q.sketch), "<u2").reshape(len(q), -1)
+            qs = np.frombuffer(b"".join(q.sketch), np.uint8).reshape(len(q), -1)
             qn, qc, qv = q.n_shingles.to_numpy(), q.comp.to_numpy(), q.node.to_numpy()
             for node, n, comp, sk in zip(p.node, p.n_shingles, p.comp, p.sketch, strict=True):
-                near = (qs == np.frombuffer(sk, "<u2")).mean(axis=1)
-                fits = (100 * np.minimum(n, qn) >= percent * np.maximum(n, qn)) & (near >= slack)
-                found += [(min(node, qv[t]), max(node, qv[t]), *((comp, qc[t]) if node < qv[t] else (qc[t], comp)), float(near[t])) for t in np.flatnonzero(fits) if qc[t] != comp]
+                fits = (100 * np.minimum(n, qn) >= percent * np.maximum(n, qn)) & (qc != comp)
+                near = (qs == np.frombuffer(sk, np.uint8)).sum(axis=1) / qs.shape[1]
+                fits &= near >= slack
+                found += [(min(node, qv[t]), max(node, qv[t]), *((comp, qc[t]) if node < qv[t] else (qc[t], comp)), float(near[t])) for t in np.flatnonzero(fits)]
         return pd.DataFrame(found, columns=["a", "b", "ca", "cb", "near"])
 
     return one.union(two).groupBy("band", "i", "j").applyInPandas(compare, "a binary, b binary, ca binary, cb binary, near double").dropDuplicates(["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slack: float = 0.65, signer=signatures) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slack: float = 0.73, signer=signatures) -> DataFrame:
     """One row per row of docs(doc_id, text, ...): doc_id, n_shingles, component_id, kept.
 
     A document's set is its distinct k-word shingles (with fewer words the whole sequence as one). Sets are linked if
@@ -189,7 +189,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slack: float
     row's own. Candidates share a band of the sketch; every candidate is confirmed on full sets. Copies, which have
     equal sets, are one node from the start. In each bucket of a band all members are first compared with the one
     that shares most buckets; buckets that still span several components are then compared across components in
-    blocks, so that no task gets a whole bucket and no pair inside a component is made.
+    blocks, so that no task gets a whole bucket and no pair inside a component is made; there, pairs are taken to full
+    sets if at least `slack` of their 512 coordinates agree, four standard deviations below 0.8.
 
     Null or empty text: empty set, linked with nothing, kept. Rows that repeat a doc_id are one document: they get the
     same component. A null doc_id sorts as absent: it never names a component unless its class has no other id. Empty
@@ -212,24 +213,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slack: float
     links = _verified(pairs, reps, docs, k, percent)
     comp = connected_components(links)
 
-    # buckets that still span components: best pair of each two components first, then all that remain
-    for best in (True, False):
-        named = rows.join(comp, "node", "left").withColumn("comp", F.coalesce("root", "node"))
-        open_ = named.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("band")
-        open_ = named.join(open_, "band").select("band", "node", "n_shingles", "comp")
-        more = materialise(_outlier_pairs(open_, shown.select("node", "sketch"), percent, slack), "outliers")
-        tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = more.join(tried, ["a", "b"], "left_anti")
-        if best:
-            more = more.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max(F.struct("near", "a", "b")).alias("p")).select("p.a", "p.b")
-        more = materialise(more.select("a", "b"), "pairs")
-        if more.isEmpty():
-            break
-        new = _verified(more, reps, docs, k, percent)
-        pairs = pairs.union(more)
+    # buckets that still span components: the best pair of each two components first, then what that left open
+    named = rows.join(comp, "node", "left").withColumn("comp", F.coalesce("root", "node"))
+    spans = named.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("band")
+    spans = named.join(spans, "band").select("band", "node", "n_shingles", "comp")
+    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = materialise(_outlier_pairs(spans, shown.select("node", "sketch"), percent, slack).join(tried, ["a", "b"], "left_anti"), "outliers")
+    best = more.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max(F.struct("near", "a", "b")).alias("p")).select("p.a", "p.b")
+    for step in ("best", "rest"):
+        new = _verified(best, reps, docs, k, percent)
         if not new.isEmpty():
             links = links.union(new)
             comp = connected_components(links)
+        if step == "best":
+            left = more.join(best, ["a", "b"], "left_anti")
+            for c in ("a", "b"):
+                left = left.join(comp.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
+            best = materialise(left.where("ra != rb").select("a", "b"), "pairs")
 
     # least doc_id of each component, or of each class of copies
     named = reps.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
