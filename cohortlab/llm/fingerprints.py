@@ -51,16 +51,16 @@ def signatures_of(texts: list[str | None], k: int = SHINGLE) -> np.ndarray:
     return short(minhash(*shingle_hashes(*word_hashes(pa.array(texts, pa.string())), k)))
 
 
-def _hex(signature: np.ndarray) -> str:
-    return signature.astype(">u2").tobytes().hex()
+def _bytes(signature: np.ndarray) -> bytes:
+    return signature.astype(">u2").tobytes()
 
 
 def _likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((a == b).mean())
 
 
-_FORM = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("part", pa.int32()), ("open_text", pa.string()), ("first_text", pa.string())])
-_COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_FORM = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("part", pa.int32()), ("open_text", pa.string()), ("first_text", pa.string())])
+_COLUMNS = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _compare(rows: list[tuple[int | None, str, str]], k: int) -> list[dict]:
@@ -76,7 +76,7 @@ def _compare(rows: list[tuple[int | None, str, str]], k: int) -> list[dict]:
     for i, (doc_id, text, nxt) in enumerate(rows):
         # the next text is usually the next row's
         after = own[i + 1] if i + 1 < len(rows) and rows[i + 1][1] is nxt else follow[0] if i + 1 == len(rows) else signatures_of([nxt], k)[0]
-        out.append({"doc_id": doc_id, "n_chars": len(text), "edited_sha256": hashlib.sha256(edited[i].encode()).hexdigest(), "fingerprint": _hex(own[i]), "edited_fingerprint": _hex(other[i]), "near_edited": _likeness(own[i], other[i]), "near_next": _likeness(own[i], after)})
+        out.append({"doc_id": doc_id, "n_chars": len(text), "edited_sha256": hashlib.sha256(edited[i].encode()).digest(), "fingerprint": _bytes(own[i]), "edited_fingerprint": _bytes(other[i]), "near_edited": _likeness(own[i], other[i]), "near_next": _likeness(own[i], after)})
     return out
 
 
@@ -125,7 +125,9 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_pylist(got, schema=pa.schema(list(_FORM)[:7]))
 
     names = [c.split()[0] for c in _COLUMNS.split(", ")]
-    return done.where("open_text is null").select(*names).union(pairs.mapInArrow(close, _COLUMNS))
+    out = done.where("open_text is null").select(*names).union(pairs.mapInArrow(close, _COLUMNS))
+    # kept as bytes until here: hexadecimal would take twice the disk
+    return out.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
 
 
 def _bands(docs: DataFrame, k: int) -> DataFrame:
@@ -134,9 +136,9 @@ def _bands(docs: DataFrame, k: int) -> DataFrame:
             for b in _slices(whole):
                 sets, off = _sets_of(b.column("text"), k)
                 sig = short(minhash(sets, off))
-                bands = band_keys(sig.astype(np.uint64)).view(np.int64)
-                raw = sig.astype("<u2").tobytes()
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(off)), pa.array(set_ids(sets, off), pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(off), dtype=np.int32) * bands.shape[1]), pa.array(bands.reshape(-1))), pa.array([raw[256 * i : 256 * (i + 1)] for i in range(len(off) - 1)], pa.binary())], ["doc_id", "n_shingles", "node", "bands", "sketch"])
+                bands = band_keys(sig.astype(np.uint64))
+                raw = (sig & np.uint16(0xFF)).astype(np.uint8).tobytes()
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(off)), pa.array(set_ids(sets, off), pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(off), dtype=np.int32) * bands.shape[1]), pa.array(bands.reshape(-1))), pa.array([raw[PERMUTATIONS * i : PERMUTATIONS * (i + 1)] for i in range(len(off) - 1)], pa.binary())], ["doc_id", "n_shingles", "node", "bands", "sketch"])
 
     return ids_text(docs).mapInArrow(run, "doc_id long, n_shingles long, node binary, bands array<long>, sketch binary")
 
@@ -145,4 +147,4 @@ def fingerprint_classes(docs: DataFrame, k: int = SHINGLE, percent: int = 80) ->
     """Classes of like documents: signature bands are joined in Spark, every candidate's Jaccard similarity is verified.
 
     Columns and cases as in near_dup.near_duplicates, with MinHash signatures in place of its sketches."""
-    return near_duplicates(docs, k, percent, signer=_bands)
+    return near_duplicates(docs, k, percent, slack=0.65, signer=_bands)

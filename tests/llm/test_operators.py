@@ -159,7 +159,7 @@ def test_fingerprints(spark, odd, empty):
         m = len(t) // 3
         e = t[: len(t) - m] + nxt[:m]
         assert (got[i].n_chars, got[i].edited_sha256) == (len(t), hashlib.sha256(e.encode()).hexdigest())
-        assert got[i].edited_fingerprint == fingerprints._hex(fingerprints.signatures_of([e])[0])
+        assert got[i].edited_fingerprint == fingerprints._bytes(fingerprints.signatures_of([e])[0]).hex()
         assert got[i].near_next == fingerprints._likeness(*fingerprints.signatures_of([t, nxt]))
     assert got[61].fingerprint == got[62].fingerprint and got[62].near_next == 1
     assert fingerprints.fingerprints(odd).count() == len(ODD) and fingerprints.fingerprints(empty).count() == 0
