@@ -18,27 +18,27 @@ LEAD = 3
 FIELD = "<*>"
 
 
-def _tokens(line: Column) -> Column:
-    """Tokens of a line, each that has a digit as FIELD."""
-    flat = F.trim(F.regexp_replace(line, "[ \t\r]+", " "))
-    return F.split(F.regexp_replace(flat, "[^ ]*[0-9][^ ]*", FIELD), " ")
+def _masked(line: Column) -> Column:
+    """A line with single blanks and each token that has a digit as FIELD; the patterns run only where they can match."""
+    flat = F.trim(F.when(line.rlike("  |[\t\r]"), F.regexp_replace(line, "[ \t\r]+", " ")).otherwise(line))
+    return F.when(flat.rlike("[0-9]"), F.regexp_replace(flat, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(flat)
 
 
 def line_table(docs: DataFrame, min_tokens: int) -> DataFrame:
-    """doc_id, h (hash of the text), pos, th (hash of the masked line), leaf, n: lines of min_tokens tokens or more."""
+    """doc_id, h (hash of the text), pos, th (hash of the masked line), leaf, masked: lines of min_tokens tokens or more."""
     rows = ids_text(docs).select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rows = rows.withColumn("tokens", _tokens(F.col("line"))).withColumn("n", F.size("tokens")).where(F.col("n") >= min_tokens)
-    lead = F.xxhash64(F.col("n"), *(F.element_at("tokens", i + 1) for i in range(LEAD)))
-    return rows.select("doc_id", "h", "pos", F.xxhash64(F.array_join("tokens", " ")).alias("th"), lead.alias("leaf"), "n", "tokens")
+    rows = rows.withColumn("masked", _masked(F.col("line"))).withColumn("tokens", F.split("masked", " ")).where(F.size("tokens") >= min_tokens)
+    lead = F.xxhash64(F.size("tokens"), *(F.element_at("tokens", i + 1) for i in range(LEAD)))
+    return rows.select("doc_id", "h", "pos", F.xxhash64("masked").alias("th"), lead.alias("leaf"), "masked")
 
 
 def templates(lines: DataFrame, texts: DataFrame, min_docs: int, share: float, fixed: float) -> DataFrame:
     """th -> template, for the lines whose generalised template differs from their own.
 
-    lines: th, leaf, docs (documents of each masked line); texts: th, leaf, tokens of all lines. Only leaves with two
+    lines: th, leaf, docs (documents of each masked line); texts: th, leaf, masked of all lines. Only leaves with two
     masked lines or more, in min_docs documents or more together, are looked into."""
     leaves = lines.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("docs").alias("docs")).where((F.col("lines") > 1) & (F.col("docs") >= min_docs))
-    own = texts.join(leaves.select("leaf", "lines"), "leaf").dropDuplicates(["th"])
+    own = texts.join(leaves.select("leaf", "lines"), "leaf").dropDuplicates(["th"]).withColumn("tokens", F.split("masked", " "))
     # the leading tokens are equal all over a leaf
     fields = own.select("th", "leaf", "lines", F.size("tokens").alias("n"), F.posexplode(F.slice("tokens", LEAD + 1, F.size("tokens"))).alias("at", "token"))
     agreed = fields.groupBy("leaf", "at", "token").agg(F.count("*").alias("c"), F.first("lines").alias("l")).where((F.col("c") > 1) & (F.col("c") >= share * F.col("l")))
@@ -56,10 +56,10 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, min_tokens: int = 4
     than min_tokens tokens are never dropped. Null text: stays null, no lines. Rows that repeat, with one doc_id and
     text, count as one document and are treated alike. Null doc_ids come first. An empty table gives an empty result."""
     lines = line_table(docs, min_tokens)
-    held = materialise(lines.drop("tokens"), "lines")
+    held = materialise(lines.drop("masked"), "lines")
     per_doc = held.groupBy("th", "doc_id", "h").agg(F.min("leaf").alias("leaf"), F.min("pos").alias("pos"))
     masked = materialise(per_doc.groupBy("th").agg(F.first("leaf").alias("leaf"), F.count("*").alias("docs"), F.min(F.struct("doc_id", "h", "pos")).alias("first")), "masked")
-    general = materialise(templates(masked, lines.select("th", "leaf", "tokens"), min_docs, share, fixed), "templates")
+    general = materialise(templates(masked, lines.select("th", "leaf", "masked"), min_docs, share, fixed), "templates")
 
     # generalised templates count each document once; all others have their count already
     named = held.join(general, "th")
