@@ -27,8 +27,9 @@ def _masked(line: Column) -> Column:
 def line_table(docs: DataFrame, min_tokens: int) -> DataFrame:
     """doc_id, h (hash of the text), pos, th (hash of the masked line), leaf, masked: lines of min_tokens tokens or more."""
     rows = ids_text(docs).select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rows = rows.withColumn("masked", _masked(F.col("line"))).withColumn("tokens", F.split("masked", " ")).where(F.size("tokens") >= min_tokens)
-    lead = F.xxhash64(F.size("tokens"), *(F.element_at("tokens", i + 1) for i in range(LEAD)))
+    # tokens are counted by their blanks: no array is made of lines that go no further
+    rows = rows.withColumn("masked", _masked(F.col("line"))).withColumn("n", F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= min_tokens)
+    lead = F.xxhash64("n", F.substring_index("masked", " ", LEAD))
     return rows.select("doc_id", "h", "pos", F.xxhash64("masked").alias("th"), lead.alias("leaf"), "masked")
 
 
