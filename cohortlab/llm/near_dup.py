@@ -18,17 +18,18 @@ from .components import connected_components
 
 SLOTS, BANDS, BAND_ROWS = 512, 32, 4
 #: rows of a residual bucket that meet in one comparison task
-BLOCK = 256
+BLOCK = 1024
 
 
 def distinct_sets(hashes: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes of each row."""
-    row = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    order = np.lexsort((hashes, row))
-    h, r = hashes[order], row[order]
+    h, row = hashes.copy(), np.repeat(np.arange(len(off) - 1), np.diff(off))
+    # rows are short: sorting each alone is several times faster than one sort by row and hash
+    for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        h[x:y].sort()
     keep = np.ones(len(h), dtype=bool)
-    keep[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-    return h[keep], np.concatenate([[0], np.cumsum(np.bincount(r[keep], minlength=len(off) - 1))]).astype(np.int64)
+    keep[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[keep], np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=len(off) - 1))]).astype(np.int64)
 
 
 def sketch_rows(sets: np.ndarray, off: np.ndarray, slots: int = SLOTS) -> np.ndarray:
@@ -42,19 +43,23 @@ def sketch_rows(sets: np.ndarray, off: np.ndarray, slots: int = SLOTS) -> np.nda
     flat = out.reshape(-1)
     seeds = seeds64(2 * slots, 41)
     live = np.flatnonzero(np.diff(off) > 0)
+    size = np.diff(off)[live]
+    base = np.repeat(live * slots, size)
     with np.errstate(over="ignore"):
         for i in range(2 * slots):
             if not len(live):
                 break
-            size = off[live + 1] - off[live]
-            row = np.repeat(live, size)
-            at = np.repeat(off[live] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            h = mix64(sets[at] ^ seeds[i])
-            slot = (h & np.uint64(slots - 1)).astype(np.int64) if i < slots else np.full(len(h), i - slots)
+            h = (sets ^ seeds[i]) * (seeds[i] | np.uint64(1))
+            h ^= h >> np.uint64(32)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            slot = (h >> np.uint64(64 - bits)).astype(np.int64) if i < slots else np.int64(i - slots)
             # the round stands above the value, so that an earlier round always wins
-            value = (h >> np.uint64(bits + 2)) | (np.uint64(i) << np.uint64(64 - bits - 2))
-            np.minimum.at(flat, row * slots + slot, value)
-            live = live[(out[live] == full).any(axis=1)]
+            h &= np.uint64((1 << (62 - bits)) - 1)
+            np.minimum.at(flat, base + slot, h | (np.uint64(i) << np.uint64(62 - bits)))
+            open_rows = (out[live] == full).any(axis=1)
+            if not open_rows.all():
+                on = np.repeat(open_rows, size)
+                sets, base, live, size = sets[on], base[on], live[open_rows], size[open_rows]
     return out
 
 
@@ -82,7 +87,7 @@ def _sets_of(col: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return distinct_sets(*shingle_hashes(*word_hashes(col), k))
 
 
-def _slices(batch: pa.RecordBatch, limit: int = 8 << 20):
+def _slices(batch: pa.RecordBatch, limit: int = 2 << 20):
     """Slices of a batch with about limit bytes of text each."""
     col = batch.column("text")
     size = np.cumsum(np.asarray(pa.compute.binary_length(col).fill_null(0)))
@@ -153,7 +158,7 @@ def _outlier_pairs(rows: DataFrame, sketches: DataFrame, percent: int, slack: fl
 
     rows(band, node, n_shingles, comp) holds the buckets that still span several components. Within a bucket, members
     of the largest component meet only the others: members are dealt into blocks by hash, the others into blocks of
-    their own, and each pair of blocks is one group of bounded size, compared on sketches."""
+    their own, and each pair of blocks is one group of bounded size, compared on sketches, many groups at a time."""
     size = rows.groupBy("band", "comp").agg(F.count("*").alias("c"))
     top = size.groupBy("band").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"))
     top = top.select("band", F.col("top.comp").alias("main"), "all", (F.col("all") - F.col("top.c")).alias("others"))
@@ -163,22 +168,49 @@ def _outlier_pairs(rows: DataFrame, sketches: DataFrame, percent: int, slack: fl
     one = rows.where("comp != main").select(*cols, F.lit(0).alias("side"), (F.col("h") % blocks("others")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), blocks("all") - 1)).alias("j"))
     two = rows.select(*cols, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), blocks("others") - 1)).alias("i"), (F.col("h") % blocks("all")).cast("int").alias("j"))
 
-    def compare(pdf):
-        import pandas as pd
-
-        p, q = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        found = []
-        if len(p) and len(q):
-            qs = np.frombuffer(b"".join(q.sketch), np.uint8).reshape(len(q), -1)
-            qn, qc, qv = q.n_shingles.to_numpy(), q.comp.to_numpy(), q.node.to_numpy()
-            for node, n, comp, sk in zip(p.node, p.n_shingles, p.comp, p.sketch, strict=True):
-                fits = (100 * np.minimum(n, qn) >= percent * np.maximum(n, qn)) & (qc != comp)
-                near = (qs == np.frombuffer(sk, np.uint8)).sum(axis=1) / qs.shape[1]
-                fits &= near >= slack
-                found += [(min(node, qv[t]), max(node, qv[t]), *((comp, qc[t]) if node < qv[t] else (qc[t], comp)), float(near[t])) for t in np.flatnonzero(fits)]
-        return pd.DataFrame(found, columns=["a", "b", "ca", "cb", "near"])
-
-    return one.union(two).groupBy("band", "i", "j").applyInPandas(compare, "a binary, b binary, ca binary, cb binary, near double").dropDuplicates(["a", "b"])
+    wide = one.union(two).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+
+    def compare(batches):
+        # groups follow each other; the last one of a batch may go on in the next, and a group is a pair of blocks at most
+        held = None
+        for b in batches:
+            held = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+            key = np.stack([np.asarray(held.column(c)).astype(np.int64) for c in ("band", "i", "j")])
+            change = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+            if len(change):
+                yield from _near_in_groups(held.slice(0, change[-1]), np.concatenate([[0], change]), percent, slack)
+                held = held.slice(change[-1])
+        if held is not None and held.num_rows:
+            yield from _near_in_groups(held, np.array([0, held.num_rows]), percent, slack)
+
+    return wide.mapInArrow(compare, "a binary, b binary, ca binary, cb binary, near double").dropDuplicates(["a", "b"])
+
+
+def _near_in_groups(rows: pa.RecordBatch, bounds: np.ndarray, percent: int, slack: float, chunk: int = 16_384):
+    """Pairs of a side 0 and a side 1 row of one group, with fitting sizes, other components and `slack` equal coordinates."""
+    side, n = np.asarray(rows.column("side")), np.asarray(rows.column("n_shingles"))
+    sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+    comp = rows.column("comp").dictionary_encode().indices.to_numpy()
+    group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    ones, twos = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    first, last = np.searchsorted(group[twos], group[ones]), np.searchsorted(group[twos], group[ones], side="right")
+    done = np.concatenate([[0], np.cumsum(last - first)])
+    at = 0
+    while at < len(ones):
+        to = max(at + 1, int(np.searchsorted(done, done[at] + chunk, side="right")) - 1)
+        count = (last - first)[at:to]
+        x = np.repeat(ones[at:to], count)
+        y = twos[np.repeat(first[at:to] - (done[at:to] - done[at]), count) + np.arange(len(x))]
+        fits = (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (comp[x] != comp[y])
+        x, y = x[fits], y[fits]
+        near = (sketch[x] == sketch[y]).sum(axis=1) / sketch.shape[1] if len(x) else np.zeros(0)
+        fits = near >= slack
+        if fits.any():
+            a, b, ca, cb = (rows.column(c).take(pa.array(i[fits])) for c, i in (("node", x), ("node", y), ("comp", x), ("comp", y)))
+            turn = pa.compute.greater(a, b)
+            pick = lambda p, q: pa.compute.if_else(turn, q, p)
+            yield pa.RecordBatch.from_arrays([pick(a, b), pick(b, a), pick(ca, cb), pick(cb, ca), pa.array(near[fits])], ["a", "b", "ca", "cb", "near"])
+        at = to
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slack: float = 0.73, signer=signatures) -> DataFrame:
