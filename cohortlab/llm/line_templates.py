@@ -18,17 +18,21 @@ LEAD = 3
 FIELD = "<*>"
 
 
-def _masked(line: Column) -> Column:
-    """A line with single blanks and each token that has a digit as FIELD; the patterns run only where they can match."""
-    flat = F.trim(F.when(line.rlike("  |[\t\r]"), F.regexp_replace(line, "[ \t\r]+", " ")).otherwise(line))
-    return F.when(flat.rlike("[0-9]"), F.regexp_replace(flat, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(flat)
+def _masked(text: Column) -> Column:
+    """The lines of a text, each with single blanks and FIELD for each token that has a digit.
+
+    Lambda variables make each step run once a line; the patterns run only where they can match, and take a token from
+    its start on without going back."""
+    flat = F.transform(F.split(text, "\n"), lambda line: F.trim(F.when(line.rlike("  |[\t\r]"), F.regexp_replace(line, "[ \t\r]+", " ")).otherwise(line)))
+    return F.transform(flat, lambda line: F.when(line.rlike("[0-9]"), F.regexp_replace(line, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", FIELD)).otherwise(line))
 
 
 def line_table(docs: DataFrame, min_tokens: int) -> DataFrame:
     """doc_id, h (hash of the text), pos, th (hash of the masked line), leaf, masked: lines of min_tokens tokens or more."""
-    rows = ids_text(docs).select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    # the hash is made below the generator: above it, each line would carry and hash its whole text
+    rows = ids_text(docs).withColumn("h", F.xxhash64("text")).select("doc_id", "h", F.posexplode(_masked(F.col("text"))).alias("pos", "masked"))
     # tokens are counted by their blanks: no array is made of lines that go no further
-    rows = rows.withColumn("masked", _masked(F.col("line"))).withColumn("n", F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= min_tokens)
+    rows = rows.withColumn("n", F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= min_tokens)
     lead = F.xxhash64("n", F.substring_index("masked", " ", LEAD))
     return rows.select("doc_id", "h", "pos", F.xxhash64("masked").alias("th"), lead.alias("leaf"), "masked")
 
