@@ -242,6 +242,46 @@ def test_tree_probabilities_sum_to_one():
         assert abs(p.sum() + unseen - 1) < 1e-9
 
 
+def by_memory(rows):
+    """Scores by Tree, with all n-grams counted in one process; words are numbered by their hashes."""
+    from collections import Counter
+
+    docs = {i: [*common.word_hashes(pa.array([t]))[0].tolist(), int(suffix_tree.END)] for i, t in rows}
+    train = [w for i, w in docs.items() if zlib.crc32(str(i).encode()) % 10]
+    c = Counter(w for d in train for w in d)
+    words = sorted(w for w in c if c[w] >= 2)
+    tree = suffix_tree.Tree(sum(c.values()), len(c), np.array(words, np.uint64), np.array([c[w] for w in words]))
+    number = {(w,): k for k, w in enumerate(words)}
+    for d in range(2, 5):
+        grams = {g: k for g, k in Counter(tuple(x[j : j + d]) for x in train for j in range(len(x) - d + 1)).items() if k >= 2}
+        keys = sorted(((number[g[:-1]] << 20) | number[g[-1:]], g) for g in grams)
+        tree.keys.append(np.array([k for k, _ in keys], np.int64))
+        tree.counts.append(np.array([grams[g] for _, g in keys], np.int64))
+        number |= {g: k for k, (_, g) in enumerate(keys)}
+    tree.settle(tree.base(tree.counts[0]), 10.0)
+    return {i: tree.log10(np.array([number.get((w,), -1) for w in x]), tree.base(np.array([c[w] for w in x])), np.array([0])).sum() for i, x in docs.items()}
+
+
+@pytest.mark.parametrize("hot", [suffix_tree.HOT, 5])
+def test_suffix_tree_in_buckets_is_that_in_memory(spark, hot):
+    rng = random.Random(7)
+    phrases = [text(rng, 6) for _ in range(30)]
+    rows = [(i, " ".join(rng.choice(phrases) if rng.random() < 0.7 else text(rng, 3) for _ in range(rng.randint(0, 12)))) for i in range(300)]
+    got = {r.doc_id: r for r in suffix_tree.suffix_tree_scores(frame(spark, rows), hot=hot).collect()}
+    want = by_memory(rows)
+    assert all(abs(got[i].score - want[i]) < 1e-6 for i in want)
+    assert any(abs(r.score - r.base_score) > 1 for r in got.values())
+
+
+def test_suffix_tree_keeps_rare_contexts_of_a_larger_corpus(spark):
+    # over 2.5 million tokens, a share of 2e-6 is 6 occurrences; the passage is in 5 documents
+    passage = "quiet rivers bend around seven old mills"
+    rows = [(i, "la " * 2500) for i in range(1200)] + [(i, passage) for i in range(2000, 2006)]
+    got = [r for r in suffix_tree.suffix_tree_scores(frame(spark, rows)).where("doc_id >= 2000").collect()]
+    assert sum(not r.held_out for r in got) in range(3, 7)
+    assert all(r.score > 0.6 * r.base_score for r in got)
+
+
 def test_decontamination(spark, odd, empty):
     rng = random.Random(8)
     items = [(i, text(rng, 30)) for i in range(20)] + [(98, None), (99, "two words")]
