@@ -194,28 +194,57 @@ def _render(node: Node, out: Layout, pre: bool = False) -> None:
             _render(kid, out, pre)
 
 
-def _rows(node: Node):
+def _stray(kid: Node | str) -> list[str]:
+    """Lines of what is in a table but in none of its cells."""
+    inner = Layout()
+    _render(_of("div", [kid]), inner)
+    inner.end()
+    return inner.lines
+
+
+def _of(tag: str, kids: list) -> Node:
+    node = Node(tag)
+    node.kids = kids
+    return node
+
+
+def _rows(node: Node, before: list[str]):
+    """The rows of a table or section; cells with no row around them make one. All other content goes to `before`."""
+    loose: list[Node] = []
     for kid in node.kids:
-        if isinstance(kid, str) or kid.hidden:
+        if isinstance(kid, str):
+            if kid.strip():
+                before += _stray(kid)
+            continue
+        if kid.hidden:
+            continue
+        if kid.tag in ("td", "th"):
+            loose.append(kid)
             continue
+        if loose and kid.tag in ("tr", "tbody", "thead", "tfoot"):
+            yield _of("tr", loose)
+            loose = []
         if kid.tag == "tr":
             yield kid
         elif kid.tag in ("tbody", "thead", "tfoot"):
-            yield from _rows(kid)
+            yield from _rows(kid, before)
+        elif _holds_rows(kid):
+            yield from _rows(kid, before)
+        else:
+            before += _stray(kid)
+    if loose:
+        yield _of("tr", loose)
+
+
+def _holds_rows(node: Node) -> bool:
+    """Whether rows or cells are within an element that no table may have as a child, such as a form."""
+    return node.tag not in ("table", "caption") and any(not isinstance(k, str) and not k.hidden and (k.tag in ("tr", "td", "th", "tbody", "thead", "tfoot") or _holds_rows(k)) for k in node.kids)
 
 
 def _table(node: Node) -> list[str]:
     """Caption and stray text, then rows with cells padded to their column's width and parted by ' | '."""
     grid, before = [], []
-    for kid in node.kids:
-        if isinstance(kid, str) and kid.strip():
-            before.append(_SPACE.sub(" ", kid).strip())
-        elif not isinstance(kid, str) and not kid.hidden and kid.tag not in ("tr", "tbody", "thead", "tfoot"):
-            inner = Layout()
-            _render(kid, inner)
-            inner.end()
-            before += inner.lines
-    for row in _rows(node):
+    for row in _rows(node, before):
         cells = []
         for kid in row.kids:
             inner = Layout()

@@ -314,6 +314,21 @@ def test_html(spark):
     assert html_text.extract_text(spark.createDataFrame([], "page_id long, html string")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<table><thead><th>A<th>B</thead><tr><td>1<td>2</table>", "A | B\n1 | 2"),
+        ("<table><tbody><td>x</td><td>y</td><tr><td>z</table>", "x | y\nz"),
+        ("<table><td>x<td>y<tr><td>z</table>", "x | y\nz"),
+        ("<table><tbody><form><tr><td>in<td>form</tr></form></table>", "in | form"),
+        ("<table><caption>C</caption><tbody>stray<tr><td>1</tr><p>between</p><tr><td>2</tbody></table>", "C\nstray\nbetween\n1\n2"),
+        ("<table><tbody><tr hidden><td>no</tr><div><table><tr><td>inner</table></div></tbody></table>", "inner"),
+    ],
+)
+def test_html_tables_keep_all_text(page, want):
+    assert html_text.page_text(page) == want
+
+
 @pytest.mark.parametrize("limit", [4, 20])
 def test_huffman(limit):
     rng = np.random.default_rng(0)
