@@ -505,7 +505,7 @@ def r1_assign_folds(spark, d):
 @query()
 def r2_bootstrap_auroc(spark, d):
     s = scored(spark, d).select(F.col("n_chars").cast("double").alias("score"), F.col("quality").alias("y"))
-    return rounded(T.percentile_ci(T.bootstrap_table(s, 200, 1), "value"), "lo", "median", "hi")
+    return rounded(T.percentile_ci(T.bootstrap_table(s, 2000, 1), "value"), "lo", "median", "hi")
 
 
 @query("with o as (select event_type, avg(value) as obs from events group by 1) select event_type, round((1 + count(*) filter (where value >= obs)) / (count(*) + 1), 6) as p_above, round((1 + count(*) filter (where value <= obs)) / (count(*) + 1), 6) as p_below from events join o using (event_type) group by 1")
@@ -581,12 +581,12 @@ def e7_kernel_ridge_cv(spark, d):
 
 @query()
 def e8_forest_probe(spark, d):
-    return rounded(T.r2(T.tree_cv(_folded(spark, d), "forest", trees=20), "y", "pred"), "r2", n=4)
+    return rounded(T.r2(T.tree_cv(_folded(spark, d), "forest"), "y", "pred"), "r2", n=4)
 
 
 @query()
 def e8_gbt_probe(spark, d):
-    return rounded(T.r2(T.tree_cv(_folded(spark, d), "gbt", trees=5), "y", "pred"), "r2", n=4)
+    return rounded(T.r2(T.tree_cv(_folded(spark, d), "gbt"), "y", "pred"), "r2", n=4)
 
 
 @query()
@@ -603,21 +603,22 @@ def e10_svc_rbf(spark, d):
 # --- experiments --------------------------------------------------------------------------------------------------------
 
 FAMILIES = {"first": (0, 32), "both": (0, 64)}
+PROBES = ("ridge", "ridge_pcs", "kernel_ridge", "gbt", "forest")
 
 
 @query()
 def x1_within_cohort(spark, d):
-    return rounded(X.within_cohort(vectors(spark, d), seeds=(0,)), "auroc", n=4)
+    return rounded(X.within_cohort(vectors(spark, d)), "auroc", n=4)
 
 
 @query()
 def x2_transfer_statistics(spark, d):
-    return rounded(X.transfer_statistics(vectors(spark, d).where("cohort != 'c2'"), FAMILIES, primary=("both",), n_boot=20, n_perm=40), "point", "median", "lo", "hi", n=4)
+    return rounded(X.transfer_statistics(vectors(spark, d), FAMILIES, primary=("both",)), "point", "median", "lo", "hi", n=4)
 
 
 @query()
 def x3_multi_cohort_transfer(spark, d):
-    return rounded(X.multi_cohort_transfer(vectors(spark, d), {"both": (0, 64)}, n_boot=10, n_perm=20), "point", "median", "lo", "hi", n=4)
+    return rounded(X.multi_cohort_transfer(vectors(spark, d), FAMILIES, n_perm=5000), "point", "median", "lo", "hi", n=4)
 
 
 @query()
@@ -627,7 +628,7 @@ def x4_site_probe(spark, d):
 
 @query()
 def x5_rescue(spark, d):
-    return rounded(X.rescue(vectors(spark, d).where("cohort != 'c2'"), {"both": (0, 64)}, n_boot=20), "point", "median", "lo", "hi", n=4)
+    return rounded(X.rescue(vectors(spark, d), {"both": (0, 64)}), "point", "median", "lo", "hi", n=4)
 
 
 def _encoders(spark, d):
@@ -639,13 +640,13 @@ def _encoders(spark, d):
 @query()
 def x6_encoding_probe(spark, d):
     enc, t = _encoders(spark, d)
-    return rounded(X.best_probe(X.encoding_probe(enc, t, ["full", "short"], probes=("ridge", "ridge_pcs"))), "r2", n=4)
+    return rounded(X.best_probe(X.encoding_probe(enc, t, ["full", "short"], probes=PROBES)), "r2", n=4)
 
 
 @query()
 def x7_residual_probe(spark, d):
     enc, t = _encoders(spark, d)
-    return rounded(X.residual_probe(enc, t, "full", "short", probes=("ridge",)), "r2", n=4)
+    return rounded(X.residual_probe(enc, t, "full", "short", probes=PROBES), "r2", n=4)
 
 
 @query()

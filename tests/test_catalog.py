@@ -73,3 +73,26 @@ def test_ridge_finds_a_planted_signal(spark):
     x = rng.standard_normal((120, 8))
     df = spark.createDataFrame([(i, v.tolist(), float(v[0] - 2 * v[1]), i % 5) for i, v in enumerate(x)], "subject_id int, vec array<double>, y double, fold int")
     assert T.r2(T.ridge_cv(df), "y", "pred").first()[0] > 0.9
+
+
+def test_experiments_are_registered_over_the_whole_job(spark, monkeypatch):
+    """All three cohorts, and replicates enough for a p-value to be rejected after Holm."""
+    import inspect
+
+    calls = {}
+    for name in ("within_cohort", "transfer_statistics", "multi_cohort_transfer", "rescue", "encoding_probe", "residual_probe"):
+
+        def note(*a, name=name, f=getattr(catalog.X, name), **b):
+            calls[name] = (a, {k: p.default for k, p in inspect.signature(f).parameters.items()} | b)
+            raise InterruptedError
+
+        monkeypatch.setattr(catalog.X, name, note)
+    for query in ("x1_within_cohort", "x2_transfer_statistics", "x3_multi_cohort_transfer", "x5_rescue", "x6_encoding_probe", "x7_residual_probe"):
+        with pytest.raises(InterruptedError):
+            catalog.queries()[query](spark, D)
+    for name, cells in (("transfer_statistics", 24), ("multi_cohort_transfer", 18)):
+        how = {"n_boot": 300} | calls[name][1]
+        assert how["n_boot"] >= 300 and cells / (how["n_perm"] + 1) < 0.05
+    assert calls["rescue"][1]["n_boot"] >= 300 and len(calls["within_cohort"][1]["seeds"]) == 3
+    assert all(calls[n][0][0].select("cohort").distinct().count() == 3 for n in ("within_cohort", "transfer_statistics", "multi_cohort_transfer", "rescue"))
+    assert all(set(calls[n][1]["probes"]) == {"ridge", "ridge_pcs", "kernel_ridge", "gbt", "forest"} for n in ("encoding_probe", "residual_probe"))
