@@ -142,7 +142,7 @@ class Codebook:
         return out.reshape(-1)[:n]
 
 
-def write_token_files(tokens: DataFrame, path: str, dtype: str = "<u2", bytes_each: int = 48 << 20) -> None:
+def write_token_files(tokens: DataFrame, path: str, dtype: str, bytes_each: int = 48 << 20) -> None:
     """Writes tokens(doc_id, ids) to path/codebook and path/blocks, in ascending doc_id order.
 
     Counts are of all ids. Documents are sorted by range partition, so no task gets everything; rows that share a
@@ -162,7 +162,7 @@ def write_token_files(tokens: DataFrame, path: str, dtype: str = "<u2", bytes_ea
         def block():
             ids = np.concatenate(parts)
             bits, marks = book.encode(ids)
-            return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "before": [before], "doc_ids": [[d for d, _ in docs]], "sizes": [[n for _, n in docs]], "n_ids": [len(ids)], "bits": [bits], "checkpoints": [marks.astype("<u4").tobytes()]}, schema=form)
+            return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "before": [before], "doc_ids": [[d for d, _ in docs]], "sizes": [[n for _, n in docs]], "n_ids": [len(ids)], "bits": [bits], "checkpoints": [marks.astype("<i8").tobytes()]}, schema=form)
 
         for b in batches:
             for doc_id, raw in zip(b.column("doc_id").to_pylist(), b.column("ids"), strict=True):
@@ -199,7 +199,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
         book = Codebook(*spread.value) if len(spread.value[0]) else None
         for b in batches:
             for r in b.to_pylist():
-                ids = book.decode(r["bits"], r["n_ids"], np.frombuffer(r["checkpoints"], "<u4"))
+                ids = book.decode(r["bits"], r["n_ids"], np.frombuffer(r["checkpoints"], "<i8"))
                 raw, at = ids.astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(r["sizes"])]).astype(np.int64)
                 cols = [pa.array(r["doc_ids"], pa.int64()), pa.array(at[:-1] + bases.value[r["part"]] + r["before"]), pa.array(np.diff(at)), pa.array([zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(at[:-1], at[1:], strict=True)], pa.int64())]
                 if with_ids:
@@ -210,7 +210,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
     return blocks.select("part", "before", "doc_ids", "sizes", "n_ids", "bits", "checkpoints").mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, tokenizer: str, dtype: str = "<u2", with_ids: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> DataFrame:
     """Encodes documents(doc_id, text, ...), writes token files to the shared folder and reads them back.
 
     One row per document: doc_id, start, n_tokens (with the end id), ids_crc32. Null or empty text: only the end id.
@@ -219,5 +219,5 @@ def round_trip(docs: DataFrame, tokenizer: str, dtype: str = "<u2", with_ids: bo
     spark = docs.sparkSession
     tokens = materialise(token_table(docs, tokenizer), "tokens")
     path = shared_path(spark, "token-files")
-    write_token_files(tokens, path, dtype)
+    write_token_files(tokens, path, encoder(tokenizer).dtype.str)
     return read_token_files(spark, path, with_ids)

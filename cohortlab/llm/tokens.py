@@ -19,6 +19,8 @@ _loaded: dict[str, TextEncoder] = {}
 
 #: the letters of Latin-1; in texts without other letters a run of them is one unit, with or without a blank before it
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
+#: white space other than the blank; of a run of it, only the last character is parted from the rest, and only before a letter
+_LAST_SPACE = f"[\\t-\\r\\x85\\xa0](?=[{_LETTERS}])"
 #: texts where that can be otherwise (contractions, characters beyond Latin-1, names of special tokens) are cut before blanks only
 _OTHERWISE = re.compile("['Ā-\U0010ffff]|<\\|")
 _BEFORE_BLANK = re.compile(r"(?<=\S)(?= )")
@@ -67,7 +69,7 @@ class TextEncoder:
             raise ValueError("only byte-level tokenizers are known to be parted as this class cuts")
         # byte-level alone: a blank leads the word after it; after a Split, white space only parts words
         self.blank_leads = '"Split"' not in kind
-        self.words = re.compile(f"( ?[{_LETTERS}]+)" if self.blank_leads else f"([{_LETTERS}]+)")
+        self.words = re.compile(f"( ?[{_LETTERS}]+|{_LAST_SPACE})" if self.blank_leads else f"([{_LETTERS}]+)")
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
         self.held = _Memory(self.tok, self.dtype.char, '"Lowercase"' in json.dumps(spec.get("normalizer") or {}))
 

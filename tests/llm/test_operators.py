@@ -345,6 +345,21 @@ def test_huffman(limit):
         assert (lengths * counts).sum() == 363  # the merges' sums, 2 + 4 + 7 + 12 + 20 + 33 + 54 + 88 + 143
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_are_those_of_the_library(name):
+    """Every mix of white space with letters, digits and marks; half of the texts stay within Latin-1."""
+    from cohortlab.llm.tokens import TextEncoder
+
+    enc = TextEncoder(queries.tokenizer_path(name))
+    near = [" ", "  ", "\n", "\n\n", "\t", "\r", "\r\n", "\x0b", "\x0c", "\x1c", "\x85", "\xa0", "a", "b", "Hello", "world", "É", "ß", "ª", "1", "23", "²", "!", "...", "-"]
+    far = [*near, "'s", "'", "Ω", "日本", "\u2003", "\u3000", "<|endoftext|>", "<|", "İ"]
+    rng = random.Random(9)
+    texts = ["Hello\n\nworld", "end.\n\nNext paragraph", "café\n\nolé", "a\xa0\xa0b", "x \n\r\n y"]
+    texts += ["".join(rng.choice(near if i % 2 else far) for _ in range(rng.randint(1, 14))) for i in range(20_000)]
+    for t in texts:
+        assert np.frombuffer(enc.encode(t), enc.dtype).tolist() == enc.tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_token_files(spark, odd, empty):
     path = queries.tokenizer_path("byte_bpe_50k.json")
     from tokenizers import Tokenizer
