@@ -126,20 +126,20 @@ select d.doc_id, coalesce(s.n, 0) as n_shingles, c.component_id, d.doc_id = c.co
 
 def _licence_sql() -> str:
     hint = "|".join(licences.HINTS)
-    pairs = ", ".join(f"('{k}', '{v}')" for k, v in licences.SENTENCES.items())
-    order = "[" + ", ".join(f"'{x}'" for x in dict.fromkeys(r[1] for r in licences.RULES)) + "]"
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    pairs = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in licences.SENTENCES.items())
+    order = "[" + ", ".join(quoted(x) for x in dict.fromkeys(r[1] for r in licences.RULES)) + "]"
     norm = "trim(regexp_replace(regexp_replace(lower(s), '[^a-z0-9.]+', ' ', 'g'), '(^| )\\.+|\\.+( |$)', ' ', 'g'))"
+    for pattern, alike in licences.HOLDERS:
+        norm = f"regexp_replace({norm}, {quoted(pattern)}, {quoted(alike)})"
     steps = ["rules0 as (select doc_id, way, ids, ' ' || array_to_string(ids, '  ') || ' ' as rest, []::varchar[] as found from seqs)"]
     for i, (sequence, licence) in enumerate(licences.RULES):
-        wanted = "' " + "  ".join(sequence) + " '"
-        steps.append(f"rules{i + 1} as (select doc_id, way, ids, replace(rest, {wanted}, '  ') as rest, case when contains(rest, {wanted}) then list_append(found, '{licence}') else found end as found from rules{i})")
+        wanted, rest = quoted(licences.pattern(sequence).replace("\\-", "-")), quoted("".join(f"\\{n}" for n in range(1, len(sequence))))
+        steps.append(f"rules{i + 1} as (select doc_id, way, ids, regexp_replace(rest, {wanted}, {rest}, 'g') as rest, case when regexp_matches(rest, {wanted}) then list_append(found, {quoted(licence)}) else found end as found from rules{i})")
+    cuts = " union all ".join(f"select doc_id, {way} as way, regexp_split_to_array(regexp_replace(text, {quoted(licences.TAG)}, 'SPDX-License-Identifier ', 'g'), {quoted(ends)}) as parts from documents where regexp_matches(lower(text), {quoted(hint)})" for way, ends in ((1, licences.LINE_ENDS), (2, licences.ENDS)))
     return f"""
 with known as (select * from (values {pairs}) as t(sentence, id)),
-cut as (
-  select doc_id, 1 as way, regexp_split_to_array(text, '[.;:!?]+\\s+|\\n+') as parts from documents where regexp_matches(lower(text), '{hint}')
-  union all
-  select doc_id, 2 as way, regexp_split_to_array(regexp_replace(text, '\\s+', ' ', 'g'), '[.;:!?]+\\s+') as parts from documents where regexp_matches(lower(text), '{hint}')
-), parts as (
+cut as ({cuts}), parts as (
   select doc_id, way, generate_subscripts(parts, 1) as pos, unnest(parts) as s from cut
 ), seqs as (
   select p.doc_id, p.way, coalesce(list(k.id order by p.pos) filter (where k.id is not null), []) as ids from parts p left join known k on k.sentence = {norm.replace("(s)", "(p.s)")} group by p.doc_id, p.way
