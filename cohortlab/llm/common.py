@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute  # noqa: F401  binds pa.compute
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MASK = (1 << 64) - 1
@@ -18,14 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share (`spark.checkpoint.dir`).
+    """A new path in the folder that driver and executors share, which `spark.checkpoint.dir` names.
 
-    The setting is read from the session; only where it is unset, as in tests, a local folder is taken."""
+    Without that setting a local session, whose executors are on the driver's machine, gets a folder of its own there;
+    any other session is refused, since its executors would write to disks that nobody else reads."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        held = spark.sparkContext.getCheckpointDir()
-        base = held if held else tempfile.mkdtemp(prefix="spark-cohortlab-")
-        spark.sparkContext.setCheckpointDir(base) if not held else None
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-cohortlab-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
@@ -38,6 +41,37 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, label: str, key: str) -> tuple[DataFrame, Callable[[], None]]:
+    """(df as a table in the shared folder that is dealt by key, so that joins on key don't shuffle it; what removes it)."""
+    spark = df.sparkSession
+    path, name = shared_path(spark, label), f"{label}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).option("path", path).saveAsTable(name)
+
+    def remove() -> None:
+        spark.sql(f"drop table if exists {name}")
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+    return spark.table(name), remove
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no column of df has; Spark compares names without case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a DataFrame's plan, used to choose partition counts."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
@@ -48,6 +82,30 @@ def partitions_for(df: DataFrame, bytes_each: int = 48 << 20) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(input_bytes(df) // bytes_each, 100_000))
 
 
+def text_slices(batch: pa.RecordBatch, text: str = "text", limit: int = 2 << 20):
+    """Slices of a batch with about limit bytes of text each."""
+    size = np.cumsum(np.asarray(pa.compute.binary_length(batch.column(text)).fill_null(0)))
+    at = 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + limit, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def rows_where(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows of docs for whose text keep gives True; every column stays, whatever its name."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text = names[[c.lower() for c in docs.columns].index("text")]
+
+    def run(batches):
+        for whole in batches:
+            for b in text_slices(whole, text):
+                yield b.filter(pa.array(keep(b.column(text))))
+
+    plain = docs.toDF(*names)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 # --- word hashing -----------------------------------------------------------------------------------------------------
 
 _MUL = 0x9E3779B97F4A7C15

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_text, shingle_hashes, text_buffers, word_hashes
+from .common import ids_text, rows_where, shingle_hashes, text_buffers, text_slices, word_hashes
 
 #: labelled documents in the sample at most; words chosen per category at most; folds; ridge penalty
 MAX_TRAIN, MAX_WORDS, FOLDS, RIDGE = 12_000, 256, 4, 2.0
@@ -186,19 +186,32 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     names = [f"p_{c}" for c in chain.categories]
 
     def run(batches):
-        from .near_dup import _slices
-
         c = spread.value
         for whole in batches:
-            for b in _slices(whole):
-                col = b.column("text")
-                words, off = word_hashes(col, punctuation=True)
-                p = c.predict(np.repeat(np.arange(len(off) - 1), np.diff(off)), words, shape_features(col, words, off))
+            for b in text_slices(whole):
+                p = _scored(c, b.column("text"))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(p[:, j]) for j in range(p.shape[1]))], ["doc_id", *names])
 
     return ids_text(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} double" for n in names))
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_train: int = MAX_TRAIN) -> DataFrame:
+    """docs without the rows that toxicity() rejects; every column stays, whatever its name.
+
+    Rows are judged each by its own text in the pass that scores them, so nothing is shuffled; null and empty texts are
+    judged by their shape; an empty table gives an empty one."""
+    chain = train(docs, labels, default_categories(), max_train)
+    spread = docs.sparkSession.sparkContext.broadcast(chain)
+    at = chain.categories.index("toxic")
+
+    return rows_where(docs, lambda col: _scored(spread.value, col)[:, at] < threshold)
+
+
+def _scored(chain: Chain, col: pa.Array) -> np.ndarray:
+    words, off = word_hashes(col, punctuation=True)
+    return chain.predict(np.repeat(np.arange(len(off) - 1), np.diff(off)), words, shape_features(col, words, off))
+
+
 def default_categories() -> dict[str, Column]:
     """In chain order: poor quality, toxic, both."""
     return {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1, "toxic_and_poor": (F.col("toxic") == 1) & (F.col("quality") == 0)}
