@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ids_text, materialise, partitions_for, seeds64, shingle_hashes, word_hashes
-from .near_dup import _sets_of, _slices, band_keys, near_duplicates, set_ids
+from .near_dup import band_keys, near_duplicates, signed
 
 PERMUTATIONS, SHINGLE = 128, 5
 _A = (seeds64(PERMUTATIONS, 201) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -130,21 +130,12 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return out.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
 
 
-def _bands(docs: DataFrame, k: int) -> DataFrame:
-    def run(batches):
-        for whole in batches:
-            for b in _slices(whole):
-                sets, off = _sets_of(b.column("text"), k)
-                sig = short(minhash(sets, off))
-                bands = band_keys(sig.astype(np.uint64))
-                raw = (sig & np.uint16(0xFF)).astype(np.uint8).tobytes()
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(off)), pa.array(set_ids(sets, off), pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(off), dtype=np.int32) * bands.shape[1]), pa.array(bands.reshape(-1))), pa.array([raw[PERMUTATIONS * i : PERMUTATIONS * (i + 1)] for i in range(len(off) - 1)], pa.binary())], ["doc_id", "n_shingles", "node", "bands", "sketch"])
-
-    return ids_text(docs).mapInArrow(run, "doc_id long, n_shingles long, node binary, bands array<long>, sketch binary")
+def _signed(docs: DataFrame, k: int) -> DataFrame:
+    return signed(docs, k, lambda sets, off: band_keys(short(minhash(sets, off)).astype(np.uint64)))
 
 
 def fingerprint_classes(docs: DataFrame, k: int = SHINGLE, percent: int = 80) -> DataFrame:
     """Classes of like documents: signature bands are joined in Spark, every candidate's Jaccard similarity is verified.
 
     Columns and cases as in near_dup.near_duplicates, with MinHash signatures in place of its sketches."""
-    return near_duplicates(docs, k, percent, slack=0.65, signer=_bands)
+    return near_duplicates(docs, k, percent, signer=_signed)
