@@ -9,38 +9,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.llm import decontam, line_templates, near_dup, packing, toxicity
-from cohortlab.llm.common import materialise, table
+from cohortlab.llm.common import materialise, quoted, table
 from cohortlab.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain rejects go; a rejected doc_id goes with all its rows."""
-    found = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
-    bad = found.where("rejected").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("__bad"), "left_anti").select(*docs.columns)
+    """Rows that the classifier chain rejects go. Every row is judged by its own text, so a repeated or null doc_id
+    doesn't matter; null and empty texts are judged by their shape. No labels: nothing goes. Other columns pass as they are."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines go from all documents but their first; documents that had text and have none left go too."""
+    """Recurring lines go from all documents but their first; documents that had text and have none left go too.
+
+    n_chars, if there, follows the text. Null and empty texts stay; repeated rows count as one document and are treated
+    alike; null doc_ids come first; an empty table gives an empty one; other columns may have any name."""
     out = line_templates.drop_recurring_lines(docs)
-    left = (F.col("__n_dropped") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
-    out = out.where(left)
-    return out.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    left = (quoted(out.columns[-1]) == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
+    return out.where(left).select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else quoted(c) for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: that of the least doc_id."""
-    gone = near_dup.near_duplicates(docs, k=5, percent=80).where("not kept").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__bad"), "left_anti").select(*docs.columns)
+    """One document of each near-duplicate group stays, that of the least doc_id: five words a shingle, 0.8 or more alike.
+
+    Rows are told apart by doc_id and text; equal rows are one document, of which one row stays. Null and empty texts
+    and null doc_ids stay; an empty table gives an empty one; other columns may have any name."""
+    return near_dup.drop_near_duplicates(docs, k=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with a benchmark item go."""
-    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    """Rows whose text overlaps with a benchmark item go, each by its own text. Null and empty texts stay, no benchmark
+    leaves all; other columns pass as they are."""
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, as pieces of sequences of 2048 tokens."""
+    """What is left, as pieces of sequences of 2048 tokens. Null and empty texts are one piece with the end id."""
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), length=2048)
 
 
