@@ -22,7 +22,7 @@ def tokenizer_path(name: str) -> str:
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_templates.drop_recurring_lines(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.md5("text").alias("clean_md5"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("clean_md5"))
 
 
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,23 +70,27 @@ def queries() -> dict[str, Query]:
 LINE_DEDUP_SQL = """
 with lines as (
   select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos, unnest(string_split(text, chr(10))) as line from documents
-), cut as (
-  select doc_id, pos, string_split(regexp_replace(trim(regexp_replace(line, '[ \\t\\r]+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' ') as tokens from lines
+), flat as (
+  select doc_id, pos, trim(regexp_replace(line, '[ \\t\\r]+', ' ', 'g')) as exact from lines
+), tried as (
+  select doc_id, pos, string_split(exact, ' ') as plain, string_split(regexp_replace(exact, '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' ') as m from flat where exact != ''
 ), held as (
-  select doc_id, pos, array_to_string(tokens, ' ') as th, len(tokens) as n, concat_ws(' ', len(tokens), tokens[1], tokens[2], tokens[3]) as leaf, tokens from cut where len(tokens) >= 4
+  select doc_id, pos, array_to_string(tokens, ' ') as th, len(tokens) as n, case when len(tokens) > 3 then concat_ws(' ', len(tokens), tokens[1], tokens[2], tokens[3]) end as leaf, tokens from (
+    select doc_id, pos, case when len(m) > 3 and len(list_filter(m, lambda x: x != '<*>')) >= 0.7 * len(m) and len(list_filter(m[4:], lambda x: x != '<*>')) >= 0.5 * (len(m) - 3) then m else plain end as tokens from tried
+  ) where len(tokens) >= 2
 ), masked as (
   select th, any_value(leaf) as leaf, any_value(n) as n, any_value(tokens) as tokens, count(distinct doc_id) as docs from held group by th
 ), leaves as (
-  select leaf, count(*) as lines from masked group by leaf having count(*) > 1 and sum(docs) >= 5
+  select leaf from masked where leaf is not null group by leaf having count(*) > 1 and sum(docs) >= 5
 ), fields as (
-  select th, leaf, n, lines, generate_subscripts(tokens[4:], 1) as fld, unnest(tokens[4:]) as token from masked join leaves using (leaf)
+  select th, leaf, n, docs, len(list_filter(tokens[:3], lambda x: x != '<*>')) as led, generate_subscripts(tokens[4:], 1) as fld, unnest(tokens[4:]) as token from masked join leaves using (leaf)
 ), agreed as (
-  select leaf, fld, token from fields group by leaf, fld, token having count(*) > 1 and count(*) >= 0.2 * max(lines)
+  select leaf, fld, token from fields where token != '<*>' group by leaf, fld, token having sum(docs) >= 5
 ), marked as (
-  select f.th, f.leaf, f.n, f.fld, case when a.token is not null and f.token != '<*>' then f.token end as kept
+  select f.th, f.leaf, f.n, f.led, f.fld, a.token as kept
   from fields f left join agreed a on a.leaf = f.leaf and a.fld = f.fld and a.token = f.token
 ), general as (
-  select th, concat(leaf, ' ', string_agg(coalesce(kept, '<*>'), ' ' order by fld)) as template from marked group by th, leaf, n having count(kept) + 3 >= 0.7 * n
+  select th, concat(leaf, ' ', string_agg(coalesce(kept, '<*>'), ' ' order by fld)) as template from marked group by th, leaf, n, led having count(kept) + led >= 0.7 * n and count(kept) >= 0.5 * (n - 3)
 ), named as (
   select doc_id, pos, case when g.th is null then 'own ' || h.th else 'all ' || g.template end as template from held h left join general g on g.th = h.th
 ), recurring as (
