@@ -117,8 +117,8 @@ def s3_labels_from_path(spark, d):
 
 @query(f"select vec_id as subject_id, round(list_sum(embedding::double[]), 6) as total, len(embedding) as width from embeddings")
 def s4_unify_embeddings(spark, d):
-    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("subject_id"), F.when(F.col("vec_id") % 2 == 0, F.col("embedding")).alias("reve_embedding"), F.when(F.col("vec_id") % 2 == 1, F.col("embedding")).alias("mean_embed"))
-    u = IO.unify_embeddings(e)
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("subject_id"), F.when(F.col("vec_id") % 2 == 0, F.col("embedding")).alias("first_name"), F.when(F.col("vec_id") % 2 == 1, F.col("embedding")).alias("other_name"))
+    u = IO.unify_embeddings(e, ("embedding", "first_name", "other_name"))
     return rounded(u.select("subject_id", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x).alias("total"), F.size("embedding").cast("long").alias("width")), "total")
 
 
@@ -146,11 +146,12 @@ def p2_select_montage(spark, d):
     return rounded(P.select_montage(e, names, order="event_id"), "value")
 
 
-@query("select event_type, 'P7' as a, 'T7' as b, event_type as c, count(*) as n from events group by event_type")
+@query("select event_type, 'P7' as a, 'T7' as b, event_type as c, 'T8' as d, 'T5' as e, count(*) as n from events group by event_type")
 def p3_resolve_alias(spark, d):
-    known = ["T7", "P7", "CZ"]
+    # T4 is known, but its alias comes first; T5's alias isn't known in the second list
+    known, old = ["T7", "P7", "CZ", "T4", "T8"], ["T5", "CZ"]
     e = read(spark, d, "events").withColumn("u", F.concat(F.lit("XX-"), F.lit("T3-"), F.col("event_type")))
-    return e.groupBy("event_type").agg(F.min(P.resolve_alias(F.lit("t5"), known)).alias("a"), F.min(P.resolve_alias(F.col("u"), known)).alias("b"), F.min(P.resolve_alias(F.col("event_type"), known)).alias("c"), F.count("*").alias("n"))
+    return e.groupBy("event_type").agg(F.min(P.resolve_alias(F.lit("t5"), known)).alias("a"), F.min(P.resolve_alias(F.col("u"), known)).alias("b"), F.min(P.resolve_alias(F.col("event_type"), known)).alias("c"), F.min(P.resolve_alias(F.lit("T4"), known)).alias("d"), F.min(P.resolve_alias(F.lit("T5"), old)).alias("e"), F.count("*").alias("n"))
 
 
 @query("with e as (select vec_id, label, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z from embeddings), cap as (select * from e where vec_id < 128), q as (select * from e where vec_id >= 128) select q.vec_id as name, arg_min(cap.vec_id, sqrt((q.x-cap.x)*(q.x-cap.x)+(q.y-cap.y)*(q.y-cap.y)+(q.z-cap.z)*(q.z-cap.z))) as nearest, round(min(sqrt((q.x-cap.x)*(q.x-cap.x)+(q.y-cap.y)*(q.y-cap.y)+(q.z-cap.z)*(q.z-cap.z))), 6) as dist from q, cap group by q.vec_id")
@@ -181,7 +182,7 @@ def p8_head_n(spark, d):
     return P.head_n(read(spark, d, "documents").select("doc_id", "n_chars").join(read(spark, d, "labels"), "doc_id", "left_semi"), 50, "doc_id")
 
 
-@query()
+@query("select doc_id, lang from documents order by md5(concat_ws(':', doc_id, '7')), doc_id limit 300")
 def p9_cap_sample(spark, d):
     return P.cap_sample(read(spark, d, "documents").select("doc_id", "lang"), 300, 7, "doc_id")
 
@@ -235,10 +236,13 @@ def h1_resample_fft(spark, d):
     return rounded(r.select("recording_id", F.size("samples").alias("n"), F.element_at("samples", 1).alias("head")), "head")
 
 
-@query()
+LINEAR = f"with s as (select user_id, t, x, count(*) over (partition by user_id) as n from ({SIG})), g as (select user_id, n, unnest(range(0, n * 3 // 2)) as i from (select distinct user_id, n from s)), a as (select user_id, n, i, greatest(least((i + 0.5) * n / (n * 3 // 2) - 0.5, n - 1), 0) as place from g), b as (select *, least(floor(place)::bigint, n - 2) as lo from a) select b.user_id as recording_id, b.i as i, round(l.x * (1 - (b.place - b.lo)) + h.x * (b.place - b.lo), 5) + 0.0 as x from b join s l on l.user_id = b.user_id and l.t = b.lo join s h on h.user_id = b.user_id and h.t = b.lo + 1"
+
+
+@query(LINEAR)
 def h2_resample_linear(spark, d):
     r = S.resample(arrays(spark, d), 2.0, 3.0, "linear")
-    return rounded(r.select("recording_id", F.size("samples").alias("n"), F.element_at("samples", -1).alias("tail")), "tail")
+    return rounded(r.select("recording_id", F.posexplode("samples").alias("i", "x")).withColumn("i", F.col("i").cast("long")), "x", n=5)
 
 
 @query(f"with s as (select user_id % 10 as recording_id, user_id as channel, t, x from ({SIG})), c as (select recording_id, x - avg(x) over (partition by recording_id, t) as x from s) select recording_id, count(*) as n, round(sum(x * x), 2) as ss from c group by recording_id")
@@ -297,16 +301,42 @@ def h10_scale_units(spark, d):
     return rounded(S.scale_units(arrays(spark, d), 1e3).select("recording_id", F.array_max("samples").alias("top")), "top")
 
 
-@query()
+def _welch_cte(most: int, sf: float) -> str:
+    """CTEs that end in psd(user_id, k, freq, p): Hann windows that overlap by half, by the sums of a discrete Fourier transform."""
+    return f"""src as ({SIG}), size as (
+  select user_id, count(*) as n, least({most}, count(*)) as w from src group by 1
+), seg as (
+  select user_id, w, unnest(range(0, n - w + 1, greatest(1, w - w // 2))) as org from size
+), cut as (
+  select g.user_id, g.w, g.org, s.t - g.org as j, s.x - avg(s.x) over (partition by g.user_id, g.org) as x from seg g join src s on s.user_id = g.user_id and s.t >= g.org and s.t < g.org + g.w
+), han as (
+  select *, x * (0.5 - 0.5 * cos(2 * pi() * j / w)) as y, 0.5 - 0.5 * cos(2 * pi() * j / w) as h from cut
+), dft as (
+  select user_id, w, org, k, sum(y * cos(2 * pi() * k * j / w)) as re, sum(y * sin(2 * pi() * k * j / w)) as im, sum(h * h) as hh from (select *, unnest(range(0, w // 2 + 1)) as k from han) group by 1, 2, 3, 4
+), psd as (
+  select user_id, k, k * {sf} / w as freq, avg((re * re + im * im) / ({sf} * hh) * case when k = 0 or (w % 2 = 0 and k = w // 2) then 1 else 2 end) as p from dft group by 1, 2, 3
+)"""
+
+
+@query(f"with {_welch_cte(32, 200.0)} select user_id as recording_id, k as bin, round(p, 5) + 0.0 as p from psd")
 def f1_welch_psd(spark, d):
     w = S.welch_psd(arrays(spark, d), 200.0, 32)
-    return rounded(w.select("recording_id", F.size("psd").alias("bins"), F.aggregate("psd", F.lit(0.0), lambda a, x: a + x).alias("total")), "total")
+    return rounded(w.select("recording_id", F.posexplode("psd").alias("bin", "p")).withColumn("bin", F.col("bin").cast("long")), "p", n=5)
 
 
-@query()
+def _band(name: str) -> str:
+    lo, hi = K.BANDS[name]
+    return f"coalesce(sum(step) filter (where freq >= {lo} and prior >= {lo} and freq <= {hi}), 0) / sum(step) as {name}"
+
+
+SPECTRAL = f"with {_welch_cte(64, 200.0)}, steps as (select *, (freq - lag(freq) over w) * (p + lag(p) over w) / 2 as step, lag(freq) over w as prior from psd window w as (partition by user_id order by k)), bands as (select user_id, {', '.join(_band(n) for n in K.BANDS)} from steps group by 1), parts as (select user_id, p / sum(p) over (partition by user_id) + 1e-10 as q from psd), ent as (select user_id, -sum(q / t * ln(q / t)) as entropy from (select user_id, q, sum(q) over (partition by user_id) as t from parts) group by 1) select b.user_id as recording_id, {', '.join(f'round({n}, 5) + 0.0 as {n}' for n in [*K.BANDS, 'entropy'])} from bands b join ent using (user_id)"
+
+
+@query(SPECTRAL)
 def f2_f4_spectral(spark, d):
     c = S.channel_spectral(arrays(spark, d), 200.0, 64)
-    return rounded(c.select("recording_id", *(F.col("spectral")[i].alias(n) for i, n in enumerate(("delta", "theta", "alpha", "beta", "gamma", "entropy")))), "delta", "theta", "alpha", "beta", "gamma", "entropy")
+    names = [*K.BANDS, "entropy"]
+    return rounded(c.select("recording_id", *(F.col("spectral")[i].alias(n) for i, n in enumerate(names))), *names, n=5)
 
 
 HJORTH = f"with d1 as (select user_id, t, x, x - lag(x) over (partition by user_id order by t) as d1 from ({SIG})), d2 as (select *, d1 - lag(d1) over (partition by user_id order by t) as d2 from d1), v as (select user_id, var_pop(x) as a, var_pop(d1) as v1, var_pop(d2) as v2 from d2 group by 1) select user_id, round(a, 6) as activity, round(sqrt(v1 / a), 6) as mobility, round(sqrt(v2 / v1) / sqrt(v1 / a), 6) as complexity from v"
@@ -351,7 +381,9 @@ def l2_dfa_sql(spark, d):
 
 @query("with " + _dfa_cte("select event_type, value as x, row_number() over (partition by event_type order by ts, event_id) - 1 as t from events", "event_type", TYPE_SCALES) + " select event_type, round(alpha, 6) as alpha, round(r2, 6) as r2 from dfa")
 def l2_dfa_event_types(spark, d):
-    return rounded(S.dfa_sql(series(spark, d, "event_type"), "event_type", TYPE_SCALES), "alpha", "r2")
+    # a few keys hold everything: stretches of time are ranked and summed up apart
+    long = S.ranked(read(spark, d, "events"), "event_type", "ts", "event_id", "value")
+    return rounded(S.dfa_sql(long, "event_type", TYPE_SCALES), "alpha", "r2")
 
 
 @query()
@@ -385,15 +417,18 @@ def l7_dfa_qc(spark, d):
 _HALF = f"select user_id * 2 + (case when t >= n // 2 then 1 else 0 end) as k, case when t >= n // 2 then t - n // 2 else t end as t, x from (select *, count(*) over (partition by user_id) as n from ({SIG})) where t < 2 * (n // 2)"
 
 
-@query("with " + _dfa_cte(_HALF, "k", [4, 6, 8, 12]) + " select count(*) as n, round(corr(a.alpha, b.alpha), 6) as r, round(avg(a.alpha), 6) as mean_1, round(avg(b.alpha), 6) as mean_2 from dfa a join dfa b on b.k = a.k + 1 and a.k % 2 = 0")
+_HALVES = _dfa_cte(_HALF, "k", [4, 6, 8, 12]) + ", ab as (select a.k // 2 as user_id, (a.k // 2) % 5 as fold, a.alpha as x, b.alpha as y from dfa a join dfa b on b.k = a.k + 1 and a.k % 2 = 0), fit as (select f.fold, regr_slope(ab.y, ab.x) as b, regr_intercept(ab.y, ab.x) as a from ab join (select distinct fold from ab) f on f.fold != ab.fold group by f.fold), cv as (select 1 - sum((y - a - b * x) * (y - a - b * x)) / (var_pop(y) * count(*)) as r2_cv from ab join fit using (fold))"
+
+
+@query(f"with {_HALVES} select count(*) as n, round(corr(x, y), 6) as r, round(2 * corr(x, y) / (1 + corr(x, y)), 6) as spearman_brown, round(avg(x), 6) as mean_1, round(stddev_pop(x), 6) as sd_1, round(avg(y), 6) as mean_2, round(stddev_pop(y), 6) as sd_2, round((select r2_cv from cv), 6) as r2_cv from ab")
 def l8_split_half(spark, d):
-    r = S.reliability(S.split_halves(arrays(spark, d), [4, 6, 8, 12]))
-    return rounded(r.select("n", "r", "mean_1", "mean_2"), "r", "mean_1", "mean_2")
+    r = X.reliability_report(arrays(spark, d).withColumn("fold", F.col("recording_id") % 5), [4, 6, 8, 12], "fold")
+    return rounded(r, "r", "spearman_brown", "mean_1", "sd_1", "mean_2", "sd_2", "r2_cv")
 
 
 @query()
 def l9_surrogate_controls(spark, d):
-    return rounded(S.surrogate_controls(arrays(spark, d), 200.0, USER_SCALES, 3), "mean_alpha", "sd_alpha", "mean_r2")
+    return rounded(X.surrogate_report(arrays(spark, d), 200.0, USER_SCALES, 3), "mean_alpha", "sd_alpha", "mean_r2")
 
 
 @query(f"with {TARGETS} select user_id, round(alpha - (select regr_intercept(alpha, m) from targets) - (select regr_slope(alpha, m) from targets) * m, 6) as resid from targets")
@@ -401,10 +436,23 @@ def l10_residualise(spark, d):
     return rounded(S.residualise(targets(spark, d), "alpha", "m").select("user_id", "resid"), "resid")
 
 
-@query()
+@query(f"with {TARGETS} select count(*) as n, round(corr(alpha, m), 6) as r, round(100 * corr(alpha, m) * corr(alpha, m), 6) as percent from targets")
+def l10_residual_report(spark, d):
+    return rounded(S.residual_report(targets(spark, d), "alpha", "m").drop("p"), "r", "percent")
+
+
+_MIXED = "select user_id, row_number() over (partition by user_id order by md5(event_id::varchar), event_id) - 1 as t, value - avg(value) over (partition by user_id) as x from events"
+_KNOWN = f"select user_id * 2 as k, t, x from ({_MIXED}) union all select user_id * 2 + 1 as k, t, sum(x) over (partition by user_id order by t rows unbounded preceding) as x from ({_MIXED})"
+
+
+@query("with " + _dfa_cte(_KNOWN, "k", USER_SCALES) + " select round(corr(alpha, h), 5) as r, round(avg(alpha - h), 5) as bias, round(regr_slope(alpha, h), 5) as slope, round(stddev_pop(alpha - h), 5) as resid_sd, corr(alpha, h) > 0.94 and abs(avg(alpha - h)) <= 0.02 and regr_slope(alpha, h) between 0.95 and 1.05 as passed from (select alpha, 0.5 + k % 2 as h from dfa)")
 def l11_calibration_report(spark, d):
-    a = S.dfa(arrays(spark, d), USER_SCALES).where("not isnan(alpha)").select(F.col("alpha").alias("h"), "samples")
-    return rounded(S.calibration_report(a, USER_SCALES), "r", "bias", "slope", "resid_sd")
+    """The estimator on series of known exponent: values in an order that a digest gives are white (0.5), their running sums 1.5."""
+    e = read(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.md5(F.col("event_id").cast("string")).alias("o"), "event_id", F.col("value").alias("v")))).alias("s"), F.avg("value").alias("m"))
+    white = e.select(F.transform("s", lambda s: s.v - F.col("m")).alias("samples"))
+    sums = F.aggregate("samples", F.array().cast("array<double>"), lambda a, x: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + x))
+    known = white.select(F.lit(0.5).alias("h"), "samples").union(white.select(F.lit(1.5).alias("h"), sums.alias("samples")))
+    return rounded(S.calibration_report(known, USER_SCALES), "r", "bias", "slope", "resid_sd", n=5)
 
 
 # --- encoder side -------------------------------------------------------------------------------------------------------
@@ -611,6 +659,11 @@ def x1_within_cohort(spark, d):
     return rounded(X.within_cohort(vectors(spark, d)), "auroc", n=4)
 
 
+@query()
+def x1_transfer_matrix(spark, d):
+    return rounded(X.transfer_matrix(vectors(spark, d), FAMILIES), "auroc", "lo", "hi", n=4)
+
+
 @query()
 def x2_transfer_statistics(spark, d):
     return rounded(X.transfer_statistics(vectors(spark, d), FAMILIES, primary=("both",)), "point", "median", "lo", "hi", n=4)
@@ -623,7 +676,7 @@ def x3_multi_cohort_transfer(spark, d):
 
 @query()
 def x4_site_probe(spark, d):
-    return rounded(X.site_probe(vectors(spark, d), "cohort", pcs=10), "mean", "sd", n=4)
+    return rounded(X.site_report(vectors(spark, d).drop("y"), "cohort"), "mean", "sd", "chance", "null", "excess", n=4)
 
 
 @query()
@@ -640,7 +693,7 @@ def _encoders(spark, d):
 @query()
 def x6_encoding_probe(spark, d):
     enc, t = _encoders(spark, d)
-    return rounded(X.best_probe(X.encoding_probe(enc, t, ["full", "short"], probes=PROBES)), "r2", n=4)
+    return rounded(X.best_probe(X.encoding_probe(enc, t, ["full", "short"], probes=PROBES), {"dfa": ("full", "short")}), "r2", n=4)
 
 
 @query()
@@ -660,4 +713,5 @@ def x9_sequence_recovery(spark, d):
     c = S.dfa(arrays(spark, d), USER_SCALES).where("not isnan(alpha)").select(F.col("recording_id").alias("subject_id"), F.col("samples").alias("pc1"))
     control = S.order_control(c, "pc1", USER_SCALES)
     t = targets(spark, d).select(F.col("user_id").alias("subject_id"), "alpha")
-    return rounded(X.sequence_recovery(control, t, "alpha"), "r", "p", n=4)
+    pooled = S.epoch(arrays(spark, d), 16).groupBy(F.col("recording_id").alias("subject_id")).agg(F.avg(F.array_max("samples")).alias("a"), F.avg(F.array_min("samples")).alias("b"), F.avg(F.col("samples")[0]).alias("c")).select("subject_id", F.array("a", "b", "c").alias("vec"))
+    return rounded(X.sequence_recovery(control, t, "alpha", pooled), "r", "p", "r2", "lo", "hi", n=4)

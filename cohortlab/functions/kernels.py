@@ -147,10 +147,10 @@ def welch(x: np.ndarray, sf: float, nperseg: int) -> tuple[np.ndarray, np.ndarra
 
 
 def band_power(freqs: np.ndarray, psd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(relative, absolute) power of each band, [rows, bands]; relative is 0 where there is none."""
+    """(relative, absolute) power of each band, [rows, bands]; relative to the whole spectrum, 0 where there is none."""
     absolute = np.stack([np.trapezoid(psd[:, on], freqs[on], axis=1) for lo, hi in BANDS.values() for on in [(freqs >= lo) & (freqs <= hi)]], axis=1)
-    total = absolute.sum(axis=1, keepdims=True)
-    return np.divide(absolute, total, out=np.zeros_like(absolute), where=total > 0), absolute
+    total = np.trapezoid(psd, freqs, axis=1)[:, None]
+    return np.divide(absolute, total, out=np.zeros_like(absolute), where=total != 0), absolute
 
 
 def hjorth(x: np.ndarray) -> np.ndarray:
@@ -174,7 +174,7 @@ def classical_vector(epoch: np.ndarray, sf: float) -> np.ndarray:
     freqs, psd = welch(epoch, sf, min(256, epoch.shape[1]))
     rel, absolute = band_power(freqs, psd)
     alpha, theta = absolute[:, 2], absolute[:, 1]
-    left = np.log(alpha[1::2].mean() + 1e-10) if len(alpha) > 1 else np.log(1e-10)
+    left = np.log((alpha[1::2].mean() if len(alpha) > 1 else 1e-10) + 1e-10)
     return np.concatenate([rel.reshape(-1), hjorth(epoch).reshape(-1), spectral_entropy(psd), [np.log(alpha[::2].mean() + 1e-10) - left], [theta[: min(4, len(theta))].mean()]])
 
 
@@ -325,29 +325,48 @@ def ridge_fit(x: np.ndarray, y: np.ndarray, alphas: np.ndarray) -> tuple[np.ndar
     return w, float(ym - mean @ w), float(best[1])
 
 
-def svc_rbf(x: np.ndarray, y: np.ndarray, gram: np.ndarray | None = None, c: float = 1.0, tol: float = 1e-3, steps: int = 20_000) -> tuple[np.ndarray, float, float]:
-    """(signed dual weights, bias, gamma) of a balanced-weight RBF SVM, by SMO on the most violating pair."""
-    gamma = 1 / (x.shape[1] * max(x.var(), 1e-12))
-    k = np.exp(-gamma * _sq(x, x)) if gram is None else gram
+def svc_rbf_many(gram: np.ndarray, idx: np.ndarray, y: np.ndarray, c: float = 1.0, tol: float = 1e-3, steps: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """(signed dual weights [fits, n], biases) of balanced-weight SVMs, all at once, by SMO on each one's most violating pair.
+
+    Fit r is on the rows idx[r] of the Gram matrix with labels y[r]. A fit that doesn't settle in `steps` steps is an error."""
     t = np.where(y == 1, 1.0, -1.0)
-    cap = c * len(y) / (2 * np.where(t > 0, max((t > 0).sum(), 1), max((t < 0).sum(), 1)))
-    a, grad = np.zeros(len(y)), -np.ones(len(y))
-    for _ in range(steps):
+    n = t.shape[1]
+    cap = c * n / (2 * np.where(t > 0, np.maximum((t > 0).sum(1, keepdims=True), 1), np.maximum((t < 0).sum(1, keepdims=True), 1)))
+    weights, bias = np.zeros(t.shape), np.zeros(len(t))
+    live, a, grad = np.arange(len(t)), np.zeros(t.shape), -np.ones(t.shape)
+    for _ in range(steps + 1):
         v = -t * grad
-        up, low = ((t > 0) & (a < cap - 1e-12)) | ((t < 0) & (a > 1e-12)), ((t < 0) & (a < cap - 1e-12)) | ((t > 0) & (a > 1e-12))
-        i, j = int(np.argmax(np.where(up, v, -np.inf))), int(np.argmin(np.where(low, v, np.inf)))
-        if v[i] - v[j] < tol:
-            break
-        step = (v[i] - v[j]) / max(k[i, i] + k[j, j] - 2 * k[i, j], 1e-12)
-        step = min(step, cap[i] - a[i] if t[i] > 0 else a[i], a[j] if t[j] > 0 else cap[j] - a[j])
-        a[i] += t[i] * step
-        a[j] -= t[j] * step
-        grad += t * step * (k[:, i] - k[:, j])
-    v = -t * grad
-    free = (a > 1e-9) & (a < cap - 1e-9)
-    up, low = ((t > 0) & (a < cap)) | ((t < 0) & (a > 0)), ((t < 0) & (a < cap)) | ((t > 0) & (a > 0))
-    bias = float(v[free].mean()) if free.any() else float((v[up].max(initial=0) + v[low].min(initial=0)) / 2)
-    return a * t, bias, gamma
+        high, some = a < cap - 1e-12, a > 1e-12
+        up, low = np.where(t > 0, high, some), np.where(t > 0, some, high)
+        r = np.arange(len(live))
+        i, j = np.where(up, v, -np.inf).argmax(axis=1), np.where(low, v, np.inf).argmin(axis=1)
+        gap = v[r, i] - v[r, j]
+        done = gap < tol
+        if done.any():
+            weights[live[done]] = (a * t)[done]
+            free = (a > 1e-9) & (a < cap - 1e-9)
+            mean = np.where(free, v, 0).sum(axis=1) / np.maximum(free.sum(axis=1), 1)
+            edge = (np.where(up, v, 0).max(axis=1) + np.where(low, v, 0).min(axis=1)) / 2
+            bias[live[done]] = np.where(free.any(axis=1), mean, edge)[done]
+            live, a, grad, t, cap, idx = (x[~done] for x in (live, a, grad, t, cap, idx))
+            if not len(live):
+                return weights, bias
+            r, i, j, gap = np.arange(len(live)), i[~done], j[~done], gap[~done]
+        own, other = idx[r, i], idx[r, j]
+        step = gap / np.maximum(gram[own, own] + gram[other, other] - 2 * gram[own, other], 1e-12)
+        step = np.minimum(step, np.where(t[r, i] > 0, cap[r, i] - a[r, i], a[r, i]))
+        step = np.minimum(step, np.where(t[r, j] > 0, a[r, j], cap[r, j] - a[r, j]))
+        a[r, i] += t[r, i] * step
+        a[r, j] -= t[r, j] * step
+        grad += t * step[:, None] * (gram[own[:, None], idx] - gram[other[:, None], idx])
+    raise RuntimeError("a support vector fit did not settle")
+
+
+def svc_rbf(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """(signed dual weights, bias, gamma) of one balanced-weight RBF SVM."""
+    gamma = 1 / (x.shape[1] * max(x.var(), 1e-12))
+    w, bias = svc_rbf_many(np.exp(-gamma * _sq(x, x)), np.arange(len(y))[None], np.asarray(y)[None])
+    return w[0], float(bias[0]), gamma
 
 
 def _sq(x: np.ndarray, z: np.ndarray) -> np.ndarray:
@@ -362,19 +381,60 @@ def svc_scores(train: np.ndarray, y: np.ndarray, test: np.ndarray) -> np.ndarray
     return np.exp(-gamma * _sq(z, x)) @ w + bias
 
 
-def kernel_ridge_fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> tuple[float, float]:
-    """(alpha, gamma) with the least squared error over inner folds; the grid is relative to the width."""
+def softmax_fit(x: np.ndarray, y: np.ndarray, classes: int, c: float = 1.0, rounds: int = 30) -> np.ndarray:
+    """[classes, features + 1] weights of a multinomial logistic regression, penalty 1 / 2c on all but intercepts, by Newton steps."""
+    z = np.hstack([x, np.ones((len(x), 1))])
+    n, d = z.shape
+    w = np.zeros((classes, d))
+    hot = np.eye(classes)[y]
+    penalty = np.tile(np.append(np.full(d - 1, 1 / c), 1e-9), classes)
+    for _ in range(rounds):
+        e = np.exp(z @ w.T - (z @ w.T).max(axis=1, keepdims=True))
+        p = e / e.sum(axis=1, keepdims=True)
+        grad = ((p - hot).T @ z).reshape(-1) + penalty * w.reshape(-1)
+        h = np.diag(penalty)
+        for a in range(classes):
+            for b in range(classes):
+                h[a * d : (a + 1) * d, b * d : (b + 1) * d] += (z * (p[:, a] * ((a == b) - p[:, b]))[:, None]).T @ z
+        step = np.linalg.lstsq(h, grad, rcond=None)[0]
+        w -= step.reshape(classes, d)
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def site_accuracy(x: np.ndarray, y: np.ndarray, fold: np.ndarray, pcs: int | None) -> float:
+    """Mean over folds of the balanced accuracy of a logistic site classifier on the rows' components."""
+    mean, sd = scaler(x)
+    x = (x - mean) / sd
+    if pcs is not None:
+        mean, axes = pca(x, max(1, min(pcs, x.shape[1], len(x) - 1)), False)
+        x = (x - mean) @ axes
+    out = []
+    for f in np.unique(fold):
+        i, o = fold != f, fold == f
+        mean, sd = scaler(x[i])
+        w = softmax_fit((x[i] - mean) / sd, y[i], int(y.max()) + 1)
+        got = np.hstack([(x[o] - mean) / sd, np.ones((o.sum(), 1))]) @ w.T
+        out.append(np.mean([(got.argmax(axis=1)[y[o] == c] == c).mean() for c in np.unique(y[o])]))
+    return float(np.mean(out))
+
+
+def kernel_ridge_fit(x: np.ndarray, y: np.ndarray, folds: int = 3) -> tuple[float, float]:
+    """(alpha, gamma) with the highest mean R2 over inner folds, which are stretches of rows; the grid is relative to the width."""
     d = x.shape[1]
-    best = (np.inf, 1.0, 1.0)
-    for g in (1 / (8 * d), 1 / (4 * d), 1 / (2 * d)):
-        k = np.exp(-g * _sq(x, x))
-        for a in (1.0, 10.0, 100.0, 1000.0):
-            err = 0.0
+    fold = np.repeat(np.arange(folds), [len(y) // folds + (f < len(y) % folds) for f in range(folds)])
+    best = (-np.inf, 1.0, 1.0)
+    for a in (1.0, 10.0, 100.0, 1000.0):
+        for g in (1 / (8 * d), 1 / (4 * d), 1 / (2 * d)):
+            k = np.exp(-g * _sq(x, x))
+            scores = []
             for f in np.unique(fold):
                 i, o = fold != f, fold == f
-                w = np.linalg.solve(k[np.ix_(i, i)] + a * np.eye(i.sum()), y[i] - y[i].mean())
-                err += ((k[np.ix_(o, i)] @ w + y[i].mean() - y[o]) ** 2).sum()
-            best = min(best, (float(err), a, g))
+                pred = k[np.ix_(o, i)] @ np.linalg.solve(k[np.ix_(i, i)] + a * np.eye(i.sum()), y[i])
+                scores.append(1 - ((pred - y[o]) ** 2).sum() / max(((y[o] - y[o].mean()) ** 2).sum(), 1e-300))
+            if np.mean(scores) > best[0]:
+                best = (float(np.mean(scores)), a, g)
     return best[1], best[2]
 
 

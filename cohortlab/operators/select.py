@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: fixed values: the montage in order, and old names of electrodes
 MONTAGE = ["FP1", "FP2", "F3", "F4", "C3", "C4", "P3", "P4", "O1", "O2", "F7", "F8", "T3", "T4", "T5", "T6", "FZ", "CZ", "PZ"]
+#: electrodes of a cap at most
+CAP = 4096
 ALIASES = {"T3": "T7", "T4": "T8", "T5": "P7", "T6": "P8", "A1": "M1", "A2": "M2"}
 
 
@@ -20,12 +22,12 @@ def normalise_channel(col: Column) -> Column:
 
 
 def resolve_alias(col: Column, known: list[str]) -> Column:
-    """The name if known, its alias, the first known part (or part's alias) of a compound name, else unchanged."""
+    """The alias if known, else the name if known, the first known part (as its alias) of a compound name, else unchanged."""
     table = F.create_map(*(F.lit(x) for kv in ALIASES.items() for x in kv))
     alias = lambda c: F.coalesce(F.try_element_at(table, c), c)
     up = F.upper(col)
     parts = F.transform(F.split(up, "-"), alias)
-    return F.when(up.isin(*known), up).when(alias(up).isin(*known), alias(up)).otherwise(F.coalesce(F.try_element_at(F.filter(parts, lambda x: x.isin(*known)), F.lit(1)), col))
+    return F.when(alias(up).isin(*known), alias(up)).when(up.isin(*known), up).otherwise(F.coalesce(F.try_element_at(F.filter(parts, lambda x: x.isin(*known)), F.lit(1)), col))
 
 
 def select_montage(signals: DataFrame, montage: list[str] = MONTAGE, rec: str = "recording_id", channel: str = "channel", order: str = "pos") -> DataFrame:
@@ -39,7 +41,9 @@ def select_montage(signals: DataFrame, montage: list[str] = MONTAGE, rec: str =
 
 
 def nearest_electrode(montage_pos: DataFrame, cap_pos: DataFrame) -> DataFrame:
-    """name -> nearest, dist: the closest label of the cap; ties go to the least ord. Both are lists of electrodes, bounded by hardware."""
+    """name -> nearest, dist: the closest label of the cap; ties go to the least ord. The cap is a list of electrodes: over CAP of them is an error."""
+    if cap_pos.limit(CAP + 1).count() > CAP:
+        raise ValueError(f"a cap has {CAP} electrodes at most")
     a = montage_pos.select(F.col("name"), *(F.col(c).alias(f"a{c}") for c in "xyz"))
     d = F.sqrt(sum(((F.col(f"a{c}") - F.col(c)) * (F.col(f"a{c}") - F.col(c)) for c in "xyz"), F.lit(0.0)))
     pairs = a.join(F.broadcast(cap_pos.select(F.col("name").alias("label"), "x", "y", "z", "ord")), F.lit(True))
@@ -65,15 +69,18 @@ def head_n(df: DataFrame, n: int, *order: str) -> DataFrame:
 
 
 def cap_sample(df: DataFrame, cap: int, seed: int, key: str) -> DataFrame:
-    """A seeded sample of `cap` rows without replacement, the same under any partitioning."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(cap).orderBy(key)
+    """A seeded sample of `cap` rows without replacement, by a digest of key and seed: the same under any partitioning."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(cap).orderBy(key)
 
 
-def balance_cohorts(df: DataFrame, cohort: str, *order: Column | str) -> DataFrame:
-    """Each cohort cut to the smallest one's size, by the given order; ranks are taken on keys, the payload isn't sorted twice."""
+def balance_cohorts(df: DataFrame, cohort: str, *order: Column | str, key: str = "subject_id") -> DataFrame:
+    """Each cohort cut to the smallest one's size, by the given order. Ranks are taken on keys alone; the rows follow by a semi-join."""
     least = df.groupBy(cohort).count().agg(F.min("count").alias("__cap"))
-    w = Window.partitionBy(cohort).orderBy(*order)
-    return df.withColumn("__r", F.row_number().over(w)).join(F.broadcast(least), F.col("__r") <= F.col("__cap")).drop("__r", "__cap")
+    cols = [F.expr(o) if isinstance(o, str) else o for o in order]
+    keys = df.select(cohort, key, *(c.alias(f"__o{i}") for i, c in enumerate(cols)))
+    w = Window.partitionBy(cohort).orderBy(*(f"__o{i}" for i in range(len(cols))))
+    kept = keys.withColumn("__r", F.row_number().over(w)).join(F.broadcast(least), F.col("__r") <= F.col("__cap")).select(key)
+    return df.join(kept, key, "left_semi")
 
 
 def finite_only(df: DataFrame, *cols: str) -> DataFrame:

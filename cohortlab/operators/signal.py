@@ -147,11 +147,39 @@ def dfa(signals: DataFrame, scales: list[int]) -> DataFrame:
     return _map_rows(signals, lambda x: K.dfa(x, scales), "samples", "__d", "array<double>").withColumns({"alpha": F.col("__d")[0], "r2": F.col("__d")[1]}).drop("__d")
 
 
+#: positions of a series that are summed up in one window
+STRETCH = 1 << 16
+
+
+def ranked(df: DataFrame, key: str, time: str, tie: str, x: str, stretch: int = STRETCH) -> DataFrame:
+    """key, t from 0, x: positions by (time, tie), a timestamp and a unique number.
+
+    A key's rows are ranked in stretches of time, about `stretch` rows each if they come evenly, and each stretch is
+    told the number of rows before it; so no task gets a whole key, however few keys there are."""
+    seconds = F.col(time).cast("timestamp").cast("double")
+    lo, hi, n = df.agg(F.min(seconds), F.max(seconds), F.count("*")).first()
+    width = max((hi - lo) * stretch / max(n, 1), 1e-6) if n else 1.0
+    rows = df.withColumn("__part", F.floor((seconds - F.lit(lo)) / width))
+    before = rows.groupBy(key, "__part").agg(F.count("*").alias("__n"))
+    before = before.withColumn("__before", F.sum("__n").over(Window.partitionBy(key).orderBy("__part")) - F.col("__n")).drop("__n")
+    local = F.row_number().over(Window.partitionBy(key, "__part").orderBy(time, tie)) - 1
+    return rows.withColumn("t", local).join(before, [key, "__part"]).select(key, (F.col("t") + F.col("__before")).alias("t"), F.col(x).alias("x"))
+
+
+def profile(long: DataFrame, key: str, stretch: int = STRETCH) -> DataFrame:
+    """key, t, n, p: running sums of x less its mean, of long series (key, t from 0, x); summed in stretches of t."""
+    rows = long.withColumn("__part", F.floor(F.col("t") / stretch))
+    part = rows.groupBy(key, "__part").agg(F.count("*").alias("c"), F.sum("x").alias("s"))
+    w = Window.partitionBy(key)
+    part = part.withColumns({"n": F.sum("c").over(w), "m": F.sum("s").over(w) / F.sum("c").over(w), "before": F.sum("s").over(w.orderBy("__part")) - F.col("s")})
+    local = F.sum("x").over(Window.partitionBy(key, "__part").orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
+    joined = rows.withColumn("__sum", local).join(part.drop("c", "s"), [key, "__part"])
+    return joined.select(key, "t", "n", (F.col("before") + F.col("__sum") - (F.col("t") + 1) * F.col("m")).alias("p"))
+
+
 def dfa_sql(long: DataFrame, key: str, scales: list[int]) -> DataFrame:
-    """key, alpha, r2 of long series (key, t from 0, x) by window sums and regression aggregates."""
-    every = Window.partitionBy(key)
-    prof = long.withColumn("x0", F.col("x") - F.avg("x").over(every)).withColumn("n", F.count("*").over(every))
-    prof = prof.withColumn("p", F.sum("x0").over(every.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)))
+    """key, alpha, r2 of long series (key, t from 0, x) by running sums and regression aggregates."""
+    prof = profile(long, key)
     cut = prof.withColumn("s", F.explode(F.array(*(F.lit(s) for s in scales)))).withColumn("seg", F.floor(F.col("t") / F.col("s")))
     m = F.floor(F.col("n") / F.col("s"))
     cut = cut.where((m >= 2) & (F.col("seg") < m))
@@ -215,11 +243,14 @@ def split_halves(signals: DataFrame, scales: list[int]) -> DataFrame:
     return signals
 
 
-def reliability(halves: DataFrame) -> DataFrame:
-    """n, r, spearman_brown, means and deviations of the halves."""
+def reliability(halves: DataFrame, fold: str) -> DataFrame:
+    """n, r, spearman_brown, means and deviations of the halves, and r2_cv: out-of-fold R2 of half 2 by OLS on half 1."""
+    from .stats import ols_cv, r2
+
     f = halves.where(~F.isnan("alpha_1") & ~F.isnan("alpha_2"))
     r = F.corr("alpha_1", "alpha_2")
-    return f.agg(F.count("*").alias("n"), r.alias("r"), (2 * r / (1 + r)).alias("spearman_brown"), *(g(f"alpha_{i}").alias(f"{n}_{i}") for i in (1, 2) for g, n in ((F.avg, "mean"), (F.stddev_pop, "sd"))))
+    ceiling = r2(ols_cv(f, "alpha_1", "alpha_2", fold), "alpha_2", "pred").select(F.col("r2").alias("r2_cv"))
+    return F.broadcast(ceiling).join(f.agg(F.count("*").alias("n"), r.alias("r"), (2 * r / (1 + r)).alias("spearman_brown"), *(g(f"alpha_{i}").alias(f"{n}_{i}") for i in (1, 2) for g, n in ((F.avg, "mean"), (F.stddev_pop, "sd")))), F.lit(True))
 
 
 def surrogate_controls(signals: DataFrame, sf: float, scales: list[int], seed: int, key: str = "recording_id") -> DataFrame:
@@ -245,6 +276,13 @@ def residualise(targets: DataFrame, y: str, x: str) -> DataFrame:
     return targets.join(F.broadcast(fit), F.lit(True)).withColumn("resid", F.col(y) - F.col("__a") - F.col("__b") * F.col(x)).drop("__a", "__b")
 
 
+def residual_report(targets: DataFrame, y: str, x: str) -> DataFrame:
+    """n, r, p and percent: what share of y's variance x takes away."""
+    from .stats import pearson
+
+    return pearson(targets.where(F.col(y).isNotNull() & F.col(x).isNotNull()), x, y).withColumn("percent", 100 * F.col("r") * F.col("r"))
+
+
 def calibration_report(df: DataFrame, scales: list[int], gate_r: float = 0.94) -> DataFrame:
     """df(h, samples) -> r, bias, slope, resid_sd, passed."""
     d = dfa(df, scales).where(~F.isnan("alpha"))
@@ -270,9 +308,10 @@ def patchify(df: DataFrame, col: str, patch: int = 200) -> DataFrame:
 
 
 def embed_epochs(epochs: DataFrame, encoder: Callable[[np.ndarray], np.ndarray], batch: int = 64, key: str = "recording_id") -> DataFrame:
-    """key, embedding, n_epochs: mean over epochs of a pluggable encoder; epochs(key, epoch_idx, x array<array<double>>).
+    """key, embedding, n_epochs, n_failed: mean over epochs of a pluggable encoder; epochs(key, epoch_idx, x array<array<double>>).
 
-    A batch that fails ends its subject, earlier batches count; a subject without any is dropped."""
+    A batch that fails ends its subject: earlier batches count, n_failed is the number of epochs that don't; a subject
+    without any is dropped."""
 
     def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, got = pdf.sort_values("epoch_idx"), []
@@ -282,9 +321,9 @@ def embed_epochs(epochs: DataFrame, encoder: Callable[[np.ndarray], np.ndarray],
             except Exception:
                 break
         rows = np.concatenate(got) if got else np.zeros((0, 1))
-        return pd.DataFrame({key: [k[0]], "embedding": [rows.mean(axis=0)], "n_epochs": [len(rows)]}) if len(rows) else pd.DataFrame({key: [], "embedding": [], "n_epochs": []})
+        return pd.DataFrame({key: [k[0]], "embedding": [rows.mean(axis=0)], "n_epochs": [len(rows)], "n_failed": [len(pdf) - len(rows)]}) if len(rows) else pd.DataFrame({key: [], "embedding": [], "n_epochs": [], "n_failed": []})
 
-    return epochs.groupBy(key).applyInPandas(run, f"{key} {epochs.schema[key].dataType.simpleString()}, embedding array<double>, n_epochs long")
+    return epochs.groupBy(key).applyInPandas(run, f"{key} {epochs.schema[key].dataType.simpleString()}, embedding array<double>, n_epochs long, n_failed long")
 
 
 def pool_tokens(tokens: DataFrame, key: list[str], vec: str = "vec") -> DataFrame:

@@ -58,30 +58,50 @@ def combat(long: DataFrame, batch: str) -> DataFrame:
     return long.join(eb.drop("n"), [batch, "feature"]).withColumn("v", out).drop("grand", "sd", "g", "d")
 
 
-def regimes(long: DataFrame, cohort: str) -> dict[str, DataFrame]:
-    """raw, persite_z and combat of one feature table; disease labels are used by none."""
-    return {"raw": long, "persite_z": persite_z(long, cohort), "combat": combat(long, cohort)}
+def regimes(long: DataFrame, cohort: str) -> tuple[dict[str, DataFrame | None], str | None]:
+    """(raw, persite_z and combat of one feature table, note); combat is None, and the note says why, if it fails."""
+    out: dict[str, DataFrame | None] = {"raw": long, "persite_z": persite_z(long, cohort)}
+    small = long.groupBy(cohort, "feature").agg(F.count("*").alias("n")).where("n < 2").limit(1).count()
+    note = "combat needs two rows of every cohort and feature" if small else None
+    out["combat"] = None if small else combat(long, cohort)
+    return out, note
+
+
+def standardised(df: DataFrame, vec: str, out: str, fitted_on: DataFrame | None = None) -> DataFrame:
+    """df with `out`: vec less the mean, over the population deviation (1 for constant features), of fitted_on or df."""
+    f = fit_scaler(long_vectors(df if fitted_on is None else fitted_on, [], vec))
+    one = f.agg(F.array_sort(F.collect_list(F.struct("feature", "mean", "scale"))).alias("__f"))  # one row as wide as a vector
+    return df.join(F.broadcast(one), F.lit(True)).withColumn(out, F.zip_with(vec, "__f", lambda v, g: (v - g["mean"]) / g["scale"])).drop("__f")
+
+
+#: features up to which axes come from their covariance; rows of a study whose vectors are wider, and of a cell that is one matrix
+WIDE, ROWS = 4096, 20_000
+
+
+def _bounded(df: DataFrame, most: int = ROWS) -> pd.DataFrame:
+    """df on the driver: one cell of a study, a row per subject. More rows than `most` are an error, not a sample."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"a cell of a study has {most} rows at most")
+    return df.toPandas()
 
 
 def pooled_pca(df: DataFrame, k: int, vec: str = "vec", whiten: bool = False, key: str = "subject_id") -> DataFrame:
     """key, pcs: scores after standardising. Axes come from pyspark.ml where features are few, else from the rows' Gram matrix."""
-    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     d = df.select(F.size(vec)).first()[0]
     n = df.count()
     k = max(1, min(k, n - 1, d))
-    if d <= 4096:
-        x = df.select("*", array_to_vector(F.col(vec).cast("array<double>")).alias("__v"))
-        x = StandardScaler(withMean=True, inputCol="__v", outputCol="__z").fit(x).transform(x)
-        model = PCA(k=k, inputCol="__z", outputCol="__p").fit(x)
-        out = model.transform(x).withColumn("pcs", vector_to_array("__p"))
+    if d <= WIDE:
+        x = standardised(df, vec, "__z").withColumn("__z", array_to_vector("__z"))
+        out = PCA(k=k, inputCol="__z", outputCol="__p").fit(x).transform(x).withColumn("pcs", vector_to_array("__p"))
         if whiten:
             sd = out.select(F.posexplode("pcs").alias("i", "v")).groupBy("i").agg(F.stddev_samp("v").alias("s")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda t: t.s).alias("sds"))
             out = out.join(F.broadcast(sd), F.lit(True)).withColumn("pcs", F.zip_with("pcs", "sds", lambda a, b: a / F.when(b > 0, b).otherwise(1.0))).drop("sds")
-        return out.drop("__v", "__z", "__p")
-    # wide vectors of one study: features are blocked, each block gives its part of the n x n Gram matrix
-    ids = df.select(key).orderBy(key).toPandas()[key].to_list()
+        return out.drop("__z", "__p")
+    # wide vectors of one study: features are blocked, each block gives its part of the n x n Gram matrix, entries are summed in Spark
+    ids = _bounded(df.select(key).orderBy(key))[key].to_list()
     number = {v: i for i, v in enumerate(ids)}
     spread = df.sparkSession.sparkContext.broadcast(number)
     blocks = df.select(key, F.posexplode(vec).alias("f", "v")).withColumn("b", F.floor(F.col("f") / 512))
@@ -91,11 +111,12 @@ def pooled_pca(df: DataFrame, k: int, vec: str = "vec", whiten: bool = False, ke
         m[pdf[key].map(spread.value).to_numpy(), pdf["f"].to_numpy() % 512] = pdf["v"].to_numpy()
         mean, sd = K.scaler(m)
         z = (m - mean) / sd
-        return pd.DataFrame({"g": [(z @ z.T).astype("<f8").tobytes()]})
+        return pd.DataFrame({"i": np.arange(len(m)), "row": list(z @ z.T)})
 
+    rows = blocks.groupBy("b").applyInPandas(gram, "i int, row array<double>").select("i", F.posexplode("row").alias("j", "g"))
     total = np.zeros((n, n))
-    for r in blocks.groupBy("b").applyInPandas(gram, "g binary").toLocalIterator():
-        total += np.frombuffer(r["g"], "<f8").reshape(n, n)
+    for r in rows.groupBy("i", "j").agg(F.sum("g").alias("g")).groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "g"))), lambda t: t.g).alias("row")).toLocalIterator():
+        total[r["i"]] = r["row"]
     val, axes = np.linalg.eigh(total)
     order = np.argsort(-val)[:k]
     scores = axes[:, order] * (np.sqrt(n - 1) if whiten else np.sqrt(np.maximum(val[order], 0)))
@@ -117,9 +138,13 @@ def _replicates(df: DataFrame, n: int, per_task: int = 50) -> DataFrame:
     return spark.range(0, n, 1, max(1, -(-n // per_task)))
 
 
+#: rows of a table of scores, two numbers each, that is drawn from
+CELL = 1_000_000
+
+
 def bootstrap_table(scores: DataFrame, n: int, seed: int, metric: Callable[[np.ndarray, np.ndarray], float] = K.auroc, least_classes: int = 2) -> DataFrame:
     """rep, value of a metric over bootstrap draws of scores(score, y), one cell's table; draws with one class are discarded."""
-    pdf = scores.select("score", "y").orderBy("score", "y").toPandas()
+    pdf = _bounded(scores.select("score", "y").orderBy("score", "y"), CELL)
     spread = scores.sparkSession.sparkContext.broadcast((pdf["score"].to_numpy(float), pdf["y"].to_numpy(float)))
 
     def run(batches):
@@ -143,60 +168,66 @@ def bootstrap_r2(pred: DataFrame, n: int = 2000, seed: int = 0) -> DataFrame:
     return bootstrap_table(pred, n, seed, metric=r2_score)
 
 
-def transfer_cell(train: DataFrame, test: DataFrame, n_boot: int = 300, n_perm: int = 1000, seed: int = 0, vec: str = "vec") -> DataFrame:
-    """rep, kind (point, resample, null), value: AUROC of an RBF SVM trained on one cohort and tested on another.
+def transfer_cells(df: DataFrame, pairs: list[tuple[str, str]], n_boot: int = 300, n_perm: int = 1000, seed: int = 0, cohort: str = "cohort", vec: str = "vec", together: int = 50) -> DataFrame:
+    """direction, rep, kind (point, resample, null), value: AUROC of an RBF SVM trained on one cohort and tested on another.
 
-    Resamples draw both sides, the train side by class, and redraw one-class test draws; nulls permute train labels.
-    The Gram matrices of a cell are made once per task and indexed by each replicate."""
+    df(cohort, y, vec) is one study; a train side 'rest' is all cohorts but the tested one. Resamples draw both sides,
+    the train side by class, and redraw one-class test draws; nulls permute train labels. Replicates of all pairs are
+    rows of one job; `together` of them are fitted at once on the Gram matrix of their pair."""
+    pdf = _bounded(df.select(F.col(cohort).alias("cohort"), "y", vec).orderBy(F.xxhash64(vec), "y"))
     sides = []
-    for df in (train, test):
-        pdf = df.select(vec, "y").orderBy(F.xxhash64(vec), "y").toPandas()
-        sides.append((np.stack(pdf[vec].to_list()).astype(float) if len(pdf) else np.zeros((0, 1)), pdf["y"].to_numpy(int)))
-    spread = train.sparkSession.sparkContext.broadcast(sides)
-
-    def run(batches):
-        (x, y), (z, t) = spread.value
+    for a, b in pairs:
+        on = pdf["cohort"] != b if a == "rest" else pdf["cohort"] == a
+        cell = [(np.stack(p[vec].to_list()).astype(float), p["y"].to_numpy(int)) if len(p) else (np.zeros((0, 1)), np.zeros(0, int)) for p in (pdf[on], pdf[pdf["cohort"] == b])]
+        if any(len(set(y)) < 2 for _, y in cell):
+            raise ValueError(f"a transfer cell needs both classes on both sides: {a} to {b}")
+        sides.append(cell)
+    spread = df.sparkSession.sparkContext.broadcast(sides)
+    each = 1 + n_boot + n_perm
+    names = [f"{a}>{b}" for a, b in pairs]
+
+    def fits(cell: int, reps: np.ndarray) -> list[tuple]:
+        (x, y), (z, t) = spread.value[cell]
         mean, sd = K.scaler(x)
         x, z = (x - mean) / sd, (z - mean) / sd
         gamma = 1 / (x.shape[1] * max(x.var(), 1e-12))
         own, cross = np.exp(-gamma * K._sq(x, x)), np.exp(-gamma * K._sq(z, x))
-
-        def auc(i, labels, o):
-            w, bias, _ = K.svc_rbf(x[i], labels, gram=own[np.ix_(i, i)])
-            return K.auroc(cross[np.ix_(o, i)] @ w + bias, t[o])
-
-        every, all_test = np.arange(len(y)), np.arange(len(t))
-        for b in batches:
-            rows = []
-            for rep in b["id"]:
-                rng = np.random.default_rng([seed, int(rep)])
-                if rep == 0:
-                    rows.append((int(rep), "point", auc(every, y, all_test)))
-                elif rep <= n_boot:
+        every, all_test, out = np.arange(len(y)), np.arange(len(t)), []
+        for at in range(0, len(reps), together):
+            idx, labels, tests, kinds = [], [], [], []
+            for rep in reps[at : at + together]:
+                rng = np.random.default_rng([seed, cell, int(rep)])
+                i, lab, o = every, y, all_test
+                if 0 < rep <= n_boot:
                     i = np.concatenate([rng.choice(every[y == c], (y == c).sum()) for c in (0, 1)])
-                    o = rng.choice(all_test, len(t))
+                    lab, o = y[i], rng.choice(all_test, len(t))
                     while len(np.unique(t[o])) < 2:
                         o = rng.choice(all_test, len(t))
-                    rows.append((int(rep), "resample", auc(i, y[i], o)))
-                else:
-                    rows.append((int(rep), "null", auc(every, rng.permutation(y), all_test)))
-            yield pd.DataFrame(rows, columns=["rep", "kind", "value"])
+                elif rep:
+                    lab = rng.permutation(y)
+                idx.append(i), labels.append(lab), tests.append(o), kinds.append("point" if rep == 0 else "resample" if rep <= n_boot else "null")
+            w, bias = K.svc_rbf_many(own, np.stack(idx), np.stack(labels))
+            out += [(names[cell], int(rep), kind, K.auroc(cross[np.ix_(o, i)] @ w[r] + bias[r], t[o])) for r, (rep, kind, i, o) in enumerate(zip(reps[at : at + together], kinds, idx, tests, strict=True))]
+        return out
 
-    if len(set(sides[0][1])) < 2 or len(set(sides[1][1])) < 2:
-        raise ValueError("a transfer cell needs both classes on both sides")
-    return _replicates(train, 1 + n_boot + n_perm).mapInPandas(run, "rep long, kind string, value double")
+    def run(batches):
+        for b in batches:
+            ids = b["id"].to_numpy()
+            for cell in np.unique(ids // each):
+                yield pd.DataFrame(fits(int(cell), ids[ids // each == cell] % each), columns=["direction", "rep", "kind", "value"])
 
+    return _replicates(df, len(pairs) * each, 4 * together).mapInPandas(run, "direction string, rep long, kind string, value double")
 
-def cell_summary(cell: DataFrame) -> DataFrame:
-    """point, median, lo, hi, p_above, p_below of a cell's replicates; p-values are add-one smoothed."""
+
+def cell_summary(cells: DataFrame, by: str = "direction") -> DataFrame:
+    """by, point, median, lo, hi, p_above, p_below of each cell's replicates; p-values are add-one smoothed."""
     of = lambda k: F.when(F.col("kind") == k, F.col("value"))
     q = F.percentile(of("resample"), F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
-    p = cell.where("kind = 'point'").select(F.col("value").alias("__p"))
-    joined = cell.join(F.broadcast(p), F.lit(True))
+    p = cells.where("kind = 'point'").select(by, F.col("value").alias("__p"))
     null = F.col("kind") == "null"
     n = F.count_if(null)
-    got = joined.agg(F.max("__p").alias("point"), q.alias("q"), ((1 + F.count_if(null & (F.col("value") >= F.col("__p")))) / (n + 1)).alias("p_above"), ((1 + F.count_if(null & (F.col("value") <= F.col("__p")))) / (n + 1)).alias("p_below"))
-    return got.select("point", F.col("q")[1].alias("median"), F.col("q")[0].alias("lo"), F.col("q")[2].alias("hi"), "p_above", "p_below")
+    got = cells.join(F.broadcast(p), by).groupBy(by).agg(F.max("__p").alias("point"), q.alias("q"), ((1 + F.count_if(null & (F.col("value") >= F.col("__p")))) / (n + 1)).alias("p_above"), ((1 + F.count_if(null & (F.col("value") <= F.col("__p")))) / (n + 1)).alias("p_below"))
+    return got.select(by, "point", F.col("q")[1].alias("median"), F.col("q")[0].alias("lo"), F.col("q")[2].alias("hi"), "p_above", "p_below")
 
 
 def percentile_ci(df: DataFrame, col: str, *by: str) -> DataFrame:
@@ -271,7 +302,11 @@ def ols_cv(df: DataFrame, x: str, y: str, fold: str = "fold") -> DataFrame:
 
 def pearson(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
     """n, r and two-sided p."""
-    p = F.udf(lambda r, n: None if r is None else float(K.pearson_p(r, n)), "double")  # one call per group
+
+    @F.pandas_udf("double")
+    def p(r: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(x) else float(K.pearson_p(x, k)) for x, k in zip(r, n, strict=True)], dtype=float)
+
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.corr(x, y).alias("r")).withColumn("p", p("r", "n"))
 
 
@@ -279,7 +314,9 @@ def pearson(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
 
 
 def _per_fold(df: DataFrame, k: int, fit: Callable, key: str, vec: str, y: str) -> DataFrame:
-    """key, fold, y, pred: out-of-fold predictions; the rows of a study are dealt to k tasks, one per held-out fold."""
+    """key, fold, y, pred: out-of-fold predictions; the rows of a study, ROWS at most, are dealt to k tasks, one per held-out fold."""
+    if df.limit(ROWS + 1).count() > ROWS:
+        raise ValueError(f"a cell of a study has {ROWS} rows at most")
     wide = df.select(key, vec, F.col(y).cast("double").alias("y"), "fold").withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -316,9 +353,8 @@ def ridge_cv(df: DataFrame, k: int = 5, alphas: np.ndarray | None = None, reduce
 def kernel_ridge_cv(df: DataFrame, k: int = 5, key: str = "subject_id", vec: str = "vec", y: str = "y") -> DataFrame:
     def fit(x, t, z):
         x, z = _reduce(x, z, True)
-        a, g = K.kernel_ridge_fit(x, t, np.arange(len(t)) % 3)
-        w = np.linalg.solve(np.exp(-g * K._sq(x, x)) + a * np.eye(len(t)), t - t.mean())
-        return np.exp(-g * K._sq(z, x)) @ w + t.mean()
+        a, g = K.kernel_ridge_fit(x, t)
+        return np.exp(-g * K._sq(z, x)) @ np.linalg.solve(np.exp(-g * K._sq(x, x)) + a * np.eye(len(t)), t)
 
     return _per_fold(df, k, fit, key, vec, y)
 
@@ -327,32 +363,46 @@ def svc_cv(df: DataFrame, k: int = 5, key: str = "subject_id", vec: str = "vec",
     return _per_fold(df, k, lambda x, t, z: K.svc_scores(x, t.astype(int), z), key, vec, y)
 
 
-def tree_cv(df: DataFrame, kind: str, k: int = 5, key: str = "subject_id", vec: str = "vec", y: str = "y", seed: int = 0, trees: int | None = None) -> DataFrame:
-    """Boosted trees ('gbt': depth 3, 300 rounds) or a random forest ('forest': 400 trees, depth 6, leaves of 5), out of fold."""
+def tree_cv(df: DataFrame, kind: str, k: int = 5, key: str = "subject_id", vec: str = "vec", y: str = "y", seed: int = 0, trees: int | None = None, pcs: int | None = 50) -> DataFrame:
+    """Boosted trees ('gbt': depth 3, 300 rounds) or a random forest ('forest': 400 trees, depth 6, leaves of 5), out of fold.
+
+    Trees are on principal components of the training part (pcs=None: on the features). Boosting stops early, by a tenth
+    of the training part, if that part has 60 rows or more; pyspark.ml has no L2 on leaves."""
+    from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
-    x = df.select(key, "fold", F.col(y).cast("double").alias("y"), array_to_vector(F.col(vec).cast("array<double>")).alias("features")).cache()
-    model = GBTRegressor(labelCol="y", maxDepth=3, maxIter=trees or 300, seed=seed) if kind == "gbt" else RandomForestRegressor(labelCol="y", maxDepth=6, numTrees=trees or 400, minInstancesPerNode=5, seed=seed)
+    x = df.select(key, "fold", F.col(y).cast("double").alias("y"), F.col(vec).cast("array<double>").alias("raw"))
+    d, n = x.select(F.size("raw")).first()[0], x.count()
+    stops = kind == "gbt" and n * 4 // 5 >= 60
     out = None
     for f in range(k):
-        got = model.fit(x.where(F.col("fold") != f)).transform(x.where(F.col("fold") == f)).select(key, "fold", "y", F.col("prediction").alias("pred"))
+        train = x.where(F.col("fold") != f)
+        z = standardised(x, "raw", "z", train).withColumn("z", array_to_vector("z")).withColumn("check", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(10)) == 0)
+        if pcs is not None:
+            z = PCA(k=max(2, min(pcs, d, n * 4 // 5 - 2)), inputCol="z", outputCol="features").fit(z.where(F.col("fold") != f)).transform(z)
+        else:
+            z = z.withColumnRenamed("z", "features")
+        if kind == "gbt":
+            model = GBTRegressor(labelCol="y", maxDepth=3, maxIter=trees or 300, seed=seed, **({"validationIndicatorCol": "check"} if stops else {}))
+        else:
+            model = RandomForestRegressor(labelCol="y", maxDepth=6, numTrees=trees or 400, minInstancesPerNode=5, seed=seed)
+        got = model.fit(z.where(F.col("fold") != f)).transform(z.where(F.col("fold") == f)).select(key, "fold", "y", F.col("prediction").alias("pred"))
         out = got if out is None else out.unionByName(got)
     return out
 
 
 def site_classifier(df: DataFrame, k: int = 5, vec: str = "vec", y: str = "y", key: str = "subject_id") -> DataFrame:
     """Out-of-fold site predictions of a logistic regression, C = 1, standardised on the training part."""
-    from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler
     from pyspark.ml.functions import array_to_vector
 
-    x = df.select(key, "fold", F.col(y).cast("double").alias("y"), array_to_vector(F.col(vec).cast("array<double>")).alias("raw")).cache()
+    x = df.select(key, "fold", F.col(y).cast("double").alias("y"), F.col(vec).cast("array<double>").alias("raw"))
     out = None
     for f in range(k):
         train = x.where(F.col("fold") != f)
-        model = Pipeline(stages=[StandardScaler(withMean=True, inputCol="raw", outputCol="features"), LogisticRegression(labelCol="y", maxIter=200, regParam=1 / max(train.count(), 1), standardization=False)]).fit(train)
-        got = model.transform(x.where(F.col("fold") == f)).select(key, "fold", "y", F.col("prediction").alias("pred"))
+        z = standardised(x, "raw", "features", train).withColumn("features", array_to_vector("features"))
+        model = LogisticRegression(labelCol="y", maxIter=2000, regParam=1 / max(train.count(), 1), standardization=False).fit(z.where(F.col("fold") != f))
+        got = model.transform(z.where(F.col("fold") == f)).select(key, "fold", "y", F.col("prediction").alias("pred"))
         out = got if out is None else out.unionByName(got)
     return out

@@ -42,7 +42,7 @@ def labels_from_path(df: DataFrame, path: str, pos_groups: list[str], neg_groups
     )
 
 
-def unify_embeddings(df: DataFrame, names: tuple[str, ...] = ("embedding", "reve_embedding", "mean_embed")) -> DataFrame:
+def unify_embeddings(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """One `embedding` array<double>: the first that isn't null of the columns in names that exist."""
     found = [F.col(n).cast("array<double>") for n in names if n in df.columns]
     return df.withColumn("embedding", F.coalesce(*found)).drop(*(n for n in names if n != "embedding"))
@@ -53,8 +53,8 @@ def explode_encoders(df: DataFrame, nested: str) -> DataFrame:
     return df.select(F.explode(nested).alias("encoder", "m")).select("encoder", F.explode("m").alias("subject_id", "embedding")).withColumn("embedding", F.col("embedding").cast("array<double>"))
 
 
-def read_embeddings(spark: SparkSession, path: str, encoder: str | None = None) -> DataFrame:
-    df = unify_embeddings(spark.read.parquet(path))
+def read_embeddings(spark: SparkSession, path: str, names: tuple[str, ...] = ("embedding",), encoder: str | None = None) -> DataFrame:
+    df = unify_embeddings(spark.read.parquet(path), names)
     return df if encoder is None else df.where(F.col("encoder") == encoder)
 
 
