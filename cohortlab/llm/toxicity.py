@@ -2,7 +2,8 @@
 
 The models are fitted on a bounded sample of labelled documents; the probabilities that a later model is trained with
 are out of fold, so that they look like those it meets on new documents. Features are words (present or not) chosen by
-a chi-square test on the training part alone, and a few figures of the text's shape. Every document is scored whole.
+a chi-square test on the training part alone, and a few figures of the text's shape. Words are counted and chosen in
+Spark; only the chosen ones of the sample's rows come to the driver. Every document is scored whole.
 """
 
 from __future__ import annotations
@@ -11,10 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ids_text, rows_where, shingle_hashes, text_buffers, text_slices, word_hashes
+from .common import ids_text, materialise, rows_where, shingle_hashes, text_buffers, text_slices, word_hashes
 
 #: labelled documents in the sample at most; words chosen per category at most; folds; ridge penalty
 MAX_TRAIN, MAX_WORDS, FOLDS, RIDGE = 12_000, 256, 4, 2.0
@@ -40,20 +41,6 @@ def shape_features(col: pa.Array, words: np.ndarray, off: np.ndarray) -> np.ndar
     return np.stack([np.log1p(n), np.log1p(total / np.maximum(n, 1)), share(upper), share(digit), share(punct), distinct], axis=1)
 
 
-def _chosen(row: np.ndarray, word: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
-    """Words, at least 5 rows each, whose presence depends on y by chi-square over 15; the strongest `most`, sorted."""
-    vocabulary, inv = np.unique(word, return_inverse=True)
-    df = np.bincount(inv, minlength=len(vocabulary))
-    pos = np.bincount(inv, y[row], len(vocabulary))
-    n, p = len(y), y.mean()
-    expected = df * p
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi = (pos - expected) ** 2 * n / (df * (n - df) * p * (1 - p) / n) / n
-    chi = np.where((df >= 5) & np.isfinite(chi), chi, 0)
-    best = np.argsort(-chi, kind="stable")[:most]
-    return np.sort(vocabulary[best[chi[best] > 15]])
-
-
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 12) -> np.ndarray:
     """Ridge logistic regression by Newton steps; the last weight is the intercept, which isn't penalised."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -92,10 +79,9 @@ class Link:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _fit(row: np.ndarray, word: np.ndarray, dense: np.ndarray, y: np.ndarray, most: int) -> Link:
+def _fit(row: np.ndarray, word: np.ndarray, dense: np.ndarray, y: np.ndarray, words: np.ndarray) -> Link:
     if y.sum() < 2 or (1 - y).sum() < 2:
         return Link(np.zeros(0, np.uint64), np.zeros(0), float(y.mean()) if len(y) else 0.0)
-    words = _chosen(row, word, y, most)
     x = np.zeros((len(y), len(words) + dense.shape[1]))
     if len(words):
         at = np.minimum(np.searchsorted(words, word), len(words) - 1)
@@ -125,12 +111,13 @@ class Chain:
         return np.stack(out, axis=1)
 
 
-def fit_chain(categories: list[str], off: np.ndarray, words: np.ndarray, shape: np.ndarray, y: np.ndarray, fold: np.ndarray, most: int = MAX_WORDS) -> Chain:
-    """words: distinct hashes of each row, by off; y: [rows, categories] of 0 and 1; fold: of each row."""
-    row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+def fit_chain(categories: list[str], row: np.ndarray, words: np.ndarray, shape: np.ndarray, y: np.ndarray, fold: np.ndarray, chosen: dict[tuple[int, int], np.ndarray]) -> Chain:
+    """words: distinct chosen hashes, each with its row; y: [rows, categories] of 0 and 1; fold: of each row; chosen: sorted
+    words of each category and held-out fold, -1 for none held out."""
     centre = shape.mean(axis=0) if len(shape) else np.zeros(SHAPE)
     scale = np.where(shape.std(axis=0) > 1e-9, shape.std(axis=0), 1.0) if len(shape) else np.ones(SHAPE)
     chain = Chain(categories, [], centre, scale)
+    none = np.zeros(0, np.uint64)
     seen = chain.dense(shape) if len(shape) else shape.reshape(0, SHAPE)
     for j in range(len(categories)):
         target = y[:, j].astype(float)
@@ -139,45 +126,81 @@ def fit_chain(categories: list[str], off: np.ndarray, words: np.ndarray, shape:
             inside = fold != k
             number = np.cumsum(inside) - 1
             on = inside[row]
-            part = _fit(number[row[on]], words[on], seen[inside], target[inside], most)
+            part = _fit(number[row[on]], words[on], seen[inside], target[inside], chosen.get((j, int(k)), none))
             on = ~inside[row]
             oof[~inside] = part.scores((np.cumsum(~inside) - 1)[row[on]], words[on], seen[~inside])
-        chain.links.append(_fit(row, words, seen, target, most))
+        chain.links.append(_fit(row, words, seen, target, chosen.get((j, -1), none)))
         seen = np.hstack([seen, oof[:, None]])
     return chain
 
 
+def choose_words(sample: DataFrame, categories: int, most: int = MAX_WORDS) -> DataFrame:
+    """category, fold, word: the words of sample(words, fold, y0, y1, ...) that tell a category, learned without that fold (-1: with all).
+
+    A word counts that is in 5 rows at least and whose presence depends on the category by chi-square over 15; of
+    these the strongest `most`. Words are counted once, by fold and category; the rest works on the counts."""
+    ys = [f"y{j}" for j in range(categories)]
+    each = sample.select(F.explode("words").alias("word"), "fold", *ys).groupBy("word", "fold").agg(F.count("*").alias("df"), *(F.sum(y).alias(y) for y in ys))
+    size = sample.groupBy("fold").agg(F.count("*").alias("n"), *(F.sum(y).alias(f"n{y}") for y in ys))
+    folds = F.explode(F.sequence(F.lit(-1), F.lit(FOLDS - 1))).alias("held")
+    without = lambda t: t.select("*", folds).where("held != fold")
+    words = without(each).groupBy("word", "held").agg(F.sum("df").alias("df"), *(F.sum(y).alias(y) for y in ys)).where("df >= 5")
+    sizes = without(size).groupBy("held").agg(F.sum("n").alias("n"), *(F.sum(f"n{y}").alias(f"n{y}") for y in ys))  # one row a fold
+    found = words.join(F.broadcast(sizes), "held")
+    cells = F.explode(F.array(*(F.struct(F.lit(j).alias("category"), F.col(y).alias("pos"), F.col(f"n{y}").alias("of")) for j, y in enumerate(ys))))
+    found = found.select("word", "held", "df", "n", cells.alias("c")).select("word", "held", "df", "n", "c.*")
+    p = F.col("of") / F.col("n")
+    chi = (F.col("pos") - F.col("df") * p) * (F.col("pos") - F.col("df") * p) / (F.col("df") * (1 - F.col("df") / F.col("n")) * p * (1 - p))
+    found = found.where((F.col("df") < F.col("n")) & (F.col("of") > 0) & (F.col("of") < F.col("n"))).withColumn("chi", chi).where("chi > 15")
+    order = Window.partitionBy("category", "held").orderBy(F.col("chi").desc(), "word")
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("category", F.col("held").alias("fold"), "word")
+
+
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], max_train: int = MAX_TRAIN) -> Chain:
     """Fits the chain on at most max_train labelled documents, those with the least hash of their id.
 
     Texts with the same least 5-word shingle hash count once, so that a group of copies doesn't outweigh the rest, and
-    folds are made of those hashes. Null labels count as 0; several labels of one id: the largest."""
-    names = ["doc_id", "words", "shape", "least", *(f"y{i}" for i in range(len(categories)))]
-    marks = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), *(F.coalesce(c.cast("int"), F.lit(0)).alias(f"y{i}") for i, c in enumerate(categories.values())))
-    marks = marks.groupBy("doc_id").agg(*(F.max(f"y{i}").alias(f"y{i}") for i in range(len(categories))))
+    folds are made of those hashes. Null labels count as 0; several labels of one id: the largest. To the driver come
+    at most MAX_WORDS words for each category and fold, and of each row those of these words that it has."""
+    ys = [f"y{i}" for i in range(len(categories))]
+    marks = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), *(F.coalesce(c.cast("int"), F.lit(0)).alias(y) for c, y in zip(categories.values(), ys, strict=True)))
+    marks = marks.groupBy("doc_id").agg(*(F.max(y).alias(y) for y in ys))
     sample = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     # at most max_train rows
     rows = ids_text(docs).join(F.broadcast(sample), "doc_id")
 
     def run(batches):
-        for b in batches:
-            col = b.column("text")
-            words, off = word_hashes(col, punctuation=True)
-            shape = shape_features(col, words, off)
-            least = np.zeros(len(off) - 1, np.uint64)
-            sh, so = shingle_hashes(words, off, 5)
-            some = np.diff(so) > 0
-            if some.any():
-                least[some] = np.minimum.reduceat(sh, so[:-1][some])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([np.unique(words[x:y]).tobytes() for x, y in zip(off[:-1], off[1:], strict=True)], pa.binary()), pa.array([s.tobytes() for s in shape], pa.binary()), pa.array(least.view(np.int64)), *(b.column(y) for y in names[4:])], names)
-
-    got = rows.mapInArrow(run, "doc_id long, words binary, shape binary, least long, " + ", ".join(f"{y} int" for y in names[4:])).orderBy("doc_id", "least").toPandas().drop_duplicates("least")
-    parts = [np.frombuffer(w, np.uint64) for w in got["words"]]
-    off = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-    shape = np.frombuffer(b"".join(got["shape"]), float).reshape(len(got), SHAPE)
-    y = got[names[4:]].to_numpy(np.int64)
-    fold = got["least"].to_numpy(np.int64) % FOLDS
-    return fit_chain(list(categories), off, np.concatenate([np.zeros(0, np.uint64), *parts]), shape, y, fold)
+        for whole in batches:
+            for b in text_slices(whole):
+                col = b.column("text")
+                words, off = word_hashes(col, punctuation=True)
+                shape = shape_features(col, words, off)
+                least = np.zeros(len(off) - 1, np.uint64)
+                sh, so = shingle_hashes(words, off, 5)
+                some = np.diff(so) > 0
+                if some.any():
+                    least[some] = np.minimum.reduceat(sh, so[:-1][some])
+                each = [np.unique(words[x:y]).view(np.int64) for x, y in zip(off[:-1], off[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(each, pa.list_(pa.int64())), pa.array(list(shape), pa.list_(pa.float64())), pa.array(least.view(np.int64)), *(b.column(y) for y in ys)], ["doc_id", "words", "shape", "least", *ys])
+
+    made = rows.mapInArrow(run, "doc_id long, words array<long>, shape array<double>, least long, " + ", ".join(f"{y} int" for y in ys))
+    first = Window.partitionBy("least").orderBy("doc_id", F.xxhash64("words"))
+    made = made.withColumn("n", F.row_number().over(first)).where("n = 1").withColumn("fold", F.pmod("least", F.lit(FOLDS)).cast("int")).drop("n")
+    made = materialise(made, "sample")
+    wanted = choose_words(made, len(ys)).collect()
+    chosen = {}
+    for r in wanted:
+        chosen.setdefault((r["category"], r["fold"]), []).append(r["word"])
+    chosen = {k: np.sort(np.array(v, np.int64).view(np.uint64)) for k, v in chosen.items()}
+    every = docs.sparkSession.createDataFrame([(w,) for w in sorted({r["word"] for r in wanted})], "word long")
+    held = made.select("least", F.explode("words").alias("word")).join(F.broadcast(every), "word").groupBy("least").agg(F.collect_list("word").alias("held"))
+    got = made.drop("words").join(held, "least", "left").orderBy("doc_id", "least").collect()
+    parts = [np.array(r["held"] or [], np.int64) for r in got]
+    row = np.repeat(np.arange(len(got)), [len(x) for x in parts])
+    words = np.concatenate([np.zeros(0, np.int64), *parts]).view(np.uint64)
+    shape = np.array([r["shape"] for r in got], float).reshape(len(got), SHAPE)
+    y = np.array([[r[c] for c in ys] for r in got], np.int64).reshape(len(got), len(ys))
+    return fit_chain(list(categories), row, words, shape, y, np.array([r["fold"] for r in got], np.int64), chosen)
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
