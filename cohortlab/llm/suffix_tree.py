@@ -13,6 +13,7 @@ symbols, as packed arrays; the bucket adds all chunks' counts up, settles its co
 
 from __future__ import annotations
 
+import gc
 import uuid
 import zlib
 
@@ -27,6 +28,8 @@ from .common import ids_text, materialise, mix64, seeds64, shared_path, word_has
 #: words in a chunk, about; buckets that a chunk's dictionary is dealt into for each shuffle partition
 CHUNK_WORDS, DEPTH = 3 << 18, 3
 DISCOUNT = 0.5
+#: bytes of a gram's key that tell it from the others of its context
+ID_BYTES = 5
 #: a context that occurs more often is dealt into slices of about so many occurrences
 HOT = 200_000
 END = seeds64(1, 97)[0]
@@ -65,23 +68,33 @@ def _widen(x: bytes, width: int) -> np.ndarray:
 
 
 def _sorted_keys(keys: np.ndarray) -> bytes:
-    """Sorted uint64 keys by their differences, with the width of these in the first byte."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + _narrow(steps, width)
+    """Sorted uint64 keys by their differences, the bytes of each weight together."""
+    return zlib.compress(np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
 
 def _keys_of(x: bytes) -> np.ndarray:
-    return np.cumsum(_widen(x[1:], x[0]), dtype=np.uint64)
+    return np.cumsum(np.frombuffer(zlib.decompress(x), np.uint8).reshape(8, -1).T.copy().view("<u8").reshape(-1), dtype=np.uint64)
+
+
+#: steps of a probability's logarithm in _short()
+_FINE = 2400
 
 
 def _short(p: np.ndarray) -> bytes:
-    """Probabilities in three bytes: floats with 16 bits of fraction."""
-    return _narrow((p.astype("<f4").view("<u4").astype(np.uint64) + np.uint64(128)) >> np.uint64(8), 3)
+    """Probabilities in two bytes, to a share of 2e-4; only the divergence test reads them."""
+    return np.clip(np.round(-np.log(p) * _FINE), 0, 65_535).astype("<u2").tobytes()
 
 
 def _short_of(x: bytes) -> np.ndarray:
-    return (_widen(x, 3) << np.uint64(8)).astype("<u4").view("<f4").astype(float)
+    return np.exp(np.frombuffer(x, "<u2") / -_FINE)
+
+
+def _floats(x: np.ndarray) -> bytes:
+    return _planes(x.astype("<f4").view("<u4"))
+
+
+def _floats_of(x: bytes) -> np.ndarray:
+    return _unplane(x).view("<f4").astype(float)
 
 
 def held_out(doc_ids: list[int | None]) -> np.ndarray:
@@ -310,7 +323,7 @@ class Ask:
             cols["real"].append(_pack(self.real[c]))
             cols["each"].append(_planes(self.each[c]))
             cols["loose"].append(_planes(self.loose[c]))
-            cols["ids"].append(_narrow(self.ids[g], 6))
+            cols["ids"].append(_narrow(self.ids[g], ID_BYTES))
             cols["counts"].append(_planes(self.counts[g]))
             cols["p"].append(_short(self.p[g]))
         return pa.RecordBatch.from_pydict({"chunk": pa.array([chunk] * len(some), pa.string()), "bucket": pa.array(some, pa.int32())} | {k: pa.array(x, pa.binary()) for k, x in cols.items()})
@@ -375,7 +388,7 @@ class Scorer:
             if d > len(self.hot):
                 return ask
             got = self.answers[d]
-            rest = np.concatenate([np.zeros(0), *(_unpack(a["rest"], "<f8") for a in got)])[ask.at]
+            rest = np.concatenate([np.zeros(0), *(_floats_of(a["rest"]) for a in got)])[ask.at]
             if ask.hot.any():
                 keys, value = self.hot[d - 1]
                 rest[ask.hot] = value[np.searchsorted(keys, own[ask.hot])]
@@ -399,7 +412,7 @@ def _settle_level(asked: DataFrame, floor: int, least: float, level: int) -> Dat
 
         ctx = [_keys_of(x) for x in pdf["ctx"]]
         each, loose = np.concatenate([_unplane(x) for x in pdf["each"]]), np.concatenate([_unplane(x) for x in pdf["loose"]])
-        ids, n, p = np.concatenate([_widen(x, 6) for x in pdf["ids"]]), np.concatenate([_unplane(x) for x in pdf["counts"]]), np.concatenate([_short_of(x) for x in pdf["p"]])
+        ids, n, p = np.concatenate([_widen(x, ID_BYTES) for x in pdf["ids"]]), np.concatenate([_unplane(x) for x in pdf["counts"]]), np.concatenate([_short_of(x) for x in pdf["p"]])
         everything = np.concatenate(ctx)
         keys, at, rep = _group(everything)
         real = np.concatenate([_unpack(x, "<u8") for x in pdf["real"]])[rep]
@@ -413,7 +426,7 @@ def _settle_level(asked: DataFrame, floor: int, least: float, level: int) -> Dat
         rest = settled(where, c[keep], p, np.maximum(total, 1), least)
         a, b = np.cumsum([0, *(len(x) for x in ctx)]), np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
         back = rest[at]
-        out = [(x, k, _pack(back[a[i] : a[i + 1]]), _planes(c[gram[b[a[i]] : b[a[i + 1]]]]), None, None, None) for i, (x, k) in enumerate(zip(pdf["chunk"], pdf["bucket"], strict=True))]
+        out = [(x, k, _floats(back[a[i] : a[i + 1]]), _planes(c[gram[b[a[i]] : b[a[i + 1]]]]), None, None, None) for i, (x, k) in enumerate(zip(pdf["chunk"], pdf["bucket"], strict=True))]
         for i in np.flatnonzero(real):
             mine = where == i
             out.append((None, None, None, _pack(c[keep][mine].astype("<i8")), real[i].astype("<u8").tobytes(), _pack(total[i : i + 1].astype("<i8")), _pack(p[mine])))
@@ -456,6 +469,7 @@ def suffix_tree_scores(docs: DataFrame, floor: int = 2, depth: int = DEPTH, leas
 
     def with_answers() -> DataFrame:
         # shuffles of earlier levels go from the disks with what held them
+        gc.collect()
         context._jvm.System.gc()
         answers = got.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("level", "bucket", "rest", "counts"))).alias("got"))
         return held.select("chunk", "doc_ids", "sizes", "words", "tokens").join(answers, "chunk")
