@@ -710,8 +710,10 @@ def x8_predicted_vs_true(spark, d):
 
 @query()
 def x9_sequence_recovery(spark, d):
-    c = S.dfa(arrays(spark, d), USER_SCALES).where("not isnan(alpha)").select(F.col("recording_id").alias("subject_id"), F.col("samples").alias("pc1"))
-    control = S.order_control(c, "pc1", USER_SCALES)
-    t = targets(spark, d).select(F.col("user_id").alias("subject_id"), "alpha")
-    pooled = S.epoch(arrays(spark, d), 16).groupBy(F.col("recording_id").alias("subject_id")).agg(F.avg(F.array_max("samples")).alias("a"), F.avg(F.array_min("samples")).alias("b"), F.avg(F.col("samples")[0]).alias("c")).select("subject_id", F.array("a", "b", "c").alias("vec"))
+    # trajectories and pooled vectors of the first halves, against the exponents of the second ones
+    half = F.floor(F.size("samples") / 2).cast("int")
+    h = S.split_halves(arrays(spark, d), USER_SCALES[:4]).where("not isnan(alpha_1) and not isnan(alpha_2)").withColumn("samples", F.slice("samples", F.lit(1), half)).withColumnRenamed("recording_id", "subject_id")
+    control = S.order_control(h.select("subject_id", F.col("samples").alias("pc1")), "pc1", USER_SCALES[:4], least=20)
+    t = h.select("subject_id", F.col("alpha_2").alias("alpha"))
+    pooled = S.epoch(h.select("subject_id", "samples"), 8).groupBy("subject_id").agg(F.avg(F.array_max("samples")).alias("a"), F.avg(F.array_min("samples")).alias("b"), F.avg(F.col("samples")[0]).alias("c")).select("subject_id", F.array("a", "b", "c").alias("vec"))
     return rounded(X.sequence_recovery(control, t, "alpha", pooled), "r", "p", "r2", "lo", "hi", n=4)

@@ -321,7 +321,7 @@ def embed_epochs(epochs: DataFrame, encoder: Callable[[np.ndarray], np.ndarray],
             except Exception:
                 break
         rows = np.concatenate(got) if got else np.zeros((0, 1))
-        return pd.DataFrame({key: [k[0]], "embedding": [rows.mean(axis=0)], "n_epochs": [len(rows)], "n_failed": [len(pdf) - len(rows)]}) if len(rows) else pd.DataFrame({key: [], "embedding": [], "n_epochs": [], "n_failed": []})
+        return pd.DataFrame({key: [k[0]], "embedding": [rows.mean(axis=0)], "n_epochs": [len(rows)], "n_failed": [len(pdf) - len(rows)]}) if len(rows) else pd.DataFrame({key: [], "embedding": pd.Series([], dtype=object), "n_epochs": [], "n_failed": []})
 
     return epochs.groupBy(key).applyInPandas(run, f"{key} {epochs.schema[key].dataType.simpleString()}, embedding array<double>, n_epochs long, n_failed long")
 

@@ -18,6 +18,8 @@ def read_manifest(spark: SparkSession, path: str, label_map: dict[str, int], spl
     """subject_id, class_name, label, split_no, pos of a nested JSON manifest; splits in the given order, classes of label_map only."""
     raw = spark.read.json(path, multiLine=True)
     parts = [raw.select(F.lit(i).alias("split_no"), F.posexplode(s).alias("pos", "e")).select("split_no", "pos", F.col("e.serial").alias("subject_id"), F.col("e.class_name").alias("class_name")) for i, s in enumerate(splits) if s in raw.columns]
+    if not parts:
+        raise ValueError(f"the manifest has none of the splits {', '.join(splits)}")
     df = parts[0]
     for p in parts[1:]:
         df = df.unionByName(p)
