@@ -14,30 +14,37 @@ from .common import ids_text, materialise, partitions_for, seeds64, shingle_hash
 from .near_dup import band_keys, near_duplicates, signed
 
 PERMUTATIONS, SHINGLE = 128, 5
-_A = (seeds64(PERMUTATIONS, 201) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-_B = (seeds64(PERMUTATIONS, 202) >> np.uint64(32)).astype(np.uint32)
+#: a prime: x -> (a * x + b) mod PRIME permutes 0 .. PRIME - 1, and random a and b make a universal family
+PRIME = np.uint64((1 << 31) - 1)
+_A = seeds64(PERMUTATIONS, 201) % (PRIME - np.uint64(1)) + np.uint64(1)
+_B = seeds64(PERMUTATIONS, 202) % PRIME
 
 
-def minhash(shingles: np.ndarray, off: np.ndarray, block: int = 1 << 16) -> np.ndarray:
-    """[rows, PERMUTATIONS] uint32: the least of a * x + b (mod 2**32, a odd: a permutation) over a row's shingles; rows without any get the largest value."""
+def minhash(shingles: np.ndarray, off: np.ndarray, block: int = 1 << 14) -> np.ndarray:
+    """[rows, PERMUTATIONS] uint32: the least of (a * x + b) mod PRIME over a row's shingles; rows without any get the largest value."""
     n = len(off) - 1
     out = np.full((n, PERMUTATIONS), 0xFFFFFFFF, np.uint32)
-    x = (shingles >> np.uint64(32)).astype(np.uint32)
+    x = shingles % PRIME
     some = np.flatnonzero(np.diff(off) > 0)
     at = 0
-    with np.errstate(over="ignore"):
-        while at < len(some):
-            # rows together, about one cache-sized block of shingles
-            to = max(at + 1, int(np.searchsorted(off[some], off[some[at]] + block)))
-            rows = some[at:to]
-            lo, hi = off[rows[0]], off[rows[-1] + 1]
-            part, starts = x[lo:hi], off[rows] - lo
-            held = np.empty(len(part), np.uint32)
-            for j in range(PERMUTATIONS):
-                np.multiply(part, _A[j], out=held)
-                held += _B[j]
-                out[rows, j] = np.minimum.reduceat(held, starts)
-            at = to
+    while at < len(some):
+        # rows together, about one cache-sized block of shingles
+        to = max(at + 1, int(np.searchsorted(off[some], off[some[at]] + block)))
+        rows = some[at:to]
+        lo, hi = off[rows[0]], off[rows[-1] + 1]
+        part, starts = x[lo:hi], off[rows] - lo
+        held, high = np.empty(len(part), np.uint64), np.empty(len(part), np.uint64)
+        for j in range(PERMUTATIONS):
+            np.multiply(part, _A[j], out=held)
+            held += _B[j]
+            # 2**31 is 1 modulo PRIME: the upper bits are added to the lower ones, which leaves less than 2 * PRIME
+            np.right_shift(held, np.uint64(31), out=high)
+            held &= PRIME
+            held += high
+            np.subtract(held, PRIME, out=high)
+            np.minimum(held, high, out=held)
+            out[rows, j] = np.minimum.reduceat(held, starts)
+        at = to
     return out
 
 

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import ids_text, materialise
 from .tokens import encoder
 
-#: pieces packed together at most, on average
-GROUP = 20_000
+#: pieces packed together, about
+GROUP = 5_000
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int = 0, with_ids: bool = False) -> DataFrame:

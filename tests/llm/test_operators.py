@@ -235,6 +235,24 @@ def test_toxicity_on_held_out_labels(spark):
     assert len(bad) > 10 and sum(bad) >= 0.65 * len(bad) and sum(good) <= 0.03 * len(good)
 
 
+def test_minhash_is_the_plain_formula():
+    """Every coordinate by Python's integers, shingle by shingle; likeness estimates the sets' similarity."""
+    rng = random.Random(13)
+    texts = [text(rng, n) for n in (0, 1, 3, 5, 40, 200)]
+    sh, off = common.shingle_hashes(*common.word_hashes(pa.array(texts)), 5)
+    got = fingerprints.minhash(sh, off)
+    p = 2**31 - 1
+    for i in range(len(texts)):
+        mine = [int(v) % p for v in sh[off[i] : off[i + 1]]]
+        want = [min(((int(a) * v + int(b)) % p for v in mine), default=2**32 - 1) for a, b in zip(fingerprints._A, fingerprints._B, strict=True)]
+        assert got[i].tolist() == want
+    base = text(rng, 400).split()
+    other = base[:320] + text(rng, 80).split()
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (base, other)]
+    true = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+    assert abs(fingerprints._likeness(*fingerprints.signatures_of([" ".join(base), " ".join(other)])) - true) < 0.15
+
+
 def test_fingerprints(spark, odd, empty):
     import hashlib
 
