@@ -236,13 +236,13 @@ def h1_resample_fft(spark, d):
     return rounded(r.select("recording_id", F.size("samples").alias("n"), F.element_at("samples", 1).alias("head")), "head")
 
 
-LINEAR = f"with s as (select user_id, t, x, count(*) over (partition by user_id) as n from ({SIG})), g as (select user_id, n, unnest(range(0, n * 3 // 2)) as i from (select distinct user_id, n from s)), a as (select user_id, n, i, greatest(least((i + 0.5) * n / (n * 3 // 2) - 0.5, n - 1), 0) as place from g), b as (select *, least(floor(place)::bigint, n - 2) as lo from a) select b.user_id as recording_id, b.i as i, round(l.x * (1 - (b.place - b.lo)) + h.x * (b.place - b.lo), 5) + 0.0 as x from b join s l on l.user_id = b.user_id and l.t = b.lo join s h on h.user_id = b.user_id and h.t = b.lo + 1"
+LINEAR = f"with s as (select user_id, t, x, count(*) over (partition by user_id) as n from ({SIG})), g as (select user_id, n, unnest(range(0, n * 3 // 2)) as i from (select distinct user_id, n from s)), a as (select user_id, n, i, greatest(least((i + 0.5) * n / (n * 3 // 2) - 0.5, n - 1), 0) as place from g), b as (select *, least(floor(place)::bigint, n - 2) as lo from a) select b.user_id as recording_id, b.i as i, round(l.x * (1 - (b.place - b.lo)) + h.x * (b.place - b.lo), 7) + 0.0 as x from b join s l on l.user_id = b.user_id and l.t = b.lo join s h on h.user_id = b.user_id and h.t = b.lo + 1"
 
 
 @query(LINEAR)
 def h2_resample_linear(spark, d):
     r = S.resample(arrays(spark, d), 2.0, 3.0, "linear")
-    return rounded(r.select("recording_id", F.posexplode("samples").alias("i", "x")).withColumn("i", F.col("i").cast("long")), "x", n=5)
+    return rounded(r.select("recording_id", F.posexplode("samples").alias("i", "x")).withColumn("i", F.col("i").cast("long")), "x", n=7)
 
 
 @query(f"with s as (select user_id % 10 as recording_id, user_id as channel, t, x from ({SIG})), c as (select recording_id, x - avg(x) over (partition by recording_id, t) as x from s) select recording_id, count(*) as n, round(sum(x * x), 2) as ss from c group by recording_id")
