@@ -501,6 +501,49 @@ def test_suffix_tree_in_buckets_is_that_in_memory(spark, hot):
     assert any(abs(r.score - r.base_score) > 1 for r in got.values())
 
 
+def test_suffix_tree_scores_against_plain_formulas(spark):
+    """Every probability from dictionaries of counts, without the operator's code."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(17)
+    phrases = [text(rng, 5) for _ in range(12)]
+    rows = [(i, " ".join(rng.choice(phrases) if rng.random() < 0.8 else text(rng, 2) for _ in range(rng.randint(0, 9)))) for i in range(250)]
+    docs = {i: [*t.split(), "<end>"] for i, t in rows}
+    train = [w for i, w in docs.items() if zlib.crc32(str(i).encode()) % 10]
+    count = Counter(tuple(w[j : j + n]) for w in train for n in range(1, 5) for j in range(len(w) - n + 1))
+    total, kinds = sum(len(w) for w in train), sum(len(g) == 1 for g in count)
+    after: dict[tuple, dict] = {}
+    for g, c in count.items():
+        if len(g) > 1 and c >= 2:
+            after.setdefault(g[:-1], {})[g[-1]] = c
+    known: dict[tuple, float | None] = {}
+
+    def p(ctx, w):
+        """Probability of w after ctx by the longest states of ctx."""
+        if not ctx:
+            return (count[(w,)] + 0.1) / (total + 0.1 * (kinds + 1))
+        back = p(ctx[1:], w)
+        rest = state(ctx)
+        return back if rest is None else max(after[ctx].get(w, 0) - 0.5, 0) / count[ctx] + rest * back
+
+    def state(ctx):
+        if ctx not in known:
+            kept = after.get(ctx, {})
+            rest = min(max(1 - sum(c - 0.5 for c in kept.values()) / count[ctx], 1e-12), 1) if kept else 1
+            gain = (count[ctx] - sum(kept.values())) * math.log(rest)
+            for w, c in kept.items():
+                back = p(ctx[1:], w)
+                gain += c * math.log(((c - 0.5) / count[ctx] + rest * back) / back)
+            known[ctx] = rest if kept and gain >= 10 else None
+        return known[ctx]
+
+    want = {i: sum(math.log10(p(tuple(w[max(0, j - 3) : j]), w[j])) for j in range(len(w))) for i, w in docs.items()}
+    got = {r.doc_id: r.score for r in suffix_tree.suffix_tree_scores(frame(spark, rows)).collect()}
+    assert all(abs(got[i] - want[i]) < 1e-4 for i in want)
+    assert sum(v is not None for v in known.values()) > 20
+
+
 def test_suffix_tree_keeps_rare_contexts_of_a_larger_corpus(spark):
     # over 2.5 million tokens, a share of 2e-6 is 6 occurrences; the passage is in 5 documents
     passage = "quiet rivers bend around seven old mills"
