@@ -6,7 +6,8 @@ Recordings are the event series of users (channel and cohort by number), embeddi
 
 from __future__ import annotations
 
-import numpy as np
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -544,6 +545,13 @@ def a4_pooled_pca(spark, d):
     return p.select("subject_id", F.size("pcs").alias("k"), F.round(F.abs(F.col("pcs")[0]), 4).alias("first"))
 
 
+@query()
+def a5_regimes(spark, d):
+    found, note = T.regimes(T.long_vectors(vectors(spark, d), ["subject_id", "cohort"], "vec"), "cohort")
+    parts = [z.groupBy("cohort").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.count("*").alias("n")).select(F.lit(name).alias("regime"), "cohort", "mean", "sd", "n", F.lit(note).cast("string").alias("note")) for name, z in found.items() if z is not None]
+    return rounded(reduce(DataFrame.unionByName, parts), "mean", "sd")
+
+
 @query(f"with f as (select subject_id, (row_number() over (partition by y order by subject_id) - 1) % 5 as fold, y from ({VEC})) select fold, y, count(*) as n, min(subject_id) as first from f group by 1, 2")
 def r1_assign_folds(spark, d):
     f = T.assign_folds(vectors(spark, d).drop("vec"), 5, "subject_id", stratify="y")
@@ -622,6 +630,12 @@ def e6_ridge_cv(spark, d):
     return rounded(T.r2(T.ridge_cv(_folded(spark, d)), "y", "pred"), "r2", n=4)
 
 
+@query()
+def r8_bootstrap_r2(spark, d):
+    p = T.ridge_cv(_folded(spark, d)).select(F.col("pred").alias("score"), "y")
+    return rounded(T.percentile_ci(T.bootstrap_r2(p), "value").join(T.r2(p, "y", "score"), F.lit(True)), "lo", "median", "hi", "r2", n=4)
+
+
 @query()
 def e7_kernel_ridge_cv(spark, d):
     return rounded(T.r2(T.kernel_ridge_cv(_folded(spark, d)), "y", "pred"), "r2", n=4)
