@@ -14,7 +14,7 @@ from array import array
 import numpy as np
 
 #: pieces remembered per worker
-MEMORY = 1_200_000
+MEMORY = 400_000
 _loaded: dict[str, TextEncoder] = {}
 
 #: the letters of Latin-1; in texts without other letters a run of them is one unit, with or without a blank before it
