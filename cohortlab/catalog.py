@@ -231,10 +231,13 @@ def attrition_report(spark, d):
 # --- signals ------------------------------------------------------------------------------------------------------------
 
 
-@query()
+HALVED = f"with s as (select user_id, t, x, count(*) over (partition by user_id) as n from ({SIG})), sz as (select distinct user_id, n, round_even(n / 2.0, 0)::bigint as m from s), f as (select s.user_id, k, sum(x * cos(2 * pi() * k * t / s.n)) as re, -sum(x * sin(2 * pi() * k * t / s.n)) as im from s join (select user_id, m, unnest(range(0, m // 2 + 1)) as k from sz) z on z.user_id = s.user_id group by 1, 2), g as (select user_id, n, m, unnest(range(0, m)) as j from sz) select g.user_id as recording_id, g.j as i, round(sum((f.re * cos(2 * pi() * k * j / g.m) - f.im * sin(2 * pi() * k * j / g.m)) * case when k = 0 then 1 else 2 end) / n, 6) + 0.0 as x from g join f on f.user_id = g.user_id group by g.user_id, g.j, g.n, g.m"
+
+
+@query(HALVED)
 def h1_resample_fft(spark, d):
     r = S.resample(arrays(spark, d), 2.0, 1.0)
-    return rounded(r.select("recording_id", F.size("samples").alias("n"), F.element_at("samples", 1).alias("head")), "head")
+    return rounded(r.select("recording_id", F.posexplode("samples").alias("i", "x")).withColumn("i", F.col("i").cast("long")), "x")
 
 
 LINEAR = f"with s as (select user_id, t, x, count(*) over (partition by user_id) as n from ({SIG})), g as (select user_id, n, unnest(range(0, n * 3 // 2)) as i from (select distinct user_id, n from s)), a as (select user_id, n, i, greatest(least((i + 0.5) * n / (n * 3 // 2) - 0.5, n - 1), 0) as place from g), b as (select *, least(floor(place)::bigint, n - 2) as lo from a) select b.user_id as recording_id, b.i as i, round(l.x * (1 - (b.place - b.lo)) + h.x * (b.place - b.lo), 7) + 0.0 as x from b join s l on l.user_id = b.user_id and l.t = b.lo join s h on h.user_id = b.user_id and h.t = b.lo + 1"
@@ -261,7 +264,7 @@ def h4_bandpass(spark, d):
 
 @query()
 def h5_recipe_notch_wide(spark, d):
-    a = P.duration_gate(arrays(spark, d), 48).select((F.col("recording_id") % 5).alias("recording_id"), F.col("recording_id").cast("int").alias("ch_idx"), "samples")
+    a = P.duration_gate(arrays(spark, d), 48).select(F.floor(F.col("recording_id") / 10).alias("recording_id"), F.col("recording_id").cast("int").alias("ch_idx"), "samples")
     r = S.recipe_notch_wide(a)
     return rounded(r.select("recording_id", "ch_idx", F.size("samples").alias("n"), F.array_max("samples").alias("top")), "top")
 
@@ -274,7 +277,7 @@ def h6_envelope(spark, d):
 
 @query()
 def h7_harmonise(spark, d):
-    e = read(spark, d, "events").withColumn("recording_id", F.col("user_id") % 20)
+    e = read(spark, d, "events").withColumn("recording_id", F.floor(F.col("user_id") / 5))
     w = e.groupBy("recording_id", F.col("event_type").alias("channel")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda s: s.value).alias("samples"), F.max("event_id").alias("pos"))
     names = sorted(r[0].upper() for r in e.select("event_type").distinct().collect())
     h = S.harmonise(w, 400.0, names, 200.0, 0.1, (1.0, 45.0))
@@ -356,7 +359,7 @@ def f3_hjorth_kernel(spark, d):
 
 @query()
 def f7_classical_features(spark, d):
-    e = S.epoch(arrays(spark, d), 32).select((F.col("recording_id") % 10).alias("recording_id"), F.col("epoch_idx").cast("int").alias("epoch_idx"), F.col("recording_id").cast("int").alias("ch_idx"), "samples")
+    e = S.epoch(arrays(spark, d), 32).select(F.floor(F.col("recording_id") / 8).alias("recording_id"), F.col("epoch_idx").cast("int").alias("epoch_idx"), F.col("recording_id").cast("int").alias("ch_idx"), "samples")
     c = S.classical_features(e, 200.0)
     return rounded(c.select("recording_id", "epoch_idx", F.size("vec").alias("width"), F.element_at("vec", -2).alias("asymmetry"), F.element_at("vec", -1).alias("frontal_theta")), "asymmetry", "frontal_theta")
 
@@ -395,7 +398,7 @@ def l3_aperiodic_fit(spark, d):
 
 @query()
 def l4_criticality_features(spark, d):
-    a = arrays(spark, d).select((F.col("recording_id") % 30).alias("recording_id"), F.col("recording_id").cast("string").alias("channel"), F.floor(F.col("recording_id") / 30).cast("int").alias("ch_idx"), "samples")
+    a = arrays(spark, d).select(F.floor(F.col("recording_id") / 5).alias("recording_id"), F.col("recording_id").cast("string").alias("channel"), (F.col("recording_id") % 5).cast("int").alias("ch_idx"), "samples")
     return rounded(S.criticality_features(a, 200.0, USER_SCALES), "exponent", "offset", "dfa", "dfa_r2")
 
 
@@ -497,10 +500,15 @@ def n7_sequence_windows(spark, d):
 
 
 def _tokens(spark, d):
-    return vectors(spark, d).select(F.col("cohort").alias("subject_id"), F.floor(F.col("subject_id") / 24).cast("int").alias("window"), (F.floor(F.col("subject_id") / 3) % 8).cast("int").alias("patch"), F.lit(0).alias("ch_idx"), "vec")
+    """Subjects of 64 vectors each: four windows of eight patches of two channels."""
+    at = F.col("subject_id") % 64
+    return vectors(spark, d).select(F.floor(F.col("subject_id") / 64).alias("subject_id"), F.floor(at / 16).cast("int").alias("window"), (F.floor(at / 2) % 8).cast("int").alias("patch"), (at % 2).cast("int").alias("ch_idx"), "vec")
 
 
-@query()
+TOKENS = f"tok as (select subject_id // 64 as s, (subject_id % 64) // 16 as w, ((subject_id % 64) // 2) % 8 as p, subject_id as id, v, feature from ({LONGV}))"
+
+
+@query(f"with {TOKENS}, m as (select s, w, p, feature, avg(v) as v from tok group by 1, 2, 3, 4), a as (select s, w, p, sqrt(sum(v * v)) as x from m group by 1, 2, 3), b as (select s, w, p, avg(x) as x from (select s, w, p, id, sqrt(sum(v * v)) as x from tok group by 1, 2, 3, 4) group by 1, 2, 3), t as (select s, count(*) as n, max(x) as top from a group by 1), l as (select s, min(x) as low from b group by 1) select s as subject_id, n::int as n, round(top, 6) as top, round(low, 6) as low from t join l using (s)")
 def n8_token_trajectories(spark, d):
     t = S.token_trajectories(_tokens(spark, d))
     return rounded(t.select("subject_id", F.size("pc1").alias("n"), F.array_max("norm_of_mean").alias("top"), F.array_min("mean_of_norm").alias("low")), "top", "low")
@@ -508,7 +516,7 @@ def n8_token_trajectories(spark, d):
 
 @query()
 def n9_order_control(spark, d):
-    return rounded(S.order_control(S.token_trajectories(_tokens(spark, d)), "norm_of_mean", [7, 9, 12, 14, 18]), "ordered", "shuffled")
+    return rounded(S.order_control(S.token_trajectories(_tokens(spark, d)), "norm_of_mean", [3, 4, 5, 7, 9]), "ordered", "shuffled")
 
 
 @query(f"with w as (select cohort, y, feature, avg(v) as v from ({LONGV}) group by 1, 2, 3) select cohort as subject_id, feature, round(avg(v), 6) as v from w group by 1, 2")
