@@ -103,8 +103,8 @@ def held_out(doc_ids: list[int | None]) -> np.ndarray:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """chunk, doc_ids, sizes (tokens with the end), words (sorted hashes), counts (in training documents), tokens (numbers in words)."""
-    form = pa.schema([("chunk", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("words", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary())])
+    """chunk, doc_ids, sizes (tokens with the end), words (sorted hashes), counts (in training documents), ranks (numbers of the words from the most frequent on), tokens (ranks: small numbers take little room)."""
+    form = pa.schema([("chunk", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("words", pa.binary()), ("counts", pa.binary()), ("ranks", pa.binary()), ("tokens", pa.binary())])
 
     def run(batches):
         from pyspark import TaskContext
@@ -120,7 +120,10 @@ def chunks(docs: DataFrame) -> DataFrame:
             words, local = np.unique(np.concatenate(hashes), return_inverse=True)
             train = np.repeat(~held_out(ids), size)
             counts = np.bincount(local[train], minlength=len(words))
-            return pa.RecordBatch.from_pydict({"chunk": [f"{part}-{n}"], "doc_ids": [ids], "sizes": [size], "words": [words.astype("<u8").tobytes()], "counts": [_pack(counts.astype("<u4"))], "tokens": [_planes(local)]}, schema=form)
+            ranks = np.argsort(-np.bincount(local, minlength=len(words)), kind="stable")
+            rank = np.empty(len(words), np.int64)
+            rank[ranks] = np.arange(len(words))
+            return pa.RecordBatch.from_pydict({"chunk": [f"{part}-{n}"], "doc_ids": [ids], "sizes": [size], "words": [words.astype("<u8").tobytes()], "counts": [_pack(counts.astype("<u4"))], "ranks": [_planes(ranks)], "tokens": [_planes(rank[local])]}, schema=form)
 
         for whole in batches:
             col = whole.column("text")
@@ -142,7 +145,7 @@ def chunks(docs: DataFrame) -> DataFrame:
             yield chunk()
 
     # a bucketed table: answers are dealt to the chunks, and the chunks never again
-    made = ids_text(docs).mapInArrow(run, "chunk string, doc_ids array<long>, sizes array<long>, words binary, counts binary, tokens binary")
+    made = ids_text(docs).mapInArrow(run, "chunk string, doc_ids array<long>, sizes array<long>, words binary, counts binary, ranks binary, tokens binary")
     spark, name = docs.sparkSession, f"chunks_{uuid.uuid4().hex}"
     made.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk").option("path", shared_path(spark, "chunks")).saveAsTable(name)
     return spark.table(name)
@@ -361,7 +364,7 @@ class Scorer:
         self.hot: list[tuple[np.ndarray, np.ndarray]] = []
 
     def load(self, r: dict) -> None:
-        words, local = np.frombuffer(r["words"], "<u8"), _unplane(r["tokens"])
+        words, local = np.frombuffer(r["words"], "<u8"), _unplane(r["ranks"])[_unplane(r["tokens"])]
         self.size = np.array(r["sizes"], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.size)[:-1]])
         self.answers: list[list[dict]] = [[] for _ in range(len(self.hot) + 1)]
@@ -472,7 +475,7 @@ def suffix_tree_scores(docs: DataFrame, floor: int = 2, depth: int = DEPTH, leas
         gc.collect()
         context._jvm.System.gc()
         answers = got.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("level", "bucket", "rest", "counts"))).alias("got"))
-        return held.select("chunk", "doc_ids", "sizes", "words", "tokens").join(answers, "chunk")
+        return held.select("chunk", "doc_ids", "sizes", "words", "ranks", "tokens").join(answers, "chunk")
 
     for level in range(1, depth + 1):
         spread = context.broadcast(scorer)
