@@ -74,6 +74,14 @@ def standardised(df: DataFrame, vec: str, out: str, fitted_on: DataFrame | None
     return df.join(F.broadcast(one), F.lit(True)).withColumn(out, F.zip_with(vec, "__f", lambda v, g: (v - g["mean"]) / g["scale"])).drop("__f")
 
 
+#: rows of a task in iterative fits: a study is a few tasks, so that a step costs little more than its work
+STEP_ROWS = 10_000
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    return df.repartition(-(-max(df.count(), 1) // STEP_ROWS)).persist()
+
+
 #: features up to which axes come from their covariance; rows of a study whose vectors are wider, and of a cell that is one matrix
 WIDE, ROWS = 4096, 20_000
 
@@ -372,7 +380,7 @@ def tree_cv(df: DataFrame, kind: str, k: int = 5, key: str = "subject_id", vec:
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
-    x = df.select(key, "fold", F.col(y).cast("double").alias("y"), F.col(vec).cast("array<double>").alias("raw"))
+    x = _dealt(df.select(key, "fold", F.col(y).cast("double").alias("y"), F.col(vec).cast("array<double>").alias("raw")))
     d, n = x.select(F.size("raw")).first()[0], x.count()
     stops = kind == "gbt" and n * 4 // 5 >= 60
     out = None
@@ -389,6 +397,7 @@ def tree_cv(df: DataFrame, kind: str, k: int = 5, key: str = "subject_id", vec:
             model = RandomForestRegressor(labelCol="y", maxDepth=6, numTrees=trees or 400, minInstancesPerNode=5, seed=seed)
         got = model.fit(z.where(F.col("fold") != f)).transform(z.where(F.col("fold") == f)).select(key, "fold", "y", F.col("prediction").alias("pred"))
         out = got if out is None else out.unionByName(got)
+    x.unpersist()
     return out
 
 
@@ -397,7 +406,7 @@ def site_classifier(df: DataFrame, k: int = 5, vec: str = "vec", y: str = "y", k
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
-    x = df.select(key, "fold", F.col(y).cast("double").alias("y"), F.col(vec).cast("array<double>").alias("raw"))
+    x = _dealt(df.select(key, "fold", F.col(y).cast("double").alias("y"), F.col(vec).cast("array<double>").alias("raw")))
     out = None
     for f in range(k):
         train = x.where(F.col("fold") != f)
@@ -405,4 +414,5 @@ def site_classifier(df: DataFrame, k: int = 5, vec: str = "vec", y: str = "y", k
         model = LogisticRegression(labelCol="y", maxIter=2000, regParam=1 / max(train.count(), 1), standardization=False).fit(z.where(F.col("fold") != f))
         got = model.transform(z.where(F.col("fold") == f)).select(key, "fold", "y", F.col("prediction").alias("pred"))
         out = got if out is None else out.unionByName(got)
+    x.unpersist()
     return out
