@@ -103,7 +103,7 @@ def held_out(doc_ids: list[int | None]) -> np.ndarray:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """chunk, doc_ids, sizes (tokens with the end), words (sorted hashes), counts (in training documents), ranks (numbers of the words from the most frequent on), tokens (ranks: small numbers take little room)."""
+    """chunk, doc_ids, sizes (tokens with the end), words (sorted hashes, packed), counts (in training documents), ranks (numbers of the words from the most frequent on), tokens (ranks: small numbers take little room)."""
     form = pa.schema([("chunk", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("words", pa.binary()), ("counts", pa.binary()), ("ranks", pa.binary()), ("tokens", pa.binary())])
 
     def run(batches):
@@ -123,7 +123,7 @@ def chunks(docs: DataFrame) -> DataFrame:
             ranks = np.argsort(-np.bincount(local, minlength=len(words)), kind="stable")
             rank = np.empty(len(words), np.int64)
             rank[ranks] = np.arange(len(words))
-            return pa.RecordBatch.from_pydict({"chunk": [f"{part}-{n}"], "doc_ids": [ids], "sizes": [size], "words": [words.astype("<u8").tobytes()], "counts": [_pack(counts.astype("<u4"))], "ranks": [_planes(ranks)], "tokens": [_planes(rank[local])]}, schema=form)
+            return pa.RecordBatch.from_pydict({"chunk": [f"{part}-{n}"], "doc_ids": [ids], "sizes": [size], "words": [_sorted_keys(words)], "counts": [_pack(counts.astype("<u4"))], "ranks": [_planes(ranks)], "tokens": [_planes(rank[local])]}, schema=form)
 
         for whole in batches:
             col = whole.column("text")
@@ -178,7 +178,7 @@ def global_counts(held: DataFrame) -> DataFrame:
     def send(batches):
         for b in batches:
             for r in b.to_pylist():
-                words, counts = np.frombuffer(r["words"], "<u8"), _unpack(r["counts"], "<u4")
+                words, counts = _keys_of(r["words"]), _unpack(r["counts"], "<u4")
                 cut = _cut(words, buckets)
                 on = np.flatnonzero(np.diff(cut))
                 parts = [slice(cut[k], cut[k + 1]) for k in on]
@@ -364,7 +364,7 @@ class Scorer:
         self.hot: list[tuple[np.ndarray, np.ndarray]] = []
 
     def load(self, r: dict) -> None:
-        words, local = np.frombuffer(r["words"], "<u8"), _unplane(r["ranks"])[_unplane(r["tokens"])]
+        words, local = _keys_of(r["words"]), _unplane(r["ranks"])[_unplane(r["tokens"])]
         self.size = np.array(r["sizes"], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.size)[:-1]])
         self.answers: list[list[dict]] = [[] for _ in range(len(self.hot) + 1)]
