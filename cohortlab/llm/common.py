@@ -41,6 +41,32 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediate tables in the shared folder, removed at the end of a `with` block, whether it succeeds or not."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def table(self, df: DataFrame, label: str) -> DataFrame:
+        """df, written and read again; gone after the block."""
+        path = shared_path(self.spark, label)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            remove_folder(self.spark, path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def bucketed(df: DataFrame, label: str, key: str) -> tuple[DataFrame, Callable[[], None]]:
     """(df as a table in the shared folder that is dealt by key, so that joins on key don't shuffle it; what removes it)."""
     spark = df.sparkSession
@@ -50,8 +76,7 @@ def bucketed(df: DataFrame, label: str, key: str) -> tuple[DataFrame, Callable[[
 
     def remove() -> None:
         spark.sql(f"drop table if exists {name}")
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        remove_folder(spark, path)
 
     return spark.table(name), remove
 

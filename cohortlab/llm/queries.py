@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, html_text, licences, line_templates, near_dup, packing, suffix_tree, token_files, toxicity
+from . import collocations, decontam, fingerprints, html_text, licences, line_templates, near_dup, packing, periodic_runs, sharding, suffix_tree, token_files, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,8 +62,25 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.assign_shards(table(spark, sf_dir, "documents"), shards=8)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(table(spark, sf_dir, "documents"), top=2000)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(periodic_runs.with_planted_periods(table(spark, sf_dir, "documents")))
+    best = found.withColumn("best", periodic_runs.strongest("runs"))
+    told = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    run = ("start", "length", "period")
+    return best.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *(F.col(f"best.{c}").alias(c) for c in run), F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_line_dedup, op2_near_dup, op3_toxicity, op4_fingerprints, op5_licences, op6_packing, op7_lm_scores, op8_decontamination, op9_html_text, op10_token_files]
+    found = [op1_line_dedup, op2_near_dup, op3_toxicity, op4_fingerprints, op5_licences, op6_packing, op7_lm_scores, op8_decontamination, op9_html_text, op10_token_files, op11_kd_shards, op12_collocations, op13_periodic_runs]
     return {f.__name__: f for f in found}
 
 
@@ -128,6 +145,123 @@ select d.doc_id, coalesce(s.n, 0) as n_shingles, c.component_id, d.doc_id = c.co
 """
 
 
+#: the steps of CRC-32 for each value of a byte, by its polynomial
+CRC_TABLE = """crc(n, k, c) as (
+  select n, 0, n from range(256) t(n) union all select n, k + 1, case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end from crc where k < 8
+), tab as (
+  select list(c order by n) as t from crc where k = 8
+)"""
+
+
+def _crc(text: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::bigint)), lambda a, b: xor(a // 256, t[xor(a % 256, b) + 1])), 4294967295)"
+
+
+def _shard_sql() -> str:
+    steps = []
+    for level in range(3):
+        wide = ", ".join(f"(max(x{i}) over n - min(x{i}) over n) / (select greatest(max(x{i}) - min(x{i}), 1) from atoms) as d{i}" for i in range(3))
+        steps.append(f"""wide{level} as (
+  select *, {wide}, sum(w) over n as whole from node{level} window n as (partition by node)
+), sum{level} as (
+  select *, sum(w) over (partition by node order by c, tie rows unbounded preceding) as upto from (
+    select *, case when d0 >= d1 and d0 >= d2 then x0 when d1 >= d2 then x1 else x2 end as c from wide{level})
+), cut{level} as (
+  select node, arg_min(c, upto) as value, arg_min(tie, upto) as edge, arg_min(2 * (upto - w) + w <= whole, upto) as last from sum{level} where 2 * upto >= whole group by node
+), node{level + 1} as (
+  select key, w, x0, x1, x2, tie, 2 * s.node + case when c < value or (c = value and (tie < edge or (last and tie = edge))) then 0 else 1 end as node from sum{level} s join cut{level} using (node)
+)""")
+    code = lambda c: f"coalesce(('0x' || rpad(hex(encode({c}))[:14], 14, '0'))::bigint, 0)"
+    return f"""
+with recursive {CRC_TABLE}, rows as (
+  select doc_id, md5(coalesce(text, '')) as digest, strlen(coalesce(text, '')) + 1 as size, floor(sqrt((strlen(coalesce(text, '')) + 1)::double) * 1000)::bigint as x0, {code('source')} as x1, {code('lang')} as x2,
+         {_crc("coalesce(text, '')")} as crc
+  from documents, tab
+), heavy as (
+  select digest from rows group by digest having sum(size) > (select sum(size) from rows) // 1600
+), keyed as (
+  select *, case when digest in (select digest from heavy) then md5(digest || ':' || coalesce(doc_id::varchar, '')) else digest end as key from rows
+), atoms as (
+  select key, sum(size)::bigint as w, min(x0) as x0, min(x1) as x1, min(x2) as x2, ('0x' || key[:15])::bigint as tie from keyed group by key
+), node0 as (
+  select *, 0 as node from atoms
+), {", ".join(steps)}
+select doc_id, size::bigint as size, crc as text_crc32, 'bytes' as law, node::int as shard,
+       row_number() over (partition by node order by ('0x' || md5(coalesce(doc_id::varchar, '') || ':' || digest)[:15])::bigint, doc_id, digest) - 1 as slot, null::int as grown_shard
+from keyed join node3 using (key)
+"""
+
+
+COLLOCATION_SQL = """
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\n\\x0B\\f\\r]')) as piece from documents
+), words as (
+  select lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda x: x != '') as w from pieces
+), held as (
+  select lang, w, len(w) as m from words where len(w) > 0
+), one as (
+  select lang, x, count(*) as f from (select lang, unnest(w) as x from held) group by lang, x
+), size as (
+  select lang, sum(f)::bigint as n from one group by lang
+), two as (
+  select lang, x, y, count(*) as f from (select lang, unnest(w[1:m-1]) as x, unnest(w[2:m]) as y from held where m >= 2) group by lang, x, y having count(*) >= 10
+), three as (
+  select lang, x, y, z, count(*) as f from (select lang, unnest(w[1:m-2]) as x, unnest(w[2:m-1]) as y, unnest(w[3:m]) as z from held where m >= 3) group by lang, x, y, z having count(*) >= 10
+), scored2 as (
+  select t.lang, t.x, t.y, t.x || ' ' || t.y as phrase, t.f as a, p.f as l, q.f as r, (1000000::hugeint * t.f * t.f // (p.f::hugeint * q.f))::bigint as score
+  from two t join one p on p.lang = t.lang and p.x = t.x join one q on q.lang = t.lang and q.x = t.y
+), scored3 as (
+  select *, (1000000::hugeint * a * a // (l1::hugeint * r1))::bigint as s1, (1000000::hugeint * a * a // (l2::hugeint * r2))::bigint as s2 from (
+    select t.lang, t.x || ' ' || t.y || ' ' || t.z as phrase, t.f as a, p.f as l1, yz.f as r1, xy.f as l2, q.f as r2
+    from three t join one p on p.lang = t.lang and p.x = t.x join one q on q.lang = t.lang and q.x = t.z
+    join two xy on xy.lang = t.lang and xy.x = t.x and xy.y = t.y join two yz on yz.lang = t.lang and yz.x = t.y and yz.y = t.z)
+), inside as (
+  select lang, x, y, max(f) as longer from (select lang, x, y, f from three union all select lang, y, z, f from three) group by lang, x, y
+), alive as (
+  select s.lang, phrase, a, l, r, score from scored2 s left join inside i on i.lang = s.lang and i.x = s.x and i.y = s.y where longer is null or 100 * longer < 50 * a
+  union all
+  select lang, phrase, a, case when s1 <= s2 then l1 else l2 end, case when s1 <= s2 then r1 else r2 end, least(s1, s2) from scored3
+), ranked as (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from alive
+)
+select k.lang, rank, phrase, a, l, r, n, score from ranked k join size using (lang) where rank <= 2000
+"""
+
+RUNS_SQL = f"""
+with recursive {CRC_TABLE}, texts as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x != '') as w, {_crc("doc_id::varchar")} as h from documents, tab
+), sized as (
+  select doc_id, w, len(w) as n, h, h // 10 as g from texts
+), placed as (
+  select *, g % n as a, 1 + (n - g % n) // (3 + g % 8) as p from sized where n > 0
+), planted as (
+  select doc_id, n, case when h % 10 = 0 then list_transform(range(0, n), lambda i: case when i < a then w[i + 1] else w[a + (i - a) % p + 1] end) else w end as w from placed
+), words as (
+  select doc_id, unnest(range(0, n)) as i, unnest(w) as x from planted
+), followed as (
+  select *, lead(x) over (partition by doc_id order by i) as y from words
+), grid as (
+  select doc_id, q, unnest(range(0, (n - 1) // q - 1)) as k from (select doc_id, n, unnest(range(1, n // 3 + 1)) as q from planted where n >= 24)
+), tried as (
+  select distinct g.doc_id, g.q from grid g join followed a on a.doc_id = g.doc_id and a.i = g.k * g.q join followed b on b.doc_id = g.doc_id and b.i = (g.k + 1) * g.q and b.x = a.x and b.y = a.y join words c on c.doc_id = g.doc_id and c.i = (g.k + 2) * g.q and c.x = a.x
+), alike as (
+  select t.doc_id, t.q, a.i, a.i - row_number() over (partition by t.doc_id, t.q order by a.i) as island from tried t join words a on a.doc_id = t.doc_id join words b on b.doc_id = t.doc_id and b.i = a.i + t.q and b.x = a.x
+), stretches as (
+  select doc_id, q, min(i) as start, count(*) + q as length from alike group by doc_id, q, island having count(*) + q >= greatest(24, 3 * q)
+), runs as (
+  select doc_id, start, length, min(q) as period from stretches group by doc_id, start, length
+), told as (
+  select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as t from runs group by doc_id
+), best as (
+  select * from runs qualify row_number() over (partition by doc_id order by length::double / period desc, start, period) = 1
+), kept as (
+  select doc_id, string_agg(x, ' ' order by i) as t from words s where not exists (select 1 from runs r where r.doc_id = s.doc_id and s.i >= r.start + r.period and s.i < r.start + r.length) group by doc_id
+)
+select d.doc_id, coalesce(t.n_runs, 0) as n_runs, b.start, b.length, b.period, 1000 * b.length // b.period as exponent_milli, sha256(coalesce(t.t, '')) as runs_sha256, sha256(coalesce(k.t, '')) as collapsed_sha256
+from documents d left join told t using (doc_id) left join best b using (doc_id) left join kept k using (doc_id)
+"""
+
+
 def _licence_sql() -> str:
     hint = "|".join(licences.HINTS)
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
@@ -159,4 +293,4 @@ from documents d left join best b using (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINE_DEDUP_SQL, "op2_near_dup": NEAR_DUP_SQL, "op5_licences": _licence_sql()}
+    return {"op1_line_dedup": LINE_DEDUP_SQL, "op2_near_dup": NEAR_DUP_SQL, "op5_licences": _licence_sql(), "op11_kd_shards": _shard_sql(), "op12_collocations": COLLOCATION_SQL, "op13_periodic_runs": RUNS_SQL}
