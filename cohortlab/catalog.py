@@ -147,12 +147,12 @@ def p2_select_montage(spark, d):
     return rounded(P.select_montage(e, names, order="event_id"), "value")
 
 
-@query("select event_type, 'P7' as a, 'T7' as b, event_type as c, 'T8' as d, 'T5' as e, count(*) as n from events group by event_type")
+@query("with n as (select ['T3', 't4', 'XX-T5', 'Fpz-CZ', 'T6', 'T7', 'zz-yy'][user_id % 7 + 1] as name, event_type from events) select name, case name when 'T3' then 'T7' when 't4' then 'T8' when 'XX-T5' then 'P7' when 'Fpz-CZ' then 'CZ' when 'T6' then 'T6' when 'T7' then 'T7' else name end as resolved, count(*) as n from n group by 1, 2")
 def p3_resolve_alias(spark, d):
-    # T4 is known, but its alias comes first; T5's alias isn't known in the second list
-    known, old = ["T7", "P7", "CZ", "T4", "T8"], ["T5", "CZ"]
-    e = read(spark, d, "events").withColumn("u", F.concat(F.lit("XX-"), F.lit("T3-"), F.col("event_type")))
-    return e.groupBy("event_type").agg(F.min(P.resolve_alias(F.lit("t5"), known)).alias("a"), F.min(P.resolve_alias(F.col("u"), known)).alias("b"), F.min(P.resolve_alias(F.col("event_type"), known)).alias("c"), F.min(P.resolve_alias(F.lit("T4"), known)).alias("d"), F.min(P.resolve_alias(F.lit("T5"), old)).alias("e"), F.count("*").alias("n"))
+    # T6's alias isn't known, but its own name is; the last has no known part
+    names = F.array(*(F.lit(x) for x in ("T3", "t4", "XX-T5", "Fpz-CZ", "T6", "T7", "zz-yy")))
+    e = read(spark, d, "events").withColumn("name", F.element_at(names, (F.col("user_id") % 7 + 1).cast("int")))
+    return e.groupBy("name", P.resolve_alias(F.col("name"), ["T7", "P7", "CZ", "T4", "T8", "T6"]).alias("resolved")).agg(F.count("*").alias("n"))
 
 
 @query("with e as (select vec_id, label, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z from embeddings), cap as (select * from e where vec_id < 128), q as (select * from e where vec_id >= 128) select q.vec_id as name, arg_min(cap.vec_id, sqrt((q.x-cap.x)*(q.x-cap.x)+(q.y-cap.y)*(q.y-cap.y)+(q.z-cap.z)*(q.z-cap.z))) as nearest, round(min(sqrt((q.x-cap.x)*(q.x-cap.x)+(q.y-cap.y)*(q.y-cap.y)+(q.z-cap.z)*(q.z-cap.z))), 6) as dist from q, cap group by q.vec_id")
@@ -566,10 +566,24 @@ def r1_assign_folds(spark, d):
     return f.groupBy(F.col("fold").cast("long").alias("fold"), "y").agg(F.count("*").alias("n"), F.min("subject_id").alias("first"))
 
 
-@query()
+def _drawn(rows: str, n: int, seed: int) -> str:
+    """CTEs that end in drawn: the columns of rows (with id), rep and w, how often a replicate draws the row."""
+    weight = " + ".join(f"(u >= {c})::int" for c in T.POISSON)
+    return f"""rows as ({rows}), digests as (
+  select *, md5('{seed}:' || id || ':' || block) as d from rows, (select unnest(range({-(-n // T.DRAWS)})) as block)
+), drawn as (
+  select *, {weight} as w from (select *, block * {T.DRAWS} + k as rep, ('0x' || substr(d, 4 * k + 1, 4))::int as u from digests, (select unnest(range({T.DRAWS})) as k)) where rep < {n}
+)"""
+
+
+SCORED = "select doc_id as id, n_chars::double as score, quality as y from documents join labels using (doc_id)"
+
+
+@query(f"with {_drawn(SCORED, 2000, 1)}, s as (select rep, score, sum(w * y) as p, sum(w * (1 - y)) as n from drawn group by 1, 2), c as (select *, coalesce(sum(n) over (partition by rep order by score rows between unbounded preceding and 1 preceding), 0) as b from s), v as (select rep, sum(p * (b + n / 2)) / sum(p) / sum(n) as value from c group by 1 having sum(p) > 0 and sum(n) > 0) select count(*) as n, round(quantile_cont(value, 0.025), 6) as lo, round(quantile_cont(value, 0.5), 6) as median, round(quantile_cont(value, 0.975), 6) as hi from v")
 def r2_bootstrap_auroc(spark, d):
-    s = scored(spark, d).select(F.col("n_chars").cast("double").alias("score"), F.col("quality").alias("y"))
-    return rounded(T.percentile_ci(T.bootstrap_table(s, 2000, 1), "value"), "lo", "median", "hi")
+    s = scored(spark, d).select(F.col("doc_id").alias("id"), F.col("n_chars").alias("score"), F.col("quality").alias("y"))
+    b = T.bootstrap_auroc(s, 2000, 1)
+    return rounded(b.agg(F.count("*").alias("n")).join(T.percentile_ci(b, "value"), F.lit(True)), "lo", "median", "hi")
 
 
 @query("with o as (select event_type, avg(value) as obs from events group by 1) select event_type, round((1 + count(*) filter (where value >= obs)) / (count(*) + 1), 6) as p_above, round((1 + count(*) filter (where value <= obs)) / (count(*) + 1), 6) as p_below from events join o using (event_type) group by 1")
@@ -592,8 +606,13 @@ def r7_holm(spark, d):
 
 @query()
 def r6_gaussian_null(spark, d):
-    y = [r["y"] for r in vectors(spark, d).orderBy("subject_id").select("y").collect()]
-    return rounded(T.gaussian_null(spark, y, 16, 20, lambda x, t: K.auroc(K.svc_scores(x[::2], t[::2], x[1::2]), t[1::2])), "value")
+    """The out-of-fold AUROC of the vectors over that of Gaussian matrices as long and as wide, with the same labels and folds."""
+    f = _folded(spark, d)
+    plan = T._bounded(f.select("subject_id", "y", "fold", F.size("vec").alias("d")).orderBy("subject_id"))
+    fold = plan["fold"].to_numpy()
+    real = T.auroc(T.svc_cv(f).withColumn("y", F.col("y").cast("int")), "pred", "y")
+    null = T.gaussian_null(spark, plan["y"].tolist(), int(plan["d"][0]), 20, lambda x, y: K.folded_auroc(x, y, fold))
+    return rounded(T.excess(real, null, "auroc"), "auroc", "null", "null_sd", "excess", n=4)
 
 
 @query("with r as (select lang, quality as y, rank() over (partition by lang order by n_chars) + (count(*) over (partition by lang, n_chars) - 1) / 2.0 as r from documents join labels using (doc_id)), g as (select lang, sum(r) filter (where y = 1) as s, count(*) filter (where y = 1) as p, count(*) filter (where y = 0) as n from r group by 1) select lang, case when p > 0 and n > 0 then round((s - p * (p + 1) / 2.0) / (p * n), 6) end as auroc from g")
@@ -638,10 +657,24 @@ def e6_ridge_cv(spark, d):
     return rounded(T.r2(T.ridge_cv(_folded(spark, d)), "y", "pred"), "r2", n=4)
 
 
-@query()
+#: ridge on two features with a fixed penalty of 10, in closed form
+_PAIR = "with v as (select vec_id as subject_id, vec_id % 5 as fold, embedding[1]::double as x1, embedding[2]::double as x2, embedding[3]::double as y from embeddings), f as (select k.fold, count(*) as n, avg(x1) as m1, avg(x2) as m2, avg(y) as my, stddev_pop(x1) as s1, stddev_pop(x2) as s2, count(*) + 10 as a, count(*) * corr(x1, x2) as b, count(*) * covar_pop(x1, y) / stddev_pop(x1) as g1, count(*) * covar_pop(x2, y) / stddev_pop(x2) as g2 from v join (select unnest(range(5)) as fold) k on k.fold != v.fold group by k.fold), p as (select subject_id, fold, y, my + (a * g1 - b * g2) / (a * a - b * b) * (x1 - m1) / s1 + (a * g2 - b * g1) / (a * a - b * b) * (x2 - m2) / s2 as pred from v join f using (fold))"
+
+
+def _two_features(spark, d):
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("subject_id"), (F.col("vec_id") % 5).cast("int").alias("fold"), F.slice("embedding", 1, 2).cast("array<double>").alias("vec"), F.col("embedding")[2].cast("double").alias("y"))
+    return T.ridge_cv(e, alphas=[10.0])
+
+
+@query(_PAIR + " select subject_id, fold::int as fold, round(pred, 6) as pred from p")
+def e6_ridge_fixed_penalty(spark, d):
+    return rounded(_two_features(spark, d).select("subject_id", "fold", "pred"), "pred")
+
+
+@query(_PAIR + f", {_drawn('select subject_id as id, pred, y from p', 2000, 0)}, r as (select rep, 1 - sum(w * (y - pred) * (y - pred)) / (sum(w * y * y) - sum(w * y) * sum(w * y) / sum(w)) as value from drawn group by 1) select round(quantile_cont(value, 0.025), 6) as lo, round(quantile_cont(value, 0.5), 6) as median, round(quantile_cont(value, 0.975), 6) as hi, (select round(1 - sum((y - pred) * (y - pred)) / (var_pop(y) * count(*)), 6) from p) as r2 from r")
 def r8_bootstrap_r2(spark, d):
-    p = T.ridge_cv(_folded(spark, d)).select(F.col("pred").alias("score"), "y")
-    return rounded(T.percentile_ci(T.bootstrap_r2(p), "value").join(T.r2(p, "y", "score"), F.lit(True)), "lo", "median", "hi", "r2", n=4)
+    p = _two_features(spark, d).select(F.col("subject_id").alias("id"), F.col("pred").alias("score"), "y")
+    return rounded(T.percentile_ci(T.bootstrap_r2(p), "value").join(T.r2(p, "y", "score"), F.lit(True)), "lo", "median", "hi", "r2")
 
 
 @query()
@@ -688,22 +721,22 @@ def x1_transfer_matrix(spark, d):
 
 @query()
 def x2_transfer_statistics(spark, d):
-    return rounded(X.transfer_statistics(vectors(spark, d), FAMILIES, primary=("both",)), "point", "median", "lo", "hi", n=4)
+    return rounded(X.transfer_statistics(vectors(spark, d), FAMILIES, primary=("both",)), "point", "median", "lo", "hi", "null_mean", n=4)
 
 
 @query()
 def x3_multi_cohort_transfer(spark, d):
-    return rounded(X.multi_cohort_transfer(vectors(spark, d), FAMILIES, n_perm=5000), "point", "median", "lo", "hi", n=4)
+    return rounded(X.multi_cohort_transfer(vectors(spark, d), FAMILIES, n_perm=5000), "point", "median", "lo", "hi", "null_mean", n=4)
 
 
 @query()
 def x4_site_probe(spark, d):
-    return rounded(X.site_report(vectors(spark, d).drop("y"), "cohort"), "mean", "sd", "chance", "null", "excess", n=4)
+    return rounded(X.site_report(vectors(spark, d).drop("y"), "cohort"), "mean", "sd", "chance", "null", "null_sd", "excess", n=4)
 
 
 @query()
 def x5_rescue(spark, d):
-    return rounded(X.rescue(vectors(spark, d), {"both": (0, 64)}), "point", "median", "lo", "hi", n=4)
+    return rounded(X.rescue(vectors(spark, d), {"both": (0, 64)}), "auroc", "lo", "hi", n=4)
 
 
 def _encoders(spark, d):

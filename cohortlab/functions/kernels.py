@@ -325,47 +325,65 @@ def ridge_fit(x: np.ndarray, y: np.ndarray, alphas: np.ndarray) -> tuple[np.ndar
     return w, float(ym - mean @ w), float(best[1])
 
 
-def svc_rbf_many(gram: np.ndarray, idx: np.ndarray, y: np.ndarray, c: float = 1.0, tol: float = 1e-3, steps: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """(signed dual weights [fits, n], biases) of balanced-weight SVMs, all at once, by SMO on each one's most violating pair.
+def svc_rbf_many(gram: np.ndarray, idx: np.ndarray | None, y: np.ndarray, c: float = 1.0, tol: float = 1e-3, steps: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """(signed dual weights [fits, n], biases) of balanced-weight SVMs, all at once, by SMO on pairs of second-order choice.
 
-    Fit r is on the rows idx[r] of the Gram matrix with labels y[r]. A fit that doesn't settle in `steps` steps is an error."""
+    Fit r is on the rows idx[r] of the Gram matrix (None: all of them) with labels y[r]. With balanced weights all weights at
+    their caps are feasible; each fit starts at the best point on the way there, which is near where labels say little. Fits
+    that have settled leave the stack. One that doesn't settle in `steps` steps is an error."""
     t = np.where(y == 1, 1.0, -1.0)
-    n = t.shape[1]
+    fits, n = t.shape
     cap = c * n / (2 * np.where(t > 0, np.maximum((t > 0).sum(1, keepdims=True), 1), np.maximum((t < 0).sum(1, keepdims=True), 1)))
-    weights, bias = np.zeros(t.shape), np.zeros(len(t))
-    live, a, grad = np.arange(len(t)), np.zeros(t.shape), -np.ones(t.shape)
+    # one class alone has no feasible way up
+    cap0 = cap * ((t > 0).any(1) & (t < 0).any(1))[:, None]
+    if idx is None:
+        pull = (t * cap0) @ gram * t
+    else:
+        signed = np.zeros((fits, len(gram)))
+        np.add.at(signed, (np.arange(fits)[:, None], idx), t * cap0)
+        pull = np.take_along_axis(signed @ gram, idx, axis=1) * t
+    way = np.minimum(1, cap0.sum(1) / np.maximum((pull * cap0).sum(1), 1e-300))[:, None]
+    a, grad, diag = way * cap0, way * pull - 1, np.diagonal(gram)
+    weights, bias, live = np.zeros(t.shape), np.zeros(fits), np.arange(fits)
     for _ in range(steps + 1):
         v = -t * grad
         high, some = a < cap - 1e-12, a > 1e-12
         up, low = np.where(t > 0, high, some), np.where(t > 0, some, high)
         r = np.arange(len(live))
-        i, j = np.where(up, v, -np.inf).argmax(axis=1), np.where(low, v, np.inf).argmin(axis=1)
-        gap = v[r, i] - v[r, j]
-        done = gap < tol
+        reach, worst = np.where(up, v, -np.inf), np.where(low, v, np.inf)
+        i = reach.argmax(axis=1)
+        top = reach[r, i]
+        done = top - worst.min(axis=1) < tol
         if done.any():
             weights[live[done]] = (a * t)[done]
             free = (a > 1e-9) & (a < cap - 1e-9)
             mean = np.where(free, v, 0).sum(axis=1) / np.maximum(free.sum(axis=1), 1)
             edge = (np.where(up, v, 0).max(axis=1) + np.where(low, v, 0).min(axis=1)) / 2
             bias[live[done]] = np.where(free.any(axis=1), mean, edge)[done]
-            live, a, grad, t, cap, idx = (x[~done] for x in (live, a, grad, t, cap, idx))
+            live, a, grad, t, cap, i, top, worst = (x[~done] for x in (live, a, grad, t, cap, i, top, worst))
+            idx = None if idx is None else idx[~done]
             if not len(live):
                 return weights, bias
-            r, i, j, gap = np.arange(len(live)), i[~done], j[~done], gap[~done]
-        own, other = idx[r, i], idx[r, j]
-        step = gap / np.maximum(gram[own, own] + gram[other, other] - 2 * gram[own, other], 1e-12)
+            r = np.arange(len(live))
+        own = i if idx is None else idx[r, i]
+        row = gram[own] if idx is None else gram[own[:, None], idx]
+        apart = top[:, None] - worst
+        curve = np.maximum(diag[own][:, None] + (diag if idx is None else diag[idx]) - 2 * row, 1e-12)
+        j = np.where(apart > 0, apart * apart / curve, -1.0).argmax(axis=1)
+        step = apart[r, j] / curve[r, j]
         step = np.minimum(step, np.where(t[r, i] > 0, cap[r, i] - a[r, i], a[r, i]))
         step = np.minimum(step, np.where(t[r, j] > 0, a[r, j], cap[r, j] - a[r, j]))
         a[r, i] += t[r, i] * step
         a[r, j] -= t[r, j] * step
-        grad += t * step[:, None] * (gram[own[:, None], idx] - gram[other[:, None], idx])
+        other = gram[j] if idx is None else gram[idx[r, j][:, None], idx]
+        grad += t * step[:, None] * (row - other)
     raise RuntimeError("a support vector fit did not settle")
 
 
 def svc_rbf(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, float]:
     """(signed dual weights, bias, gamma) of one balanced-weight RBF SVM."""
     gamma = 1 / (x.shape[1] * max(x.var(), 1e-12))
-    w, bias = svc_rbf_many(np.exp(-gamma * _sq(x, x)), np.arange(len(y))[None], np.asarray(y)[None])
+    w, bias = svc_rbf_many(np.exp(-gamma * _sq(x, x)), None, np.asarray(y)[None])
     return w[0], float(bias[0]), gamma
 
 
@@ -381,6 +399,14 @@ def svc_scores(train: np.ndarray, y: np.ndarray, test: np.ndarray) -> np.ndarray
     return np.exp(-gamma * _sq(z, x)) @ w + bias
 
 
+def folded_auroc(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> float:
+    """AUROC of the pooled decision values of one SVM for each held-out fold."""
+    got = np.zeros(len(y))
+    for f in np.unique(fold):
+        got[fold == f] = svc_scores(x[fold != f], y[fold != f], x[fold == f])
+    return auroc(got, y)
+
+
 def softmax_fit(x: np.ndarray, y: np.ndarray, classes: int, c: float = 1.0, rounds: int = 30) -> np.ndarray:
     """[classes, features + 1] weights of a multinomial logistic regression, penalty 1 / 2c on all but intercepts, by Newton steps."""
     z = np.hstack([x, np.ones((len(x), 1))])

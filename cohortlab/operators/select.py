@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import first_of, rank
+
 #: fixed values: the montage in order, and old names of electrodes
 MONTAGE = ["FP1", "FP2", "F3", "F4", "C3", "C4", "P3", "P4", "O1", "O2", "F7", "F8", "T3", "T4", "T5", "T6", "FZ", "CZ", "PZ"]
 #: electrodes of a cap at most
@@ -60,8 +62,8 @@ def binary_task(df: DataFrame, col: str, pos: list, neg: list) -> DataFrame:
 
 
 def head_per_class(df: DataFrame, n: int, cls: str, *order: str) -> DataFrame:
-    w = Window.partitionBy(cls).orderBy(*order)
-    return df.withColumn("rank_in_class", F.row_number().over(w)).where(F.col("rank_in_class") <= n)
+    """The first n rows of each class, with rank_in_class; a class is ranked in parts, and only their first n rows together."""
+    return first_of(df, n, list(order), cls, "rank_in_class")
 
 
 def head_n(df: DataFrame, n: int, *order: str) -> DataFrame:
@@ -78,8 +80,7 @@ def balance_cohorts(df: DataFrame, cohort: str, *order: Column | str, key: str =
     least = df.groupBy(cohort).count().agg(F.min("count").alias("__cap"))
     cols = [F.expr(o) if isinstance(o, str) else o for o in order]
     keys = df.select(cohort, key, *(c.alias(f"__o{i}") for i, c in enumerate(cols)))
-    w = Window.partitionBy(cohort).orderBy(*(f"__o{i}" for i in range(len(cols))))
-    kept = keys.withColumn("__r", F.row_number().over(w)).join(F.broadcast(least), F.col("__r") <= F.col("__cap")).select(key)
+    kept = rank(keys, [f"__o{i}" for i in range(len(cols))], [cohort], "__r").join(F.broadcast(least), F.col("__r") <= F.col("__cap")).select(key)
     return df.join(kept, key, "left_semi")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from collections.abc import Callable
 
 import numpy as np
@@ -225,9 +227,11 @@ def subject_targets(features: DataFrame, key: str, cols: list[str]) -> DataFrame
 
 
 def impute_mean(features: DataFrame, by: list[str], col: str) -> DataFrame:
-    """Long form: missing or NaN values replaced by the mean of their group."""
+    """Long form: missing or NaN values replaced by the mean of their group; the means are joined, no group is gathered."""
     v = F.nanvl(F.col(col), F.lit(None).cast("double"))
-    return features.withColumn(col, F.coalesce(v, F.avg(v).over(Window.partitionBy(*by))))
+    means = features.groupBy(*(F.col(c).alias(f"__{c}") for c in by)).agg(F.avg(v).alias("__mean"))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by))
+    return features.join(means, same).withColumn(col, F.coalesce(v, F.col("__mean"))).select(features.columns)
 
 
 def dfa_qc(features: DataFrame, by: str) -> DataFrame:

@@ -6,7 +6,9 @@ matrix has a row per subject of a study; replicates are rows of their own, so th
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,6 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from ..sources.shared import written
+from .ranks import rank, running
+from .ridge import ridge_out_of_fold
 
 
 def long_vectors(df: DataFrame, key: list[str], vec: str) -> DataFrame:
@@ -79,7 +84,8 @@ STEP_ROWS = 10_000
 
 
 def _dealt(df: DataFrame) -> DataFrame:
-    return df.repartition(-(-max(df.count(), 1) // STEP_ROWS)).persist()
+    """df as a table in the shared folder, in few partitions; every step of a fit reads it, and so does what is returned."""
+    return written(df.repartition(-(-max(df.count(), 1) // STEP_ROWS)), "study")
 
 
 #: features up to which axes come from their covariance; rows of a study whose vectors are wider, and of a cell that is one matrix
@@ -135,10 +141,10 @@ def pooled_pca(df: DataFrame, k: int, vec: str = "vec", whiten: bool = False, ke
 # --- folds, resampling, nulls -------------------------------------------------------------------------------------------
 
 
-def assign_folds(df: DataFrame, k: int, *order: Column | str, stratify: str | None = None) -> DataFrame:
-    """fold by rank, within classes if stratified; the order is usually a seeded hash of the id."""
-    w = (Window.partitionBy(stratify) if stratify else Window.partitionBy(F.lit(0))).orderBy(*order)
-    return df.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+def assign_folds(df: DataFrame, k: int, *order: Column | str, stratify: str | list[str] | None = None) -> DataFrame:
+    """fold by rank, within classes if stratified; the order is usually a seeded hash of the id. No task ranks a whole class."""
+    by = [] if stratify is None else [stratify] if isinstance(stratify, str) else stratify
+    return rank(df, list(order), by, "fold").withColumn("fold", ((F.col("fold") - 1) % k).cast("int"))
 
 
 def _replicates(df: DataFrame, n: int, per_task: int = 50) -> DataFrame:
@@ -146,56 +152,89 @@ def _replicates(df: DataFrame, n: int, per_task: int = 50) -> DataFrame:
     return spark.range(0, n, 1, max(1, -(-n // per_task)))
 
 
-#: rows of a table of scores, two numbers each, that is drawn from
-CELL = 1_000_000
+#: draws that one digest gives, of 16 bits each
+DRAWS = 8
+#: 65536 times the Poisson distribution of mean 1, summed up to 0, 1, 2 ...
+POISSON = [round(65536 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(7)]
 
 
-def bootstrap_table(scores: DataFrame, n: int, seed: int, metric: Callable[[np.ndarray, np.ndarray], float] = K.auroc, least_classes: int = 2) -> DataFrame:
-    """rep, value of a metric over bootstrap draws of scores(score, y), one cell's table; draws with one class are discarded."""
-    pdf = _bounded(scores.select("score", "y").orderBy("score", "y"), CELL)
-    spread = scores.sparkSession.sparkContext.broadcast((pdf["score"].to_numpy(float), pdf["y"].to_numpy(float)))
+def _weighted(df: DataFrame, n: int, seed: int, id: str) -> tuple[DataFrame, list[Column]]:
+    """(df with `block`, each row once for each of ceil(n / DRAWS) blocks; the DRAWS weights of a row in a block).
 
-    def run(batches):
-        s, y = spread.value
-        for b in batches:
-            rows = []
-            for rep in b["id"]:
-                at = np.random.default_rng([seed, int(rep)]).integers(0, len(y), len(y))
-                if len(np.unique(y[at])) >= least_classes:
-                    rows.append((int(rep), float(metric(s[at], y[at]))))
-            yield pd.DataFrame(rows, columns=["rep", "value"])
+    How often a row is drawn in a replicate is Poisson with mean 1, from a digest of seed, row and block: replicates are
+    grouped sums, the same under any partitioning, and no table of rows goes to the driver or to a task."""
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-n // DRAWS) - 1)))
+    out = df.withColumn("block", blocks).withColumn("__d", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id).cast("string"), F.col("block").cast("string")).cast("binary")))
+    draw = [F.conv(F.substring("__d", 4 * k + 1, 4), 16, 10).cast("int") for k in range(DRAWS)]
+    return out, [reduce(lambda a, b: a + b, ((u >= c).cast("int") for c in POISSON)) for u in draw]
 
-    return _replicates(scores, n).mapInPandas(run, "rep long, value double")
 
+def _replicate_rows(df: DataFrame, by: tuple[str, ...], values: list[Column], n: int) -> DataFrame:
+    """by, rep, value from a row for each block; replicates without a value are left out."""
+    out = df.select(*by, "block", F.posexplode(F.array(*values)).alias("k", "value")).select(*by, (F.col("block") * DRAWS + F.col("k")).cast("long").alias("rep"), "value")
+    return out.where((F.col("rep") < n) & F.col("value").isNotNull())
 
-def r2_score(pred: np.ndarray, y: np.ndarray) -> float:
-    return float(1 - ((y - pred) ** 2).sum() / max(((y - y.mean()) ** 2).sum(), 1e-300))
 
+def bootstrap_auroc(scores: DataFrame, n: int, seed: int = 0, by: tuple[str, ...] = (), id: str = "id", score: str = "score", y: str = "y") -> DataFrame:
+    """by, rep, value: AUROC over bootstrap replicates of scores(id, score, y); draws with one class are discarded.
 
-def bootstrap_r2(pred: DataFrame, n: int = 2000, seed: int = 0) -> DataFrame:
-    return bootstrap_table(pred, n, seed, metric=r2_score)
+    Weights are summed up by distinct score and then run over, in ranges of the scores."""
+    rows, w = _weighted(scores.select(*by, F.col(id).alias("__id"), F.col(score).cast("double").alias("score"), F.col(y).cast("int").alias("y")), n, seed, "__id")
+    sums = rows.groupBy(*by, "block", "score").agg(*(F.sum(w[k] * F.col("y")).alias(f"p{k}") for k in range(DRAWS)), *(F.sum(w[k] * (1 - F.col("y"))).alias(f"n{k}") for k in range(DRAWS)))
+    sums = running(sums, ["score"], [*by, "block"], **{f"b{k}": F.col(f"n{k}") for k in range(DRAWS)})
+    got = sums.groupBy(*by, "block").agg(*(F.sum(F.col(f"p{k}") * (F.col(f"b{k}") + F.col(f"n{k}") / 2)).alias(f"a{k}") for k in range(DRAWS)), *(F.sum(f"{c}{k}").alias(f"{c}{k}") for k in range(DRAWS) for c in "pn"))
+    return _replicate_rows(got, by, [F.when((F.col(f"p{k}") > 0) & (F.col(f"n{k}") > 0), F.col(f"a{k}") / F.col(f"p{k}") / F.col(f"n{k}")) for k in range(DRAWS)], n)
 
 
-def transfer_cells(df: DataFrame, pairs: list[tuple[str, str]], n_boot: int = 300, n_perm: int = 1000, seed: int = 0, cohort: str = "cohort", vec: str = "vec", together: int = 50) -> DataFrame:
-    """direction, rep, kind (point, resample, null), value: AUROC of an RBF SVM trained on one cohort and tested on another.
+def bootstrap_r2(pred: DataFrame, n: int = 2000, seed: int = 0, by: tuple[str, ...] = (), id: str = "id", score: str = "score", y: str = "y") -> DataFrame:
+    """by, rep, value: R2 over bootstrap replicates of pred(id, score, y); draws of a constant are discarded."""
+    rows, w = _weighted(pred.select(*by, F.col(id).alias("__id"), F.col(score).cast("double").alias("score"), F.col(y).cast("double").alias("y")), n, seed, "__id")
+    v, e = F.col("y"), F.col("y") - F.col("score")
+    parts = {"w": F.lit(1.0), "y": v, "yy": v * v, "ee": e * e}
+    got = rows.groupBy(*by, "block").agg(*(F.sum(w[k] * x).alias(f"{c}{k}") for k in range(DRAWS) for c, x in parts.items()))
+    spread = lambda k: F.col(f"yy{k}") - F.col(f"y{k}") * F.col(f"y{k}") / F.col(f"w{k}")
+    return _replicate_rows(got, by, [F.when((F.col(f"w{k}") > 0) & (spread(k) > 1e-12 * F.col(f"yy{k}")), 1 - F.col(f"ee{k}") / spread(k)) for k in range(DRAWS)], n)
 
-    df(cohort, y, vec) is one study; a train side 'rest' is all cohorts but the tested one. Resamples draw both sides,
-    the train side by class, and redraw one-class test draws; nulls permute train labels. Replicates of all pairs are
-    rows of one job; `together` of them are fitted at once on the Gram matrix of their pair."""
-    pdf = _bounded(df.select(F.col(cohort).alias("cohort"), "y", vec).orderBy(F.xxhash64(vec), "y"))
+
+def _study(df: DataFrame, pairs: list[tuple[str, str]], cohort: str, vec: str, key: str | None = None) -> list[list[tuple]]:
+    """For each pair the (vectors, y, keys) of its train and its test side, of one study."""
+    pdf = _bounded(df.select(F.col(cohort).alias("cohort"), "y", vec, *([F.col(key).alias("key")] if key else [])).orderBy(F.xxhash64(vec), "y"))
     sides = []
     for a, b in pairs:
         on = pdf["cohort"] != b if a == "rest" else pdf["cohort"] == a
-        cell = [(np.stack(p[vec].to_list()).astype(float), p["y"].to_numpy(int)) if len(p) else (np.zeros((0, 1)), np.zeros(0, int)) for p in (pdf[on], pdf[pdf["cohort"] == b])]
-        if any(len(set(y)) < 2 for _, y in cell):
+        cell = [(np.stack(p[vec].to_list()).astype(float), p["y"].to_numpy(int), p["key"].to_numpy() if key else None) if len(p) else (np.zeros((0, 1)), np.zeros(0, int), None) for p in (pdf[on], pdf[pdf["cohort"] == b])]
+        if any(len(set(y)) < 2 for _, y, _ in cell):
             raise ValueError(f"a transfer cell needs both classes on both sides: {a} to {b}")
         sides.append(cell)
-    spread = df.sparkSession.sparkContext.broadcast(sides)
+    return sides
+
+
+def transfer_scores(df: DataFrame, pairs: list[tuple[str, str]], cohort: str = "cohort", vec: str = "vec", key: str = "subject_id") -> DataFrame:
+    """direction, id, y, score: decision values of each pair's one fitted SVM on its test rows."""
+    spread = df.sparkSession.sparkContext.broadcast(_study(df, pairs, cohort, vec, key))
+    names = [f"{a}>{b}" for a, b in pairs]
+
+    def run(batches):
+        for b in batches:
+            for cell in b["id"]:
+                (x, y, _), (z, t, ids) = spread.value[cell]
+                yield pd.DataFrame({"direction": names[cell], "id": ids, "y": t, "score": K.svc_scores(x, y, z)})
+
+    return _replicates(df, len(pairs), 1).mapInPandas(run, f"direction string, id {df.schema[key].dataType.simpleString()}, y int, score double")
+
+
+def transfer_cells(df: DataFrame, pairs: list[tuple[str, str]], n_boot: int = 300, n_perm: int = 1000, seed: int = 0, cohort: str = "cohort", vec: str = "vec", together: int = 50) -> DataFrame:
+    """direction, rep, kind (point, resample, null), value: AUROC of an RBF SVM trained on one cohort and tested on another.
+
+    df(cohort, y, vec) is one study; a train side 'rest' is all cohorts but the tested one. Resamples draw both sides,
+    the train side by class, and redraw one-class test draws; nulls permute train labels. Replicates of all pairs are
+    rows of one job; `together` of them are fitted at once on the Gram matrix of their pair."""
+    spread = df.sparkSession.sparkContext.broadcast(_study(df, pairs, cohort, vec))
     each = 1 + n_boot + n_perm
     names = [f"{a}>{b}" for a, b in pairs]
 
     def fits(cell: int, reps: np.ndarray) -> list[tuple]:
-        (x, y), (z, t) = spread.value[cell]
+        (x, y, _), (z, t, _) = spread.value[cell]
         mean, sd = K.scaler(x)
         x, z = (x - mean) / sd, (z - mean) / sd
         gamma = 1 / (x.shape[1] * max(x.var(), 1e-12))
@@ -214,7 +253,8 @@ def transfer_cells(df: DataFrame, pairs: list[tuple[str, str]], n_boot: int = 30
                 elif rep:
                     lab = rng.permutation(y)
                 idx.append(i), labels.append(lab), tests.append(o), kinds.append("point" if rep == 0 else "resample" if rep <= n_boot else "null")
-            w, bias = K.svc_rbf_many(own, np.stack(idx), np.stack(labels))
+            whole = all(i is every for i in idx)  # nulls draw labels, not rows
+            w, bias = K.svc_rbf_many(own, None if whole else np.stack(idx), np.stack(labels))
             out += [(names[cell], int(rep), kind, K.auroc(cross[np.ix_(o, i)] @ w[r] + bias[r], t[o])) for r, (rep, kind, i, o) in enumerate(zip(reps[at : at + together], kinds, idx, tests, strict=True))]
         return out
 
@@ -227,15 +267,15 @@ def transfer_cells(df: DataFrame, pairs: list[tuple[str, str]], n_boot: int = 30
     return _replicates(df, len(pairs) * each, 4 * together).mapInPandas(run, "direction string, rep long, kind string, value double")
 
 
-def cell_summary(cells: DataFrame, by: str = "direction") -> DataFrame:
-    """by, point, median, lo, hi, p_above, p_below of each cell's replicates; p-values are add-one smoothed."""
+def cell_summary(cells: DataFrame, *by: str) -> DataFrame:
+    """by, point, median, lo, hi, null_mean, p_above, p_below of each cell's replicates; p-values are add-one smoothed.
+
+    The replicates are read once: a cell's point value is spread over its rows, of which a cell has a few thousand."""
     of = lambda k: F.when(F.col("kind") == k, F.col("value"))
     q = F.percentile(of("resample"), F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
-    p = cells.where("kind = 'point'").select(by, F.col("value").alias("__p"))
-    null = F.col("kind") == "null"
-    n = F.count_if(null)
-    got = cells.join(F.broadcast(p), by).groupBy(by).agg(F.max("__p").alias("point"), q.alias("q"), ((1 + F.count_if(null & (F.col("value") >= F.col("__p")))) / (n + 1)).alias("p_above"), ((1 + F.count_if(null & (F.col("value") <= F.col("__p")))) / (n + 1)).alias("p_below"))
-    return got.select(by, "point", F.col("q")[1].alias("median"), F.col("q")[0].alias("lo"), F.col("q")[2].alias("hi"), "p_above", "p_below")
+    null, n = F.col("kind") == "null", F.count_if(F.col("kind") == "null")
+    got = cells.withColumn("__p", F.max(of("point")).over(Window.partitionBy(*by))).groupBy(*by).agg(F.max("__p").alias("point"), q.alias("q"), F.avg(of("null")).alias("null_mean"), ((1 + F.count_if(null & (F.col("value") >= F.col("__p")))) / (n + 1)).alias("p_above"), ((1 + F.count_if(null & (F.col("value") <= F.col("__p")))) / (n + 1)).alias("p_below"))
+    return got.select(*by, "point", F.col("q")[1].alias("median"), F.col("q")[0].alias("lo"), F.col("q")[2].alias("hi"), "null_mean", "p_above", "p_below")
 
 
 def percentile_ci(df: DataFrame, col: str, *by: str) -> DataFrame:
@@ -245,7 +285,7 @@ def percentile_ci(df: DataFrame, col: str, *by: str) -> DataFrame:
 
 
 def gaussian_null(spark, labels: list[int], d: int, k: int, pipeline: Callable[[np.ndarray, np.ndarray], float], seed: int = 0) -> DataFrame:
-    """rep, value of a pipeline on k standard normal matrices of the labels' length; each is made in its task and not stored."""
+    """rep, value of a pipeline on k standard normal matrices, as long as the labels and d wide; each is made in its task and not stored."""
     y = np.array(labels)
 
     def run(batches):
@@ -255,28 +295,33 @@ def gaussian_null(spark, labels: list[int], d: int, k: int, pipeline: Callable[[
     return spark.range(0, k, 1, k).mapInPandas(run, "rep long, value double")
 
 
+def excess(real: DataFrame, null: DataFrame, value: str) -> DataFrame:
+    """real with null, null_sd (over the replicates) and excess: the real value over the null's mean."""
+    n = null.agg(F.avg("value").alias("null"), F.stddev_pop("value").alias("null_sd"))
+    return real.join(F.broadcast(n), F.lit(True)).withColumn("excess", F.col(value) / F.col("null"))
+
+
 def permutation_p(replicates: DataFrame, by: list[str], value: str, observed: str) -> DataFrame:
     n = F.count("*")
     return replicates.groupBy(*by).agg(((1 + F.count_if(F.col(value) >= F.col(observed))) / (n + 1)).alias("p_above"), ((1 + F.count_if(F.col(value) <= F.col(observed))) / (n + 1)).alias("p_below"))
 
 
-def holm(df: DataFrame, p: str, family: str | None = None, *tie: str) -> DataFrame:
+def holm(df: DataFrame, p: str, family: str | None = None, *tie: str, out: str = "p_holm") -> DataFrame:
     """p_holm and reject (at 0.05), step-down over the family or the whole table, which is a list of tests."""
     w = Window.partitionBy(family if family else F.lit(0))
     o = w.orderBy(p, *tie)
     stepped = df.withColumn("__m", F.count("*").over(w)).withColumn("__i", F.row_number().over(o)).withColumn("__a", (F.col("__m") - F.col("__i") + 1) * F.col(p))
     adj = F.least(F.lit(1.0), F.max("__a").over(o.rowsBetween(Window.unboundedPreceding, 0)))
-    return stepped.withColumn("p_holm", adj).withColumn("reject", F.col("p_holm") < 0.05).drop("__m", "__i", "__a")
+    return stepped.withColumn(out, adj).withColumn("reject", F.col(out) < 0.05).drop("__m", "__i", "__a")
 
 
 # --- metrics ------------------------------------------------------------------------------------------------------------
 
 
 def auroc(df: DataFrame, score: str, y: str, *by: str) -> DataFrame:
-    """auroc by group, ties by average rank, null for one class. Scores are counted first, so ties cost one row."""
+    """auroc by group, ties by average rank, null for one class. Scores are counted first, so ties cost one row; then counts run over ranges of scores."""
     c = df.groupBy(*by, score).agg(F.sum(y).alias("pos"), F.count("*").alias("n"))
-    before = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("rank", F.coalesce(F.sum("n").over(before), F.lit(0)) + (F.col("n") + 1) / 2)
+    c = running(c, [score], by, before="n").withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)
     g = c.groupBy(*by).agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("t"))
     neg = F.col("t") - F.col("p")
     return g.select(*by, F.when((F.col("p") > 0) & (neg > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * neg)).alias("auroc"))
@@ -321,21 +366,22 @@ def pearson(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
 # --- estimators: one task per fold --------------------------------------------------------------------------------------
 
 
-def _per_fold(df: DataFrame, k: int, fit: Callable, key: str, vec: str, y: str) -> DataFrame:
-    """key, fold, y, pred: out-of-fold predictions; the rows of a study, ROWS at most, are dealt to k tasks, one per held-out fold."""
-    if df.limit(ROWS + 1).count() > ROWS:
+def _per_fold(df: DataFrame, k: int, fit: Callable, key: str, vec: str, y: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, key, fold, y, pred: out-of-fold predictions; the rows of a study, ROWS at most, are dealt to k tasks, one per held-out fold."""
+    if df.groupBy(*by).count().where(F.col("count") > ROWS).limit(1).count():
         raise ValueError(f"a cell of a study has {ROWS} rows at most")
-    wide = df.select(key, vec, F.col(y).cast("double").alias("y"), "fold").withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    wide = df.select(*by, key, vec, F.col(y).cast("double").alias("y"), "fold").withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
         out = (pdf["fold"] == pdf["held"]).to_numpy()
         x, t = np.stack(pdf[vec].to_list()).astype(float), pdf["y"].to_numpy(float)
         if not out.any() or out.all():
-            return pd.DataFrame({key: [], "fold": [], "y": [], "pred": []})
-        return pd.DataFrame({key: pdf[key][out], "fold": pdf["fold"][out], "y": t[out], "pred": fit(x[~out], t[~out], x[out])})
+            return pd.DataFrame({c: [] for c in (*by, key, "fold", "y", "pred")})
+        return pd.DataFrame({**{c: pdf[c][out] for c in by}, key: pdf[key][out], "fold": pdf["fold"][out], "y": t[out], "pred": fit(x[~out], t[~out], x[out])})
 
-    return wide.groupBy("held").applyInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, fold int, y double, pred double")
+    tags = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in by)
+    return wide.groupBy(*by, "held").applyInPandas(run, f"{tags}{key} {df.schema[key].dataType.simpleString()}, fold int, y double, pred double")
 
 
 def _reduce(x: np.ndarray, z: np.ndarray, whiten: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -346,7 +392,13 @@ def _reduce(x: np.ndarray, z: np.ndarray, whiten: bool) -> tuple[np.ndarray, np.
 
 
 def ridge_cv(df: DataFrame, k: int = 5, alphas: np.ndarray | None = None, reduced: bool = False, key: str = "subject_id", vec: str = "vec", y: str = "y") -> DataFrame:
-    grid = np.logspace(-1, 5, 13) if alphas is None else alphas
+    """Ridge out of fold, its penalty by leave-one-out; on principal components of the training part if reduced.
+
+    Up to WIDE features and any number of rows go by sums over rows. Wider vectors, and components within folds, take a
+    task a fold, with ROWS rows at most."""
+    grid = np.logspace(-1, 5, 13) if alphas is None else np.asarray(alphas, float)
+    if not reduced and (df.select(F.size(vec)).first() or [0])[0] <= WIDE:
+        return ridge_out_of_fold(df, k, grid, key, vec, y)
 
     def fit(x, t, z):
         if reduced:
@@ -367,8 +419,8 @@ def kernel_ridge_cv(df: DataFrame, k: int = 5, key: str = "subject_id", vec: str
     return _per_fold(df, k, fit, key, vec, y)
 
 
-def svc_cv(df: DataFrame, k: int = 5, key: str = "subject_id", vec: str = "vec", y: str = "y") -> DataFrame:
-    return _per_fold(df, k, lambda x, t, z: K.svc_scores(x, t.astype(int), z), key, vec, y)
+def svc_cv(df: DataFrame, k: int = 5, key: str = "subject_id", vec: str = "vec", y: str = "y", by: tuple[str, ...] = ()) -> DataFrame:
+    return _per_fold(df, k, lambda x, t, z: K.svc_scores(x, t.astype(int), z), key, vec, y, by)
 
 
 def tree_cv(df: DataFrame, kind: str, k: int = 5, key: str = "subject_id", vec: str = "vec", y: str = "y", seed: int = 0, trees: int | None = None, pcs: int | None = 50) -> DataFrame:
@@ -397,7 +449,6 @@ def tree_cv(df: DataFrame, kind: str, k: int = 5, key: str = "subject_id", vec:
             model = RandomForestRegressor(labelCol="y", maxDepth=6, numTrees=trees or 400, minInstancesPerNode=5, seed=seed)
         got = model.fit(z.where(F.col("fold") != f)).transform(z.where(F.col("fold") == f)).select(key, "fold", "y", F.col("prediction").alias("pred"))
         out = got if out is None else out.unionByName(got)
-    x.unpersist()
     return out
 
 
@@ -414,5 +465,4 @@ def site_classifier(df: DataFrame, k: int = 5, vec: str = "vec", y: str = "y", k
         model = LogisticRegression(labelCol="y", maxIter=2000, regParam=1 / max(train.count(), 1), standardization=False).fit(z.where(F.col("fold") != f))
         got = model.transform(z.where(F.col("fold") == f)).select(key, "fold", "y", F.col("prediction").alias("pred"))
         out = got if out is None else out.unionByName(got)
-    x.unpersist()
     return out
