@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_text, materialise
+from .common import ids_text, materialise, quoted
 from .tokens import encoder
 
 #: pieces packed together, about
@@ -48,7 +48,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int = 0,
     return rows.mapInArrow(run, schema)
 
 
-def pack_lengths(lengths: np.ndarray, room: int, donors: int = 16) -> np.ndarray:
+def pack_lengths(lengths: np.ndarray, room: int) -> np.ndarray:
     """Bin number of each length, every bin of at most room; bins are numbered from 0 without gaps."""
     order = np.argsort(-lengths, kind="stable")
     bins: list[list[int]] = []
@@ -83,28 +83,26 @@ def pack_lengths(lengths: np.ndarray, room: int, donors: int = 16) -> np.ndarray
     where = np.empty(len(lengths), dtype=np.int64)
     for k, members in enumerate(bins):
         where[members] = k
-    improve(where, np.array(fill, dtype=np.int64), lengths, room, donors)
+    improve(where, np.array(fill, dtype=np.int64), lengths, room)
     return np.unique(where, return_inverse=True)[1]
 
 
-def improve(where: np.ndarray, fill: np.ndarray, lengths: np.ndarray, room: int, donors: int) -> None:
-    """Local search in place, until the lower bound on bins is met or `donors` emptiest bins were tried in vain.
+def improve(where: np.ndarray, fill: np.ndarray, lengths: np.ndarray, room: int) -> None:
+    """Local search in place, until the lower bound on bins is met or no bin can give anything any more.
 
     A donor, the emptiest bin not yet tried, gives to bins at least as full: a piece that fits, or a longer piece for a
     shorter one, or two of its pieces for one longer than either. Every step makes a fuller bin fuller, so the sum of
     squared fills grows and the search ends."""
-    tried: set[int] = set()
-    while len(tried) < donors:
-        used = np.flatnonzero(fill > 0)
-        if len(used) <= -(-int(lengths.sum()) // room):
-            return
-        d = next((int(b) for b in used[np.argsort(fill[used], kind="stable")] if b not in tried), None)
-        if d is None:
+    tried = np.zeros(len(fill), bool)
+    least = -(-int(lengths.sum()) // room)
+    while (fill > 0).sum() > least:
+        left = np.flatnonzero((fill > 0) & (fill < room) & ~tried)
+        if not len(left):
             return
+        d = int(left[np.argmin(fill[left])])
         while fill[d] > 0 and _step(d, where, fill, lengths, room):
-            tried.clear()
-        if fill[d] > 0:
-            tried.add(d)
+            tried[:] = False
+        tried[d] = fill[d] > 0
 
 
 def _step(d: int, where: np.ndarray, fill: np.ndarray, lengths: np.ndarray, room: int) -> bool:
@@ -112,20 +110,27 @@ def _step(d: int, where: np.ndarray, fill: np.ndarray, lengths: np.ndarray, room
     mine = mine[np.argsort(-lengths[mine], kind="stable")]
     gap = np.where(fill >= fill[d], room - fill, 0)
     gap[d] = 0
-    theirs = np.flatnonzero(gap[where] > 0)
     for i in mine:
         fits = np.flatnonzero(gap >= lengths[i])
         if len(fits):
             return _swap(d, fits[np.argmin(gap[fits])], [i], [], where, fill, lengths)
+    theirs = np.flatnonzero(gap[where] > 0)
+    if not len(theirs):
+        return False
+    # pieces of one length in bins with one gap are alike: the first of them stands for all
+    _, first = np.unique(lengths[theirs] * (room + 1) + gap[where[theirs]], return_index=True)
+    theirs = theirs[first]
+    back, most = lengths[theirs], gap[where[theirs]]
     for two in (False, True):
         for n, i in enumerate(mine):
-            for h in mine[n + 1 :] if two else [None]:
-                out = [i] if h is None else [i, h]
-                gain = lengths[out].sum() - lengths[theirs]
-                good = (gain > 0) & (gain <= gap[where[theirs]])
-                if good.any():
-                    j = theirs[np.argmax(np.where(good, gain, 0))]
-                    return _swap(d, where[j], out, [j], where, fill, lengths)
+            # all pairs with this piece at a time
+            others = mine[n + 1 :] if two else mine[n : n + 1]
+            out = lengths[i] + (lengths[others] if two else 0 * lengths[others])
+            gain = out[:, None] - back
+            best = np.where((gain > 0) & (gain <= most), gain, 0)
+            if best.any():
+                h, j = np.unravel_index(best.argmax(), best.shape)
+                return _swap(d, where[theirs[j]], [i, others[h]] if two else [i], [theirs[j]], where, fill, lengths)
     return False
 
 
@@ -140,19 +145,18 @@ def _swap(d: int, r: int, out: list[int], back: list[int], where: np.ndarray, fi
 def pack(pieces: DataFrame, length: int, group: int = GROUP) -> DataFrame:
     """pieces(..., rid, piece, length) with sequence_id and offset: sequences of at most `length`, offsets gapless from 0.
 
-    Pieces that fill a sequence alone need no search. The number of groups follows the number of pieces, which is
+    pieces is a table that reads alike each time. Pieces that fill a sequence alone need no search and no group. The number of groups follows the number of pieces, which is
     counted; only a group is in one task. An empty table gives an empty one."""
     n = pieces.where(F.col("length") < length).count()
     groups = max(1, -(-n // group))
     names = [f.name for f in pieces.schema.fields]
-    dealt = pieces.withColumn("__group", F.when(F.col("length") < length, F.pmod(F.xxhash64("rid", "piece"), F.lit(groups))).otherwise(F.lit(-1) - F.pmod(F.xxhash64("rid", "piece"), F.lit(groups))).cast("int"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
+    # a full piece is a sequence where it lies: numbers below 0 are theirs
+    full = pieces.where(F.col("length") >= length).select(*map(quoted, names), (F.lit(-1) - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    dealt = pieces.where(F.col("length") < length).withColumn("__group", F.pmod(F.xxhash64("rid", "piece"), F.lit(groups)).cast("int"))
 
     def run(key, pdf):
         g = int(key[0])
-        if g < 0:
-            pdf = pdf.sort_values(["doc_id", "rid", "piece"], kind="stable")
-            return pdf[names].assign(sequence_id=np.arange(len(pdf), dtype=np.int64) + ((groups + -g) << 32), offset=np.int64(0))
         pdf = pdf.sort_values(["length", "doc_id", "rid", "piece"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         lengths = pdf["length"].to_numpy()
         where = pack_lengths(lengths, length)
@@ -164,7 +168,7 @@ def pack(pieces: DataFrame, length: int, group: int = GROUP) -> DataFrame:
         offset[at] = begin - np.repeat(begin[first], np.diff(np.append(np.flatnonzero(first), len(at))))
         return pdf[names].assign(sequence_id=where + (g << 32), offset=offset)
 
-    return dealt.groupBy("__group").applyInPandas(run, schema)
+    return dealt.groupBy("__group").applyInPandas(run, schema).unionByName(full)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:

@@ -238,3 +238,99 @@ def test_shards_of_odd_rows_and_of_target_bytes(spark, odd, tmp_path):
 def test_query_of_shards(spark):
     got = queries.op11_kd_shards(spark, D)
     assert dict(got.dtypes)["shard"] == "int" and {r.law for r in got.select("law").distinct().collect()} == {"bytes"} and got.where(F.col("grown_shard").isNotNull()).count() == 0
+
+
+# --- near-duplicates of one template --------------------------------------------------------------------------------------
+
+
+def test_unlike_pages_of_one_template_dont_meet(spark, monkeypatch):
+    """All share a long text and bring as many words again: nobody is linked, and what is compared grows with the pages."""
+    from cohortlab.llm import near_dup
+
+    plain, met = near_dup._meeting, []
+
+    def counted(nodes, percent):
+        each = plain(nodes, percent)
+        sides = each.groupBy("pivot", "e").agg(F.sum(F.col("left").cast("long")).alias("l"), F.count("*").alias("c"))
+        met.append(sides.agg(F.sum(F.col("l") * F.col("c"))).first()[0] or 0)
+        return each
+
+    monkeypatch.setattr(near_dup, "_meeting", counted)
+    rng = random.Random(1)
+    template = " ".join(f"t{i}" for i in range(300))
+    for n in (100, 200):
+        rows = [(i, template + " " + " ".join(f"w{i}x{j}" for j in range(rng.randrange(60, 120)))) for i in range(n)]
+        # and a few that are alike: a change of one word in a hundred or so
+        rows += [(1000 + i, template + " " + " ".join(f"v{i}" if j == 7 * i else f"u{j}" for j in range(80))) for i in range(6)]
+        got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(frame(spark, rows), 2).collect()}
+        assert all(got[i] == i for i in range(n)) and all(got[1000 + i] == 1000 for i in range(6))
+    assert met[1] <= 2 * met[0] + 5000, met
+
+
+# --- packing ----------------------------------------------------------------------------------------------------------------
+
+
+def fewest_bins(lengths, room):
+    """By trying everything: the largest piece left goes to each different open bin, or to a new one."""
+    best = len(lengths)
+
+    def place(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(lengths):
+            best = len(bins)
+            return
+        for f in set(bins):
+            if f + lengths[i] <= room:
+                k = bins.index(f)
+                place(i + 1, bins[:k] + [f + lengths[i]] + bins[k + 1 :])
+        place(i + 1, [*bins, lengths[i]])
+
+    lengths = sorted(lengths, reverse=True)
+    place(0, [])
+    return best
+
+
+def test_packing_against_all_packings():
+    from cohortlab.llm import packing
+
+    rng, more = random.Random(2), 0
+    for _ in range(150):
+        lengths = np.array([rng.randrange(1, 12) for _ in range(rng.randrange(1, 10))])
+        where = packing.pack_lengths(lengths, 12)
+        assert np.bincount(where, lengths).max() <= 12 and set(where) == set(range(where.max() + 1))
+        extra = where.max() + 1 - fewest_bins(lengths.tolist(), 12)
+        assert 0 <= extra <= 1
+        more += extra
+    assert more <= 5
+
+
+def test_search_ends_where_nothing_improves():
+    from cohortlab.llm import packing
+
+    rng = np.random.default_rng(5)
+    lengths = rng.integers(3, 40, 60)
+    where = packing.pack_lengths(lengths, 100)
+    fill = np.bincount(where, lengths).astype(int)
+    if len(fill) > -(-lengths.sum() // 100):
+        for d in range(len(fill)):
+            mine = np.flatnonzero(where == d)
+            for r in range(len(fill)):
+                if r != d and fill[r] >= fill[d]:
+                    gap = 100 - fill[r]
+                    out = [[i] for i in mine] + [[i, j] for i in mine for j in mine if i < j]
+                    assert all(lengths[i] > gap for i in mine)
+                    assert not any(0 < lengths[o].sum() - lengths[b] <= gap for o in out for b in np.flatnonzero(where == r))
+
+
+def test_full_pieces_need_no_group(spark):
+    from cohortlab.llm import packing
+
+    rows = [(i, i, 0, 0, 8 if i % 50 else 3, 1) for i in range(1000)]
+    pieces = spark.createDataFrame(rows, "doc_id long, rid long, piece int, start long, length long, ids_crc32 long").repartition(4)
+    got = packing.pack(pieces, 8, group=7).collect()
+    full = [r.sequence_id for r in got if r.length == 8]
+    assert len(set(full)) == 980 and max(full) < 0 <= min(r.sequence_id for r in got if r.length == 3) and all(r.offset == 0 for r in got if r.length == 8)
+    shuffled = packing.pack(pieces.where("length = 8"), 8).where("length = 8")._jdf.queryExecution().executedPlan().toString()
+    assert len(got) == 1000 and "sequence_id" in shuffled
