@@ -200,16 +200,12 @@ def _differences(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     return _with_pivots(pairs, held, make, "items array<long>, adds int, total int, w int, p_n int, few int, many int, long boolean")
 
 
-def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (node, pivot) across components that can be linked, of nodes(pivot, node, n, comp, outlier, left, ...).
-
-    A pair has a left node, and one that is an outlier: unlike the pivot. Differences are ordered by how many of the
-    pivot's nodes have them; a pair is found at its first common one. Two outliers, and any inlier, share over
-    w / (1 + t) differences: all but so many of a node's, the rarest (few), are joined on; an outlier with an inlier is
-    joined on its `many` rarest. Where one of the two is long, additions alone are: its few rarest and all of the
-    other's. What both have left from a common difference on must be as much as this pair needs to have in common."""
+def _meeting(nodes: DataFrame, percent: int) -> DataFrame:
+    """The rows that _candidates joins: a node's differences e that others have too, with few and many (whether it is one of
+    those to be joined on), and rest and added_rest (how many shared ones, and additions, follow in the order)."""
     cols = ["pivot", "node", "n", "comp", "outlier", "left", "total", "adds", "w", "p_n", "few", "many", "long"]
     each = materialise(nodes.select(*cols, F.posexplode("items").alias("at", "e")).withColumn("added", F.col("at") < F.col("adds")).drop("at"), "differences")
+    least = each.groupBy("pivot").agg(F.min("w").alias("least_w"))
     known = each.groupBy("pivot", "e").agg(F.count("*").alias("c"), F.max("left").alias("l"), F.max("outlier").alias("o"), F.min("comp").alias("x"), F.max("comp").alias("y"))
     known = known.where((F.col("c") > 1) & F.col("l") & F.col("o") & (F.col("x") != F.col("y"))).select("pivot", "e", "c")
     # differences that nobody shares come first in the order; rest: shared ones from here on, added_rest: additions among them
@@ -218,7 +214,25 @@ def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
     each = each.join(known, ["pivot", "e"]).withColumns({"rest": F.count("*").over(onward), "added_rest": F.sum(F.col("added").cast("int")).over(onward)})
     place = F.col("total") - F.col("rest") + 1
     each = each.withColumns({"few": place <= F.col("few"), "many": place <= F.col("many")})
-    each = each.where(F.col("many") | F.col("few") | (F.col("added") & ~F.col("long"))).drop("total")
+    # a row's own numbers can rule out every partner: none has a smaller w than the pivot's least, nor fewer shingles than
+    # `percent` of the row's; what is left is bounded by the differences it has in common with anybody
+    near = F.col("w") + F.col("least_w") - (100 - percent) * F.col("p_n") <= (100 + percent) * F.col("rest")
+    own = percent * F.col("n") - 100 * (F.col("n") - F.col("adds")) <= 100 * F.col("added_rest")
+    can = F.when(F.col("long"), F.col("added") & F.col("few") & own).otherwise(((F.col("many") | F.col("few")) & near) | (F.col("added") & own))
+    return each.join(least, "pivot").where(can).drop("total", "least_w")
+
+
+def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (node, pivot) across components that can be linked, of nodes(pivot, node, n, comp, outlier, left, ...).
+
+    A pair has a left node, and one that is an outlier: unlike the pivot. Differences are ordered by how many of the
+    pivot's nodes have them; a pair is found at its first common one. Two outliers, and any inlier, share over
+    w / (1 + t) differences: all but so many of a node's, the rarest (few), are joined on; an outlier with an inlier is
+    joined on its `many` rarest. Where one of the two is long, additions alone are: its few rarest and all of the
+    other's. What both have left from a common difference on must be as much as this pair needs to have in common; rows
+    that can't have that with any partner, by their own numbers, don't meet anybody: pages of one template that lack the
+    pivot's words and share nothing else stay apart."""
+    each = _meeting(nodes, percent)
     a = each.where("left").select(*(F.col(c).alias(f"a_{c}") for c in each.columns))
     b = each.select(*(F.col(c).alias(f"b_{c}") for c in each.columns))
     c = F.col
@@ -302,8 +316,10 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, signer=signatures, l
     weight = materialise(rows.groupBy("node").agg(F.sum("size").alias("w")), "weights")
     who = weight.select("node").join(reps, "node").select("node", F.col("row.doc_id").alias("rep_id"), F.col("row.h").alias("rep_h"))
     held, remove = _full_sets(docs, who, k)
-    comp = _components(rows.join(weight, "node").select("band", "node", "w"), reps.select("node", F.col("n_shingles").alias("n")), held, percent, levels)
-    remove()
+    try:
+        comp = _components(rows.join(weight, "node").select("band", "node", "w"), reps.select("node", F.col("n_shingles").alias("n")), held, percent, levels)
+    finally:
+        remove()
 
     # least doc_id of each component, or of each class of copies
     named = reps.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
