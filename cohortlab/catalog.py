@@ -541,10 +541,36 @@ def a2_train_scaler(spark, d):
     return rounded(z.select("subject_id", F.col("feature").cast("long").alias("feature"), "v"), "v")
 
 
-@query()
+def _combat_cte(steps: int = 16) -> str:
+    """CTEs that end in adjusted(subject_id, cohort, feature, v): the empirical-Bayes iteration step by step, each batch until it stands still."""
+    parts = [f"""long as ({LONGV}), moments as (
+  select cohort, feature, count(*) as n, avg(v) as mean, var_pop(v) as var from long group by 1, 2
+), pooled as (
+  select feature, sum(n * mean) / sum(n) as grand, case when sum(n * var) > 0 then sqrt(sum(n * var) / sum(n)) else 1 end as sd from moments group by 1
+), z as (
+  select cohort, feature, n, grand, sd, (mean - grand) / sd as g0, var * n / greatest(n - 1, 1) / sd / sd as d0 from moments join pooled using (feature)
+), priors as (
+  select *, avg(g0) over b as gbar, greatest(var_samp(g0) over b, 1e-12) as tau2, avg(d0) over b as m, greatest(var_samp(d0) over b, 1e-12) as s2 from z window b as (partition by cohort)
+), eb0 as (
+  select *, (2 * s2 + m * m) / s2 as a, (m * s2 + m * m * m) / s2 as b, g0 as g, greatest(d0, 1e-12) as d, false as done from priors
+)"""]
+    for k in range(steps):
+        parts.append(f"""moved{k} as (
+  select *, (0.5 * ((n - 1) * d0 + n * (g0 - g2) * (g0 - g2)) + b) / (n / 2.0 + a - 1) as d2 from (select *, (tau2 * n * g0 + d * gbar) / (tau2 * n + d) as g2 from eb{k})
+), eb{k + 1} as (
+  select * exclude (g, d, done, g2, d2, change), case when done then g else g2 end as g, case when done then d else d2 end as d, done or change < 1e-4 as done
+  from (select *, max(greatest(abs(g2 - g) / greatest(abs(g), 1e-12), abs(d2 - d) / d)) over (partition by cohort) as change from moved{k})
+)""")
+    parts.append(f"""adjusted as (
+  select subject_id, cohort, l.feature, sd * ((v - grand) / sd - g) / sqrt(greatest(d, 1e-12)) + grand as v from long l join eb{steps} using (cohort, feature)
+)""")
+    return ", ".join(parts)
+
+
+@query(f"with {_combat_cte()} select cohort, feature, round(avg(v), 6) + 0.0 as mean, round(stddev_pop(v), 6) as sd from adjusted group by 1, 2")
 def a3_combat(spark, d):
     z = T.combat(T.long_vectors(vectors(spark, d), ["subject_id", "cohort"], "vec"), "cohort")
-    return rounded(z.groupBy("cohort", "feature").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd")), "mean", "sd")
+    return rounded(z.groupBy("cohort", F.col("feature").cast("long").alias("feature")).agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd")), "mean", "sd")
 
 
 @query()
@@ -553,7 +579,7 @@ def a4_pooled_pca(spark, d):
     return p.select("subject_id", F.size("pcs").alias("k"), F.round(F.abs(F.col("pcs")[0]), 4).alias("first"))
 
 
-@query()
+@query(f"with {_combat_cte()}, scored as (select cohort, (v - avg(v) over w) / (stddev_pop(v) over w + 1e-8) as v from long window w as (partition by cohort, feature)), every as (select 'raw' as regime, cohort, v from long union all select 'persite_z', cohort, v from scored union all select 'combat', cohort, v from adjusted) select regime, cohort, round(avg(v), 6) + 0.0 as mean, round(stddev_pop(v), 6) as sd, count(*) as n, null::varchar as note from every group by 1, 2")
 def a5_regimes(spark, d):
     found, note = T.regimes(T.long_vectors(vectors(spark, d), ["subject_id", "cohort"], "vec"), "cohort")
     parts = [z.groupBy("cohort").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.count("*").alias("n")).select(F.lit(name).alias("regime"), "cohort", "mean", "sd", "n", F.lit(note).cast("string").alias("note")) for name, z in found.items() if z is not None]

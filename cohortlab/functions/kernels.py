@@ -208,32 +208,118 @@ def dfa(x: np.ndarray, scales: list[int]) -> np.ndarray:
     return out
 
 
-def aperiodic(freqs: np.ndarray, psd: np.ndarray, lo: float = 1.0, hi: float = 40.0, peaks: int = 6) -> np.ndarray:
-    """(offset, exponent) of log10 P = offset - exponent * log10 f after taking out up to `peaks` Gaussian peaks; NaN on failure."""
+#: a peak's standard deviations in Hz; how many of them from the edges it must be; how many peaks keep to themselves
+PEAK_SD, EDGE, APART = (0.5, 4.0), 1.0, 0.75
+
+
+def _first_peaks(f: np.ndarray, rest: np.ndarray, peaks: int) -> tuple[np.ndarray, np.ndarray]:
+    """([rows, peaks, 3] of centre, height, sd; [rows, peaks] whether there is one), found from the highest down.
+
+    A peak's sd comes from its nearer half height; it is taken out, and the next one looked for while it stands out by two
+    deviations. Peaks at the edges go, and of two that overlap the lower one."""
+    rest, rows = rest.copy(), np.arange(len(rest))
+    found, there = np.zeros((len(rest), peaks, 3)), np.zeros((len(rest), peaks), bool)
+    live = np.ones(len(rest), bool)
+    for k in range(peaks):
+        top = rest.argmax(axis=1)
+        height = rest[rows, top]
+        live = live & (height > 2 * rest.std(axis=1)) & (height > 0)
+        away = np.where(rest < height[:, None] / 2, np.abs(f - f[top][:, None]), np.inf)
+        # half heights are looked for on the same side only up to the next rise: the nearer of both sides counts
+        sd = np.clip(np.where(np.isfinite(away.min(axis=1)), away.min(axis=1), 2.0) / np.sqrt(2 * np.log(2)), *PEAK_SD)
+        found[:, k] = np.stack([f[top], height, sd], axis=1)
+        there[:, k] = live
+        rest -= np.where(live[:, None], height[:, None] * np.exp(-((f - f[top][:, None]) ** 2) / (2 * sd[:, None] ** 2)), 0)
+    there &= (found[..., 0] - EDGE * found[..., 2] >= f[0]) & (found[..., 0] + EDGE * found[..., 2] <= f[-1])
+    order = np.argsort(np.where(there, found[..., 0], np.inf), axis=1, kind="stable")
+    found, there = np.take_along_axis(found, order[..., None], 1), np.take_along_axis(there, order, 1)
+    for k in range(peaks - 1):
+        close = there[:, k] & there[:, k + 1] & (found[:, k, 0] + APART * found[:, k, 2] > found[:, k + 1, 0] - APART * found[:, k + 1, 2])
+        lower = found[:, k, 1] < found[:, k + 1, 1]
+        there[close & lower, k] = False
+        there[close & ~lower, k + 1] = False
+        # the higher one meets the next
+        keep = close & ~lower
+        found[keep, k + 1], there[keep, k + 1], there[keep, k] = found[keep, k], True, False
+    return found, there
+
+
+def fit_peaks(f: np.ndarray, y: np.ndarray, found: np.ndarray, there: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """found, refined: all Gaussians of a row fitted together by damped least squares, for all rows at once, within bounds."""
+    rows, k = there.shape
+    reach = 3 * found[..., 2]
+    lo = np.stack([np.maximum(found[..., 0] - reach, f[0]), np.zeros((rows, k)), np.full((rows, k), PEAK_SD[0])], axis=-1).reshape(rows, -1)
+    hi = np.stack([np.minimum(found[..., 0] + reach, f[-1]), np.full((rows, k), np.inf), np.full((rows, k), PEAK_SD[1])], axis=-1).reshape(rows, -1)
+    on = there[..., None] * np.ones(len(f))
+
+    def model(p):
+        c, h, s = np.moveaxis(p.reshape(rows, k, 3)[..., None, :], -1, 0)
+        d = f - c
+        g = np.exp(-(d**2) / (2 * s**2)) * on
+        return (h * g).sum(axis=1), np.stack([h * g * d / s**2, g, h * g * d**2 / s**3], axis=2).reshape(rows, 3 * k, len(f))
+
+    p = np.clip(found.reshape(rows, -1), lo, hi)
+    damp = np.full(rows, 1e-2)
+    value, jac = model(p)
+    cost = ((y - value) ** 2).sum(axis=1)
+    for _ in range(rounds):
+        a = jac @ np.swapaxes(jac, 1, 2)
+        b = (jac @ (y - value)[..., None])[..., 0]
+        diag = np.diagonal(a, axis1=1, axis2=2)
+        step = np.linalg.solve(a + (damp[:, None] * diag + 1e-9)[:, :, None] * np.eye(3 * k), b[..., None])[..., 0]
+        new = np.clip(p + step, lo, hi)
+        nv, nj = model(new)
+        nc = ((y - nv) ** 2).sum(axis=1)
+        better = nc < cost
+        gained = np.where(better, cost - nc, 0)
+        p, value, jac = np.where(better[:, None], new, p), np.where(better[:, None], nv, value), np.where(better[:, None, None], nj, jac)
+        cost = np.where(better, nc, cost)
+        damp = np.clip(np.where(better, damp / 3, damp * 4), 1e-9, 1e9)
+        if (gained <= 1e-12 * (cost + 1e-12)).all() and (damp > 1e6).all():
+            break
+    return p.reshape(rows, k, 3)
+
+
+def aperiodic_many(freqs: np.ndarray, psd: np.ndarray, lo: float = 1.0, hi: float = 40.0, peaks: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """([rows, 2] offset and exponent of log10 P = offset - exponent * log10 f, peaks [rows, peaks, 3], which there are).
+
+    A line through the lowest residuals flattens the spectrum; its peaks are found one by one and fitted together; a line
+    through what is left is the result. NaN where the spectrum isn't positive or a fit isn't finite."""
+    psd = np.atleast_2d(psd)
+    out, made, there = np.full((len(psd), 2), np.nan), np.zeros((len(psd), peaks, 3)), np.zeros((len(psd), peaks), bool)
     on = (freqs >= lo) & (freqs <= hi) & (freqs > 0)
-    if on.sum() < 4 or not np.all(psd[on] > 0):
-        return np.array([np.nan, np.nan])
-    f, p = freqs[on], np.log10(psd[on])
+    good = np.flatnonzero((psd[:, on] > 0).all(axis=1) & np.isfinite(psd[:, on]).all(axis=1))
+    if on.sum() < 4 or not len(good):
+        return out, made, there
+    f, p = freqs[on], np.log10(psd[good][:, on])
     u = np.log10(f)
-    slope, cut = np.polyfit(u, p, 1)
-    flat = np.maximum(p - cut - slope * u, 0)
-    low = flat <= np.percentile(flat, 2.5) if (flat > 0).any() else np.ones(len(f), bool)
-    if low.sum() >= 3:
-        slope, cut = np.polyfit(u[low], p[low], 1)
-    rest = p - cut - slope * u
-    model = np.zeros_like(rest)
-    for _ in range(peaks):
-        left = rest - model
-        top = int(np.argmax(left))
-        height = left[top]
-        if height <= 2 * left.std():
-            break
-        below = np.flatnonzero(left < height / 2)
-        side = min((abs(f[i] - f[top]) for i in below), default=2.0)
-        width = np.clip(side / np.sqrt(2 * np.log(2)), 0.5, 4.0)  # widths of 1-8 Hz are two standard deviations
-        model += height * np.exp(-((f - f[top]) ** 2) / (2 * width**2))
-    slope, cut = np.polyfit(u, p - model, 1)
-    return np.array([cut, -slope])
+
+    def line(v, weight):
+        n = weight.sum(axis=1)
+        mu, mv = (weight * u).sum(axis=1) / n, (weight * v).sum(axis=1) / n
+        slope = (weight * (u - mu[:, None]) * (v - mv[:, None])).sum(axis=1) / (weight * (u - mu[:, None]) ** 2).sum(axis=1)
+        return mv - slope * mu, slope
+
+    cut, slope = line(p, np.ones_like(p))
+    flat = np.maximum(p - cut[:, None] - slope[:, None] * u, 0)
+    low = flat <= np.percentile(flat, 2.5, axis=1, keepdims=True)
+    low[low.sum(axis=1) < 3] = True
+    cut, slope = line(p, low.astype(float))
+    rest = p - cut[:, None] - slope[:, None] * u
+    found, some = _first_peaks(f, rest, peaks)
+    with np.errstate(all="ignore"):
+        fitted = fit_peaks(f, rest, np.where(some[..., None], found, [f[0], 0.0, 1.0]), some)
+    g = (fitted[..., 1, None] * np.exp(-((f - fitted[..., 0, None]) ** 2) / (2 * fitted[..., 2, None] ** 2)) * some[..., None]).sum(axis=1)
+    cut, slope = line(p - g, np.ones_like(p))
+    fine = np.isfinite(cut) & np.isfinite(slope)
+    out[good[fine]] = np.stack([cut, -slope], axis=1)[fine]
+    made[good], there[good] = fitted, some
+    return out, made, there
+
+
+def aperiodic(freqs: np.ndarray, psd: np.ndarray, lo: float = 1.0, hi: float = 40.0, peaks: int = 6) -> np.ndarray:
+    """(offset, exponent) of one spectrum, see aperiodic_many()."""
+    return aperiodic_many(freqs, psd, lo, hi, peaks)[0][0]
 
 
 def phase_surrogate(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -464,6 +550,60 @@ def kernel_ridge_fit(x: np.ndarray, y: np.ndarray, folds: int = 3) -> tuple[floa
     return best[1], best[2]
 
 
+def _leaf_sums(code: np.ndarray, node: np.ndarray, nodes: int, bins: int, weight: np.ndarray | None) -> np.ndarray:
+    """[nodes, features, bins] sums of weight (counts without) by node, feature and bin."""
+    d = code.shape[1]
+    place = (node[:, None] * d + np.arange(d)) * bins + code
+    w = None if weight is None else np.repeat(weight, d)
+    return np.bincount(place.ravel(), w, nodes * d * bins).reshape(nodes, d, bins)
+
+
+def boosted_fit(x: np.ndarray, y: np.ndarray, depth: int = 3, rounds: int = 300, rate: float = 0.1, l2: float = 1.0, leaf: int = 20, bins: int = 255, patience: int = 10, stop: bool = False, seed: int = 0):
+    """A function that predicts by boosted trees on histograms: squared loss, leaves -G / (H + l2), `leaf` rows a side or more.
+
+    Features are cut at quantiles into `bins` bins. With stop, a tenth of the rows is held out, and the trees end where
+    `patience` more haven't made its error less."""
+    edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
+    coded = lambda z: np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, z.T, strict=True)], axis=1)
+    held = np.zeros(len(y), bool)
+    if stop:
+        held[np.random.default_rng(seed).permutation(len(y))[: max(1, len(y) // 10)]] = True
+    code, target, check, truth = coded(x[~held]), y[~held], coded(x[held]), y[held]
+    start = float(target.mean())
+    pred, tried = np.full(len(target), start), np.full(len(truth), start)
+    trees, errors = [], [float(((truth - tried) ** 2).mean())] if stop else []
+    for _ in range(rounds):
+        grad = pred - target
+        node, tree = np.zeros(len(target), np.int64), []
+        for level in range(depth):
+            n = 1 << level
+            g, h = (np.cumsum(_leaf_sums(code, node, n, bins, w), axis=2) for w in (grad, None))
+            gt, ht = g[:, :1, -1:], h[:, :1, -1:]
+            gain = g**2 / (h + l2) + (gt - g) ** 2 / (ht - h + l2) - gt**2 / (ht + l2)
+            gain[(h < leaf) | (ht - h < leaf)] = -np.inf
+            best = gain.reshape(n, -1).argmax(axis=1)
+            splits = gain.reshape(n, -1)[np.arange(n), best] > 1e-12
+            feature, at = best // bins, np.where(splits, best % bins, bins)  # no split: all go left
+            tree.append((feature, at))
+            node = 2 * node + (code[np.arange(len(node)), feature[node]] > at[node])
+        value = -rate * np.bincount(node, grad, 1 << depth) / (np.bincount(node, minlength=1 << depth) + l2)
+        trees.append((tree, value))
+        pred += value[node]
+        if stop:
+            tried += value[_leaves(tree, check)]
+            errors.append(float(((truth - tried) ** 2).mean()))
+            if len(errors) > patience and min(errors[-patience:]) >= min(errors[:-patience]) - 1e-7:
+                break
+    return lambda z: start + sum(value[_leaves(tree, c)] for tree, value in trees) if len(c := coded(z)) else np.zeros(0)
+
+
+def _leaves(tree: list[tuple[np.ndarray, np.ndarray]], code: np.ndarray) -> np.ndarray:
+    node = np.zeros(len(code), np.int64)
+    for feature, at in tree:
+        node = 2 * node + (code[np.arange(len(code)), feature[node]] > at[node])
+    return node
+
+
 def combat_moments(n: np.ndarray, gamma: np.ndarray, delta: np.ndarray, rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
     """Parametric empirical-Bayes location and scale of one batch from its standardised feature means and variances."""
     gbar, tau2 = gamma.mean(), max(gamma.var(ddof=1) if len(gamma) > 1 else 0.0, 1e-12)

@@ -198,7 +198,7 @@ def aperiodic_fit(signals: DataFrame, sf: float, nperseg: int) -> DataFrame:
 
     def fn(x: np.ndarray) -> np.ndarray:
         f, p = K.welch(x, sf, nperseg)
-        return np.stack([K.aperiodic(f, row) for row in p])
+        return K.aperiodic_many(f, p)[0]
 
     return _map_rows(signals, fn, "samples", "__a", "array<double>").withColumns({"offset": F.col("__a")[0], "exponent": F.col("__a")[1]}).drop("__a")
 
@@ -208,7 +208,7 @@ def criticality_features(harmonised: DataFrame, sf: float, scales: list[int] = K
 
     def fn(x: np.ndarray) -> np.ndarray:
         f, p = K.welch(x, sf, int(2 * sf))
-        fits = np.stack([K.aperiodic(f, row) for row in p])
+        fits = K.aperiodic_many(f, p)[0]
         return np.hstack([fits[:, ::-1], K.dfa(K.envelope(K.bandpass(x, sf, 8.0, 13.0)), scales)])
 
     out = _map_rows(harmonised, fn, "samples", "__c", "array<double>")

@@ -88,7 +88,7 @@ def _dealt(df: DataFrame) -> DataFrame:
     return written(df.repartition(-(-max(df.count(), 1) // STEP_ROWS)), "study")
 
 
-#: features up to which axes come from their covariance; rows of a study whose vectors are wider, and of a cell that is one matrix
+#: features up to which axes come from their covariance; rows of a cell that is one matrix
 WIDE, ROWS = 4096, 20_000
 
 
@@ -100,7 +100,8 @@ def _bounded(df: DataFrame, most: int = ROWS) -> pd.DataFrame:
 
 
 def pooled_pca(df: DataFrame, k: int, vec: str = "vec", whiten: bool = False, key: str = "subject_id") -> DataFrame:
-    """key, pcs: scores after standardising. Axes come from pyspark.ml where features are few, else from the rows' Gram matrix."""
+    """df with pcs: scores after standardising. Axes come from the features' covariance where these are WIDE at most, else by
+    subspace iteration over the rows; neither depends on how many rows there are."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
@@ -114,28 +115,72 @@ def pooled_pca(df: DataFrame, k: int, vec: str = "vec", whiten: bool = False, ke
             sd = out.select(F.posexplode("pcs").alias("i", "v")).groupBy("i").agg(F.stddev_samp("v").alias("s")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda t: t.s).alias("sds"))
             out = out.join(F.broadcast(sd), F.lit(True)).withColumn("pcs", F.zip_with("pcs", "sds", lambda a, b: a / F.when(b > 0, b).otherwise(1.0))).drop("sds")
         return out.drop("__z", "__p")
-    # wide vectors of one study: features are blocked, each block gives its part of the n x n Gram matrix, entries are summed in Spark
-    ids = _bounded(df.select(key).orderBy(key))[key].to_list()
-    number = {v: i for i, v in enumerate(ids)}
-    spread = df.sparkSession.sparkContext.broadcast(number)
-    blocks = df.select(key, F.posexplode(vec).alias("f", "v")).withColumn("b", F.floor(F.col("f") / 512))
-
-    def gram(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.zeros((len(spread.value), 512))
-        m[pdf[key].map(spread.value).to_numpy(), pdf["f"].to_numpy() % 512] = pdf["v"].to_numpy()
-        mean, sd = K.scaler(m)
-        z = (m - mean) / sd
-        return pd.DataFrame({"i": np.arange(len(m)), "row": list(z @ z.T)})
-
-    rows = blocks.groupBy("b").applyInPandas(gram, "i int, row array<double>").select("i", F.posexplode("row").alias("j", "g"))
-    total = np.zeros((n, n))
-    for r in rows.groupBy("i", "j").agg(F.sum("g").alias("g")).groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "g"))), lambda t: t.g).alias("row")).toLocalIterator():
-        total[r["i"]] = r["row"]
-    val, axes = np.linalg.eigh(total)
-    order = np.argsort(-val)[:k]
-    scores = axes[:, order] * (np.sqrt(n - 1) if whiten else np.sqrt(np.maximum(val[order], 0)))
-    got = df.sparkSession.createDataFrame([(i, s.tolist()) for i, s in zip(ids, scores, strict=True)], f"{key} {df.schema[key].dataType.simpleString()}, pcs array<double>")
-    return df.join(got, key)
+    rows = written(df.select(key, F.col(vec).cast("array<double>").alias("vec")), "wide")
+    mean, scale, axes, val = _wide_axes(rows, d, k)
+    spread = df.sparkSession.sparkContext.broadcast((mean, scale, axes * (np.sqrt((n - 1) / np.maximum(val, 1e-300)) if whiten else 1.0)))
+
+    def run(batches):
+        mean, scale, axes = spread.value
+        for b in batches:
+            z = (np.stack(b["vec"].to_list()) - mean) / scale
+            yield pd.DataFrame({key: b[key], "pcs": list(z @ axes)})
+
+    return df.join(rows.mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, pcs array<double>"), key)
+
+
+#: steps of the subspace iteration at most; directions beyond those wanted
+ITERATIONS, SPARE = 60, 16
+
+
+def _summed(rows: DataFrame, part: Callable[[list[np.ndarray]], np.ndarray]) -> np.ndarray:
+    """The sum over all rows' vectors of part(a batch's vectors), a matrix of few rows that are as long as a vector: added
+    up in each task, then by matrix row in Spark."""
+
+    def run(batches):
+        total = 0
+        for b in batches:
+            total = total + part(np.stack(b["vec"].to_list()))
+        if not np.isscalar(total):
+            yield pd.DataFrame({"i": np.arange(len(total)), "row": list(total)})
+
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": [key[0]], "row": [np.sum(np.stack(pdf["row"].to_list()), axis=0)]})
+
+    schema = "i int, row array<double>"
+    return np.stack(rows.select("vec").mapInPandas(run, schema).groupBy("i").applyInPandas(add, schema).toPandas().sort_values("i")["row"].to_list())
+
+
+def _wide_axes(rows: DataFrame, d: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, scale, axes [d, k], eigenvalues) of the standardised vectors, by subspace iteration.
+
+    A step is one pass: every task adds up z (z'Q) for its rows, so that nothing larger than d x (k + SPARE) leaves a task
+    or comes to the driver, however many rows there are. It ends when the eigenvalues stand still."""
+    first = np.array(rows.select("vec").first()[0])
+    sums = _summed(rows, lambda x: np.stack([(x - first).sum(axis=0), ((x - first) ** 2).sum(axis=0), np.full(d, float(len(x)))]))
+    n = sums[2, 0]
+    mean, var = sums[0] / n, np.maximum(sums[1] / n - (sums[0] / n) ** 2, 0)
+    scale = np.where(var > 1e-14 * (sums[1] / n + 1e-300), np.sqrt(var), 1.0)
+    mean = mean + first
+    wide = min(k + SPARE, d, int(n))
+    q, last = np.linalg.qr(np.random.default_rng(0).standard_normal((d, wide)))[0], np.zeros(k)
+    context = rows.sparkSession.sparkContext
+    for _ in range(ITERATIONS):
+        spread = context.broadcast((mean, scale, q))
+
+        def part(x, spread=spread):
+            mean, scale, q = spread.value
+            z = (x - mean) / scale
+            return (z @ q).T @ z
+
+        w = _summed(rows, part).T
+        spread.destroy()
+        val, turn = np.linalg.eigh((q.T @ w + w.T @ q) / 2)
+        order = np.argsort(-val)
+        axes, val = (q @ turn[:, order])[:, :k], val[order][:k]
+        if np.abs(val - last).max() <= 1e-13 * max(val[0], 1e-300):
+            break
+        last, q = val, np.linalg.qr(w)[0]
+    return mean, scale, axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(k)]), val
 
 
 # --- folds, resampling, nulls -------------------------------------------------------------------------------------------
@@ -158,6 +203,13 @@ DRAWS = 8
 POISSON = [round(65536 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(7)]
 
 
+def _told_apart(df: DataFrame, by: tuple[str, ...], id: str, score: str, y: str) -> DataFrame:
+    """df with __id: its id; without one, the rows' numbers in the order of score and y, since equal rows are alike."""
+    if id.lower() in (c.lower() for c in df.columns):
+        return df.withColumn("__id", F.col(id))
+    return rank(df, [score, y], by, "__id")
+
+
 def _weighted(df: DataFrame, n: int, seed: int, id: str) -> tuple[DataFrame, list[Column]]:
     """(df with `block`, each row once for each of ceil(n / DRAWS) blocks; the DRAWS weights of a row in a block).
 
@@ -179,7 +231,7 @@ def bootstrap_auroc(scores: DataFrame, n: int, seed: int = 0, by: tuple[str, ...
     """by, rep, value: AUROC over bootstrap replicates of scores(id, score, y); draws with one class are discarded.
 
     Weights are summed up by distinct score and then run over, in ranges of the scores."""
-    rows, w = _weighted(scores.select(*by, F.col(id).alias("__id"), F.col(score).cast("double").alias("score"), F.col(y).cast("int").alias("y")), n, seed, "__id")
+    rows, w = _weighted(_told_apart(scores, by, id, score, y).select(*by, "__id", F.col(score).cast("double").alias("score"), F.col(y).cast("int").alias("y")), n, seed, "__id")
     sums = rows.groupBy(*by, "block", "score").agg(*(F.sum(w[k] * F.col("y")).alias(f"p{k}") for k in range(DRAWS)), *(F.sum(w[k] * (1 - F.col("y"))).alias(f"n{k}") for k in range(DRAWS)))
     sums = running(sums, ["score"], [*by, "block"], **{f"b{k}": F.col(f"n{k}") for k in range(DRAWS)})
     got = sums.groupBy(*by, "block").agg(*(F.sum(F.col(f"p{k}") * (F.col(f"b{k}") + F.col(f"n{k}") / 2)).alias(f"a{k}") for k in range(DRAWS)), *(F.sum(f"{c}{k}").alias(f"{c}{k}") for k in range(DRAWS) for c in "pn"))
@@ -188,7 +240,7 @@ def bootstrap_auroc(scores: DataFrame, n: int, seed: int = 0, by: tuple[str, ...
 
 def bootstrap_r2(pred: DataFrame, n: int = 2000, seed: int = 0, by: tuple[str, ...] = (), id: str = "id", score: str = "score", y: str = "y") -> DataFrame:
     """by, rep, value: R2 over bootstrap replicates of pred(id, score, y); draws of a constant are discarded."""
-    rows, w = _weighted(pred.select(*by, F.col(id).alias("__id"), F.col(score).cast("double").alias("score"), F.col(y).cast("double").alias("y")), n, seed, "__id")
+    rows, w = _weighted(_told_apart(pred, by, id, score, y).select(*by, "__id", F.col(score).cast("double").alias("score"), F.col(y).cast("double").alias("y")), n, seed, "__id")
     v, e = F.col("y"), F.col("y") - F.col("score")
     parts = {"w": F.lit(1.0), "y": v, "yy": v * v, "ee": e * e}
     got = rows.groupBy(*by, "block").agg(*(F.sum(w[k] * x).alias(f"{c}{k}") for k in range(DRAWS) for c, x in parts.items()))
@@ -268,9 +320,10 @@ def transfer_cells(df: DataFrame, pairs: list[tuple[str, str]], n_boot: int = 30
 
 
 def cell_summary(cells: DataFrame, *by: str) -> DataFrame:
-    """by, point, median, lo, hi, null_mean, p_above, p_below of each cell's replicates; p-values are add-one smoothed.
+    """by (direction), point, median, lo, hi, null_mean, p_above, p_below of each cell's replicates; p-values are add-one smoothed.
 
     The replicates are read once: a cell's point value is spread over its rows, of which a cell has a few thousand."""
+    by = by or ("direction",)
     of = lambda k: F.when(F.col("kind") == k, F.col("value"))
     q = F.percentile(of("resample"), F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
     null, n = F.col("kind") == "null", F.count_if(F.col("kind") == "null")
@@ -278,10 +331,24 @@ def cell_summary(cells: DataFrame, *by: str) -> DataFrame:
     return got.select(*by, "point", F.col("q")[1].alias("median"), F.col("q")[0].alias("lo"), F.col("q")[2].alias("hi"), "null_mean", "p_above", "p_below")
 
 
-def percentile_ci(df: DataFrame, col: str, *by: str) -> DataFrame:
-    """lo, median, hi: exact percentiles 2.5, 50, 97.5 with linear interpolation."""
-    q = df.groupBy(*by).agg(F.percentile(col, F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q"))
-    return q.select(*by, F.col("q")[0].alias("lo"), F.col("q")[1].alias("median"), F.col("q")[2].alias("hi"))
+def percentile_ci(df: DataFrame, col: str, *by: str, shares: tuple[float, ...] = (0.025, 0.5, 0.975), names: tuple[str, ...] = ("lo", "median", "hi")) -> DataFrame:
+    """lo, median, hi: exact percentiles 2.5, 50, 97.5 with linear interpolation; missing values don't count.
+
+    Values are counted, and counts run over ranges of values: the two values that a percentile lies between are those that
+    hold its two places, so that no task has all values of a group."""
+    counts = df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
+    placed = written(running(counts, ["__v"], by, __before="__n"), "counts")
+    sizes = placed.groupBy(*by).agg(F.sum("__n").alias("__all"))
+    same = F.lit(True)
+    for c in by:
+        sizes = sizes.withColumnRenamed(c, f"__{c}")
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    place = [F.lit(q) * (F.col("__all") - 1) for q in shares]
+    holds = lambda at: (F.col("__before") <= at) & (at < F.col("__before") + F.col("__n"))
+    ends = [F.max(F.when(holds(f(p)), F.col("__v"))).alias(f"__{e}{i}") for i, p in enumerate(place) for e, f in (("a", F.floor), ("b", F.ceil))]
+    got = placed.join(sizes, same).groupBy(*by).agg(F.max("__all").alias("__all"), *ends)
+    between = lambda i, p: F.col(f"__a{i}") + (F.col(f"__b{i}") - F.col(f"__a{i}")) * (p - F.floor(p))
+    return got.select(*by, *(between(i, p).alias(n) for i, (p, n) in enumerate(zip(place, names, strict=True))))
 
 
 def gaussian_null(spark, labels: list[int], d: int, k: int, pipeline: Callable[[np.ndarray, np.ndarray], float], seed: int = 0) -> DataFrame:
@@ -384,10 +451,10 @@ def _per_fold(df: DataFrame, k: int, fit: Callable, key: str, vec: str, y: str,
     return wide.groupBy(*by, "held").applyInPandas(run, f"{tags}{key} {df.schema[key].dataType.simpleString()}, fold int, y double, pred double")
 
 
-def _reduce(x: np.ndarray, z: np.ndarray, whiten: bool) -> tuple[np.ndarray, np.ndarray]:
+def _reduce(x: np.ndarray, z: np.ndarray, whiten: bool, k: int = 50) -> tuple[np.ndarray, np.ndarray]:
     mean, sd = K.scaler(x)
     x, z = (x - mean) / sd, (z - mean) / sd
-    mean, axes = K.pca(x, max(2, min(50, x.shape[1], len(x) - 2)), whiten)
+    mean, axes = K.pca(x, max(2, min(k, x.shape[1], len(x) - 2)), whiten)
     return (x - mean) @ axes, (z - mean) @ axes
 
 
@@ -424,29 +491,34 @@ def svc_cv(df: DataFrame, k: int = 5, key: str = "subject_id", vec: str = "vec",
 
 
 def tree_cv(df: DataFrame, kind: str, k: int = 5, key: str = "subject_id", vec: str = "vec", y: str = "y", seed: int = 0, trees: int | None = None, pcs: int | None = 50) -> DataFrame:
-    """Boosted trees ('gbt': depth 3, 300 rounds) or a random forest ('forest': 400 trees, depth 6, leaves of 5), out of fold.
+    """Boosted trees ('gbt': depth 3, 300 rounds, L2 of 1 on leaves, 20 rows a leaf) or a random forest ('forest': 400 trees,
+    depth 6, leaves of 5), out of fold.
 
     Trees are on principal components of the training part (pcs=None: on the features). Boosting stops early, by a tenth
-    of the training part, if that part has 60 rows or more; pyspark.ml has no L2 on leaves."""
+    of the training part, if that part has 60 rows or more; it takes a task a fold, and ROWS rows at most."""
+    if kind == "gbt":
+
+        def fit(x, t, z):
+            if pcs is not None:
+                x, z = _reduce(x, z, False, pcs)
+            return K.boosted_fit(x, t, rounds=trees or 300, stop=len(t) >= 60, seed=seed)(z)
+
+        return _per_fold(df, k, fit, key, vec, y)
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+    from pyspark.ml.regression import RandomForestRegressor
 
     x = _dealt(df.select(key, "fold", F.col(y).cast("double").alias("y"), F.col(vec).cast("array<double>").alias("raw")))
     d, n = x.select(F.size("raw")).first()[0], x.count()
-    stops = kind == "gbt" and n * 4 // 5 >= 60
     out = None
     for f in range(k):
         train = x.where(F.col("fold") != f)
-        z = standardised(x, "raw", "z", train).withColumn("z", array_to_vector("z")).withColumn("check", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(10)) == 0)
+        z = standardised(x, "raw", "z", train).withColumn("z", array_to_vector("z"))
         if pcs is not None:
             z = PCA(k=max(2, min(pcs, d, n * 4 // 5 - 2)), inputCol="z", outputCol="features").fit(z.where(F.col("fold") != f)).transform(z)
         else:
             z = z.withColumnRenamed("z", "features")
-        if kind == "gbt":
-            model = GBTRegressor(labelCol="y", maxDepth=3, maxIter=trees or 300, seed=seed, **({"validationIndicatorCol": "check"} if stops else {}))
-        else:
-            model = RandomForestRegressor(labelCol="y", maxDepth=6, numTrees=trees or 400, minInstancesPerNode=5, seed=seed)
+        model = RandomForestRegressor(labelCol="y", maxDepth=6, numTrees=trees or 400, minInstancesPerNode=5, seed=seed)
         got = model.fit(z.where(F.col("fold") != f)).transform(z.where(F.col("fold") == f)).select(key, "fold", "y", F.col("prediction").alias("pred"))
         out = got if out is None else out.unionByName(got)
     return out

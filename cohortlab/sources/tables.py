@@ -66,19 +66,41 @@ def write_cells(df: DataFrame, path: str, meta: dict[str, str], fmt: str = "parq
     df.withColumn("meta", block).write.mode("overwrite").format(fmt).save(path)
 
 
+#: bytes of a file that a task holds at a time; files that one task reads, about
+PIECE, FILES = 8 << 20, 16
+
+
 def fingerprint_inputs(spark: SparkSession, paths: list[tuple[str, str]], allowed_roots: list[str]) -> DataFrame:
-    """path, role, sha256, size_bytes of existing inputs; a path outside all roots is an error, a missing one is skipped."""
+    """path, role, sha256, size_bytes of existing inputs; a path outside all roots is an error, a missing one is skipped.
+
+    Paths are rows of one plan; tasks stream their files in pieces, so neither many files nor large ones matter. Plain paths
+    and URIs that pyarrow knows are read where the tasks run."""
     for p, _ in paths:
         if ".." in p.split("/") or not any(p.startswith(r.rstrip("/") + "/") for r in allowed_roots):
             raise ValueError(f"not under an allowed root: {p}")
-    out = None
-    for p, role in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(p)
-        if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-            continue
-        one = spark.read.format("binaryFile").load(p).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.lit(role).alias("role"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"))
-        out = one if out is None else out.union(one)
-    return out if out is not None else spark.createDataFrame([], "path string, role string, sha256 string, size_bytes long")
+
+    def run(batches):
+        import hashlib
+
+        import pandas as pd
+        from pyarrow import fs
+
+        for b in batches:
+            rows = []
+            for path, role in zip(b["path"], b["role"], strict=True):
+                store, name = fs.FileSystem.from_uri(path)
+                if store.get_file_info(name).type != fs.FileType.File:
+                    continue
+                digest, size = hashlib.sha256(), 0
+                with store.open_input_stream(name) as f:
+                    while piece := f.read(PIECE):
+                        digest.update(piece)
+                        size += len(piece)
+                rows.append((path, role, digest.hexdigest(), size))
+            yield pd.DataFrame(rows, columns=["path", "role", "sha256", "size_bytes"])
+
+    listed = spark.createDataFrame([(p, r) for p, r in paths], "path string, role string")
+    return listed.repartition(max(1, -(-len(paths) // FILES)), "path").mapInPandas(run, "path string, role string, sha256 string, size_bytes long")
 
 
 def incremental_targets(signals: DataFrame, cached: DataFrame, compute: Callable[[DataFrame], DataFrame], key: str = "subject_id") -> DataFrame:
