@@ -256,10 +256,43 @@ def h3_common_average_reference(spark, d):
     return rounded(c, "ss", n=2)
 
 
-@query()
+def _filter_cte(sf: float, lo: float, hi: float) -> str:
+    """CTEs (recursive) that end in filtered(user_id, t, x): second-order sections one sample after another, forward, then backward."""
+    sections = [([float(v) for v in c], [float(v) for v in d]) for c, d in K.butter_band(4, lo, hi, sf)]
+    pad = 3 * (2 * len(sections) + 1)
+    state = [f"{c}{k}" for k in range(len(sections)) for c in "pq"]
+    level, begin = "x", []
+    for k, (c, d) in enumerate(sections):
+        gain = sum(c) / sum(d)
+        begin += [f"{level} * {gain - c[0]!r} as p{k}", f"{level} * {c[2] - d[2] * gain!r} as q{k}"]
+        level = f"{level} * {gain!r}"
+    steps, u = [], "e.x"
+    for k, (c, d) in enumerate(sections):
+        steps += [f"{c[0]!r} * {u} + f.p{k} as y{k}", f"{c[1]!r} * {u} - {d[1]!r} * y{k} + f.q{k} as p{k}n", f"{c[2]!r} * {u} - {d[2]!r} * y{k} as q{k}n"]
+        u = f"y{k}"
+
+    def once(name: str, source: str) -> str:
+        return f"""{name}(user_id, i, y, {", ".join(state)}) as (
+  select user_id, -1::bigint, 0::double, {", ".join(begin)} from {source} where i = 0
+  union all select user_id, i, {u}, {", ".join(f"{c}n" for c in state)} from (select e.user_id, e.i, {", ".join(steps)} from {name} f join {source} e on e.user_id = f.user_id and e.i = f.i + 1)
+)"""
+
+    return f"""src as ({SIG}), ends as (
+  select user_id, count(*) as n, least({pad}, count(*) - 1) as pad, arg_min(x, t) as head, arg_max(x, t) as tail from src group by 1
+), ext as (
+  select e.user_id, k as i, case when k < pad then 2 * head - s.x when k >= pad + n then 2 * tail - s.x else s.x end as x
+  from (select *, unnest(range(n + 2 * pad)) as k from ends) e join src s on s.user_id = e.user_id and s.t = case when k < pad then pad - k when k >= pad + n then 2 * (n - 1) - (k - pad) else k - pad end
+), {once("ahead", "ext")}, turned as (
+  select a.user_id, n + 2 * pad - 1 - i as i, y as x from ahead a join ends e on e.user_id = a.user_id where i >= 0
+), {once("back", "turned")}, filtered as (
+  select b.user_id, n + pad - 1 - i as t, y as x from back b join ends e on e.user_id = b.user_id where i >= pad and i < pad + n
+)"""
+
+
+@query(f"with recursive {_filter_cte(200.0, 8.0, 45.0)} select user_id as recording_id, t as i, round(x, 5) + 0.0 as x from filtered")
 def h4_bandpass(spark, d):
     b = S.bandpass(arrays(spark, d), 200.0, 8.0, 45.0)
-    return rounded(b.select("recording_id", F.size("samples").alias("n"), F.array_max("samples").alias("top")), "top")
+    return rounded(b.select("recording_id", F.posexplode("samples").alias("i", "x")).withColumn("i", F.col("i").cast("long")), "x", n=5)
 
 
 @query()
@@ -269,10 +302,13 @@ def h5_recipe_notch_wide(spark, d):
     return rounded(r.select("recording_id", "ch_idx", F.size("samples").alias("n"), F.array_max("samples").alias("top")), "top")
 
 
-@query()
+ENVELOPE = "n as (select user_id, count(*) as n from filtered group by 1), dft as (select f.user_id, n.n, k, sum(x * cos(2 * pi() * k * t / n.n)) as re, -sum(x * sin(2 * pi() * k * t / n.n)) as im from filtered f join (select *, unnest(range(n // 2 + 1)) as k from n) n on n.user_id = f.user_id group by 1, 2, 3), whole as (select f.user_id, f.t, sum(case when k = 0 or 2 * k = d.n then 1 else 2 end * (re * cos(2 * pi() * k * t / d.n) - im * sin(2 * pi() * k * t / d.n))) / any_value(d.n) as re, sum(case when k = 0 or 2 * k = d.n then 1 else 2 end * (re * sin(2 * pi() * k * t / d.n) + im * cos(2 * pi() * k * t / d.n))) / any_value(d.n) as im from filtered f join dft d on d.user_id = f.user_id group by 1, 2)"
+
+
+@query(f"with recursive {_filter_cte(200.0, 8.0, 13.0)}, {ENVELOPE} select user_id as recording_id, t as i, round(sqrt(re * re + im * im), 5) as x from whole")
 def h6_envelope(spark, d):
     e = S.envelope(arrays(spark, d), 200.0)
-    return rounded(e.select("recording_id", F.array_min("samples").alias("low"), F.array_max("samples").alias("top")), "low", "top")
+    return rounded(e.select("recording_id", F.posexplode("samples").alias("i", "x")).withColumn("i", F.col("i").cast("long")), "x", n=5)
 
 
 @query()
@@ -619,9 +655,9 @@ def r4_permutation_p(spark, d):
     return rounded(T.permutation_p(e.join(o, "event_type"), ["event_type"], "value", "obs"), "p_above", "p_below")
 
 
-@query("select lang, quantile_cont(n_chars, 0.025) as lo, quantile_cont(n_chars, 0.5) as median, quantile_cont(n_chars, 0.975) as hi from documents group by 1")
+@query("select lang, round(quantile_cont(n_chars, 0.025), 6) as lo, round(quantile_cont(n_chars, 0.5), 6) as median, round(quantile_cont(n_chars, 0.975), 6) as hi from documents group by 1")
 def r5_percentile_ci(spark, d):
-    return T.percentile_ci(read(spark, d, "documents"), "n_chars", "lang")
+    return rounded(T.percentile_ci(read(spark, d, "documents"), "n_chars", "lang"), "lo", "median", "hi")
 
 
 @query("with p as (select source, ((sum(n_chars) % 997) + 1) / 20000.0 as p from documents group by 1), r as (select source, p, least(1, max((m - i + 1) * p) over (order by p, source rows unbounded preceding)) as h from (select *, count(*) over () as m, row_number() over (order by p, source) as i from p)) select source, round(p, 6) as p, round(h, 6) as p_holm, h < 0.05 as reject from r")
