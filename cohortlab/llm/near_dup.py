@@ -205,21 +205,20 @@ def _meeting(nodes: DataFrame, percent: int) -> DataFrame:
     those to be joined on), and rest and added_rest (how many shared ones, and additions, follow in the order)."""
     cols = ["pivot", "node", "n", "comp", "outlier", "left", "total", "adds", "w", "p_n", "few", "many", "long"]
     each = materialise(nodes.select(*cols, F.posexplode("items").alias("at", "e")).withColumn("added", F.col("at") < F.col("adds")).drop("at"), "differences")
-    least = each.groupBy("pivot").agg(F.min("w").alias("least_w"))
-    known = each.groupBy("pivot", "e").agg(F.count("*").alias("c"), F.max("left").alias("l"), F.max("outlier").alias("o"), F.min("comp").alias("x"), F.max("comp").alias("y"))
-    known = known.where((F.col("c") > 1) & F.col("l") & F.col("o") & (F.col("x") != F.col("y"))).select("pivot", "e", "c")
+    known = each.groupBy("pivot", "e").agg(F.count("*").alias("c"), F.max("left").alias("l"), F.max("outlier").alias("o"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("w").alias("least_w"))
+    known = known.where((F.col("c") > 1) & F.col("l") & F.col("o") & (F.col("x") != F.col("y"))).select("pivot", "e", "c", "least_w")
     # differences that nobody shares come first in the order; rest: shared ones from here on, added_rest: additions among them
     w = Window.partitionBy("pivot", "node")
     onward = w.orderBy("c", "e").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     each = each.join(known, ["pivot", "e"]).withColumns({"rest": F.count("*").over(onward), "added_rest": F.sum(F.col("added").cast("int")).over(onward)})
     place = F.col("total") - F.col("rest") + 1
     each = each.withColumns({"few": place <= F.col("few"), "many": place <= F.col("many")})
-    # a row's own numbers can rule out every partner: none has a smaller w than the pivot's least, nor fewer shingles than
-    # `percent` of the row's; what is left is bounded by the differences it has in common with anybody
+    # a row's own numbers can rule out every partner: none has a smaller w than the least with this difference, nor fewer
+    # shingles than `percent` of the row's; what is left is bounded by the differences it has in common with anybody
     near = F.col("w") + F.col("least_w") - (100 - percent) * F.col("p_n") <= (100 + percent) * F.col("rest")
     own = percent * F.col("n") - 100 * (F.col("n") - F.col("adds")) <= 100 * F.col("added_rest")
     can = F.when(F.col("long"), F.col("added") & F.col("few") & own).otherwise(((F.col("many") | F.col("few")) & near) | (F.col("added") & own))
-    return each.join(least, "pivot").where(can).drop("total", "least_w")
+    return each.where(can).drop("total", "least_w")
 
 
 def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
