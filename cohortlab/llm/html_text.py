@@ -1,10 +1,13 @@
 """Text of web pages by layout: a tree with implied tags, visibility rules, and a renderer for blocks, lists and tables.
 
 Every step takes time in proportion to the page: tags are found by one scan that never goes back, open elements are
-looked up by name, and the renderer keeps its own stack, so that nesting has no limit. Three rules of layout keep the
-result in proportion too, and none of them loses text: indents grow to INDENT blanks, a column is padded to PAD
-characters at most (cells over several columns to four times that), at most DOWN cells of a row keep their columns in
-the next, and tables more than TABLES deep in each other's cells are set as blocks.
+looked up by name, and the renderer keeps its own stack, so that nesting has no limit. Columns are aligned at any width and
+cells reach down over any number of rows, as long as a table's padding and empty cells stay in proportion to it: at most
+ROOM blanks a character and row, and DOWN empty cells a cell. Beyond that, and for indents of over INDENT blanks and tables more than TABLES
+deep in each other's cells, text is set without them; none is lost.
+
+Elements are hidden by tag, attribute and style, and by rules of the page's style sheets that name one tag, class or id (or
+several of them together) and set display or visibility; of rules that apply, the more specific one counts, then the later.
 """
 
 from __future__ import annotations
@@ -38,8 +41,8 @@ CLOSES = {
 #: a block start closes an open paragraph
 ENDS_P = BLOCK - {*CELLS, *SECTIONS, "tr", "body", "html", "option", "optgroup"}
 STRUCTURE = frozenset(("tr", "colgroup", "col", *CELLS, *SECTIONS))
-#: widest indent of a line; widest cell that others are aligned to; tables laid out inside each other's cells; cells of a row that reach into the next
-INDENT, PAD, TABLES, DOWN = 40, 80, 8, 20
+#: widest indent of a line; tables laid out inside each other's cells; blanks of a table for each of its characters and rows, and empty cells that reach down for each of its cells
+INDENT, TABLES, ROOM, DOWN = 40, 8, 64, 8
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
 # one attribute after any white space and slashes; quoted values may hold anything but their quote
@@ -49,6 +52,9 @@ _BLANKS = re.compile(" {2,}")
 _NUMBER = re.compile(r"\s*([+-]?[0-9]{1,9})(?![0-9])")
 _HUGE = re.compile("&#0*+[0-9]{8,}+;?")
 _ENDS: dict[str, re.Pattern] = {}
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.DOTALL)
+#: a selector of one element: a tag or none, then ids and classes
+_SIMPLE = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)")
 
 
 class Node:
@@ -84,25 +90,85 @@ def _attributes(source: str, at: int) -> tuple[dict[str, str] | None, int, bool]
             return found, at + 1, source[at - 1] == "/" and m[6] is None
 
 
+def _declared(source: str) -> dict[str, tuple[str, bool]]:
+    """display and visibility of a list of declarations, and whether they are important."""
+    found: dict[str, tuple[str, bool]] = {}
+    for rule in source.lower().split(";"):
+        name, _, value = rule.partition(":")
+        value, _, force = value.partition("!")
+        if (name := name.strip()) in ("display", "visibility"):
+            important = force.strip() == "important"
+            if important or not found.get(name, ("", False))[1]:
+                found[name] = (value.strip(), important)
+    return found
+
+
+def style_rules(source: str, order: int) -> list[tuple[str, frozenset[str], tuple, dict[str, tuple[str, bool]]]]:
+    """(tag or '', ids and classes, rank, declarations) of a style sheet's rules for one element that set display or visibility.
+
+    Blocks inside other blocks, as of @media, depend on the reader and are passed over."""
+    out = []
+    source, at, depth, head = _COMMENT.sub(" ", source), 0, 0, ""
+    for m in re.finditer(r"[{}]", source):
+        part = source[at : m.start()]
+        if m[0] == "{":
+            head = part.rpartition(";")[2].strip() if depth == 0 else head
+            depth += 1
+        else:
+            if depth == 1 and not head.startswith("@") and (found := _declared(part)):
+                for selector in head.split(","):
+                    one = _SIMPLE.fullmatch(selector.strip())
+                    if one and selector.strip():
+                        names = re.findall(r"[.#][\w-]+", one[2])
+                        tag = (one[1] or "").lower().replace("*", "")
+                        out.append((tag, frozenset(names), (sum(n[0] == "#" for n in names), sum(n[0] == "." for n in names), bool(tag), order, len(out)), found))
+            depth = max(depth - 1, 0)
+        at = m.end()
+    return out
+
+
+class Sheets:
+    """The page's style rules under the id, class or tag that an element must have for them."""
+
+    def __init__(self):
+        self.under: dict[str, list] = {}
+        self.count = 0
+
+    def add(self, source: str) -> None:
+        for rule in style_rules(source, self.count):
+            key = next(iter(sorted(rule[1])), rule[0] or "*")
+            self.under.setdefault(key, []).append(rule)
+        self.count += 1
+
+    def apply(self, node: Node) -> None:
+        names = {f".{c}" for c in node.attrs.get("class", "").split()} | ({f"#{node.attrs['id']}"} if "id" in node.attrs else set())
+        rules = [r for key in (*names, node.tag, "*") for r in self.under.get(key, ()) if r[1] <= names and r[0] in ("", node.tag)]
+        said: dict[str, tuple[bool, tuple, str]] = {}
+        for _, _, rank, found in rules:
+            for name, (value, important) in found.items():
+                said[name] = max(said.get(name, (False, (), "")), (important, rank, value))
+        for name, (value, important) in _declared(node.attrs.get("style", "")).items():
+            said[name] = max(said.get(name, (False, (), "")), (important, (9,) * 5 if important else (8, 9e9), value))
+        if "display" in said and node.tag not in HIDDEN:
+            node.gone = said["display"][2] == "none"
+        if "visibility" in said:
+            node.shown = said["visibility"][2] not in ("hidden", "collapse")
+
+
 def _visibility(node: Node) -> None:
     """gone: not laid out at all; shown: True or False where the element says so, None where it is as its parent."""
     attrs = node.attrs
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or node.tag == "dialog" and "open" not in attrs or node.tag == "input" and attrs.get("type", "").lower() == "hidden":
         node.gone = True
-    for rule in attrs.get("style", "").lower().split(";") if "style" in attrs else ():
-        name, _, value = rule.partition(":")
-        value = value.partition("!")[0].strip()
-        if name.strip() == "display" and node.tag not in HIDDEN:
-            node.gone = value == "none"
-        elif name.strip() == "visibility":
-            node.shown = value not in ("hidden", "collapse")
 
 
 class Builder:
     """The tree. Open elements are on a stack, and their places in it under their names, so that no lookup walks it."""
 
     def __init__(self):
-        self.root = Node("html")
+        self.root, self.sheets = Node("html"), Sheets()
+        #: elements in page order, which the sheets are applied to when all are known
+        self.made: list[Node] = []
         self.stack, self.where = [self.root], {"html": [0]}
         #: places of open blocks, which the end tag of inline text doesn't reach beyond
         self.blocks = [0]
@@ -170,6 +236,7 @@ class Builder:
         node = Node(tag, attrs)
         if attrs or tag == "dialog":
             _visibility(node)
+        self.made.append(node)
         in_table = self.last("table") >= 0
         if tag in STRUCTURE and in_table:
             self.structure(tag)
@@ -192,6 +259,16 @@ class Builder:
             self.push(node)
         return node
 
+    def styled(self) -> Node:
+        """The finished tree: style rules are applied, and closed details keep their summary alone."""
+        for node in self.made:
+            if self.sheets.under or "style" in node.attrs:
+                self.sheets.apply(node)
+            if node.tag == "details" and "open" not in node.attrs:
+                first = next((k for k in node.kids if isinstance(k, Node) and k.tag == "summary"), None)
+                node.kids = [] if first is None else [first]
+        return self.root
+
     def end(self, tag: str) -> None:
         if tag == "br":
             self.add(Node("br"))
@@ -246,18 +323,20 @@ def build(source: str) -> Node:
         node = made.start(tag, attrs, closed)
         if tag == "plaintext":
             made.add(source[at:])
-            return made.root
+            return made.styled()
         if tag in RAW and node is not None:
             end = _ENDS.setdefault(tag, re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE)).search(source, at)
             stop = end.start() if end else size
             if tag in ("textarea", "title"):
                 node.kids.append(_unescaped(source[at:stop]))
+            elif tag == "style" and node.attrs.get("media", "all").strip().lower() in ("", "all", "screen"):
+                made.sheets.add(source[at:stop])
             made.cut(len(made.stack) - 1)
             at = _attributes(source, end.end())[1] if end else size
             held = at
     if held < size:
         made.add(_unescaped(source[held:]))
-    return made.root
+    return made.styled()
 
 
 class Layout:
@@ -268,11 +347,13 @@ class Layout:
     def __init__(self):
         self.lines: list[str] = []
         self.now: list[str] = []
-        self.gap = self.raw = False
+        self.gap = self.raw = self.broken = False
         self.marks: list[str] = []
         self.fresh = self.indent = 0
 
     def text(self, value: str, pre: bool) -> None:
+        if pre or value.strip():
+            self.broken = False
         if pre:
             self.raw = True
             head, *rest = value.split("\n")
@@ -305,8 +386,15 @@ class Layout:
         if value or keep:
             self.line(value)
 
+    def break_(self) -> None:
+        """The end of a line; right after another one, an empty line."""
+        self.gap = self.gap or self.broken
+        self.end(keep=any(x.strip() for x in self.now))
+        self.broken = True
+
     def space(self) -> None:
         self.end()
+        self.broken = False
         # nothing stands between a list item's mark and its first line
         self.gap = self.gap or not self.fresh
 
@@ -334,40 +422,59 @@ class Layout:
 
 
 def _grid(rows: list[list[tuple[int, int, int, list[str]]]]) -> list[str]:
-    """Lines of a table's rows of (column, columns, rows spanned, lines); columns are padded to their widest cell and parted by ' | '."""
+    """Lines of a table's rows of (column, columns, rows spanned, lines); columns are padded to their widest cell and parted by ' | '.
+
+    All columns are aligned if that takes no more than ROOM blanks for each character and row; else the widest cells are
+    left out of it, one width after another, until it does."""
     # columns where no cell begins have no width of their own
     columns = sorted({col for row in rows for col, *_ in row})
     rank = {c: i for i, c in enumerate(columns)}
     ends = lambda col, span: bisect.bisect_left(columns, col + span)
-    width = [0] * len(columns)
-    for row in rows:
-        for col, span, _, lines in row:
-            if ends(col, span) == rank[col] + 1:
-                need = max(map(len, lines), default=0)
-                width[rank[col]] = max(width[rank[col]], need if need <= PAD else 0)
-    reach = list(itertools.accumulate((w + 3 for w in width), initial=0))
-    for row in rows:
-        for col, span, _, lines in row:
-            need, end = max(map(len, lines), default=0), ends(col, span)
-            if end > rank[col] + 1 and need <= PAD:
-                width[end - 1] = max(width[end - 1], need - (reach[end - 1] - reach[rank[col]]))
-    reach = list(itertools.accumulate((w + 3 for w in width), initial=0))
+    needs = sorted({max(map(len, lines), default=0) for row in rows for *_, lines in row})
+    tall = [max((len(lines) for *_, lines in row), default=0) for row in rows]
+    room = ROOM * (sum(len(x) for row in rows for *_, lines in row for x in lines) + sum(tall) + len(rows))
+
+    def reached(most: int) -> list[int]:
+        width = [0] * len(columns)
+        for wide in (False, True):
+            reach = list(itertools.accumulate((w + 3 for w in width), initial=0))
+            for row in rows:
+                for col, span, _, lines in row:
+                    need, end = max(map(len, lines), default=0), ends(col, span)
+                    if need <= most and (end > rank[col] + 1) == wide:
+                        held = reach[end - 1] - reach[rank[col]] if wide else 0
+                        width[end - 1] = max(width[end - 1], need - held)
+        return list(itertools.accumulate((w + 3 for w in width), initial=0))
+
+    reach = reached(needs[-1] if needs else 0)
+    if sum(n * (reach[ends(row[-1][0], 1) - 1] if row else 0) for n, row in zip(tall, rows, strict=True)) > room:
+        lo, hi = 0, len(needs) - 1  # the widest cells that can be aligned, by halving
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            reach = reached(needs[mid])
+            fits = sum(n * (reach[ends(row[-1][0], 1) - 1] if row else 0) for n, row in zip(tall, rows, strict=True)) <= room
+            lo, hi = (mid, hi) if fits else (lo, mid - 1)
+        reach = reached(needs[lo])
     out = []
-    for row in rows:
-        for i in range(max((len(lines) for *_, lines in row), default=0)):
+    for n, row in zip(tall, rows, strict=True):
+        for i in range(n):
             parts = []
-            for n, (col, span, _, lines) in enumerate(row):
+            for k, (col, span, _, lines) in enumerate(row):
                 x = lines[i] if i < len(lines) else ""
-                parts.append(x if n + 1 == len(row) else x.ljust(min(reach[ends(col, span)] - reach[rank[col]] - 3, 4 * PAD)))
+                parts.append(x if k + 1 == len(row) else x.ljust(reach[ends(col, span)] - reach[rank[col]] - 3))
             out.append(" | ".join(parts).rstrip())
     return out
 
 
 def _placed(rows: list[list[tuple[Node, bool]]]) -> list[list[tuple[int, int, int, Node | None, bool]]]:
-    """Cells with their columns: one that spans rows keeps its columns there, as an empty cell."""
+    """Cells with their columns: one that spans rows keeps its columns there, as an empty cell, up to DOWN of them for each cell."""
     out, down = [], {}
+    room = DOWN * (sum(map(len, rows)) + len(rows) + 1000)
     for row in rows:
         cells, col, taken = [], 0, down
+        room -= len(taken)
+        if room < 0:
+            taken = {}
         down = {}
 
         def carry(col, taken=taken):
@@ -385,7 +492,7 @@ def _placed(rows: list[list[tuple[Node, bool]]]) -> list[list[tuple[int, int, in
             span = next((n for n in range(1, span) if col + n in taken), span) if taken else span
             deep = len(rows) if deep == 0 else max(deep, 1)
             cells.append((col, span, deep, node, shown))
-            if deep > 1 and len(down) < DOWN:
+            if deep > 1:
                 down[col] = (span, deep - 1)
             col += span
         for c in sorted(c for c in taken if c >= col):
@@ -413,7 +520,7 @@ def _render(root: Node) -> list[str]:
             shown = shown if node.shown is None else node.shown
             tag, inside = node.tag, ("kids", node, out, shown, pre or node.tag == "pre", None, deep)
             if tag == "br":
-                out.end(keep=any(x.strip() for x in out.now))
+                out.break_()
             elif tag == "hr":
                 out.space()
             elif tag == "table":

@@ -334,3 +334,56 @@ def test_full_pieces_need_no_group(spark):
     assert len(set(full)) == 980 and max(full) < 0 <= min(r.sequence_id for r in got if r.length == 3) and all(r.offset == 0 for r in got if r.length == 8)
     shuffled = packing.pack(pieces.where("length = 8"), 8).where("length = 8")._jdf.queryExecution().executedPlan().toString()
     assert len(got) == 1000 and "sequence_id" in shuffled
+
+
+# --- pages ------------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<style>.h{display:none}</style><p class=h>no<p class='x h y'>no<p>yes", "yes"),
+        ("<p class=h>no<p>yes<style>/* .q{} */ p.h , #k { color: red; DISPLAY : None !important }</style><p id=k>no", "yes"),
+        ("<style>.h{display:none}#i{display:block}</style><p class=h id=i>yes<p class=h style='display:block'>yes", "yes\n\nyes"),
+        ("<style>p{visibility:hidden}b{visibility:visible}</style><p>no <b>yes</b> no<div>on</div>", "yes\n\non"),
+        ("<style>div p{display:none}p:hover{display:none}@media print{p{display:none}}</style><div><p>yes</div>", "yes"),
+        ("<style media=print>p{display:none}</style><p>yes", "yes"),
+        ("<style>*{visibility:hidden}.y{visibility:visible}</style>no<p class=y>yes", "no\n\nyes"),
+        ("<style>.h{display:none", ""),
+        ("<details><summary>head</summary>no<p>no</details>on", "head\non"),
+        ("<details open><summary>head</summary>yes</details>", "head\nyes"),
+        ("<details>no</details>on", "on"),
+        ("a<br><br>b<br>c", "a\n\nb\nc"),
+        ("<p>a<br></p><p>b", "a\n\nb"),
+    ],
+)
+def test_visibility_and_breaks(page, want):
+    from cohortlab.llm import html_text
+
+    assert html_text.page_text(page) == want
+
+
+def test_columns_are_aligned_at_any_width_and_depth():
+    from cohortlab.llm import html_text
+
+    wide = "w" * 300
+    lines = html_text.page_text(f"<table><tr><td>{wide}<td>b<tr><td>c<td>d</table>").split("\n")
+    assert lines == [f"{wide} | b", f"c{' ' * 299} | d"]
+    page = "<table><tr>" + "".join(f"<td rowspan=2>x{i}" for i in range(25)) + "<td>y<tr><td>z</table>"
+    first, second = html_text.page_text(page).split("\n")
+    assert first.index("y") == second.index("z")
+    # padding stays in proportion: one cell of a long page's text, and many short rows below it
+    page = f"<table><tr><td>{'v' * 200_000}<td>b" + "<tr><td>c<td>d" * 2000 + "</table>"
+    out = html_text.page_text(page)
+    assert len(out) < 64 * len(page) and out.split("\n")[-1] == "c | d"
+
+
+def test_pages_of_odd_rows(spark):
+    from cohortlab.llm import html_text
+
+    rows = [(1, "<p>a", "x", 7), (1, "<p>a", "x", 7), (None, "<p>b", "y", 8), (2, None, "z", 9), (3, "", None, None)]
+    df = spark.createDataFrame(rows, "page_id long, html string, text string, n_lines int").repartition(2)
+    got = sorted((r.page_id or 0, r.text, r.n_lines, r.n_chars) for r in html_text.extract_text(df).collect())
+    assert got == [(0, "b", 1, 1), (1, "a", 1, 1), (1, "a", 1, 1), (2, "", 0, 0), (3, "", 0, 0)]
+    nulls = html_text.extract_text(df.where("html is null")).collect()
+    assert [(r.page_id, r.text, r.n_lines) for r in nulls] == [(2, "", 0)]
