@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import ids_text, materialise, mix64, seeds64, shared_path, word_hashes
 
-#: words in a chunk, about; buckets that a chunk's dictionary is dealt into for each shuffle partition
-CHUNK_WORDS, DEPTH = 3 << 18, 3
+#: words in a chunk, about; training tokens of a bucket
+CHUNK_WORDS, DEPTH, BUCKET_TOKENS = 3 << 18, 3, 4_000_000
 DISCOUNT = 0.5
 #: bytes of a gram's key that tell it from the others of its context
 ID_BYTES = 5
@@ -157,8 +157,9 @@ def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return uniq, np.bincount(inv, weights=c, minlength=len(uniq)).astype(np.int64)
 
 
-def _bucket_count(df: DataFrame) -> int:
-    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _bucket_count(df: DataFrame, tokens: int) -> int:
+    """Buckets of about BUCKET_TOKENS counted tokens at most, as one is worked on in the memory of a task."""
+    return max(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tokens // BUCKET_TOKENS))
 
 
 def _cut(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -168,12 +169,11 @@ def _cut(keys: np.ndarray, buckets: int) -> np.ndarray:
     return cut
 
 
-def global_counts(held: DataFrame) -> DataFrame:
+def global_counts(held: DataFrame, buckets: int) -> DataFrame:
     """chunk, bucket, counts: how often a chunk's words occur in the whole training corpus; v: see below.
 
     Every chunk sends a bucket its words and counts; a bucket adds them up and answers each chunk. One row of a bucket
     also has v, its distinct training words."""
-    buckets = _bucket_count(held)
 
     def send(batches):
         for b in batches:
@@ -465,9 +465,10 @@ def suffix_tree_scores(docs: DataFrame, floor: int = 2, depth: int = DEPTH, leas
         raise ValueError("floor must be at least 1")
     held = chunks(docs)
     context = held.sparkSession.sparkContext
-    buckets = _bucket_count(held)
-    words = global_counts(held)
-    scorer = Scorer(training_tokens(held), int(words.agg(F.sum("v")).first()[0] or 0), floor, hot)
+    tokens = training_tokens(held)
+    buckets = _bucket_count(held, tokens)
+    words = global_counts(held, buckets)
+    scorer = Scorer(tokens, int(words.agg(F.sum("v")).first()[0] or 0), floor, hot)
     got = words.select("chunk", F.lit(0).alias("level"), "bucket", F.lit(None).cast("binary").alias("rest"), "counts")
 
     def with_answers() -> DataFrame:
