@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_text, mix64, rows_where, seeds64, text_slices, word_hashes
+from .common import ids_text, materialise, mix64, rows_where, seeds64, text_slices, word_hashes
 
 #: fixed masks over windows of up to 11 words; 1 keeps a word, 0 ignores it
 MASKS = ("11101101011", "1101101", "1110111", "101111")
@@ -166,9 +166,10 @@ class Index:
 
 
 def _slices_of(benchmark: DataFrame, slice_words: int) -> list:
-    """Functions for workers, one for each slice of the benchmark: they give its Index, which is made once in a worker's life."""
+    """Functions, one for each slice of the benchmark, that bring it to the workers. They give (what gives a worker its Index,
+    made once in its life; what lets the slice go, None if there is no other)."""
 
-    def share_out(part: DataFrame, **how):
+    def share_out(part: DataFrame, alone: bool, **how):
         held = part.select("item_id", "text").collect()  # slice_words words, about
         spread = benchmark.sparkSession.sparkContext.broadcast(([r["item_id"] for r in held], [r["text"] for r in held]))
         name = uuid.uuid4().hex
@@ -180,13 +181,14 @@ def _slices_of(benchmark: DataFrame, slice_words: int) -> list:
                 _held[name] = Index(*spread.value, **how)
             return _held[name]
 
-        return index
+        # with more than one slice, each is done and let go before the next one comes to the driver
+        return index, None if alone else spread.destroy
 
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     slices = max(1, -(-int(total) // slice_words))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(slices))
-    return [lambda k=k, **how: share_out(items.where(part == k), **how) for k in range(slices)]
+    return [lambda k=k, **how: share_out(items.where(part == k), slices == 1, **how) for k in range(slices)]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.8, min_words: int = 5, slice_words: int = SLICE_WORDS) -> DataFrame:
@@ -202,7 +204,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share:
     form = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), *((c, pa.int32()) for c in ("matched", "aligned", "doc_word", "item_word"))])
     out = None
     for make in _slices_of(benchmark, slice_words):
-        index = make(window=window, share=share, min_words=min_words)
+        index, release = make(window=window, share=share, min_words=min_words)
 
         def run(batches, index=index):
             for b in batches:
@@ -214,6 +216,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), form, strict=True)], schema=form)
 
         found = ids_text(docs).mapInArrow(run, "doc_id long, item_id long, matched int, aligned int, doc_word int, item_word int")
+        if release:
+            found = materialise(found, "matches")
+            release()
         out = found if out is None else out.union(found)
     return out
 
@@ -223,7 +228,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
 
     Rows are judged each by its own text in the pass that reads them, so nothing is shuffled; cases as in contaminated()."""
     for make in _slices_of(benchmark, slice_words):
-        index = make(window=window, share=share, min_words=min_words)
+        index, release = make(window=window, share=share, min_words=min_words)
 
         def clean(col, index=index):
             words, off = word_hashes(col, punctuation=True)
@@ -232,4 +237,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
             return out
 
         docs = rows_where(docs, clean)
+        if release:
+            docs = materialise(docs, "clean")
+            release()
     return docs
