@@ -387,3 +387,73 @@ def test_pages_of_odd_rows(spark):
     assert got == [(0, "b", 1, 1), (1, "a", 1, 1), (1, "a", 1, 1), (2, "", 0, 0), (3, "", 0, 0)]
     nulls = html_text.extract_text(df.where("html is null")).collect()
     assert [(r.page_id, r.text, r.n_lines) for r in nulls] == [(2, "", 0)]
+
+
+# --- stages on odd tables ---------------------------------------------------------------------------------------------------
+
+
+def odd_documents(spark):
+    """Nulls in every column, empty and long texts, repeated rows, and extra columns named like those that operators make."""
+    rows = [(i, t, "en" if i is None or i % 2 else None, None, len(t) if t is not None else None, 2.5, "n", 4) for i, t in [*ODD, (7, "the same long line of words is here\nown seven"), (8, "the same long line of words is here\nown eight"), (9, "the same long line of words is here"), (10, "the same long line of words is here\n"), (11, "the same long line of words is here\nown eleven"), (12, None), (13, "   ")]]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept double, node string, length int").repartition(3)
+
+
+def test_line_stage_on_odd_rows(spark):
+    import corpus_pipeline as P
+
+    docs = odd_documents(spark)
+    out = P.drop_lines(spark, docs, D)
+    assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[7].text.startswith("the same") and got[8].text == "own eight" and got[8].n_chars == 9
+    # documents that had text and have none left go; those without text stay
+    assert 9 not in got and 10 not in got and got[12].text is None and got[12].n_chars is None and got[13].text == "   " and got[1].text == ""
+    assert sum(r.doc_id == 3 for r in out.collect()) == 2 and all(r.kept == 2.5 and r.node == "n" for r in got.values())
+    assert P.drop_lines(spark, docs.limit(0), D).count() == 0
+
+
+def test_near_duplicate_stage_on_odd_rows(spark):
+    import corpus_pipeline as P
+
+    docs = odd_documents(spark)
+    out = P.drop_near_duplicates(spark, docs, D)
+    assert out.columns == docs.columns
+    ids = sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in out.collect())
+    # 3 came twice as one row; 9 and 10 have one set, of which the least id stays
+    assert [i for i, _ in ids] == [-1, 1, 2, 3, 4, 5, 7, 8, 9, 11, 12, 13]
+    assert P.drop_near_duplicates(spark, docs.limit(0), D).count() == 0
+
+
+def test_packing_stage_on_odd_rows_and_ties(spark):
+    import corpus_pipeline as P
+
+    docs = odd_documents(spark)
+    got = P.pack(spark, docs, D).collect()
+    # the long text is two pieces; those without text are their end id alone
+    assert len(got) == docs.count() + 1 and {r.doc_id for r in got if r.length == 1} >= {1, 2, 12} and sum(r.doc_id is None for r in got) == 1
+    spans = defaultdict(list)
+    for r in got:
+        spans[r.sequence_id].append((r.offset, r.length))
+    for s in spans.values():
+        s.sort()
+        assert s[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(s, s[1:])) and sum(n for _, n in s) <= 2048
+    again = P.pack(spark, docs.repartition(1), D).collect()
+    key = lambda rows: sorted((r.doc_id or -1, r.piece, r.length, r.sequence_id, r.offset) for r in rows)
+    # equal rows can't be told apart; all others have the same place, however the table is dealt
+    assert [k for k in key(got) if k[0] != 3] == [k for k in key(again) if k[0] != 3] and len(spans) == len({r.sequence_id for r in again})
+    assert P.pack(spark, docs.limit(0), D).count() == 0
+
+
+def test_words_are_chosen_alike_on_ties_and_conflicting_labels(spark):
+    from cohortlab.llm import toxicity
+
+    rng = random.Random(12)
+    # eight words that tell the category equally well, and ids with two labels, of which the larger counts
+    rows = [(i, " ".join([text(rng, 20), *(f"bad{j}" for j in range(8) if i % 4 == 0)])) for i in range(200)]
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(200)] + [(i, 1, 0) for i in range(0, 200, 8)]
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    made = [sorted((r.doc_id, round(r.p_toxic, 9)) for r in toxicity.toxicity(frame(spark, rows).repartition(n), marks.repartition(n)).collect()) for n in (1, 4)]
+    assert made[0] == made[1] and all((p > 0.5) == (i % 4 == 0) for i, p in made[0])
+    sample = spark.createDataFrame([([j, 100 + j], i % 2, i % 2) for i in range(60) for j in [i % 2]], "words array<long>, fold int, y0 int")
+    picked = [sorted(map(tuple, toxicity.choose_words(sample.repartition(n), 1, most=1).collect())) for n in (1, 3)]
+    assert picked[0] == picked[1] and all(w in (0, 1, 100, 101) for _, _, w in picked[0])
