@@ -17,6 +17,7 @@ from .operators import signal as S
 from .operators import stats as T
 from .plans import experiments as X
 from .sources import tables as IO
+from .sources.shared import written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -256,8 +257,8 @@ def h3_common_average_reference(spark, d):
     return rounded(c, "ss", n=2)
 
 
-def _filter_cte(sf: float, lo: float, hi: float) -> str:
-    """CTEs (recursive) that end in filtered(user_id, t, x): second-order sections one sample after another, forward, then backward."""
+def _filter_cte(sf: float, lo: float, hi: float, source: str = f"src as ({SIG})") -> str:
+    """CTEs (recursive) after one named src(user_id, t, x), that end in filtered(user_id, t, x): second-order sections one sample after another, forward, then backward."""
     sections = [([float(v) for v in c], [float(v) for v in d]) for c, d in K.butter_band(4, lo, hi, sf)]
     pad = 3 * (2 * len(sections) + 1)
     state = [f"{c}{k}" for k in range(len(sections)) for c in "pq"]
@@ -277,7 +278,7 @@ def _filter_cte(sf: float, lo: float, hi: float) -> str:
   union all select user_id, i, {u}, {", ".join(f"{c}n" for c in state)} from (select e.user_id, e.i, {", ".join(steps)} from {name} f join {source} e on e.user_id = f.user_id and e.i = f.i + 1)
 )"""
 
-    return f"""src as ({SIG}), ends as (
+    return f"""{source}, ends as (
   select user_id, count(*) as n, least({pad}, count(*) - 1) as pad, arg_min(x, t) as head, arg_max(x, t) as tail from src group by 1
 ), ext as (
   select e.user_id, k as i, case when k < pad then 2 * head - s.x when k >= pad + n then 2 * tail - s.x else s.x end as x
@@ -295,11 +296,30 @@ def h4_bandpass(spark, d):
     return rounded(b.select("recording_id", F.posexplode("samples").alias("i", "x")).withColumn("i", F.col("i").cast("long")), "x", n=5)
 
 
-@query()
+def _spectral_cte(source: str, out: str, length: str, gain: str = "1") -> str:
+    """CTEs that end in out(user_id, t, x): the spectrum of source by sums, times a gain of bin k, back to `length` samples of n."""
+    return f"""{out}_n as (
+  select *, ({length})::bigint as m from (select user_id, count(*) as n from {source} group by 1)
+), {out}_dft as (
+  select f.user_id, z.n, z.m, k, sum(x * cos(2 * pi() * k * t / z.n)) as re, -sum(x * sin(2 * pi() * k * t / z.n)) as im
+  from {source} f join (select *, unnest(range(m // 2 + 1)) as k from {out}_n) z on z.user_id = f.user_id group by 1, 2, 3, 4
+), {out} as (
+  select g.user_id, g.t, sum(({gain}) * case when k = 0 or (d.m = d.n and 2 * k = d.n) then 1 else 2 end * (re * cos(2 * pi() * k * g.t / d.m) - im * sin(2 * pi() * k * g.t / d.m))) / any_value(d.n) as x
+  from (select user_id, unnest(range(m)) as t from {out}_n) g join {out}_dft d on d.user_id = g.user_id group by 1, 2
+)"""
+
+
+_TENS = f"raw as ({SIG}), lengths as (select user_id, count(*) as n from raw group by 1), shortest as (select user_id // 10 as rec, min(n) as n from lengths group by 1), referenced as (select user_id, t, x - avg(x) over (partition by user_id // 10, t) as x from raw join shortest on rec = user_id // 10 where t < shortest.n)"
+_NOTCHED = _TENS + ", " + _spectral_cte("referenced", "notched", "n", "(1 - cos(pi() * least(abs(k * 500.0 / d.n - 50) / 2, 1))) / 2")
+_WIDE = _filter_cte(500.0, 0.5, 70.0, _NOTCHED + ", src as (select * from notched)") + ", " + _spectral_cte("filtered", "slower", "round_even(n * 200.0 / 500.0, 0)")
+
+
+@query(f"with recursive {_WIDE} select user_id // 10 as recording_id, user_id as ch_idx, t as i, round(x, 5) + 0.0 as x from slower")
 def h5_recipe_notch_wide(spark, d):
-    a = P.duration_gate(arrays(spark, d), 48).select(F.floor(F.col("recording_id") / 10).alias("recording_id"), F.col("recording_id").cast("int").alias("ch_idx"), "samples")
+    # ten users of unequal lengths are the channels of a recording
+    a = arrays(spark, d).select(F.floor(F.col("recording_id") / 10).alias("recording_id"), F.col("recording_id").alias("ch_idx"), "samples")
     r = S.recipe_notch_wide(a)
-    return rounded(r.select("recording_id", "ch_idx", F.size("samples").alias("n"), F.array_max("samples").alias("top")), "top")
+    return rounded(r.select("recording_id", "ch_idx", F.posexplode("samples").alias("i", "x")).withColumn("i", F.col("i").cast("long")), "x", n=5)
 
 
 ENVELOPE = "n as (select user_id, count(*) as n from filtered group by 1), dft as (select f.user_id, n.n, k, sum(x * cos(2 * pi() * k * t / n.n)) as re, -sum(x * sin(2 * pi() * k * t / n.n)) as im from filtered f join (select *, unnest(range(n // 2 + 1)) as k from n) n on n.user_id = f.user_id group by 1, 2, 3), whole as (select f.user_id, f.t, sum(case when k = 0 or 2 * k = d.n then 1 else 2 end * (re * cos(2 * pi() * k * t / d.n) - im * sin(2 * pi() * k * t / d.n))) / any_value(d.n) as re, sum(case when k = 0 or 2 * k = d.n then 1 else 2 end * (re * sin(2 * pi() * k * t / d.n) + im * cos(2 * pi() * k * t / d.n))) / any_value(d.n) as im from filtered f join dft d on d.user_id = f.user_id group by 1, 2)"
@@ -311,13 +331,18 @@ def h6_envelope(spark, d):
     return rounded(e.select("recording_id", F.posexplode("samples").alias("i", "x")).withColumn("i", F.col("i").cast("long")), "x", n=5)
 
 
-@query()
+_MONTAGE = "raw as (select (user_id // 5) * 100 + idx as user_id, row_number() over (partition by user_id // 5, event_type order by ts, event_id) - 1 as t, value as x from events join (select event_type, row_number() over (order by upper(event_type)) - 1 as idx from (select distinct event_type from events)) using (event_type))"
+_GATED = _MONTAGE + ", " + _spectral_cte("raw", "halved", "round_even(n / 2.0, 0)") + ", whole as (select user_id // 100 as rec from halved where t = 19 group by 1 having count(*) = 5 and count(*) = (select count(distinct event_type) from events)), src as (select user_id, t, x - avg(x) over (partition by user_id // 100, t) as x from halved where t < 20 and user_id // 100 in (select rec from whole))"
+
+
+@query(f"with recursive {_filter_cte(200.0, 1.0, 45.0, _GATED)} select user_id // 100 as recording_id, (user_id % 100)::int as ch_idx, t as i, round(x, 5) + 0.0 as x from filtered")
 def h7_harmonise(spark, d):
+    """The event series of five users are the channels of a recording, at 400 Hz; a tenth of a second is what all have."""
     e = read(spark, d, "events").withColumn("recording_id", F.floor(F.col("user_id") / 5))
     w = e.groupBy("recording_id", F.col("event_type").alias("channel")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda s: s.value).alias("samples"), F.max("event_id").alias("pos"))
     names = sorted(r[0].upper() for r in e.select("event_type").distinct().collect())
     h = S.harmonise(w, 400.0, names, 200.0, 0.1, (1.0, 45.0))
-    return rounded(h.select("recording_id", "channel", "ch_idx", F.size("samples").alias("n"), F.array_max("samples").alias("top")), "top")
+    return rounded(h.select("recording_id", "ch_idx", F.posexplode("samples").alias("i", "x")).withColumn("i", F.col("i").cast("long")), "x", n=5)
 
 
 @query(f"with s as (select user_id, t // 16 as epoch_idx, x from ({SIG})) select user_id as recording_id, epoch_idx, round(avg(x), 6) as m from s group by 1, 2 having count(*) = 16")
@@ -341,9 +366,9 @@ def h10_scale_units(spark, d):
     return rounded(S.scale_units(arrays(spark, d), 1e3).select("recording_id", F.array_max("samples").alias("top")), "top")
 
 
-def _welch_cte(most: int, sf: float) -> str:
-    """CTEs that end in psd(user_id, k, freq, p): Hann windows that overlap by half, by the sums of a discrete Fourier transform."""
-    return f"""src as ({SIG}), size as (
+def _welch_cte(most: int, sf: float, source: str = f"src as ({SIG})") -> str:
+    """CTEs, after one named src(user_id, t, x), that end in psd(user_id, k, freq, p): Hann windows that overlap by half, by the sums of a discrete Fourier transform."""
+    return f"""{source}, size as (
   select user_id, count(*) as n, least({most}, count(*)) as w from src group by 1
 ), seg as (
   select user_id, w, unnest(range(0, n - w + 1, greatest(1, w - w // 2))) as org from size
@@ -393,11 +418,42 @@ def f3_hjorth_kernel(spark, d):
     return rounded(c.select(F.col("recording_id").alias("user_id"), *(F.col("spectral")[6 + i].alias(n) for i, n in enumerate(("activity", "mobility", "complexity")))), "activity", "mobility", "complexity")
 
 
-@query()
+def _absolute(name: str) -> str:
+    lo, hi = K.BANDS[name]
+    return f"coalesce(sum(step) filter (where freq >= {lo} and prior >= {lo} and freq <= {hi}), 0) as abs_{name}"
+
+
+#: epochs of 32 samples; user_id stands for user and epoch, eight users are the channels of a recording
+_EPOCHS = f"src as (select user_id * 1000 + t // 32 as user_id, t % 32 as t, x from ({SIG}) qualify count(*) over (partition by user_id, t // 32) = 32)"
+CLASSICAL = f"""with {_welch_cte(256, 200.0, _EPOCHS)}, steps as (
+  select *, (freq - lag(freq) over w) * (p + lag(p) over w) / 2 as step, lag(freq) over w as prior from psd window w as (partition by user_id order by k)
+), bands as (
+  select user_id, {', '.join(_band(n) for n in K.BANDS)}, {_absolute('alpha')}, {_absolute('theta')} from steps group by 1
+), parts as (
+  select user_id, p / sum(p) over (partition by user_id) + 1e-10 as q from psd
+), ent as (
+  select user_id, -sum(q / z * ln(q / z)) as entropy from (select user_id, q, sum(q) over (partition by user_id) as z from parts) group by 1
+), d1 as (
+  select user_id, t, x, x - lag(x) over (partition by user_id order by t) as d1 from src
+), d2 as (
+  select *, d1 - lag(d1) over (partition by user_id order by t) as d2 from d1
+), hj as (
+  select user_id, var_pop(x) as v0, var_pop(d1) as v1, var_pop(d2) as v2 from d2 group by 1
+), ch as (
+  select user_id // 8000 as rec, user_id % 1000 as epoch, row_number() over (partition by user_id // 8000, user_id % 1000 order by user_id) - 1 as c, count(*) over (partition by user_id // 8000, user_id % 1000) as n, *,
+         v0 as activity, sqrt(v1 / v0) as mobility, sqrt(v2 / v1) / sqrt(v1 / v0) as complexity from bands join ent using (user_id) join hj using (user_id)
+), spread as (
+  select rec, epoch, unnest([{', '.join(f'5 * c + {i}' for i in range(5))}, {', '.join(f'5 * n + 3 * c + {i}' for i in range(3))}, 8 * n + c]) as pos, unnest([{', '.join(K.BANDS)}, activity, mobility, complexity, entropy]) as v from ch
+  union all select rec, epoch, 9 * any_value(n), ln(avg(abs_alpha) filter (where c % 2 = 0) + 1e-10) - ln(coalesce(avg(abs_alpha) filter (where c % 2 = 1), 1e-10) + 1e-10) from ch group by 1, 2
+  union all select rec, epoch, 9 * any_value(n) + 1, avg(abs_theta) filter (where c < 4) from ch group by 1, 2
+) select rec as recording_id, epoch as epoch_idx, pos, round(v, 3) + 0.0 as v from spread"""
+
+
+@query(CLASSICAL)
 def f7_classical_features(spark, d):
     e = S.epoch(arrays(spark, d), 32).select(F.floor(F.col("recording_id") / 8).alias("recording_id"), F.col("epoch_idx").cast("int").alias("epoch_idx"), F.col("recording_id").cast("int").alias("ch_idx"), "samples")
     c = S.classical_features(e, 200.0)
-    return rounded(c.select("recording_id", "epoch_idx", F.size("vec").alias("width"), F.element_at("vec", -2).alias("asymmetry"), F.element_at("vec", -1).alias("frontal_theta")), "asymmetry", "frontal_theta")
+    return rounded(c.select("recording_id", F.col("epoch_idx").cast("long").alias("epoch_idx"), F.posexplode("vec").alias("pos", "v")).withColumn("pos", F.col("pos").cast("long")), "v", n=3)
 
 
 @query(f"select cohort, feature, round(avg(v), 6) as v, count(*) as n from ({LONGV}) group by 1, 2")
@@ -482,17 +538,24 @@ def l10_residual_report(spark, d):
 
 
 _MIXED = "select user_id, row_number() over (partition by user_id order by md5(event_id::varchar), event_id) - 1 as t, value - avg(value) over (partition by user_id) as x from events"
-_KNOWN = f"select user_id * 2 as k, t, x from ({_MIXED}) union all select user_id * 2 + 1 as k, t, sum(x) over (partition by user_id order by t rows unbounded preceding) as x from ({_MIXED})"
+#: orders of fractional integration; white noise of order o has exponent 0.5 + o
+ORDERS = [0.0, 0.25, 0.5, 0.75, 1.0]
+_KNOWN = f"select a.user_id * {len(ORDERS)} + i as k, a.t, sum(b.x * case when o > 0 then exp(lgamma(a.t - b.t + o) - lgamma(o) - lgamma(a.t - b.t + 1)) when a.t = b.t then 1 else 0 end) as x from ({_MIXED}) a join ({_MIXED}) b on b.user_id = a.user_id and b.t <= a.t, (select unnest(range({len(ORDERS)})) as i, unnest({ORDERS})::double as o) group by 1, 2"
 
 
-@query("with " + _dfa_cte(_KNOWN, "k", USER_SCALES) + " select round(corr(alpha, h), 5) as r, round(avg(alpha - h), 5) as bias, round(regr_slope(alpha, h), 5) as slope, round(stddev_pop(alpha - h), 5) as resid_sd, corr(alpha, h) > 0.94 and abs(avg(alpha - h)) <= 0.02 and regr_slope(alpha, h) between 0.95 and 1.05 as passed from (select alpha, 0.5 + k % 2 as h from dfa)")
+@query("with " + _dfa_cte(_KNOWN, "k", USER_SCALES) + f", known as (select alpha, 0.5 + ({ORDERS})[k % {len(ORDERS)} + 1]::double as h from dfa) select round(corr(alpha, h), 5) as r, round(avg(alpha - h), 5) as bias, round(regr_slope(alpha, h), 5) as slope, round(stddev_pop(alpha - h), 5) as resid_sd, corr(alpha, h) > 0.94 and abs(avg(alpha - h)) <= 0.02 and regr_slope(alpha, h) between 0.95 and 1.05 as passed from known")
 def l11_calibration_report(spark, d):
-    """The estimator on series of known exponent: values in an order that a digest gives are white (0.5), their running sums 1.5."""
-    e = read(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.md5(F.col("event_id").cast("string")).alias("o"), "event_id", F.col("value").alias("v")))).alias("s"), F.avg("value").alias("m"))
-    white = e.select(F.transform("s", lambda s: s.v - F.col("m")).alias("samples"))
-    sums = F.aggregate("samples", F.array().cast("array<double>"), lambda a, x: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + x))
-    known = white.select(F.lit(0.5).alias("h"), "samples").union(white.select(F.lit(1.5).alias("h"), sums.alias("samples")))
-    return rounded(S.calibration_report(known, USER_SCALES), "r", "bias", "slope", "resid_sd", n=5)
+    """The estimator on series of known exponents: values in an order that a digest gives are white, and are integrated to five orders."""
+    w = Window.partitionBy("user_id")
+    white = written(read(spark, d, "events").select("user_id", (F.row_number().over(w.orderBy(F.md5(F.col("event_id").cast("string")), "event_id")) - 1).alias("t"), (F.col("value") - F.avg("value").over(w)).alias("x")), "white")
+    longest = white.agg(F.max("t")).first()[0] or 0
+    # what a value adds to the k-th one after it, for each order
+    step = F.when(F.col("k") == 0, 0.0).otherwise(F.ln((F.col("k") - 1 + F.col("order")) / F.col("k")))
+    lags = spark.range(longest + 1).select(F.col("id").alias("k"), F.explode(F.array(*(F.lit(o) for o in ORDERS[1:]))).alias("order")).withColumn("w", F.exp(F.sum(step).over(Window.partitionBy("order").orderBy("k"))))
+    later = white.select("user_id", F.col("t").alias("at")).join(white, "user_id").where("t <= at").withColumn("k", F.col("at") - F.col("t")).join(lags, "k")
+    made = later.groupBy("user_id", "order", "at").agg(F.sum(F.col("w") * F.col("x")).alias("x")).unionByName(white.select("user_id", F.lit(ORDERS[0]).alias("order"), F.col("t").alias("at"), "x"))
+    known = made.groupBy("user_id", (F.col("order") + 0.5).alias("h")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s.x).alias("samples"))
+    return rounded(S.calibration_report(known.select("h", "samples"), USER_SCALES), "r", "bias", "slope", "resid_sd", n=5)
 
 
 # --- encoder side -------------------------------------------------------------------------------------------------------
@@ -550,7 +613,10 @@ def n8_token_trajectories(spark, d):
     return rounded(t.select("subject_id", F.size("pc1").alias("n"), F.array_max("norm_of_mean").alias("top"), F.array_min("mean_of_norm").alias("low")), "top", "low")
 
 
-@query()
+_ORDERS = "select s * 2 as k, i as t, x from base union all select s * 2 + 1, row_number() over (partition by s order by md5('0:' || s || ':' || i), i) - 1, x from base"
+
+
+@query(f"with {TOKENS}, mean as (select s, w, p, feature, avg(v) as v from tok group by 1, 2, 3, 4), norm as (select s, w, p, sqrt(sum(v * v)) as x from mean group by 1, 2, 3), base as (select s, row_number() over (partition by s order by w, p) - 1 as i, x from norm qualify count(*) over (partition by s) >= 30), {_dfa_cte(_ORDERS, 'k', [3, 4, 5, 7, 9])} select a.k // 2 as subject_id, round(a.alpha, 6) as ordered, round(b.alpha, 6) as shuffled from dfa a join dfa b on b.k = a.k + 1 and a.k % 2 = 0")
 def n9_order_control(spark, d):
     return rounded(S.order_control(S.token_trajectories(_tokens(spark, d)), "norm_of_mean", [3, 4, 5, 7, 9]), "ordered", "shuffled")
 

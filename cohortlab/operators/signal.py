@@ -59,12 +59,13 @@ def common_average_reference(long: DataFrame, rec: str = "recording_id") -> Data
 
 
 def _per_recording(signals: DataFrame, fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """fn over the [channels, samples] array of each recording; one shuffle on the recording."""
+    """fn over the [channels, samples] array of each recording, cut to its shortest channel; one shuffle on the recording."""
     schema = signals.schema
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ch_idx")
-        return pdf.assign(samples=list(fn(np.stack(pdf["samples"].to_list()))))
+        n = min(map(len, pdf["samples"]))
+        return pdf.assign(samples=list(fn(np.stack([s[:n] for s in pdf["samples"]]))))
 
     return signals.groupBy("recording_id").applyInPandas(run, schema)
 
@@ -365,13 +366,11 @@ def token_trajectories(tokens: DataFrame) -> DataFrame:
 
 
 def order_control(trajectories: DataFrame, col: str, scales: list[int] = K.TOKEN_SCALES, seed: int = 0, least: int = 30) -> DataFrame:
-    """subject_id, ordered, shuffled: exponents of a trajectory and of its seeded shuffle; short or unusable ones go."""
+    """subject_id, ordered, shuffled: exponents of a trajectory and of its points in the order of a digest of seed, subject and
+    place; short or unusable ones go."""
     base = trajectories.where(F.size(col) >= least).select("subject_id", F.col(col).alias("samples"))
-
-    @F.pandas_udf("array<double>")
-    def mix(s: pd.Series, k: pd.Series) -> pd.Series:
-        return pd.Series([np.random.default_rng(abs(int(i))).permutation(np.asarray(x)) for x, i in zip(s, k, strict=True)])
-
+    digest = lambda i: F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("subject_id").cast("string"), i.cast("string")).cast("binary"))
+    mixed = F.transform(F.array_sort(F.transform("samples", lambda x, i: F.struct(digest(i).alias("o"), i.alias("i"), x.alias("x")))), lambda s: s["x"])
     one = dfa(base, scales).select("subject_id", F.col("alpha").alias("ordered"))
-    two = dfa(base.withColumn("samples", mix("samples", F.xxhash64(F.lit(seed), "subject_id"))), scales).select("subject_id", F.col("alpha").alias("shuffled"))
+    two = dfa(base.withColumn("samples", mixed), scales).select("subject_id", F.col("alpha").alias("shuffled"))
     return one.join(two, "subject_id").where(~F.isnan("ordered") & ~F.isnan("shuffled"))
