@@ -94,7 +94,10 @@ def test_fits_keep_the_optimality_conditions():
     y = np.stack([rng.permutation((np.arange(90) < k).astype(int)) for k in (45, 20, 70)] + [(x[:, 0] > 0).astype(int), np.ones(90, int)])
     w, b = K.svc_rbf_many(gram, None, y)
     again, bias = K.svc_rbf_many(gram, np.tile(np.arange(90), (5, 1)), y)
-    assert np.abs(w - again).max() < 1e-6 and np.abs(b - bias).max() < 1e-6 and np.abs(w[4]).max() == 0
+    # both ways end within the tolerance of one optimum, from different starts
+    t = np.where(y == 1, 1.0, -1.0)
+    assert all(abs(dual(gram, w[r], t[r]) - dual(gram, again[r], t[r])) < 1e-3 for r in range(4)) and np.abs(w @ gram - again @ gram + (b - bias)[:, None]).max() < 1e-2
+    assert np.abs(w[4]).max() == 0 and np.abs(again[4]).max() == 0
     for r in range(4):
         t = np.where(y[r] == 1, 1.0, -1.0)
         cap, a = 90 / 2 / np.where(t > 0, (t > 0).sum(), (t < 0).sum()), w[r] * t
