@@ -234,21 +234,21 @@ with recursive {CRC_TABLE}, texts as (
   select doc_id, w, len(w) as n, h, h // 10 as g from texts
 ), placed as (
   select *, g % n as a, 1 + (n - g % n) // (3 + g % 8) as p from sized where n > 0
-), planted as (
+), planted as materialized (
   select doc_id, n, case when h % 10 = 0 then list_transform(range(0, n), lambda i: case when i < a then w[i + 1] else w[a + (i - a) % p + 1] end) else w end as w from placed
-), words as (
+), words as materialized (
   select doc_id, unnest(range(0, n)) as i, unnest(w) as x from planted
-), followed as (
-  select *, lead(x) over (partition by doc_id order by i) as y from words
+), followed as materialized (
+  select doc_id, i, w[i + 1] as x, hash(w[i + 1:i + 8]) as y from (select doc_id, w, unnest(range(0, n)) as i from planted)
 ), grid as (
   select doc_id, q, unnest(range(0, (n - 1) // q - 1)) as k from (select doc_id, n, unnest(range(1, n // 3 + 1)) as q from planted where n >= 24)
-), tried as (
+), tried as materialized (
   select distinct g.doc_id, g.q from grid g join followed a on a.doc_id = g.doc_id and a.i = g.k * g.q join followed b on b.doc_id = g.doc_id and b.i = (g.k + 1) * g.q and b.x = a.x and b.y = a.y join words c on c.doc_id = g.doc_id and c.i = (g.k + 2) * g.q and c.x = a.x
 ), alike as (
   select t.doc_id, t.q, a.i, a.i - row_number() over (partition by t.doc_id, t.q order by a.i) as island from tried t join words a on a.doc_id = t.doc_id join words b on b.doc_id = t.doc_id and b.i = a.i + t.q and b.x = a.x
 ), stretches as (
   select doc_id, q, min(i) as start, count(*) + q as length from alike group by doc_id, q, island having count(*) + q >= greatest(24, 3 * q)
-), runs as (
+), runs as materialized (
   select doc_id, start, length, min(q) as period from stretches group by doc_id, start, length
 ), told as (
   select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as t from runs group by doc_id
