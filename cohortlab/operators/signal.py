@@ -263,13 +263,15 @@ def surrogate_controls(signals: DataFrame, sf: float, scales: list[int], seed: i
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for k, s in zip(pdf["seed"], pdf["samples"], strict=True):
-                rng, x = np.random.default_rng(abs(int(k))), np.asarray(s, float)
-                env = K.envelope(K.bandpass(x[None], sf, 8.0, 13.0))[0]
-                made = {"noise": K.envelope(K.bandpass(rng.standard_normal((1, len(x))), sf, 8.0, 13.0))[0], "permuted": rng.permutation(env), "phase": K.phase_surrogate(env, rng)}
-                rows += [(n, *K.dfa(v[None], scales)[0]) for n, v in made.items()]
-            yield pd.DataFrame(rows, columns=["kind", "alpha", "r2"])
+            out = []
+            # rows of one length are filtered and fitted together; a row's draws are its own
+            for n, part in pdf.groupby(pdf["samples"].map(len)):
+                draws = [np.random.default_rng(abs(int(k))) for k in part["seed"]]
+                env = K.envelope(K.bandpass(np.stack(part["samples"].to_list()).astype(float), sf, 8.0, 13.0))
+                noise = np.stack([rng.standard_normal(n) for rng in draws])
+                made = {"noise": K.envelope(K.bandpass(noise, sf, 8.0, 13.0)), "permuted": np.stack([rng.permutation(x) for rng, x in zip(draws, env, strict=True)]), "phase": np.stack([K.phase_surrogate(x, rng) for rng, x in zip(draws, env, strict=True)])}
+                out += [pd.DataFrame(K.dfa(v, scales), columns=["alpha", "r2"]).assign(kind=kind) for kind, v in made.items()]
+            yield pd.concat(out)[["kind", "alpha", "r2"]] if out else pd.DataFrame({"kind": [], "alpha": [], "r2": []})
 
     got = signals.select(F.xxhash64(F.lit(seed), key).alias("seed"), "samples").mapInPandas(run, "kind string, alpha double, r2 double")
     return got.where(~F.isnan("alpha")).groupBy("kind").agg(F.avg("alpha").alias("mean_alpha"), F.stddev_pop("alpha").alias("sd_alpha"), F.avg("r2").alias("mean_r2"), F.count("*").alias("n"))
