@@ -45,3 +45,21 @@ def test_dfa_fits_all_rows_as_polyfit_does():
         u, v = np.log(scales), np.log(f)
         slope, cut = np.polyfit(u, v, 1)
         assert np.allclose(got, [slope, 1 - ((v - cut - slope * u) ** 2).sum() / ((v - v.mean()) ** 2).sum()], atol=1e-8)
+
+
+@pytest.mark.parametrize("pcs", [None, 4])
+def test_streamed_site_null_is_that_of_the_whole_matrix(spark, pcs):
+    plan = [(s, f, 40 + 3 * s + f) for s in range(3) for f in range(4)]
+    y, fold = (np.repeat([p[i] for p in plan], [p[2] for p in plan]) for i in (0, 1))
+    want = T.gaussian_null(spark, y.tolist(), 7, 3, lambda x, y: K.site_accuracy(x, y, fold, pcs)).toPandas().sort_values("rep")
+    got = T.streamed_null(spark, len(y), 7, 3, lambda blocks: K.site_accuracy_streamed(blocks, plan, 7, pcs), rows=50).toPandas().sort_values("rep")
+    assert np.allclose(got["value"], want["value"], atol=1e-12)
+
+
+def test_site_probe_takes_more_rows_than_a_cell(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(i, f"s{i % 2}", (rng.standard_normal(3) + i % 2).tolist()) for i in range(200)]
+    monkeypatch.setattr(T, "ROWS", 50)
+    monkeypatch.setattr(T._bounded, "__defaults__", (50,))
+    got = X.site_probe(spark.createDataFrame(rows, "subject_id long, site string, vec array<double>"), "site", pcs=None, n_null=2).first()
+    assert got["mean"] > 0.7 > got["null"] > 0.3
