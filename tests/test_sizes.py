@@ -63,3 +63,18 @@ def test_site_probe_takes_more_rows_than_a_cell(spark, monkeypatch):
     monkeypatch.setattr(T._bounded, "__defaults__", (50,))
     got = X.site_probe(spark.createDataFrame(rows, "subject_id long, site string, vec array<double>"), "site", pcs=None, n_null=2).first()
     assert got["mean"] > 0.7 > got["null"] > 0.3
+
+
+def test_boosting_over_more_rows_than_a_cell(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.standard_normal((600, 3)), 1)  # few distinct values, so that both sets of cuts part them alike
+    y = np.where(x[:, 0] > 0, 2.0, -1.0) + x[:, 1]
+    df = spark.createDataFrame([(i, x[i].tolist(), float(y[i]), i % 3) for i in range(600)], "subject_id long, vec array<double>, y double, fold int")
+    small = T.tree_cv(df, "gbt", k=3, trees=12, pcs=None).toPandas()
+    monkeypatch.setattr(T, "ROWS", 100)
+    monkeypatch.setattr("cohortlab.operators.boosting.KEPT", 5)
+    got = T.tree_cv(df, "gbt", k=3, trees=12, pcs=None).toPandas()
+    assert len(got) == 600 and got["subject_id"].is_unique
+    both = got.merge(small, on=["subject_id", "fold", "y"])
+    r2 = lambda p: 1 - ((p - both["y"]) ** 2).sum() / ((both["y"] - both["y"].mean()) ** 2).sum()
+    assert len(both) == 600 and abs(r2(both["pred_x"]) - r2(both["pred_y"])) < 0.02 and r2(both["pred_x"]) > 0.7
