@@ -78,3 +78,21 @@ def test_boosting_over_more_rows_than_a_cell(spark, monkeypatch):
     both = got.merge(small, on=["subject_id", "fold", "y"])
     r2 = lambda p: 1 - ((p - both["y"]) ** 2).sum() / ((both["y"] - both["y"].mean()) ** 2).sum()
     assert len(both) == 600 and abs(r2(both["pred_x"]) - r2(both["pred_y"])) < 0.02 and r2(both["pred_x"]) > 0.7
+
+
+def test_kernel_weights_need_no_decomposition(monkeypatch):
+    rng = np.random.default_rng(9)
+    x, y = rng.standard_normal((90, 4)), rng.standard_normal(90) + 3
+    k, rows, alphas = np.exp(-K._sq(x, x) / 8), rng.random((90, 3)) < 0.7, np.array([1.0, 10.0, 1000.0])
+    want = np.zeros((90, 3))
+    for c in range(3):
+        i = np.flatnonzero(rows[:, c])
+        want[i, c] = np.linalg.solve(k[np.ix_(i, i)] + alphas[c] * np.eye(len(i)), y[i])
+    assert np.allclose(K.kernel_solve(k, y, rows, alphas, steps=1), want, atol=1e-9)
+
+    def refused(*_):
+        raise AssertionError("a decomposition")
+
+    monkeypatch.setattr(np.linalg, "solve", refused)
+    assert np.allclose(K.kernel_solve(k, y, rows, alphas), want, atol=1e-9)
+    K.kernel_ridge_fit(x, y)
