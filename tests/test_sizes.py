@@ -96,3 +96,15 @@ def test_kernel_weights_need_no_decomposition(monkeypatch):
     monkeypatch.setattr(np.linalg, "solve", refused)
     assert np.allclose(K.kernel_solve(k, y, rows, alphas), want, atol=1e-9)
     K.kernel_ridge_fit(x, y)
+
+
+def test_kernel_ridge_over_more_rows_than_a_cell(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((120, 3))
+    y = np.sin(x[:, 0]) + 0.1 * rng.standard_normal(120)
+    df = spark.createDataFrame([(i, x[i].tolist(), float(y[i]), i % 2) for i in range(120)], "subject_id long, vec array<double>, y double, fold int")
+    small = T.kernel_ridge_cv(df, k=2).toPandas()
+    monkeypatch.setattr(T, "ROWS", 100)
+    monkeypatch.setattr("cohortlab.operators.kernel_ridge.BLOCK", 25)
+    both = T.kernel_ridge_cv(df, k=2).toPandas().merge(small, on=["subject_id", "fold", "y"])
+    assert len(both) == 120 and np.allclose(both["pred_x"], both["pred_y"], atol=1e-7)
