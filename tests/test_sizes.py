@@ -108,3 +108,29 @@ def test_kernel_ridge_over_more_rows_than_a_cell(spark, monkeypatch):
     monkeypatch.setattr("cohortlab.operators.kernel_ridge.BLOCK", 25)
     both = T.kernel_ridge_cv(df, k=2).toPandas().merge(small, on=["subject_id", "fold", "y"])
     assert len(both) == 120 and np.allclose(both["pred_x"], both["pred_y"], atol=1e-7)
+
+
+def test_resamples_are_fits_on_all_rows_with_larger_caps():
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((80, 5))
+    y = (x[:, 0] + rng.standard_normal(80) > 0).astype(int)
+    gram = np.exp(-0.1 * K._sq(x, x))
+    idx = rng.integers(0, 80, (6, 80))
+    drawn = np.stack([np.bincount(i, minlength=80) for i in idx]).astype(float)
+    w, b = K.svc_rbf_many(gram, None, np.tile(y, (6, 1)), drawn=drawn)
+    want, bias = K.svc_rbf_many(gram, idx, y[idx], tol=1e-6)
+    for r in range(6):
+        assert abs(w[r].sum()) < 1e-9 and (np.abs(w[r]) <= K.svc_caps(y[None], drawn=drawn[r : r + 1])[0] + 1e-9).all()
+        assert np.abs(gram @ w[r] + b[r] - gram[:, idx[r]] @ want[r] - bias[r]).max() < 5e-3
+
+
+def test_gradient_steps_end_at_the_optimum():
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((150, 6))
+    gram = np.exp(-0.2 * K._sq(x, x))
+    y = np.stack([rng.permutation((np.arange(150) < k).astype(int)) for k in (75, 30)] + [np.ones(150, int)])
+    w, g, b, left = K.svc_dual(lambda v, _: v @ gram, np.where(y == 1, 1.0, -1.0), K.svc_caps(y), 2000)
+    want, bias = K.svc_rbf_many(gram, None, y, tol=1e-6)
+    assert not len(left) and np.abs(w[2]).max() == 0 and b[2] == bias[2] and np.abs(w.sum(axis=1)).max() < 1e-9
+    assert np.abs(w @ gram - g).max() < 1e-9 and np.abs((g + b[:, None]) - (want @ gram + bias[:, None])).max() < 5e-3
+    assert len(K.svc_dual(lambda v, _: v @ gram, np.where(y == 1, 1.0, -1.0), K.svc_caps(y), 2)[3]) == 2
