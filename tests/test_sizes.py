@@ -134,3 +134,22 @@ def test_gradient_steps_end_at_the_optimum():
     assert not len(left) and np.abs(w[2]).max() == 0 and b[2] == bias[2] and np.abs(w.sum(axis=1)).max() < 1e-9
     assert np.abs(w @ gram - g).max() < 1e-9 and np.abs((g + b[:, None]) - (want @ gram + bias[:, None])).max() < 5e-3
     assert len(K.svc_dual(lambda v, _: v @ gram, np.where(y == 1, 1.0, -1.0), K.svc_caps(y), 2)[3]) == 2
+
+
+def test_support_vector_fits_over_more_rows_than_a_cell(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    x = rng.standard_normal((60, 3))
+    x[:, 2] = 2.0  # a constant
+    y = (x[:, 0] > 0).astype(int)
+    df = spark.createDataFrame([(i, f"c{i % 2}", x[i].tolist(), int(y[i]), i // 2 % 2) for i in range(60)], "subject_id long, cohort string, vec array<double>, y int, fold int")
+    pairs = [("c0", "c1"), ("rest", "c0")]
+    cells, across = T.svc_cv(df, 2, by=("cohort",)).toPandas(), T.transfer_scores(df, pairs).toPandas()
+    monkeypatch.setattr(T, "ROWS", 20)
+    monkeypatch.setattr(T._bounded, "__defaults__", (20,))
+    monkeypatch.setattr("cohortlab.operators.support_vectors.BLOCK", 8)
+    both = T.svc_cv(df, 2, by=("cohort",)).toPandas().merge(cells, on=["cohort", "subject_id", "fold", "y"])
+    assert len(both) == 60 and np.abs(both["pred_x"] - both["pred_y"]).max() < 5e-3
+    both = T.transfer_scores(df, pairs).toPandas().merge(across, on=["direction", "id", "y"])
+    assert len(both) == 60 and np.abs(both["score_x"] - both["score_y"]).max() < 5e-3
+    null = T.gaussian_rows(df.select("subject_id", "y", "fold"), 3, 2, "subject_id", block=25).toPandas()
+    assert len(null) == 120 and set(null["rep"]) == {0, 1} and abs(np.stack(null["vec"].to_list()).mean()) < 0.2
