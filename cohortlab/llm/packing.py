@@ -16,20 +16,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ids_text, materialise, quoted
-from .tokens import encoder
+from .tokens import MEMORY, encoder
 
 #: pieces packed together, about
 GROUP = 5_000
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int = 0, with_ids: bool = False, memory: int = MEMORY) -> DataFrame:
     """doc_id, rid, piece, start, length, ids_crc32 (and ids, little-endian, with_ids): each document's ids and end_id, cut at length.
 
     rid is a hash that tells rows apart which share a doc_id. Null text counts as empty: one piece with the end id."""
     schema = "doc_id long, rid long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def run(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, memory)
         end = np.array([end_id], enc.dtype).tobytes()
         wide = np.dtype("<u4")
         for b in batches:
@@ -171,13 +171,13 @@ def pack(pieces: DataFrame, length: int, group: int = GROUP) -> DataFrame:
     return dealt.groupBy("__group").applyInPandas(run, schema).unionByName(full)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0, with_ids: bool = False, memory: int = MEMORY) -> DataFrame:
     """Packs documents(doc_id, text, ...) into sequences of at most `length` ids: a row per piece.
 
     Columns: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, with_ids). Null or empty text: one
     piece with the end id. Repeated rows and ties are packed each for itself; a null doc_id stays null; an empty table
     gives an empty result; other columns are ignored, whatever their names."""
-    pieces = materialise(token_pieces(docs, tokenizer, length, end_id, with_ids), "pieces")
+    pieces = materialise(token_pieces(docs, tokenizer, length, end_id, with_ids, memory), "pieces")
     return pack(pieces, length).drop("rid")
 
 

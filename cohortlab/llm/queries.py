@@ -12,6 +12,9 @@ from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: pieces that a worker remembers of the queries that do nothing else with its memory
+PIECES = 1_200_000
+
 
 def tokenizer_path(name: str) -> str:
     """Place of a public tokenizer's file; any path can be given to the operators instead."""
@@ -43,7 +46,7 @@ def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), length=2048)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), length=2048, memory=PIECES)
 
 
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +62,7 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), memory=PIECES)
 
 
 def op11_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

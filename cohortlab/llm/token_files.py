@@ -19,17 +19,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ids_text, materialise, partitions_for, shared_path
-from .tokens import encoder
+from .tokens import MEMORY, encoder
 
 #: ids between checkpoints; ids after which a block ends with its document; longest code
 STRIDE, BLOCK_IDS, LIMIT = 256, 1 << 19, 20
 
 
-def token_table(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
+def token_table(docs: DataFrame, tokenizer: str, end_id: int = 0, memory: int = MEMORY) -> DataFrame:
     """doc_id, ids (binary, little-endian, 2 or 4 bytes each): the whole text's ids and end_id. Null text counts as empty."""
 
     def run(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, memory)
         end = np.array([end_id], enc.dtype).tobytes()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([enc.encode(t) + end for t in b.column("text").to_pylist()], pa.binary())], ["doc_id", "ids"])
@@ -210,14 +210,14 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
     return blocks.select("part", "before", "doc_ids", "sizes", "n_ids", "bits", "checkpoints").mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, with_ids: bool = False, memory: int = MEMORY) -> DataFrame:
     """Encodes documents(doc_id, text, ...), writes token files to the shared folder and reads them back.
 
     One row per document: doc_id, start, n_tokens (with the end id), ids_crc32. Null or empty text: only the end id.
     Rows that share a doc_id are documents of their own, in the order of their ids' hash; null doc_ids come first; an
     empty table gives an empty result; other columns are ignored, whatever their names."""
     spark = docs.sparkSession
-    tokens = materialise(token_table(docs, tokenizer), "tokens")
+    tokens = materialise(token_table(docs, tokenizer, memory=memory), "tokens")
     path = shared_path(spark, "token-files")
     write_token_files(tokens, path, encoder(tokenizer).dtype.str)
     return read_token_files(spark, path, with_ids)

@@ -13,7 +13,7 @@ from array import array
 
 import numpy as np
 
-#: pieces remembered per worker
+#: pieces remembered per worker, if nothing else is asked for
 MEMORY = 400_000
 _loaded: dict[str, TextEncoder] = {}
 
@@ -21,8 +21,7 @@ _loaded: dict[str, TextEncoder] = {}
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 #: white space other than the blank; of a run of it, only the last character is parted from the rest, and only before a letter
 _LAST_SPACE = f"[\\t-\\r\\x85\\xa0](?=[{_LETTERS}])"
-#: texts where that can be otherwise (contractions, characters beyond Latin-1, names of special tokens) are cut before blanks only
-_OTHERWISE = re.compile("['Ā-\U0010ffff]|<\\|")
+#: texts where that can be otherwise (contractions, characters beyond Latin-1, names of special tokens; _plain()) are cut before blanks only
 _BEFORE_BLANK = re.compile(r"(?<=\S)(?= )")
 _SPACES = re.compile(r"[ \t\r\n]+")
 #: byte-level BPE writes each byte as one printable character: printable Latin-1 as itself, the others from U+0100 on
@@ -30,23 +29,33 @@ _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTES = {b: chr(b) for b in _PRINTED} | {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
+def _plain(text: str) -> bool:
+    """Whether nothing in the text is cut otherwise."""
+    try:
+        text.encode("latin-1")  # quicker than a look at each character
+    except UnicodeEncodeError:
+        return False
+    return "'" not in text and "<|" not in text
+
+
 class _Memory(dict):
     """Ids of pieces, as bytes. Remembers in two generations: what was used since the last turn stays, the rest goes."""
 
-    def __init__(self, tok, code: str, lower: bool):
+    def __init__(self, tok, code: str, lower: bool, most: int):
         self.old: dict[str, bytes] = {"": b""}
-        self.encode, self.tokenize, self.code, self.lower = tok.encode, tok.model.tokenize, code, lower
+        self.encode, self.tokenize, self.code, self.lower, self.most = tok.encode, tok.model.tokenize, code, lower, most
 
     def __missing__(self, piece: str) -> bytes:
         out = self.old.get(piece)
         if out is None:
             if piece.strip(" ").isalpha() and piece.isprintable() and max(piece) <= "ÿ" and piece.rfind(" ") <= 0:
                 word = piece.lower() if self.lower else piece
-                ids = [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(_BYTES))]
+                # letters A-Z are written as themselves
+                ids = [t.id for t in self.tokenize(word if word.isascii() and word[0] != " " else word.encode().decode("latin-1").translate(_BYTES))]
             else:
                 ids = self.encode(piece, add_special_tokens=False).ids
             out = array(self.code, ids).tobytes()
-        if len(self) >= MEMORY // 2:
+        if len(self) >= self.most // 2:
             self.old = {"": b""} | self
             self.clear()
         self[piece] = out
@@ -56,7 +65,7 @@ class _Memory(dict):
 class TextEncoder:
     """Encodes texts with the tokenizer file at path, add_special_tokens=False; ids come as little-endian bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = MEMORY):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -69,24 +78,25 @@ class TextEncoder:
             raise ValueError("only byte-level tokenizers are known to be parted as this class cuts")
         # byte-level alone: a blank leads the word after it; after a Split, white space only parts words
         self.blank_leads = '"Split"' not in kind
-        self.words = re.compile(f"( ?[{_LETTERS}]+|{_LAST_SPACE})" if self.blank_leads else f"([{_LETTERS}]+)")
+        self.words = re.compile(f"( ?[{_LETTERS}]+|{_LAST_SPACE})" if self.blank_leads else f"[{_LETTERS}]+|[^{_LETTERS} \\t\\r\\n]+")
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
-        self.held = _Memory(self.tok, self.dtype.char, '"Lowercase"' in json.dumps(spec.get("normalizer") or {}))
+        self.held = _Memory(self.tok, self.dtype.char, '"Lowercase"' in json.dumps(spec.get("normalizer") or {}), memory)
 
     def encode(self, text: str | None) -> bytes:
         """The ids of the whole text, as bytes of self.dtype; none for null or empty text."""
         if not text:
             return b""
-        if not _OTHERWISE.search(text):
-            pieces = self.words.split(text)
+        if _plain(text):
+            pieces = filter(None, self.words.split(text)) if self.blank_leads else self.words.findall(text)
         else:
             pieces = _BEFORE_BLANK.split(text) if self.blank_leads else _SPACES.split(text)
         return b"".join(map(self.held.__getitem__, pieces))
 
 
-def encoder(path: str) -> TextEncoder:
+def encoder(path: str, memory: int = MEMORY) -> TextEncoder:
     """The worker's encoder for this tokenizer file."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _loaded:
-        _loaded[path] = TextEncoder(path)
+        _loaded[path] = TextEncoder(path, memory)
+    _loaded[path].held.most = memory
     return _loaded[path]

@@ -797,3 +797,16 @@ def test_pipeline(spark):
     last = P.run(spark, D)
     assert {r.doc_id for r in last.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
     assert near_dup.near_duplicates(docs, 5).where("not kept").count() == 0
+
+
+def test_blanks_are_no_pieces_and_memory_is_bounded_as_asked():
+    from cohortlab.llm.tokens import TextEncoder
+
+    text = " Some words,  (twice)   some\twords\n\n of caf\u00e9 - 12 3x"
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        enc = TextEncoder(queries.tokenizer_path(name), 8)
+        want = enc.tok.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == want
+        assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == want and len(enc.held) <= 4
+        if name.startswith("word"):
+            assert not any(p.isspace() for p in (*enc.held, *enc.held.old))
