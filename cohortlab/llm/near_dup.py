@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucketed, ids_text, materialise, mix64, quoted, seeds64, shingle_hashes, text_slices, unused, word_hashes
+from .common import bucketed, ids_text, let_go, materialise, mix64, quoted, seeds64, shingle_hashes, text_slices, unused, word_hashes
 from .components import connected_components
 
 SLOTS, BANDS, BAND_ROWS = 128, 32, 4
@@ -277,6 +277,7 @@ def _components(buckets: DataFrame, sizes: DataFrame, held: DataFrame, percent:
     found = []
     rows = buckets
     for level in range(levels):
+        let_go(held.sparkSession)
         rows = _pivots(rows)
         done = _verified(rows.select("node", "pivot").distinct(), held, percent)
         links, comp = _joined(links, done.where("linked").select("node", "pivot"), comp)
@@ -297,8 +298,11 @@ def _components(buckets: DataFrame, sizes: DataFrame, held: DataFrame, percent:
     use = _named(use.groupBy("pivot", "node").agg(F.first("linked").alias("linked"), F.max(F.col("home") == F.col("level")).alias("left")), comp)
     alive = use.groupBy("pivot").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("linked").alias("alike")).where("x != y and not alike").select("pivot")
     use = materialise(use.join(alive, "pivot").join(sizes, "node"), "compared")
+    let_go(held.sparkSession)
     nodes = _differences(use.select("node", "pivot"), held, percent).join(use, ["node", "pivot"]).withColumn("outlier", ~F.col("linked"))
-    more = _verified(materialise(_candidates(nodes, percent), "pairs"), held, percent)
+    pairs = materialise(_candidates(nodes, percent), "pairs")
+    let_go(held.sparkSession)
+    more = _verified(pairs, held, percent)
     return _joined(links, more.where("linked").select("node", "pivot"), comp)[1]
 
 

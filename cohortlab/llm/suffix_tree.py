@@ -13,7 +13,6 @@ symbols, as packed arrays; the bucket adds all chunks' counts up, settles its co
 
 from __future__ import annotations
 
-import gc
 import uuid
 import zlib
 
@@ -23,7 +22,7 @@ import pyarrow.compute  # noqa: F401  binds pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_text, materialise, mix64, seeds64, shared_path, word_hashes
+from .common import ids_text, let_go, materialise, mix64, seeds64, shared_path, word_hashes
 
 #: words in a chunk, about; training tokens of a bucket
 CHUNK_WORDS, DEPTH, BUCKET_TOKENS = 3 << 18, 3, 4_000_000
@@ -472,9 +471,7 @@ def suffix_tree_scores(docs: DataFrame, floor: int = 2, depth: int = DEPTH, leas
     got = words.select("chunk", F.lit(0).alias("level"), "bucket", F.lit(None).cast("binary").alias("rest"), "counts")
 
     def with_answers() -> DataFrame:
-        # shuffles of earlier levels go from the disks with what held them
-        gc.collect()
-        context._jvm.System.gc()
+        let_go(held.sparkSession)
         answers = got.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("level", "bucket", "rest", "counts"))).alias("got"))
         return held.select("chunk", "doc_ids", "sizes", "words", "ranks", "tokens").join(answers, "chunk")
 

@@ -810,3 +810,16 @@ def test_blanks_are_no_pieces_and_memory_is_bounded_as_asked():
         assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == want and len(enc.held) <= 4
         if name.startswith("word"):
             assert not any(p.isspace() for p in (*enc.held, *enc.held.old))
+
+
+def test_components_leave_no_round_behind(spark):
+    """One edge table stays, and the shuffles of earlier rounds are let go while later ones run."""
+    from pathlib import Path
+
+    from cohortlab.llm.components import connected_components
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.glob("cc-*"))
+    got = connected_components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"))
+    assert {(r.node, r.root) for r in got.collect()} == {(i, 0) for i in range(41)}
+    assert len(set(shared.glob("cc-*")) - before) == 1
