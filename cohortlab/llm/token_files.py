@@ -32,7 +32,7 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int = 0, memory: int =
         enc = encoder(tokenizer, memory)
         end = np.array([end_id], enc.dtype).tobytes()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([enc.encode(t) + end for t in b.column("text").to_pylist()], pa.binary())], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([ids + end for ids in enc.encode_all(b.column("text"))], pa.binary())], ["doc_id", "ids"])
 
     return ids_text(docs).mapInArrow(run, "doc_id long, ids binary")
 

@@ -12,6 +12,10 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  binds pa.compute
+
+from .common import text_buffers, text_slices
 
 #: pieces remembered per worker, if nothing else is asked for
 MEMORY = 400_000
@@ -29,6 +33,45 @@ _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTES = {b: chr(b) for b in _PRINTED} | {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: characters of two bytes: 0xC3 leads letters but for the signs of multiplication and division, 0xC2 leads three letters
+_NO_LETTER_C3, _LETTER_C2 = np.zeros(256, bool), np.zeros(256, bool)
+_NO_LETTER_C3[[0x97, 0xB7]] = _LETTER_C2[[0xAA, 0xB5, 0xBA]] = True
+
+
+def _plain_rows(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """_plain() of each row of UTF-8 bytes that isn't empty."""
+    bad = (data == ord("'")) | (data > 0xC3)
+    bad[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
+    out = np.diff(off) > 0
+    out[np.searchsorted(off, np.flatnonzero(bad), side="right") - 1] = False
+    return out
+
+
+def _cuts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Where the pieces of plain rows of UTF-8 bytes begin, as TextEncoder.words cuts them where a blank leads the word after it."""
+    letter = _ASCII_LETTER[data]
+    at = np.flatnonzero(data == 0xC3)
+    letter[at] = letter[at + 1] = ~_NO_LETTER_C3[data[at + 1]]
+    at = np.flatnonzero(data == 0xC2)
+    letter[at] = letter[at + 1] = _LETTER_C2[data[at + 1]]
+    first = np.zeros(len(data) + 1, bool)
+    first[off] = True
+    cut = first.copy()
+    cut[1:-1] |= letter[1:] != letter[:-1]
+    # of the white space before a letter, in the same row
+    begin = np.flatnonzero(cut[:-1] & letter & ~first[:-1])
+    before = data[begin - 1]
+    blank = begin[before == 32]
+    cut[blank] = False
+    cut[blank - 1] = True
+    cut[begin[(before >= 9) & (before <= 13)] - 1] = True
+    wide = begin[((before == 0x85) | (before == 0xA0)) & (data[begin - 2] == 0xC2)]
+    cut[wide - 2] = True
+    return np.flatnonzero(cut[:-1])
+
+
 def _plain(text: str) -> bool:
     """Whether nothing in the text is cut otherwise."""
     try:
@@ -92,6 +135,38 @@ class TextEncoder:
             pieces = _BEFORE_BLANK.split(text) if self.blank_leads else _SPACES.split(text)
         return b"".join(map(self.held.__getitem__, pieces))
 
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """encode() of each text. Where a blank leads the word after it, a slice of plain texts is cut at once and each of its
+        distinct pieces is looked up once."""
+        if not self.blank_leads:
+            return [self.encode(t) for t in texts.to_pylist()]
+        out: list[bytes] = []
+        for b in text_slices(pa.RecordBatch.from_arrays([texts], ["text"]), limit=12 << 20):
+            col = b.column("text")
+            plain = _plain_rows(*text_buffers(col))
+            if plain.all():
+                out += self._encode_plain(col)
+            else:
+                quick = iter(self._encode_plain(col.filter(pa.array(plain)))) if plain.any() else iter(())
+                out += [next(quick) if p else self.encode(t.as_py()) for p, t in zip(plain.tolist(), col, strict=True)]
+        return out
+
+    def _encode_plain(self, texts: pa.Array) -> list[bytes]:
+        data, off = text_buffers(texts)
+        starts = _cuts(data, off)
+        ends = np.append(starts, len(data)).astype(np.int32)
+        pieces = pa.StringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(data)).dictionary_encode()
+        found = [self.held[p] for p in pieces.dictionary.to_pylist()]
+        pool = np.frombuffer(b"".join(found), self.dtype)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        code = np.asarray(pieces.indices)
+        n = size[code]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        # a piece's ids lie in the pool from its first one on
+        raw = pool[np.repeat((np.cumsum(size) - size)[code] - upto[:-1], n) + np.arange(upto[-1])].tobytes()
+        at = (upto[np.searchsorted(starts, off)] * self.dtype.itemsize).tolist()
+        return [raw[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+
 
 def encoder(path: str, memory: int = MEMORY) -> TextEncoder:
     """The worker's encoder for this tokenizer file."""

@@ -823,3 +823,27 @@ def test_components_leave_no_round_behind(spark):
     got = connected_components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"))
     assert {(r.node, r.root) for r in got.collect()} == {(i, 0) for i in range(41)}
     assert len(set(shared.glob("cc-*")) - before) == 1
+
+
+def test_distinct_pieces_of_a_slice_are_looked_up_once():
+    import random
+
+    import pyarrow as pa
+
+    from cohortlab.llm.tokens import TextEncoder
+
+    pick = random.Random(5)
+    units = [" ", "  ", "\t", "\n", "\r", "\x0b", "\x85", "\xa0", "a", "B", "é", "Ö", "×", "÷", "ª", "µ", "ß", "1", ".", "<", "|", "\x00", "\x1c", "\xad", "_", "the"]
+    texts = [None, ""] + ["".join(pick.choice(units) for _ in range(pick.randint(0, 25))) for _ in range(1500)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        enc = TextEncoder(queries.tokenizer_path(name))
+        mixed = texts + ["".join(pick.choice([*units, "'", "<|", "日", "😀"]) for _ in range(20)) for _ in range(500)]
+        want = [np.array(enc.tok.encode(t or "", add_special_tokens=False).ids, enc.dtype).tobytes() for t in mixed]
+        assert enc.encode_all(pa.array(mixed)) == want and enc.encode_all(pa.array(mixed).slice(700)) == want[700:]
+        assert enc.encode_all(pa.array([], pa.string())) == []
+    enc = TextEncoder(queries.tokenizer_path("byte_bpe_50k.json"))
+    asked = []
+    enc.held.tokenize = lambda word, old=enc.held.tokenize: asked.append(word) or old(word)
+    enc.held.most = 2  # nothing is remembered
+    enc.encode_all(pa.array(["one two one two"] * 50))
+    assert len(asked) <= 4
