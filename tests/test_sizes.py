@@ -80,6 +80,47 @@ def test_boosting_over_more_rows_than_a_cell(spark, monkeypatch):
     assert len(both) == 600 and abs(r2(both["pred_x"]) - r2(both["pred_y"])) < 0.02 and r2(both["pred_x"]) > 0.7
 
 
+def test_forest_over_more_rows_than_a_cell(spark, monkeypatch):
+    from cohortlab.operators import forests
+
+    rng = np.random.default_rng(18)
+    x = rng.standard_normal((900, 4))
+    y = np.where(x[:, 0] > 0, 2.0, -1.0) + x[:, 1]
+    df = spark.createDataFrame([(i, x[i].tolist(), float(y[i]), i % 3) for i in range(900)], "subject_id long, vec array<double>, y double, fold int")
+    small = T.tree_cv(df, "forest", k=3, trees=40).toPandas()
+    monkeypatch.setattr(T, "ROWS", 100)
+    got = T.tree_cv(df, "forest", k=3, trees=40).toPandas().sort_values("subject_id")
+    assert got["subject_id"].tolist() == list(range(900))
+    both = got.merge(small, on=["subject_id", "fold", "y"])
+    r2 = lambda p: 1 - ((p - both["y"]) ** 2).sum() / ((both["y"] - both["y"].mean()) ** 2).sum()
+    assert len(both) == 900 and abs(r2(both["pred_x"]) - r2(both["pred_y"])) < 0.03 and r2(both["pred_x"]) > 0.6
+    # slabs, groups of trees and partitions change nothing
+    monkeypatch.setattr(forests, "SLAB", 250)
+    monkeypatch.setattr(forests, "GROUP", 7)
+    again = T.tree_cv(df.repartition(7), "forest", k=3, trees=40).toPandas().sort_values("subject_id")
+    assert np.abs(again["pred"].to_numpy() - got["pred"].to_numpy()).max() < 1e-9
+
+
+def test_splits_of_a_forest_are_those_of_trying_every_bin():
+    from cohortlab.operators import forests
+
+    rng = np.random.default_rng(19)
+    code, y, digest = rng.integers(0, 8, (6, 400)).astype(np.uint8), rng.standard_normal(400), rng.integers(0, 2**63, 400).astype(np.uint64)
+    w, node = forests.drawn_weights(digest, 3), rng.integers(0, 2, 400).astype(np.int32)
+    assert 0.8 < w.mean() < 1.2 and 0.25 < (w == 0).mean() < 0.5
+    features = forests.drawn_features(0, 1, 3, 1, 6)
+    feature, at, means = forests.split(forests.histograms(code, y, w, node, features, 8), features, 5)
+    for i in range(2):
+        tried = {}
+        for j in features[i]:
+            for cut in range(7):
+                sides = [np.repeat(y[on], w[on]) for on in ((node == i) & (code[j] <= cut), (node == i) & (code[j] > cut))]
+                if min(map(len, sides)) >= 5:
+                    tried[j, cut] = sum(((s - s.mean()) ** 2).sum() for s in sides), [s.mean() for s in sides]
+        best = min(tried, key=lambda c: tried[c][0])
+        assert (feature[i], at[i]) == best and np.allclose(means[i], tried[best][1])
+
+
 def test_kernel_weights_need_no_decomposition(monkeypatch):
     rng = np.random.default_rng(9)
     x, y = rng.standard_normal((90, 4)), rng.standard_normal(90) + 3
