@@ -80,10 +80,13 @@ def recipe_notch_wide(signals: DataFrame, sf_in: float = 500.0, sf_out: float =
 
 
 def harmonise(signals: DataFrame, sf_in: float, montage: list[str] = MONTAGE, sf: float = 200.0, seconds: float = 240.0, band: tuple[float, float] = (1.0, 45.0)) -> DataFrame:
-    """Montage, resampling, duration gate, then reference and band in one pass per recording. signals needs `pos`."""
+    """Montage, resampling, duration gate, then reference and band in one pass per recording. signals needs `pos`.
+
+    A recording with a channel that is too short goes as a whole: its reference is the mean of the whole montage."""
     df = select_montage(signals, montage)
     df = df if sf_in == sf else resample(df, sf_in, sf)
     df = duration_gate(df, int(seconds * sf))
+    df = df.withColumn("__n", F.count("*").over(Window.partitionBy("recording_id"))).where(F.col("__n") == len(montage)).drop("__n")
     return _per_recording(df, lambda x: K.bandpass(x - x.mean(axis=0), sf, *band))
 
 
